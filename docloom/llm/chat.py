@@ -75,7 +75,7 @@ def format_chats(messages: DataFrame, parts: str = "parts") -> DataFrame:
 
     messages: conv_id, turn, role and a column of parts (null: none). Rows stand by turn, then role and text (nulls
     first, as an empty role). spans: start and length in code points (from 0) of what the loss covers, the
-    contents of assistant turns. attachments: message place, part place, kind, ref, start and tokens. Repeated rows
+    contents of assistant turns, with the message's place (from 1) and the start within its frame. attachments: message place, part place, kind, ref, start and tokens. Repeated rows
     stay repeated turns. An empty table gives an empty table.
 
     Turns are formatted where they lie. One shuffle by conv_id brings a conversation's turns together, for its
@@ -112,7 +112,7 @@ def format_chats(messages: DataFrame, parts: str = "parts") -> DataFrame:
     item = F.struct(
         "place",
         "piece",
-        F.when(F.col("role") == "assistant", F.struct(F.col("at").alias("start"), F.col("body_len").cast("bigint").alias("length"))).alias("span"),
+        F.when(F.col("role") == "assistant", F.struct(F.col("at").alias("start"), F.col("body_len").cast("bigint").alias("length"), F.col("place").alias("message"), F.col("head_len").alias("within"))).alias("span"),
         F.transform(
             "found",
             lambda a: F.struct(
@@ -132,29 +132,35 @@ def format_chats(messages: DataFrame, parts: str = "parts") -> DataFrame:
     )
 
 
-def read_back(formatted: Column) -> Column:
-    """The turns of a formatted string of text parts: array of (role, text)."""
+def frames(formatted: Column) -> Column:
+    """A formatted string's messages, each from its start mark up to its end mark."""
     # END is never inside a text, for escape() breaks its first mark
-    pieces = F.filter(F.split(formatted, r"<\|im_end\|>\n"), lambda p: p != "")
-    body = lambda p: F.substring(p, F.lit(len(START) + 1), F.length(p))
-    return F.transform(
-        pieces,
-        lambda p: F.struct(
-            F.url_decode(F.substring_index(body(p), "\n", 1)).alias("role"),
-            unescape(F.substring(body(p), F.length(F.substring_index(body(p), "\n", 1)) + 2, F.length(p))).alias("text"),
-        ),
-    )
+    return F.slice(F.split(formatted, r"<\|im_end\|>\n"), F.lit(1), F.size(F.split(formatted, r"<\|im_end\|>\n")) - 1)
+
+
+def read_back(found: Column) -> Column:
+    """The turns of the frames of text parts: array of (role, text)."""
 
+    def turn(p: Column) -> Column:
+        head = F.substring_index(p, "\n", 1)
+        text = F.substring(p, F.length(head) + 2, F.length(p))
+        return F.struct(F.url_decode(F.substring(head, F.lit(len(START) + 1), F.length(head))).alias("role"), unescape(text).alias("text"))
 
-def loss_text(formatted: Column, spans: Column) -> Column:
-    cut = F.transform(spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int"))))
-    return F.array_join(cut, "")
+    return F.transform(found, turn)
+
+
+def loss_text(found: Column, spans: Column) -> Column:
+    """All text under the loss mask, unescaped. Each span is cut from its own frame, so the work is linear in the string."""
+    return F.transform(
+        F.array(found), lambda f: F.array_join(F.transform(spans, lambda s: unescape(F.substring(F.get(f, s["message"] - 1), s["within"] + 1, s["length"].cast("int")))), "")
+    )[0]
 
 
 def chat_digests(conversations: DataFrame) -> DataFrame:
     """The op7 row of each conversation of (conv_id, turn, role, text), read back from the formatted output."""
     messages = conversations.select("conv_id", "turn", "role", text_part(F.col("text")).alias("parts"))
-    out = format_chats(messages).withColumn("back", read_back(F.col("formatted"))).withColumn("loss", loss_text(F.col("formatted"), F.col("spans")))
+    out = format_chats(messages).withColumn("frames", frames(F.col("formatted")))
+    out = out.withColumns({"back": read_back(F.col("frames")), "loss": loss_text(F.col("frames"), F.col("spans"))})
     turns = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
         "conv_id",

@@ -6,12 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.chat import chat_digests
+from docloom.llm.decontaminate import find_leaks
 from docloom.llm.licenses import scan_licenses
 from docloom.llm.media import document_media
+from docloom.llm.mixing import mix
+from docloom.llm.quality import score_quality
 from docloom.llm.sharding import shard_documents
 from docloom.session import table
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "kept")
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -23,6 +34,11 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(rows.unionByName(turns))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "source", "lang", "evidence", "host_site", "site", "quality", "good")
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_media(table(spark, sf_dir, "documents"))
 
@@ -31,7 +47,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
-QUERIES = {f.__name__: f for f in (op6_license_scan, op7_chat_formatting, op9_media_columns, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op3_decontamination, op5_mixing, op6_license_scan, op7_chat_formatting, op8_quality, op9_media_columns, op10_sharding)}
 
 OP7_SQL = r"""
 WITH said AS (
@@ -49,4 +65,57 @@ SELECT conv_id, count(*) AS n_turns,
   sum(piece_chars)::BIGINT AS formatted_chars
 FROM sized GROUP BY conv_id
 """
-ORACLE_SQL = {"op7_chat_formatting": OP7_SQL}
+WORDS_SQL = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+OP3_SQL = f"""
+WITH item_words AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark WHERE item_id IS NOT NULL),
+items AS (
+  SELECT DISTINCT item_id, least(len(w), 5) AS width,
+    list_sort(list_distinct(list_transform(range(0, len(w) - least(len(w), 5) + 1), lambda i: array_to_string(w[i + 1 : i + least(len(w), 5)], ' ')))) AS h
+  FROM item_words WHERE len(w) > 0),
+numbered AS (SELECT row_number() OVER () AS item, * FROM items),
+item_rows AS (SELECT item, item_id, width, len(h) AS m, unnest(h) AS g FROM numbered),
+doc_words AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents WHERE doc_id IS NOT NULL),
+doc_rows AS (
+  SELECT DISTINCT doc_id, width, g FROM (
+    SELECT doc_id, width, unnest(list_transform(range(0, len(w) - width + 1), lambda i: array_to_string(w[i + 1 : i + width], ' '))) AS g
+    FROM doc_words, (SELECT DISTINCT width FROM items) WHERE len(w) >= width)),
+pairs AS (SELECT doc_id, item_id, item, m, count(*) AS hits FROM doc_rows JOIN item_rows USING (width, g) GROUP BY ALL)
+SELECT doc_id, item_id, arg_max(hits, hits / m) AS hits, arg_max(m, hits / m)::INTEGER AS m, max(hits / m) AS containment
+FROM pairs WHERE hits * 1000 >= m * 800 GROUP BY doc_id, item_id
+"""
+
+
+def _raking_sql() -> str:
+    steps, last = [], "cell0"
+    for i in range(8):
+        for d in ("source", "lang", "topic"):
+            name = f"r{i}_{d}"
+            total = f"sum(weight) OVER (PARTITION BY {d})"
+            steps.append(f"{name} AS (SELECT source, lang, topic, tokens, source_target, lang_target, topic_target, CASE WHEN {total} > 0 THEN weight * {d}_target / {total} ELSE 0 END AS weight FROM {last})")
+            last = name
+    shares = ", ".join(
+        f"{d}_share AS (SELECT {d}, CASE WHEN sum(tokens) > 0 THEN pow(sum(tokens)::DOUBLE / (SELECT sum(tokens) FROM cells), {p}) ELSE 0 END AS s FROM cells GROUP BY {d})"
+        for d, p in (("source", 0.7), ("lang", 0.7), ("topic", 1.0))
+    )
+    targets = ", ".join(f"(SELECT s FROM {d}_share x WHERE x.{d} IS NOT DISTINCT FROM cells.{d}) / (SELECT sum(s) FROM {d}_share) AS {d}_target" for d in ("source", "lang", "topic"))
+    squeezed = r"trim(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g'))"
+    return rf"""
+WITH body AS (SELECT doc_id, source, lang, coalesce(text, '') AS body, length(coalesce(text, '')) AS n, {squeezed} AS flat FROM documents),
+marked AS (SELECT doc_id, source, lang,
+  CASE WHEN n = 0 THEN 'empty' WHEN n - length(replace(body, ' | ', '')) >= n * 0.06 THEN 'table'
+    WHEN n - length(replace(body, '!! ', '')) >= n * 0.1 THEN 'shouting' WHEN n - length(translate(body, '$%&*#', '')) >= n * 0.1 THEN 'symbols'
+    WHEN n < 600 THEN 'note' WHEN n < 12000 THEN 'article' ELSE 'book' END AS topic,
+  CASE WHEN flat = '' THEN 0 ELSE length(flat) - length(replace(flat, ' ', '')) + 1 END::BIGINT AS tokens FROM body),
+cells AS (SELECT source, lang, topic, sum(tokens)::BIGINT AS tokens FROM marked GROUP BY ALL),
+{shares},
+cell0 AS (SELECT *, tokens::DOUBLE AS weight, {targets} FROM cells),
+{", ".join(steps)},
+looked AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN round(weight * (SELECT sum(tokens) FROM cells) / tokens, 9) ELSE 0 END AS cell_weight FROM {last})
+SELECT doc_id, m.source, m.lang, m.topic, m.tokens, CASE WHEN m.tokens > 0 THEN cell_weight ELSE 0 END AS weight,
+  round(least(1.0, CASE WHEN m.tokens > 0 THEN cell_weight ELSE 0 END * 0.5), 9) AS probability,
+  ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT / 281474976710656.0 < round(least(1.0, CASE WHEN m.tokens > 0 THEN cell_weight ELSE 0 END * 0.5), 9) AS kept
+FROM marked m JOIN looked l ON m.source IS NOT DISTINCT FROM l.source AND m.lang IS NOT DISTINCT FROM l.lang AND m.topic = l.topic
+"""
+
+
+ORACLE_SQL = {"op3_decontamination": OP3_SQL, "op5_mixing": _raking_sql(), "op7_chat_formatting": OP7_SQL}
