@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.chat import chat_digests
 from docloom.llm.decontaminate import find_leaks
+from docloom.llm.extract import extract_pages
 from docloom.llm.licenses import scan_licenses
 from docloom.llm.media import document_media
 from docloom.llm.mixing import mix
@@ -19,6 +20,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "kept")
 
@@ -47,7 +52,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
-QUERIES = {f.__name__: f for f in (op3_decontamination, op5_mixing, op6_license_scan, op7_chat_formatting, op8_quality, op9_media_columns, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op3_decontamination, op4_html_extraction, op5_mixing, op6_license_scan, op7_chat_formatting, op8_quality, op9_media_columns, op10_sharding)}
 
 OP7_SQL = r"""
 WITH said AS (
