@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.llm.chat import chat_digests
 from docloom.llm.decontaminate import find_leaks
 from docloom.llm.extract import extract_pages
+from docloom.llm.jaccard import similar_documents
 from docloom.llm.licenses import scan_licenses
 from docloom.llm.media import document_media
 from docloom.llm.mixing import mix
@@ -16,6 +17,10 @@ from docloom.llm.sharding import shard_documents
 from docloom.session import table
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -52,7 +57,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
-QUERIES = {f.__name__: f for f in (op3_decontamination, op4_html_extraction, op5_mixing, op6_license_scan, op7_chat_formatting, op8_quality, op9_media_columns, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_decontamination, op4_html_extraction, op5_mixing, op6_license_scan, op7_chat_formatting, op8_quality, op9_media_columns, op10_sharding)}
 
 OP7_SQL = r"""
 WITH said AS (
