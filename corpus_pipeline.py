@@ -1,12 +1,51 @@
-"""A corpus pipeline: each stage's result is written as Parquet and read again as the next one's documents."""
+"""A corpus pipeline: each stage's result is written as Parquet and read again as the next one's documents.
+
+Stages: documents of low quality go; one document of each near-duplicate group stays (the smallest doc_id); documents
+that hold a benchmark item go; sources, languages and topics are mixed to target weights; what is left is put into shards.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.session import store, table
+from docloom.llm.decontaminate import decontaminate
+from docloom.llm.jaccard import keep_one
+from docloom.llm.mixing import mix
+from docloom.llm.quality import score_quality
+from docloom.llm.sharding import shard_documents
+from docloom.session import fresh, store, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    good = fresh("good", docs.columns)
+    return score_quality(docs, table(spark, sf_dir, "labels")).where(good).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_one(docs, size=5, percent=80)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = fresh("kept", docs.columns)
+    return mix(docs, fraction=0.5).where(kept).select(*docs.columns)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return shard_documents(docs, 40)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality_classifier", quality),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", benchmark),
+    ("mixing_to_target_weights", mixing),
+    ("sharding", sharding),
+]
+#: The stages need hashes and a fitted model that SQL does not have; the tests hold run() against plain Python.
 ORACLE_SQL = None
 
 

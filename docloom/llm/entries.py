@@ -12,6 +12,7 @@ from docloom.llm.jaccard import similar_documents
 from docloom.llm.licenses import scan_licenses
 from docloom.llm.media import document_media
 from docloom.llm.mixing import mix
+from docloom.llm.pitman_yor import score_documents
 from docloom.llm.quality import score_quality
 from docloom.llm.sharding import shard_documents
 from docloom.session import table
@@ -21,6 +22,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -57,7 +62,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_decontamination, op4_html_extraction, op5_mixing, op6_license_scan, op7_chat_formatting, op8_quality, op9_media_columns, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_lm_scoring, op3_decontamination, op4_html_extraction, op5_mixing, op6_license_scan, op7_chat_formatting, op8_quality, op9_media_columns, op10_sharding)}
 
 OP7_SQL = r"""
 WITH said AS (

@@ -39,7 +39,7 @@ def frequent_tokens(docs: DataFrame, size: int, rare: int = RARE, rows: int = FR
     costs one entry a task. If more than `rows` tokens qualify, the least count is doubled until they do not.
     """
     amount = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(min(max(1, amount // BUCKET_BYTES), 1 << 14))
+    n = int(max(1, amount // BUCKET_BYTES))
 
     def count(batches):
         def flush(held):

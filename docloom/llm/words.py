@@ -121,5 +121,5 @@ def deltas(values: np.ndarray) -> np.ndarray:
 
 
 def buckets(keys: np.ndarray, n: int, bits: int = 48) -> np.ndarray:
-    """Which of n equal ranges of the key space (of at most 15 bits' count) each key lies in."""
-    return ((keys * np.uint64(n)) >> np.uint64(bits)).astype(np.int64)
+    """Which of n equal ranges (under 2**32) of a key space of so many bits each key lies in."""
+    return (((keys >> np.uint64(bits - 32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
