@@ -28,7 +28,7 @@ from docloom.session import new_path
 #: Context restaurants: words share one by 16 bits of their hash.
 CONTEXTS = 1 << 16
 SWEEPS, KEPT = 3, 2
-CHUNK, BUCKET_BYTES, SLICES, SEED = 1_000_000, 24 << 20, 16, 7
+CHUNK, BUCKET_BYTES, SLICES, SEED = 1_000_000, 8 << 20, 16, 7
 END, START = (mix(np.array([x], np.uint64))[0] for x in (1, 2))
 STRENGTH = 1.0
 
@@ -115,7 +115,8 @@ def _chunks(batches, n: int) -> Iterator[pa.RecordBatch]:
 def _merge(part: pa.Table) -> pa.Table:
     """One row of a bucket: its words, their (word, context) pairs with training counts, and occurrences by document."""
     words, contexts, keys, counts, train = [], [], [], [], []
-    for row in part.to_pylist():
+    part_rows = part.to_pylist()
+    for row in part_rows:
         runs = unpack(row["runs"]).astype(np.int64)
         own = np.frombuffer(row["keys"], np.int64)
         docs = unpack(row["documents"]).astype(np.int64)
@@ -125,7 +126,7 @@ def _merge(part: pa.Table) -> pa.Table:
         counts.append(unpack(row["counts"]).astype(np.int32))
         train.append(np.frombuffer(row["train"], np.uint8)[docs])
     word, context, key, count, flag = (np.concatenate(x) for x in (words, contexts, keys, counts, train))
-    del words, contexts, keys, counts, train
+    del words, contexts, keys, counts, train, part_rows
     order = np.lexsort((context, word))
     word, context = word[order], context[order]
     new_word = np.r_[True, word[1:] != word[:-1]]
@@ -287,6 +288,7 @@ def _scores(rows: DataFrame, prior: Prior, states: list[Sizes], kept: int) -> Da
     def run(batches):
         prior, states = known.value
         for batch in batches:
+            parts = []
             for bucket, i in _bucket_rows(batch, prior):
                 mean = np.zeros(len(bucket.contexts))
                 for j, sizes in enumerate(states[:-1]):
@@ -300,8 +302,13 @@ def _scores(rows: DataFrame, prior: Prior, states: list[Sizes], kept: int) -> Da
                 keys = np.frombuffer(batch.column(7)[i].as_py(), np.int64)
                 was = np.repeat((seen > 0).astype(np.int64), bucket.pairs)
                 add = lambda x: np.bincount(documents, np.repeat(x, runs) * counts, len(keys))
-                tokens = np.bincount(documents, counts, len(keys)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(tokens), pa.array(add(was).astype(np.int64)), pa.array(add(base)), pa.array(add(score))], ["key", "tokens", "known", "base", "score"])
+                parts.append((keys, np.bincount(documents, counts, len(keys)), add(was), add(base), add(score)))
+            if parts:
+                # a document's sums over all buckets of the batch, so that fewer rows are shuffled
+                keys, at = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
+                sums = [np.bincount(at, np.concatenate([x[k] for x in parts]), len(keys)) for k in (1, 2, 3, 4)]
+                columns = [pa.array(keys), *(pa.array(x.astype(np.int64)) for x in sums[:2]), *(pa.array(x) for x in sums[2:])]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "tokens", "known", "base", "score"])
 
     return rows.select("bucket", "pairs", "contexts", "trained", "runs", "documents", "counts", "keys").mapInArrow(run, "key bigint, tokens bigint, known bigint, base double, score double")
 
