@@ -28,6 +28,8 @@ from docloom.session import new_path
 #: Context restaurants: words share one by 16 bits of their hash.
 CONTEXTS = 1 << 16
 SWEEPS, KEPT = 3, 2
+#: Documents of a row of sums, and the sums' unit.
+GROUP, UNIT = 4096, float(1 << 20)
 CHUNK, BUCKET_BYTES, SLICES, SEED = 1_000_000, 8 << 20, 16, 7
 END, START = (mix(np.array([x], np.uint64))[0] for x in (1, 2))
 STRENGTH = 1.0
@@ -56,12 +58,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
+def _pack_ids(ids: list[int | None]) -> bytes:
+    return bytes(x is None for x in ids) + np.array([x or 0 for x in ids], np.int64).tobytes()
+
+
+def _unpack_ids(data: bytes) -> list[int | None]:
+    n = len(data) // 9
+    return [None if null else x for null, x in zip(data[:n], np.frombuffer(data[n:], np.int64).tolist())]
+
+
 def _chunks(batches, n: int) -> Iterator[pa.RecordBatch]:
     """Entries (word, context, document, count) of runs of rows, packed by bucket of the word."""
-    held, keys, flags, total = [], [], [], 0
+    held, keys, flags, ids, total = [], [], [], [], 0
+    ends = int(buckets(np.array([END]), n, 64)[0])
 
     def flush():
-        nonlocal held, keys, flags, total
+        nonlocal held, keys, flags, ids, total
         words, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
         # word, context and document in one integer: chunks hold under 2**24 words and 2**24 documents
         joint = (at.astype(np.uint64) << np.uint64(40)) | (np.concatenate([h[1] for h in held]) << np.uint64(24)) | np.concatenate([h[2] for h in held])
@@ -81,17 +93,22 @@ def _chunks(batches, n: int) -> Iterator[pa.RecordBatch]:
             rows["documents"].append(pack(joint[x:y] & np.uint64(0xFFFFFF)))
             rows["counts"].append(pack(counts[x:y]))
         m = len(rows["bucket"])
-        own, train = np.array(keys, np.int64).tobytes(), np.array(flags, np.uint8).tobytes()
+        own, train = pack(deltas(np.array(keys, np.uint64))), pack(np.array(flags))
+        # every text has an end token, so that token's bucket alone carries the documents' ids
+        named = _pack_ids(ids)
         out = pa.RecordBatch.from_arrays(
-            [pa.array(rows["bucket"], pa.int32()), *[pa.array(rows[k], pa.binary()) for k in list(rows)[1:]], pa.array([own] * m, pa.binary()), pa.array([train] * m, pa.binary())],
-            [*rows, "keys", "train"],
-        )
-        held, keys, flags, total = [], [], [], 0
+            [
+                pa.array(rows["bucket"], pa.int32()), *[pa.array(rows[k], pa.binary()) for k in list(rows)[1:]],
+                pa.array([own] * m, pa.binary()), pa.array([train] * m, pa.binary()), pa.array([named if b == ends else None for b in rows["bucket"]], pa.binary()),
+            ],
+            [*rows, "keys", "train", "ids"],
+        )
+        held, keys, flags, ids, total = [], [], [], [], 0
         return out
 
     for batch in batches:
-        own, train = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for first, data, offsets in pieces(batch.column(2)):
+        own, train, named = (batch.column(i).to_pylist() for i in range(3))
+        for first, data, offsets in pieces(batch.column(3)):
             docs = len(offsets) - 1
             rows, hashes = word_hashes(data, offsets)
             before = np.full(len(hashes), START, np.uint64)
@@ -105,6 +122,7 @@ def _chunks(batches, n: int) -> Iterator[pa.RecordBatch]:
             held.append((word, context, np.concatenate([rows, np.arange(docs)]).astype(np.uint64) + np.uint64(len(keys))))
             keys += own[first : first + docs]
             flags += train[first : first + docs]
+            ids += named[first : first + docs]
             total += len(word)
             if total >= CHUNK:
                 yield flush()
@@ -114,17 +132,19 @@ def _chunks(batches, n: int) -> Iterator[pa.RecordBatch]:
 
 def _merge(part: pa.Table) -> pa.Table:
     """One row of a bucket: its words, their (word, context) pairs with training counts, and occurrences by document."""
-    words, contexts, keys, counts, train = [], [], [], [], []
+    words, contexts, keys, counts, train, named = [], [], [], [], [], {}
     part_rows = part.to_pylist()
     for row in part_rows:
         runs = unpack(row["runs"]).astype(np.int64)
-        own = np.frombuffer(row["keys"], np.int64)
+        own = np.cumsum(unpack(row["keys"]), dtype=np.uint64).astype(np.int64)
+        if row["ids"] is not None:
+            named.update(zip(own.tolist(), _unpack_ids(row["ids"])))
         docs = unpack(row["documents"]).astype(np.int64)
         words.append(np.repeat(np.cumsum(unpack(row["words"]), dtype=np.uint64), runs))
         contexts.append(unpack(row["contexts"]).astype(np.uint16))
         keys.append(own[docs])
         counts.append(unpack(row["counts"]).astype(np.int32))
-        train.append(np.frombuffer(row["train"], np.uint8)[docs])
+        train.append(unpack(row["train"]).astype(bool)[docs])
     word, context, key, count, flag = (np.concatenate(x) for x in (words, contexts, keys, counts, train))
     del words, contexts, keys, counts, train, part_rows
     order = np.lexsort((context, word))
@@ -151,7 +171,8 @@ def _merge(part: pa.Table) -> pa.Table:
             "runs": binary(pack(np.diff(np.r_[pair, len(word)]))),
             "documents": binary(pack(document)),
             "counts": binary(pack(count)),
-            "keys": binary(docs.tobytes()),
+            "keys": binary(pack(deltas(docs.astype(np.uint64)))),
+            "ids": binary(_pack_ids([named[k] for k in docs.tolist()]) if named else None),
             "customers": binary(pack(customers)),
             "tables": binary(pack(tables)),
             "sums": binary(pack(np.array(sums))),
@@ -159,7 +180,7 @@ def _merge(part: pa.Table) -> pa.Table:
     )
 
 
-_BUCKET = "bucket int, pairs binary, contexts binary, trained binary, runs binary, documents binary, counts binary, keys binary, customers binary, tables binary, sums binary"
+_BUCKET = "bucket int, pairs binary, contexts binary, trained binary, runs binary, documents binary, counts binary, keys binary, ids binary, customers binary, tables binary, sums binary"
 
 
 def _total(vectors: DataFrame) -> dict[int, np.ndarray]:
@@ -282,35 +303,61 @@ def gibbs(rows: DataFrame, prior: Prior, start: Sizes, sweeps: int = SWEEPS) ->
 
 
 def _scores(rows: DataFrame, prior: Prior, states: list[Sizes], kept: int) -> DataFrame:
-    """Sums of each bucket's part of a document: key, tokens, known, base, score."""
+    """doc_id, tokens, known, base, score of each document: sums over the buckets, exchanged packed by runs of GROUP documents.
+
+    base: sum of log10(c + 1). Sums travel in units of 2**-20.
+    """
     known = rows.sparkSession.sparkContext.broadcast((prior, states))
 
     def run(batches):
         prior, states = known.value
         for batch in batches:
-            parts = []
+            parts, named = [], {}
             for bucket, i in _bucket_rows(batch, prior):
                 mean = np.zeros(len(bucket.contexts))
                 for j, sizes in enumerate(states[:-1]):
                     bucket.sweep(j, sizes)
                     if j >= len(states) - 1 - kept:
                         mean += bucket.predict(states[j + 1]) / kept
-                score = np.log10(mean)
                 seen = np.add.reduceat(bucket.customers, bucket.starts)
-                base = np.repeat(np.log10((seen + 1) / (prior.tokens + prior.words + 1)), bucket.pairs)
+                base = np.repeat(np.log10(seen + 1), bucket.pairs)
                 runs, documents, counts = (unpack(batch.column(k)[i].as_py()).astype(np.int64) for k in (4, 5, 6))
-                keys = np.frombuffer(batch.column(7)[i].as_py(), np.int64)
+                keys = np.cumsum(unpack(batch.column(7)[i].as_py()), dtype=np.uint64)
+                if batch.column(8)[i].is_valid:
+                    named = dict(zip(keys.tolist(), _unpack_ids(batch.column(8)[i].as_py())))
                 was = np.repeat((seen > 0).astype(np.int64), bucket.pairs)
                 add = lambda x: np.bincount(documents, np.repeat(x, runs) * counts, len(keys))
-                parts.append((keys, np.bincount(documents, counts, len(keys)), add(was), add(base), add(score)))
-            if parts:
-                # a document's sums over all buckets of the batch, so that fewer rows are shuffled
-                keys, at = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
-                sums = [np.bincount(at, np.concatenate([x[k] for x in parts]), len(keys)) for k in (1, 2, 3, 4)]
-                columns = [pa.array(keys), *(pa.array(x.astype(np.int64)) for x in sums[:2]), *(pa.array(x) for x in sums[2:])]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "tokens", "known", "base", "score"])
-
-    return rows.select("bucket", "pairs", "contexts", "trained", "runs", "documents", "counts", "keys").mapInArrow(run, "key bigint, tokens bigint, known bigint, base double, score double")
+                parts.append((keys, np.bincount(documents, counts, len(keys)), add(was), add(base), add(-np.log10(mean))))
+            if not parts:
+                continue
+            keys, at = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
+            sums = [np.bincount(at, np.concatenate([x[k] for x in parts]), len(keys)) for k in (1, 2, 3, 4)]
+            sums = [np.rint(x * unit).astype(np.uint64) for x, unit in zip(sums, (1, 1, UNIT, UNIT))]
+            group = keys // np.uint64(GROUP)
+            cut = np.r_[np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), len(keys)]
+            spans = list(zip(cut[:-1], cut[1:]))
+            columns = [pa.array([int(group[a]) for a, _ in spans], pa.int64()), pa.array([pack(keys[a:b] % np.uint64(GROUP)) for a, b in spans], pa.binary())]
+            columns += [pa.array([pack(x[a:b]) for a, b in spans], pa.binary()) for x in sums]
+            columns.append(pa.array([_pack_ids([named[k] for k in keys[a:b].tolist()]) if all(k in named for k in keys[a:b].tolist()) else None for a, b in spans] if named else [None] * len(spans), pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, ["group", "keys", "tokens", "known", "base", "score", "ids"])
+
+    def add_up(part: pa.Table) -> pa.Table:
+        found = part.to_pylist()
+        sums = np.zeros((4, GROUP))
+        ids: dict[int, int | None] = {}
+        for row in found:
+            at = unpack(row["keys"]).astype(np.int64)
+            if row["ids"] is not None:
+                ids = dict(zip(at.tolist(), _unpack_ids(row["ids"])))
+            for k, name in enumerate(("tokens", "known", "base", "score")):
+                sums[k, at] += unpack(row[name])
+        at = np.array(sorted(ids), np.int64)
+        out = [pa.array([ids[k] for k in at.tolist()], pa.int64()), *(pa.array(sums[k, at].astype(np.int64)) for k in (0, 1)), *(pa.array(sums[k, at] / UNIT) for k in (2, 3))]
+        return pa.table(out, names=["doc_id", "tokens", "known", "base", "score"])
+
+    chosen = rows.select("bucket", "pairs", "contexts", "trained", "runs", "documents", "counts", "keys", "ids")
+    sent = chosen.mapInArrow(run, "group bigint, keys binary, tokens binary, known binary, base binary, score binary, ids binary")
+    return sent.groupBy("group").applyInArrow(add_up, "doc_id bigint, tokens bigint, known bigint, base double, score double")
 
 
 def score_documents(docs: DataFrame, sweeps: int = SWEEPS, kept: int = KEPT) -> DataFrame:
@@ -321,31 +368,26 @@ def score_documents(docs: DataFrame, sweeps: int = SWEEPS, kept: int = KEPT) ->
     ignored. Without training rows every token is unknown and has probability 1. Words are known by 64-bit hashes.
     """
     spark = docs.sparkSession
-    # rows are told apart by a hash of id and text: equal rows share it, and their sums are dealt out evenly
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
     amount = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(max(1, amount // BUCKET_BYTES))
-    parts = rows.select("key", ~held_out(F.col("doc_id")), "text").mapInArrow(
-        lambda batches: _chunks(batches, n), "bucket int, words binary, runs binary, contexts binary, documents binary, counts binary, keys binary, train binary"
+    # a row's key is its place in this one scan; it comes back with the row's doc_id, so no second scan must agree with it
+    parts = rows.select(F.monotonically_increasing_id().alias("key"), ~held_out(F.col("doc_id")), "doc_id", "text").mapInArrow(
+        lambda batches: _chunks(batches, n), "bucket int, words binary, runs binary, contexts binary, documents binary, counts binary, keys binary, train binary, ids binary"
     )
     path = new_path(spark, "restaurants")
     parts.groupBy("bucket").applyInArrow(_merge, _BUCKET).write.parquet(path)
     table = spark.read.schema(_BUCKET).parquet(path)
     prior, start = prior_of(table)
     states = gibbs(table, prior, start, sweeps)
-    sums = _scores(table, prior, states, kept).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("tokens", "known", "base", "score")])
-    whole = rows.groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("times")).join(sums, "key")
-    out = whole.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))))
-    each = lambda c: (F.col(c) / F.col("times")).alias(c)
-    tokens = (F.col("tokens") / F.col("times")).cast("bigint")
-    return out.select(
+    sums = _scores(table, prior, states, kept)
+    return sums.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
-        tokens.alias("n_tokens"),
-        (F.col("known") / F.col("times")).cast("bigint").alias("n_known"),
+        F.col("tokens").alias("n_tokens"),
+        F.col("known").alias("n_known"),
         F.lit(prior.tokens).cast("bigint").alias("train_tokens"),
-        each("base").alias("base_score"),
-        each("score"),
-        F.pow(F.lit(10.0), -F.col("score") / F.col("tokens")).alias("perplexity"),
+        (F.col("base") - F.col("tokens") * F.lit(float(np.log10(prior.tokens + prior.words + 1)))).alias("base_score"),
+        (-F.col("score")).alias("score"),
+        F.pow(F.lit(10.0), F.col("score") / F.col("tokens")).alias("perplexity"),
     )
