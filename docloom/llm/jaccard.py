@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from docloom.llm.components import components
 from docloom.llm.words import buckets, deltas, mix, pack, shingle_sets, unpack
-from docloom.session import BROADCAST_ROWS, small, store
+from docloom.session import small, store
 
 #: A token of more documents than this is frequent; signatures of at most so many sets give all pairs.
 RARE = 24
@@ -32,14 +32,12 @@ FREQUENT_ROWS = 1_000_000
 CHUNK, BUCKET_BYTES, BLOCK = 1_500_000, 24 << 20, 50_000
 
 
-def frequent_tokens(docs: DataFrame, size: int, rare: int = RARE, rows: int = FREQUENT_ROWS) -> np.ndarray:
-    """Sorted 48-bit prefixes of the tokens in more than `rare` documents, counted over all of them.
+def frequent_tokens(docs: DataFrame, size: int, n: int, rare: int = RARE, rows: int = FREQUENT_ROWS) -> np.ndarray:
+    """Sorted 48-bit prefixes of the tokens in more than `rare` documents, counted over all of them (copies once a chunk).
 
     Tasks count their own tokens first and exchange packed counts by ranges of the key, so a token of every document
     costs one entry a task. If more than `rows` tokens qualify, the least count is doubled until they do not.
     """
-    amount = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(max(1, amount // BUCKET_BYTES))
 
     def count(batches):
         def flush(held):
@@ -51,14 +49,18 @@ def frequent_tokens(docs: DataFrame, size: int, rare: int = RARE, rows: int = FR
                 ["bucket", "keys", "counts"],
             )
 
-        held, total = [], 0
+        held, total, met = [], 0, set()
         for batch in batches:
             for _, tokens in shingle_sets(batch.column(0), size):
+                own = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+                if own in met:  # a copy of a set of this chunk
+                    continue
+                met.add(own)
                 held.append(tokens)
                 total += len(tokens)
                 if total >= CHUNK:
                     yield flush(held)
-                    held, total = [], 0
+                    held, total, met = [], 0, set()
         if total:
             yield flush(held)
 
@@ -115,33 +117,103 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[
     return np.unique(np.concatenate(out)), len(single)
 
 
-def _signed(docs: DataFrame, size: int, frequent: np.ndarray, percent: int) -> DataFrame:
+def _keyed(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, n (set size), key (a 128-bit hash of the set; null where it is empty)."""
+
+    def keys(batches):
+        for batch in batches:
+            n, keys = [], []
+            for _, tokens in shingle_sets(batch.column(1), size):
+                n.append(len(tokens))
+                keys.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "n", "key"])
+
+    return docs.select("doc_id", "text").mapInArrow(keys, "doc_id bigint, n bigint, key binary")
+
+
+def _candidates(docs: DataFrame, size: int, frequent: np.ndarray, percent: int, n: int, rare: int) -> DataFrame:
+    """many, a, b, an, bn: pairs that share a signature, each once a bucket.
+
+    A signature of at most `rare` sets gives all its pairs of similar sizes. One of more (many) gives each set (a) with the
+    signature's leader (b), the set with the fewest rare tokens: in a family of copies, the text they vary. Signatures travel
+    packed by ranges of their hash; copies within a chunk send theirs once.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def sign(batches):
+        def flush():
+            sigs = np.concatenate([x for x, _ in held]) >> np.uint64(16)
+            at = np.repeat(np.arange(len(held), dtype=np.uint64), [len(x) for x, _ in held])
+            order = np.argsort(sigs, kind="stable")
+            sigs, at = sigs[order], at[order]
+            cut = np.searchsorted(buckets(sigs, n), np.arange(n + 1))
+            spans = [(b, cut[b], cut[b + 1]) for b in range(n) if cut[b + 1] > cut[b]]
+            facts = [pack(np.array([x[k] for _, x in held], np.int64).view(np.uint64)) for k in range(3)]
+            columns = [pa.array([b for b, _, _ in spans], pa.int32()), pa.array([pack(deltas(sigs[i:j])) for _, i, j in spans], pa.binary()), pa.array([pack(at[i:j]) for _, i, j in spans], pa.binary())]
+            return pa.RecordBatch.from_arrays([*columns, *(pa.array([f] * len(spans), pa.binary()) for f in facts)], ["bucket", "sigs", "at", "docs", "n", "rare"])
+
         common = shared.value
+        held, total, met = [], 0, set()
         for batch in batches:
-            ids, n, c, keys, sigs = [], [], [], [], []
             own = batch.column(0).to_pylist()
             for row, tokens in shingle_sets(batch.column(1), size):
-                found, rare = signatures(tokens, common, percent)
-                ids.append(own[row])
-                n.append(len(tokens))
-                c.append(rare)
-                keys.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None)
-                sigs.append(found.view(np.int64))
-            lengths = np.cumsum([0, *map(len, sigs)])
-            flat = pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), flat)],
-                ["doc_id", "n", "rare", "key", "sigs"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id bigint, n bigint, rare bigint, key binary, sigs array<bigint>")
+                digest = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+                if own[row] is None or not len(tokens) or digest in met:
+                    continue
+                met.add(digest)
+                found, singles = signatures(tokens, common, percent)
+                held.append((found, (own[row], len(tokens), singles)))
+                total += len(found)
+                if total >= CHUNK:
+                    yield flush()
+                    held, total, met = [], 0, set()
+        if total:
+            yield flush()
+
+    def meet(part: pd.DataFrame) -> pd.DataFrame:
+        sig = np.concatenate([np.cumsum(unpack(x), dtype=np.uint64) for x in part["sigs"]])
+        at = [unpack(x).astype(np.int64) for x in part["at"]]
+        doc, size_, singles = (np.concatenate([unpack(x).view(np.int64)[i] for x, i in zip(part[c], at)]) for c in ("docs", "n", "rare"))
+        # most signatures are met once: they go before anything is sorted by more
+        order = np.argsort(sig, kind="stable")
+        same = sig[order][1:] == sig[order][:-1]
+        order = order[np.r_[same, False] | np.r_[False, same]] if len(order) else order
+        sig, doc, size_, singles = sig[order], doc[order], size_[order], singles[order]
+        order = np.lexsort((doc, singles, sig))
+        sig, doc, size_ = sig[order], doc[order], size_[order]
+        first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, np.int64)
+        count = np.diff(np.r_[first, len(sig)])
+        group = np.repeat(np.arange(len(first)), count)
+        out = []
+
+        def add(i, j, many):
+            keep = doc[i] != doc[j]
+            if not many:
+                keep &= (100 * size_[i] >= percent * size_[j]) & (100 * size_[j] >= percent * size_[i])
+                i, j = np.where(doc[i] < doc[j], i, j), np.where(doc[i] < doc[j], j, i)
+            i, j = i[keep], j[keep]
+            if len(i):
+                rows = pd.DataFrame({"many": many, "a": doc[i], "b": doc[j], "an": size_[i], "bn": size_[j]})
+                out.append(rows.drop_duplicates())
+
+        few = np.flatnonzero(count[group] <= rare) if len(group) else group
+        for step in range(1, rare):
+            few = few[few + step < len(sig)]
+            some = few[group[few] == group[few + step]]
+            if not len(some):
+                break
+            add(some, some + step, False)
+        large = np.flatnonzero(count[group] > rare) if len(group) else group
+        add(large, first[group[large]], True)
+        empty = pd.DataFrame({"many": np.zeros(0, bool), **{c: np.zeros(0, np.int64) for c in ("a", "b", "an", "bn")}})
+        return pd.concat(out).drop_duplicates() if out else empty
+
+    packed = docs.select("doc_id", "text").mapInArrow(sign, "bucket int, sigs binary, at binary, docs binary, n binary, rare binary")
+    return packed.groupBy("bucket").applyInPandas(meet, "many boolean, a bigint, b bigint, an bigint, bn bigint")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """doc, key, tokens (8 bytes each) of the wanted (doc, key); a doc_id with several texts has several keys."""
+    """doc, key, tokens (packed, 48 bits each) of the wanted (doc, key); a doc_id with several texts has several keys."""
 
     def sets(batches):
         for batch in batches:
@@ -150,7 +222,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             for row, tokens in shingle_sets(batch.column(1), size):
                 ids.append(own[row])
                 keys.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
-                out.append(tokens.tobytes())
+                out.append(pack(deltas(np.unique(tokens >> np.uint64(16)))))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(out, pa.binary())], ["doc", "key", "tokens"])
 
     # wanted is read from a table, so it is counted and hinted before the texts are met
@@ -159,6 +231,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return found.join(small(wanted), ["doc", "key"], "left_semi").dropDuplicates(["doc", "key"]).drop("key")
 
 
+def _tokens(packed: pa.Scalar) -> np.ndarray:
+    return np.cumsum(unpack(packed.as_py()), dtype=np.uint64)
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
 
@@ -166,8 +242,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
+                both = np.concatenate([_tokens(x), _tokens(y)])
                 both.sort()
                 same = int(np.count_nonzero(both[1:] == both[:-1]))
                 keep.append(100 * same >= percent * (len(both) - same))
@@ -205,7 +280,7 @@ def _blocks(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def sides(column: pa.Array, i: int):
         items = column[i].values
-        sets_ = [np.frombuffer(t.as_buffer(), np.uint64) for t in items.field("tokens")]
+        sets_ = [_tokens(t) for t in items.field("tokens")]
         return items.field("doc").to_numpy(), items.field("component").to_numpy(), np.array([len(t) for t in sets_]), sets_
 
     def compare(batches):
@@ -243,27 +318,23 @@ def similar_documents(docs: DataFrame, size: int = 4, percent: int = 85, rare: i
     no component. Equal sets are one class from the start, so exact copies never meet as pairs.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    frequent = frequent_tokens(docs, size, rare)
-    signed = store(_signed(docs, size, frequent, percent), "signed")
-    usable = signed.where("doc_id IS NOT NULL AND key IS NOT NULL")
+    amount = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = int(max(1, amount // BUCKET_BYTES))
+    keyed = store(_keyed(docs, size), "keyed")
+    usable = keyed.where("doc_id IS NOT NULL AND key IS NOT NULL").select("doc_id", "key")
     classes = store(usable.groupBy("key").agg(F.min("doc_id").alias("class")), "classes")
-    rows = store(usable.select("doc_id", "key").join(small(classes), "key").select("doc_id", "class").distinct(), "rows")
+    rows = store(usable.join(small(classes), "key").select("doc_id", "class").distinct(), "rows")
     # a doc_id of several texts ties their classes together
-    several = rows.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a <> z")
-    ties = rows.join(several, "doc_id").select("a", F.col("class").alias("b")).where("a <> b")
-    # a class is named by its smallest doc_id; where that id has several texts, the key tells them apart
-    ids = small(classes.select(F.col("class").alias("doc_id"), "key"))
-    one = signed.join(ids, ["doc_id", "key"], "left_semi")
-    posts = one.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("doc"), "n", "rare").repartition("sig")
-    groups = posts.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rare", "doc", "n")).alias("lead")).where("c > 1")
-    shared = store(posts.join(groups, "sig").select("sig", "doc", "n", "c", "lead"), "shared")
-    few = shared.where(F.col("c") <= rare).select("sig", "doc", "n")
-    x, y = few.toDF("sig", "a", "an"), few.toDF("sig", "b", "bn")
-    pairs = x.join(y, "sig").where("a < b").where(_similar_sizes(percent, "an", "bn")).select("a", "b")
-    many = shared.where(F.col("c") > rare).select("doc", "n", F.col("lead.doc").alias("lead"), F.col("lead.n").alias("ln")).where("doc <> lead").distinct()
-    many = store(many, "many")
-    star = many.where(_similar_sizes(percent, "n", "ln")).select(F.least("doc", "lead").alias("a"), F.greatest("doc", "lead").alias("b"))
-    pairs = store(pairs.unionByName(star).distinct(), "pairs")
+    several = rows.groupBy("doc_id").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
+    ties = rows.join(several, "doc_id").select(F.col("low").alias("a"), F.col("class").alias("b")).where("a <> b")
+    frequent = frequent_tokens(docs, size, n, rare)
+    met = store(_candidates(docs, size, frequent, percent, n, rare), "met")
+    named = small(rows)
+    met = met.join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b").where("x <> y")
+    met = store(met.select("many", F.col("x").alias("a"), F.col("y").alias("b"), "an", "bn").distinct(), "met")
+    many = met.where("many").select(F.col("a").alias("doc"), F.col("an").alias("n"), F.col("b").alias("lead"), F.col("bn").alias("ln"))
+    near = met.where(_similar_sizes(percent, "an", "bn"))
+    pairs = store(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     met = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc")))
     met = met.unionByName(many.select("doc")).unionByName(many.select(F.col("lead").alias("doc"))).distinct()
     wanted = store(met.join(classes.withColumnRenamed("class", "doc"), "doc"), "wanted")
@@ -282,7 +353,7 @@ def similar_documents(docs: DataFrame, size: int = 4, percent: int = 85, rare: i
     named = rows.groupBy("doc_id").agg(F.min("class").alias("class"))
     labels = found.select(F.col("node").alias("class"), "component")
     named = named.join(small(labels), "class", "left").select("doc_id", F.coalesce("component", "class").alias("component_id"))
-    out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(small(store(named, "named")), "doc_id", "left")
+    out = keyed.select("doc_id", F.col("n").alias("n_shingles")).join(small(store(named, "named")), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
