@@ -29,7 +29,9 @@ RARE = 24
 #: The table of frequent tokens that every worker holds has at most so many rows: beyond it the least frequent count as rare.
 FREQUENT_ROWS = 1_000_000
 #: Tokens counted in one exchange row's chunk, input bytes a counting bucket, tokens a block of the exact comparison.
-CHUNK, BUCKET_BYTES, BLOCK = 1_500_000, 24 << 20, 50_000
+CHUNK, BUCKET_BYTES, BLOCK = 1_500_000, 12 << 20, 50_000
+#: Ranges that signatures and token counts are dealt to at least, and pairs of sets that a Python batch holds at most.
+BUCKETS, PAIRS = 64, 256
 
 
 def frequent_tokens(docs: DataFrame, size: int, n: int, rare: int = RARE, rows: int = FREQUENT_ROWS) -> np.ndarray:
@@ -228,7 +230,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     # wanted is read from a table, so it is counted and hinted before the texts are met
     rows = docs.select("doc_id", "text").join(small(wanted.select(F.col("doc").alias("doc_id")).distinct()), "doc_id", "left_semi")
     found = rows.mapInArrow(sets, "doc bigint, key binary, tokens binary")
-    return found.join(small(wanted), ["doc", "key"], "left_semi").dropDuplicates(["doc", "key"]).drop("key")
+    # rows that repeat both id and text give a set twice, which only repeats links
+    return found.join(small(wanted), ["doc", "key"], "left_semi").drop("key")
 
 
 def _tokens(packed: pa.Scalar) -> np.ndarray:
@@ -309,6 +312,17 @@ def _blocks(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return apart.join(whole, "family").where(near).select("x", "y").mapInArrow(compare, "a bigint, b bigint")
 
 
+def _in_small_batches(df: DataFrame, name: str) -> DataFrame:
+    """store() with Python batches of few rows, for rows that carry whole sets."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(PAIRS))
+    try:
+        return store(df, name)
+    finally:
+        conf.set(key, before)
+
+
 def similar_documents(docs: DataFrame, size: int = 4, percent: int = 85, rare: int = RARE) -> DataFrame:
     """doc_id, n_shingles, component_id, one row per row of docs (doc_id, text; other columns are ignored).
 
@@ -319,7 +333,7 @@ def similar_documents(docs: DataFrame, size: int = 4, percent: int = 85, rare: i
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     amount = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(max(1, amount // BUCKET_BYTES))
+    n = int(max(BUCKETS, amount // BUCKET_BYTES))
     keyed = store(_keyed(docs, size), "keyed")
     usable = keyed.where("doc_id IS NOT NULL AND key IS NOT NULL").select("doc_id", "key")
     classes = store(usable.groupBy("key").agg(F.min("doc_id").alias("class")), "classes")
@@ -339,7 +353,7 @@ def similar_documents(docs: DataFrame, size: int = 4, percent: int = 85, rare: i
     met = met.unionByName(many.select("doc")).unionByName(many.select(F.col("lead").alias("doc"))).distinct()
     wanted = store(met.join(classes.withColumnRenamed("class", "doc"), "doc"), "wanted")
     sets = store(_sets(docs, wanted, size), "sets")
-    links = store(_verify(pairs, sets, percent).unionByName(ties), "links")
+    links = _in_small_batches(_verify(pairs, sets, percent).unionByName(ties), "links")
     found = components(links)
     # families: sets that share a signature of many; what is not of one component there is compared exactly
     family = components(many.select(F.col("doc").alias("a"), F.col("lead").alias("b")))
@@ -347,7 +361,7 @@ def similar_documents(docs: DataFrame, size: int = 4, percent: int = 85, rare: i
     sizes = many.select("doc", "n").unionByName(many.select(F.col("lead").alias("doc"), F.col("ln").alias("n"))).groupBy("doc").agg(F.max("n").alias("n"))
     whole = whole.join(found.withColumnRenamed("node", "doc"), "doc", "left").join(sizes, "doc")
     whole = store(whole.select("doc", "family", F.coalesce("component", "doc").alias("component"), "n"), "whole")
-    more = store(_blocks(whole, sets, percent), "more")
+    more = _in_small_batches(_blocks(whole, sets, percent), "more")
     if not more.isEmpty():
         found = components(links.unionByName(more))
     named = rows.groupBy("doc_id").agg(F.min("class").alias("class"))
