@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from docloom.session import fresh, small, store
@@ -53,7 +54,7 @@ def expand(x: np.ndarray) -> np.ndarray:
     return np.hstack([x, np.stack(steps, 1).astype(float)])
 
 
-@pandas_udf("array<double>")
+@pandas_udf(T.ArrayType(T.DoubleType()))
 def feature_column(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in texts:
         yield pd.Series([features(t) for t in s], dtype=object)
