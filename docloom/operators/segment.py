@@ -8,9 +8,11 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-SEGMENTS = "array<struct<text:string,breadcrumb:array<string>>>"
+# a type object, for a type's name could only be read with a session at hand
+SEGMENTS = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("breadcrumb", T.ArrayType(T.StringType()))]))
 FRONTMATTER = r"(?s)\A---[ \t]*\n(.*?)\n---[ \t]*\n"
 #: Lines from the top in which a version or title line counts.
 HEAD_LINES = 40
