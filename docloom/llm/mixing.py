@@ -20,20 +20,20 @@ ROUNDS = 8
 
 
 def tokens(text: Column) -> Column:
-    """Words between runs of white space, by counting the gaps."""
-    body = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "))
-    return F.when(body == "", F.lit(0)).otherwise(F.length(body) - F.length(F.replace(body, F.lit(" "), F.lit(""))) + 1).cast("bigint")
+    """Words between runs of white space; a null text has none."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
 
 
 def topic(text: Column) -> Column:
     """A coarse topic by form: empty, table, shouting, symbols, note, article or book."""
     body = F.coalesce(text, F.lit(""))
     n = F.length(body)
+    symbols = sum((n - F.length(F.replace(body, F.lit(c), F.lit(""))) for c in "$%&*#"), F.lit(0))
     return (
         F.when(n == 0, "empty")
         .when(n - F.length(F.replace(body, F.lit(" | "), F.lit(""))) >= n * 0.06, "table")
         .when(n - F.length(F.replace(body, F.lit("!! "), F.lit(""))) >= n * 0.1, "shouting")
-        .when(n - F.length(F.translate(body, "$%&*#", "")) >= n * 0.1, "symbols")
+        .when(symbols >= n * 0.1, "symbols")
         .when(n < 600, "note")
         .when(n < 12000, "article")
         .otherwise("book")
