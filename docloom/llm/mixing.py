@@ -81,12 +81,14 @@ def mix(docs: DataFrame, fraction: float = 0.5, powers: dict[str, float] | None
     whole = cells.agg(F.sum("tokens").cast("double").alias("all"))
     fitted = fit_cells(cells, {d: powers.get(d, 1.0) for d in DIMENSIONS}, rounds).crossJoin(F.broadcast(whole))
     weight = F.when(F.col("tokens") > 0, F.round(F.col("weight") * F.col("all") / F.col("tokens"), 9)).otherwise(F.lit(0.0))
-    looked = fitted.select(*[F.col(d).alias(f"cell_{d}") for d in DIMENSIONS], weight.alias("cell_weight"))
-    on = [F.col(names["topic"] if d == "topic" else d).eqNullSafe(F.col(f"cell_{d}")) for d in DIMENSIONS]
+    # the cells' own columns clash with none of docs
+    of = {d: fresh(f"cell_{d}", marked.columns) for d in (*DIMENSIONS, "weight")}
+    looked = fitted.select(*[F.col(d).alias(of[d]) for d in DIMENSIONS], weight.alias(of["weight"]))
+    on = [F.col(names["topic"] if d == "topic" else d).eqNullSafe(F.col(of[d])) for d in DIMENSIONS]
     out = marked.join(small(looked), on[0] & on[1] & on[2], "left")
-    own = F.when(F.col(names["tokens"]) > 0, F.coalesce("cell_weight", F.lit(0.0))).otherwise(F.lit(0.0))
+    own = F.when(F.col(names["tokens"]) > 0, F.coalesce(of["weight"], F.lit(0.0))).otherwise(F.lit(0.0))
     chance = F.round(F.least(F.lit(1.0), own * F.lit(float(fraction))), 9)
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
     draw = F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(2**48))
     out = out.withColumns({names["weight"]: own, names["probability"]: chance}).withColumn(names["kept"], draw < F.col(names["probability"]))
-    return out.drop(*[f"cell_{d}" for d in DIMENSIONS], "cell_weight")
+    return out.drop(*of.values())

@@ -139,8 +139,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path
     names = {n: fresh(n, docs.columns) for n in ("evidence", "host_site", "site", "quality", "good")}
     marked = docs.withColumn(names["evidence"], evidence(F.col("text"), weights))
     sites = site_posteriors(marked.select(F.col(host).alias("h"), F.col(path).alias("p"), F.col(names["evidence"]).alias("v")), "v", "h", "p")
-    sites = store(sites, "sites").toDF("site_h", "site_p", "site_host", "site_all")
-    out = marked.join(small(sites), marked[host].eqNullSafe(F.col("site_h")) & marked[path].eqNullSafe(F.col("site_p")), "left")
-    odds = F.col(names["evidence"]) + F.lit(site) * F.coalesce("site_all", F.lit(0.0))
-    out = out.withColumns({names["host_site"]: F.coalesce("site_host", F.lit(0.0)), names["site"]: F.coalesce("site_all", F.lit(0.0)), names["quality"]: F.round(1 / (1 + F.exp(-odds)), 9)})
-    return out.withColumn(names["good"], F.col(names["quality"]) >= least).drop("site_h", "site_p", "site_host", "site_all")
+    # the sites' own columns clash with none of docs
+    h, p, of_host, of_path = (fresh(n, marked.columns) for n in ("site_h", "site_p", "site_host", "site_all"))
+    sites = store(sites, "sites").toDF(h, p, of_host, of_path)
+    out = marked.join(small(sites), marked[host].eqNullSafe(F.col(h)) & marked[path].eqNullSafe(F.col(p)), "left")
+    odds = F.col(names["evidence"]) + F.lit(site) * F.coalesce(of_path, F.lit(0.0))
+    out = out.withColumns({names["host_site"]: F.coalesce(of_host, F.lit(0.0)), names["site"]: F.coalesce(of_path, F.lit(0.0)), names["quality"]: F.round(1 / (1 + F.exp(-odds)), 9)})
+    return out.withColumn(names["good"], F.col(names["quality"]) >= least).drop(h, p, of_host, of_path)
