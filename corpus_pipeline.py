@@ -45,7 +45,7 @@ STAGES = [
     ("mixing_to_target_weights", mixing),
     ("sharding", sharding),
 ]
-#: The stages need hashes and a fitted model that SQL does not have; a test of run() against plain Python is still to come.
+#: The stages need hashes and a fitted model that SQL does not have; tests/llm/test_pipeline.py holds each stage against plain Python.
 ORACLE_SQL = None
 
 
