@@ -9,6 +9,9 @@ sweeps' predictive probabilities are averaged, and their logarithms sum to a tex
 Words are spread over buckets by hash, so all of a word's contexts, its parent tables and its occurrences lie in one
 row, and sweeps and scores are narrow passes over the buckets. Between sweeps only the restaurants' sizes, a vector
 of fixed length summed in Spark, go round. Seating is drawn from a seed, bucket and sweep, so a lost task repeats itself.
+
+A bucket with more than its share of a chunk's occurrences (a very frequent word) is split: its chunks go to several
+rows by salt. Their restaurants are summed in two steps and sent back to every row of the bucket, and each row scores its own occurrences.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.words import buckets, deltas, mix, pack, pieces, unpack, word_hashes
-from docloom.session import new_path
+from docloom.session import new_path, small, store
 
 #: Context restaurants: words share one by 16 bits of their hash.
 CONTEXTS = 1 << 16
@@ -67,8 +70,9 @@ def _unpack_ids(data: bytes) -> list[int | None]:
     return [None if null else x for null, x in zip(data[:n], np.frombuffer(data[n:], np.int64).tolist())]
 
 
-def _chunks(batches, n: int) -> Iterator[pa.RecordBatch]:
-    """Entries (word, context, document, count) of runs of rows, packed by bucket of the word."""
+def _chunks(batches, n: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Entries (word, context, document, count) of runs of rows, packed by bucket of the word; a bucket of k times the
+    entries that it would hold if all were alike is spread over k / 2 salts, a chunk going whole to one of them."""
     held, keys, flags, ids, total = [], [], [], [], 0
     ends = int(buckets(np.array([END]), n, 64)[0])
 
@@ -80,13 +84,15 @@ def _chunks(batches, n: int) -> Iterator[pa.RecordBatch]:
         joint, counts = np.unique(joint, return_counts=True)
         at = (joint >> np.uint64(40)).astype(np.int64)
         cut = np.searchsorted(buckets(words, n, 64), np.arange(n + 1))
-        rows = {k: [] for k in ("bucket", "words", "runs", "contexts", "documents", "counts")}
+        rows = {k: [] for k in ("bucket", "salt", "words", "runs", "contexts", "documents", "counts")}
         for b in range(n):
             i, j = cut[b], cut[b + 1]
             if j == i:
                 continue
             x, y = np.searchsorted(at, [i, j])
+            salts = max(1, int(y - x) * n // (2 * max(len(joint), size // 2)))
             rows["bucket"].append(b)
+            rows["salt"].append(int(mix(np.array([keys[0]], np.uint64))[0] % np.uint64(salts)))
             rows["words"].append(pack(deltas(words[i:j])))
             rows["runs"].append(pack(np.bincount(at[x:y] - i, minlength=j - i)))
             rows["contexts"].append(pack((joint[x:y] >> np.uint64(24)) & np.uint64(0xFFFF)))
@@ -98,7 +104,7 @@ def _chunks(batches, n: int) -> Iterator[pa.RecordBatch]:
         named = _pack_ids(ids)
         out = pa.RecordBatch.from_arrays(
             [
-                pa.array(rows["bucket"], pa.int32()), *[pa.array(rows[k], pa.binary()) for k in list(rows)[1:]],
+                *[pa.array(rows[k], pa.int32()) for k in ("bucket", "salt")], *[pa.array(rows[k], pa.binary()) for k in list(rows)[2:]],
                 pa.array([own] * m, pa.binary()), pa.array([train] * m, pa.binary()), pa.array([named if b == ends else None for b in rows["bucket"]], pa.binary()),
             ],
             [*rows, "keys", "train", "ids"],
@@ -124,14 +130,27 @@ def _chunks(batches, n: int) -> Iterator[pa.RecordBatch]:
             flags += train[first : first + docs]
             ids += named[first : first + docs]
             total += len(word)
-            if total >= CHUNK:
+            if total >= size:
                 yield flush()
     if total:
         yield flush()
 
 
+def _restaurants(word: np.ndarray, contexts: np.ndarray, trained: np.ndarray) -> dict[str, bytes]:
+    """Packed restaurants of sorted (word, context) pairs and their training counts, with the sums that the prior needs."""
+    starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+    seen = np.add.reduceat(trained, starts)
+    by_word = np.add.reduceat((trained > 0).astype(np.int64), starts)
+    sums = [trained.sum(), (seen > 0).sum(), (trained == 1).sum(), (trained == 2).sum(), (by_word == 1).sum(), (by_word == 2).sum(), by_word.sum()]
+    found = {
+        "words": deltas(word[starts]), "pairs": np.diff(np.r_[starts, len(word)]), "contexts": contexts, "trained": trained,
+        "customers": np.bincount(contexts, trained, CONTEXTS).astype(np.int64), "tables": np.bincount(contexts[trained > 0], minlength=CONTEXTS), "sums": np.array(sums),
+    }
+    return {k: pack(v) for k, v in found.items()}
+
+
 def _merge(part: pa.Table) -> pa.Table:
-    """One row of a bucket: its words, their (word, context) pairs with training counts, and occurrences by document."""
+    """One row of a bucket and salt: its words, their (word, context) pairs with training counts, and occurrences by document."""
     words, contexts, keys, counts, train, named = [], [], [], [], [], {}
     part_rows = part.to_pylist()
     for row in part_rows:
@@ -154,33 +173,57 @@ def _merge(part: pa.Table) -> pa.Table:
     key, count, flag = key[order], count[order], flag[order]
     docs, document = np.unique(key, return_inverse=True)
     trained = np.add.reduceat(np.where(flag, count, 0), pair)
-    contexts = context[pair].astype(np.int64)
-    starts = np.flatnonzero(new_word[pair])
-    seen = np.add.reduceat(trained, starts)
-    customers = np.bincount(contexts, trained, CONTEXTS).astype(np.int64)
-    tables = np.bincount(contexts[trained > 0], minlength=CONTEXTS)
-    by_word = np.add.reduceat((trained > 0).astype(np.int64), starts)
-    sums = [trained.sum(), (seen > 0).sum(), (trained == 1).sum(), (trained == 2).sum(), (by_word == 1).sum(), (by_word == 2).sum(), by_word.sum()]
     binary = lambda x: pa.array([x], pa.binary())
     return pa.table(
         {
             "bucket": part.column("bucket").slice(0, 1).combine_chunks(),
-            "pairs": binary(pack(np.diff(np.r_[starts, len(pair)]))),
-            "contexts": binary(pack(contexts)),
-            "trained": binary(pack(trained)),
+            "salt": part.column("salt").slice(0, 1).combine_chunks(),
+            **{k: binary(v) for k, v in _restaurants(word[pair], context[pair].astype(np.int64), trained).items()},
             "runs": binary(pack(np.diff(np.r_[pair, len(word)]))),
             "documents": binary(pack(document)),
             "counts": binary(pack(count)),
             "keys": binary(pack(deltas(docs.astype(np.uint64)))),
             "ids": binary(_pack_ids([named[k] for k in docs.tolist()]) if named else None),
-            "customers": binary(pack(customers)),
-            "tables": binary(pack(tables)),
-            "sums": binary(pack(np.array(sums))),
         }
     )
 
 
-_BUCKET = "bucket int, pairs binary, contexts binary, trained binary, runs binary, documents binary, counts binary, keys binary, ids binary, customers binary, tables binary, sums binary"
+def _add_restaurants(part: pa.Table) -> pa.Table:
+    """The restaurants of several rows of one bucket as one row; salt becomes their largest."""
+    found = part.select(["words", "pairs", "contexts", "trained"]).to_pylist()
+    word = np.concatenate([np.repeat(np.cumsum(unpack(r["words"]), dtype=np.uint64), unpack(r["pairs"]).astype(np.int64)) for r in found])
+    context, trained = (np.concatenate([unpack(r[k]).astype(np.int64) for r in found]) for k in ("contexts", "trained"))
+    order = np.lexsort((context, word))
+    word, context = word[order], context[order]
+    pair = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (context[1:] != context[:-1])])
+    out = _restaurants(word[pair], context[pair], np.add.reduceat(trained[order], pair))
+    ends = {"bucket": part.column("bucket")[0].as_py(), "salt": max(part.column("salt").to_pylist())}
+    return pa.table({**{k: pa.array([v], pa.int32()) for k, v in ends.items()}, **{k: pa.array([v], pa.binary()) for k, v in out.items()}})
+
+
+_STATE = "words binary, pairs binary, contexts binary, trained binary, customers binary, tables binary, sums binary"
+_BUCKET = f"bucket int, salt int, {_STATE}, runs binary, documents binary, counts binary, keys binary, ids binary"
+#: Rows of a split bucket that one task adds up at a time.
+FAN_IN = 64
+
+
+def _restaurant_rows(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows by bucket and salt: one row of restaurants a bucket, and the rows to score, with their bucket's restaurants."""
+    state, seats = ["pairs", "contexts", "trained", "customers", "tables", "sums"], ["runs", "documents", "counts", "keys", "ids"]
+    none = [F.lit(None).cast("binary").alias(k) for k in ("words", "own_words", "own_pairs", "own_contexts")]
+    scored = lambda df: df.select("bucket", *state[:3], *seats, *none)
+    split = table.where("salt > 0").select("bucket").distinct()
+    if split.isEmpty():
+        return table.select("bucket", *state), scored(table)
+    split = small(split)
+    whole, parts = table.join(split, "bucket", "left_anti"), table.join(split, "bucket", "left_semi")
+    schema = f"bucket int, salt int, {_STATE}"
+    added = parts.select("bucket", "salt", "words", *state[:3]).groupBy("bucket", F.floor(F.col("salt") / FAN_IN)).applyInArrow(_add_restaurants, schema)
+    added = store(added.groupBy("bucket").applyInArrow(_add_restaurants, schema), "split-restaurants")
+    sent = added.select("bucket", F.explode(F.sequence(F.lit(0), F.col("salt"))).alias("salt"), "words", *state[:3])
+    own = parts.select("bucket", "salt", *[F.col(k).alias(f"own_{k}") for k in ("words", "pairs", "contexts")], *seats)
+    joined = own.join(sent, ["bucket", "salt"]).select("bucket", *state[:3], *seats, "words", "own_words", "own_pairs", "own_contexts")
+    return whole.select("bucket", *state).unionByName(added.select("bucket", *state)), scored(whole).unionByName(joined)
 
 
 def _total(vectors: DataFrame) -> dict[int, np.ndarray]:
@@ -264,6 +307,12 @@ class Bucket:
         pull = np.full(len(self.parents), (STRENGTH + self.prior.parent_discount * sizes.parent_tables) * self.base)
         self.parent_tables = seat(self.parents.astype(np.int64), pull, self.prior.parent_discount, rng)
 
+    def places(self, words: bytes, own_words: bytes, own_pairs: bytes, own_contexts: bytes) -> np.ndarray:
+        """Where the pairs of one part of a split bucket stand among the whole bucket's."""
+        joint = np.repeat(np.arange(len(self.pairs)), self.pairs) << 16 | self.contexts
+        word = np.searchsorted(np.cumsum(unpack(words), dtype=np.uint64), np.cumsum(unpack(own_words), dtype=np.uint64))
+        return np.searchsorted(joint, np.repeat(word, unpack(own_pairs).astype(np.int64)) << 16 | unpack(own_contexts).astype(np.int64))
+
     def predict(self, sizes: Sizes) -> np.ndarray:
         """Probability of each pair's word in its context, under the present seating and its sizes."""
         d, customers = self.prior.discount, self.prior.customers[self.contexts]
@@ -324,8 +373,11 @@ def _scores(rows: DataFrame, prior: Prior, states: list[Sizes], kept: int) -> Da
                 runs, documents, counts = (unpack(batch.column(k)[i].as_py()).astype(np.int64) for k in (4, 5, 6))
                 keys = np.cumsum(unpack(batch.column(7)[i].as_py()), dtype=np.uint64)
                 if batch.column(8)[i].is_valid:
-                    named = dict(zip(keys.tolist(), _unpack_ids(batch.column(8)[i].as_py())))
+                    named.update(zip(keys.tolist(), _unpack_ids(batch.column(8)[i].as_py())))
                 was = np.repeat((seen > 0).astype(np.int64), bucket.pairs)
+                if batch.column(9)[i].is_valid:
+                    at = bucket.places(*(batch.column(k)[i].as_py() for k in (9, 10, 11, 12)))
+                    mean, base, was = mean[at], base[at], was[at]
                 add = lambda x: np.bincount(documents, np.repeat(x, runs) * counts, len(keys))
                 parts.append((keys, np.bincount(documents, counts, len(keys)), add(was), add(base), add(-np.log10(mean))))
             if not parts:
@@ -338,8 +390,10 @@ def _scores(rows: DataFrame, prior: Prior, states: list[Sizes], kept: int) -> Da
             spans = list(zip(cut[:-1], cut[1:]))
             columns = [pa.array([int(group[a]) for a, _ in spans], pa.int64()), pa.array([pack(keys[a:b] % np.uint64(GROUP)) for a, b in spans], pa.binary())]
             columns += [pa.array([pack(x[a:b]) for a, b in spans], pa.binary()) for x in sums]
-            columns.append(pa.array([_pack_ids([named[k] for k in keys[a:b].tolist()]) if all(k in named for k in keys[a:b].tolist()) else None for a, b in spans] if named else [None] * len(spans), pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, ["group", "keys", "tokens", "known", "base", "score", "ids"])
+            own = [[k for k in keys[a:b].tolist() if k in named] for a, b in spans]
+            columns.append(pa.array([pack(np.array(k, np.uint64) % np.uint64(GROUP)) if k else None for k in own], pa.binary()))
+            columns.append(pa.array([_pack_ids([named[x] for x in k]) if k else None for k in own], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, ["group", "keys", "tokens", "known", "base", "score", "named", "ids"])
 
     def add_up(part: pa.Table) -> pa.Table:
         found = part.to_pylist()
@@ -348,39 +402,40 @@ def _scores(rows: DataFrame, prior: Prior, states: list[Sizes], kept: int) -> Da
         for row in found:
             at = unpack(row["keys"]).astype(np.int64)
             if row["ids"] is not None:
-                ids = dict(zip(at.tolist(), _unpack_ids(row["ids"])))
+                ids.update(zip(unpack(row["named"]).astype(np.int64).tolist(), _unpack_ids(row["ids"])))
             for k, name in enumerate(("tokens", "known", "base", "score")):
                 sums[k, at] += unpack(row[name])
         at = np.array(sorted(ids), np.int64)
         out = [pa.array([ids[k] for k in at.tolist()], pa.int64()), *(pa.array(sums[k, at].astype(np.int64)) for k in (0, 1)), *(pa.array(sums[k, at] / UNIT) for k in (2, 3))]
         return pa.table(out, names=["doc_id", "tokens", "known", "base", "score"])
 
-    chosen = rows.select("bucket", "pairs", "contexts", "trained", "runs", "documents", "counts", "keys", "ids")
-    sent = chosen.mapInArrow(run, "group bigint, keys binary, tokens binary, known binary, base binary, score binary, ids binary")
+    sent = rows.mapInArrow(run, "group bigint, keys binary, tokens binary, known binary, base binary, score binary, named binary, ids binary")
     return sent.groupBy("group").applyInArrow(add_up, "doc_id bigint, tokens bigint, known bigint, base double, score double")
 
 
-def score_documents(docs: DataFrame, sweeps: int = SWEEPS, kept: int = KEPT) -> DataFrame:
+def score_documents(docs: DataFrame, sweeps: int = SWEEPS, kept: int = KEPT, bucket_bytes: int = BUCKET_BYTES, chunk: int = CHUNK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity; one row per row of docs (doc_id, text).
 
     The model learns from the rows that are not held out (a null doc_id is not). Each text ends with an end token, so
     a null or empty text has one token. Repeated rows count as often as they stand and score alike. Other columns are
     ignored. Without training rows every token is unknown and has probability 1. Words are known by 64-bit hashes.
+    bucket_bytes of text give one bucket; chunk tokens are packed at a time.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     amount = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(max(1, amount // BUCKET_BYTES))
+    n = int(max(1, amount // bucket_bytes))
     # a row's key is its place in this one scan; it comes back with the row's doc_id, so no second scan must agree with it
     parts = rows.select(F.monotonically_increasing_id().alias("key"), ~held_out(F.col("doc_id")), "doc_id", "text").mapInArrow(
-        lambda batches: _chunks(batches, n), "bucket int, words binary, runs binary, contexts binary, documents binary, counts binary, keys binary, train binary, ids binary"
+        lambda batches: _chunks(batches, n, chunk), "bucket int, salt int, words binary, runs binary, contexts binary, documents binary, counts binary, keys binary, train binary, ids binary"
     )
     path = new_path(spark, "restaurants")
-    parts.groupBy("bucket").applyInArrow(_merge, _BUCKET).write.parquet(path)
+    parts.groupBy("bucket", "salt").applyInArrow(_merge, _BUCKET).write.parquet(path)
     table = spark.read.schema(_BUCKET).parquet(path)
-    prior, start = prior_of(table)
-    states = gibbs(table, prior, start, sweeps)
-    sums = _scores(table, prior, states, kept)
+    restaurants, scored = _restaurant_rows(table)
+    prior, start = prior_of(restaurants)
+    states = gibbs(restaurants, prior, start, sweeps)
+    sums = _scores(scored, prior, states, kept)
     return sums.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),

@@ -1,13 +1,17 @@
 """Edge cases of the training-data operators: nulls, empty texts, repeated rows, empty tables, extra columns with clashing names."""
 
 import hashlib
+import math
+import random
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from docloom.llm import chat, decontaminate, extract, jaccard, licenses, media, mixing, pitman_yor, quality, sharding
 from docloom.llm.entries import ORACLE_SQL  # noqa: F401
+from docloom.session import store
 
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(30_000))
 BASE = " ".join(f"t{i}" for i in range(60))
@@ -43,6 +47,27 @@ def test_lm(docs, none):
     assert pitman_yor.score_documents(none).count() == 0
 
 
+def test_lm_split_buckets(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join("the" if rng.random() < 0.4 else f"w{int(rng.paretovariate(0.8))}" for _ in range(rng.randint(0, 80))) for _ in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "the the")], "doc_id long, text string").repartition(4).cache()
+    seen, stored = {}, []
+    monkeypatch.setattr(pitman_yor, "store", lambda df, name: stored.append(name) or store(df, name))
+    for chunk in (1_000_000, 200):
+        assert not stored  # one chunk a partition is never split
+        out = pitman_yor.score_documents(df, bucket_bytes=2500, chunk=chunk)
+        seen[chunk] = {r.doc_id: (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in out.collect()}
+    assert stored == ["split-restaurants"] and len(seen[200]) == 401
+    assert all(seen[200][i] == pytest.approx(x, abs=1e-3) for i, x in seen[1_000_000].items())
+    counts = Counter(w for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2 for w in [*t.split(), ""]) + Counter(["the", "the", ""])
+    total, known = sum(counts.values()), len(counts)
+    for i, t in enumerate(texts):
+        words = [*t.split(), ""]
+        base = sum(math.log10((counts[w] + 1) / (total + known + 1)) for w in words)
+        n, k, trained, got, _ = seen[200][i]
+        assert (n, k, trained) == (len(words), sum(counts[w] > 0 for w in words), total) and abs(got - base) < 0.01
+
+
 def test_decontaminate(spark, docs, none):
     items = spark.createDataFrame([(1, " ".join(f"T{i}" for i in range(10, 40))), (2, None), (3, "two WORDS"), (4, "not there at all ever")], "item_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, items).collect()) == [(1, 1), (2, 1), (5, 3), (8, 1)]
