@@ -79,3 +79,20 @@ def call_cost(tokens_in: Column, tokens_out: Column, cached: Column, rate_in: Co
 def strict_sum(value: Column) -> Column:
     """Null if any value is."""
     return F.when(F.count(value) == F.count(F.lit(1)), F.sum(value))
+
+
+def usage(reply: Column, rate_in: Column, rate_out: Column) -> Column:
+    """Token counts of a model's reply (nulls count 0), their total and the cost; a null reply used nothing and has no cost."""
+    names = ["input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens"]
+    counts = {n: F.coalesce(reply[n], F.lit(0)).cast("bigint") for n in names}
+    a, b, c, d = counts.values()
+    cost = F.when(reply.isNotNull(), call_cost(a, b, c + d, rate_in, rate_out))
+    return F.struct(*[v.alias(k) for k, v in counts.items()], (a + b + c + d).alias("total_tokens"), cost.alias("cost_usd"))
+
+
+def judge_scores(said: Column) -> Column:
+    """The first JSON object of a judge's text (fences and prose around it are passed over): three numbers from 0 to 1, else an error."""
+    names = ["faithfulness", "answer_relevance", "context_precision"]
+    read = F.from_json(F.regexp_extract(said, r"(?s)(\{.*?\})", 1), ", ".join(f"{n} double" for n in names))
+    fine = [F.coalesce(read[n].between(0.0, 1.0), F.lit(False)) for n in names]
+    return F.when(fine[0] & fine[1] & fine[2], read).otherwise(F.raise_error(F.concat(F.lit("not a judge's scores: "), F.coalesce(said, F.lit("null")))))

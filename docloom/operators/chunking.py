@@ -13,7 +13,7 @@ from docloom.functions.text import sentences
 from docloom.operators.segment import segment
 
 THRESHOLD, LEAST, MOST = 0.55, 128, 512
-CHUNK = "doc_id bigint, ordinal int, chunk_id string, text string, breadcrumb array<string>, token_count bigint, sentences int"
+CHUNK = "ordinal int, chunk_id string, text string, breadcrumb array<string>, token_count bigint, sentences int"
 
 
 def words(text: str) -> int:
@@ -53,22 +53,25 @@ def fold(tokens: list[int], crumbs: list[tuple], vectors: np.ndarray | None, lea
     return [*out, (start, len(tokens))]
 
 
-def chunk_documents(docs: DataFrame, least: int = LEAST, most: int = MOST, threshold: float = THRESHOLD, embed: Callable | None = hashed_vectors, count: Callable[[str], int] = words) -> DataFrame:
-    """Chunks of docs (doc_id, text, mime_type). embed None: only sections and token bounds cut."""
-    parts = docs.select("doc_id", segment(F.col("text"), F.col("mime_type")).alias("segments"))
+def chunk_documents(docs: DataFrame, least: int = LEAST, most: int = MOST, threshold: float = THRESHOLD, embed: Callable | None = hashed_vectors, count: Callable[[str], int] = words, carry: list[str] | None = None) -> DataFrame:
+    """Chunks of docs (doc_id, text, mime_type). embed None: only sections and token bounds cut. Columns named in carry
+    go with each chunk."""
+    kept = ["doc_id", *(carry or [])]
+    parts = docs.select(*kept, segment(F.col("text"), F.col("mime_type")).alias("segments"))
     split = F.transform("segments", lambda s: F.struct(s["breadcrumb"].alias("breadcrumb"), sentences(s["text"]).alias("sentences")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc, parts in zip(batch["doc_id"], batch["parts"]):
+            for parts, own in zip(batch["parts"], batch[kept].itertuples(index=False, name=None)):
                 flat = [(t, tuple(p["breadcrumb"])) for p in parts for t in p["sentences"]]
                 texts, crumbs = [f[0] for f in flat], [f[1] for f in flat]
                 ranges = fold([count(t) for t in texts], crumbs, embed(texts) if embed and texts else None, least, most, threshold)
                 for k, (a, b) in enumerate(ranges):
                     path = " -> ".join(c for c in crumbs[a] if c)
                     text = (f"[{path}] " if path else "") + " ".join(texts[a:b])
-                    rows.append((doc, k, f"{doc}:{k}", text, list(crumbs[a]), count(text), b - a))
-            yield pd.DataFrame(rows, columns=["doc_id", "ordinal", "chunk_id", "text", "breadcrumb", "token_count", "sentences"])
+                    rows.append((*own, k, f"{own[0]}:{k}", text, list(crumbs[a]), count(text), b - a))
+            yield pd.DataFrame(rows, columns=[*kept, "ordinal", "chunk_id", "text", "breadcrumb", "token_count", "sentences"])
 
-    return parts.select("doc_id", split.alias("parts")).mapInPandas(run, CHUNK)
+    types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
+    return parts.select(*kept, split.alias("parts")).mapInPandas(run, f"{types}, {CHUNK}")

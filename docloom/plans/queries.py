@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators import chunking, evaluation, registry, retrieval, segment
-from docloom.session import table
+from docloom.operators import chunking, evaluation, indexing, registry, retrieval, segment
+from docloom.session import new_path, table
+from docloom.sources.files import from_records, to_records
+from docloom.sources.tables import KeyedLog
 from docloom.streaming.batching import microbatches
 
 MARKED = "Page 1 of 2\n-----\n"
@@ -174,12 +176,51 @@ def backoff_ceiling(spark: SparkSession, sf: str) -> DataFrame:
     return spark.range(11).select(F.col("id").alias("retry"), T.backoff_ceiling(F.col("id").cast("double")).alias("ceiling"))
 
 
+def index_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's chunks as index points; vectors by their lengths and sums."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.lit("text/plain").alias("mime_type"), F.col("source").alias("source_uri"))
+    made = indexing.points(indexing.payloads(docs))
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 6)
+    return made.select("point_id", "chunk_id", "parent_doc_id", "token_count", "source_uri", "dropped", F.size("indices").alias("terms"), total("values").alias("weights"), total("dense").alias("dense_sum"))
+
+
+def keyed_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders put in one batch, some put again and some deleted in the next, compacted, then read."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    log = KeyedLog(spark, new_path(spark, "orders-log"), "o_orderkey bigint, o_orderstatus string", "o_orderkey")
+    log.write(0, orders)
+    log.write(1, orders.where("o_orderkey % 3 = 0").withColumn("o_orderstatus", F.lower("o_orderstatus")), orders.where("o_orderkey % 6 IN (0, 1)"))
+    log.compact()
+    return log.read()
+
+
+def record_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Events to keyed JSON records and back."""
+    schema = "event_id bigint, user_id bigint, event_type string, value double, props string"
+    events = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value", "props")
+    return from_records(to_records(events, "event_id"), schema)
+
+
+def judge_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores read from judges' texts: an object in a code fence with prose after it."""
+    part = lambda n: (F.col("event_id") % n / F.lit(float(n))).cast("string")
+    said = F.format_string('Scores:\n```json\n{"faithfulness": %s, "answer_relevance": %s,\n "context_precision": %s}\n```\nAs {asked}.', part(4), part(8), part(16))
+    return table(spark, sf, "events").select("event_id", said.alias("said")).select("event_id", T.judge_scores(F.col("said")).alias("s")).select("event_id", "s.*")
+
+
+def context_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The ordered blocks that a model would be given, by their titles."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise("").alias("doc_title"))
+    hits = sparse_topk(spark, sf).join(docs, "doc_id").withColumn("chunk_id", F.col("doc_id").cast("string"))
+    return retrieval.contexts(hits, "item_id").select("item_id", F.array_join("blocks.title", "|").alias("titles"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         normalize_docs, normalization_metrics, approx_tokens, sentences, sparse_terms, sparse_topk, dense_topk, rrf_fusion, hybrid_search, point_ids, html_metadata,
         html_segments, markdown_segments, chunk_fold_tokens, chunk_fold_semantic, dim_guard, registry_diff, tombstone, route_valid_invalid, eval_metrics, token_usage,
-        strict_cost, citation_dedup, microbatch_events, backoff_ceiling,
+        strict_cost, citation_dedup, microbatch_events, backoff_ceiling, index_points, keyed_log, record_roundtrip, judge_scores, context_blocks,
     )
 }
 
@@ -280,4 +321,10 @@ w AS (
   FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1)
 SELECT user_id, batch::BIGINT AS batch, count(*) AS n, arg_min(event_id, i) AS first_item, arg_max(event_id, i) AS last_item FROM w GROUP BY user_id, batch""",
     "backoff_ceiling": "SELECT range AS retry, least(60.0, pow(2.0, range)) AS ceiling FROM range(11)",
+    "keyed_log": """
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN lower(o_orderstatus) ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 6 <> 1""",
+    "record_roundtrip": "SELECT event_id, user_id, event_type, value, props, NULL::VARCHAR AS bad FROM events",
+    "judge_scores": "SELECT event_id, event_id % 4 / 4.0::DOUBLE AS faithfulness, event_id % 8 / 8.0::DOUBLE AS answer_relevance, event_id % 16 / 16.0::DOUBLE AS context_precision FROM events",
+    "context_blocks": f"""WITH {_TOPK}
+SELECT item_id, string_agg(CASE WHEN doc_id % 2 = 0 THEN source ELSE doc_id::VARCHAR END, '|' ORDER BY rank) AS titles FROM top8 JOIN documents USING (doc_id) GROUP BY item_id""",
 }

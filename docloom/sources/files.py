@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from docloom.functions.text import collapse, uuid5
 
@@ -23,7 +27,7 @@ def watch_files(spark: SparkSession, folder: str, per_trigger: int = 100) -> Dat
 
 
 def validate(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """Adds doc_id, mime_type, ok and reason: the type goes by extension, the content is looked at for sanity.
+    """Adds doc_id, source_uri (an absolute path, or a URI of another file system), mime_type, ok and reason: the type goes by extension, the content is looked at for sanity.
 
     PDF parsing needs a library of its own; here a PDF is valid if it has a header, an end mark and a page, and is not encrypted.
     """
@@ -39,7 +43,8 @@ def validate(files: DataFrame, path: str = "path", content: str = "content") ->
         .when((mime == "application/pdf") & ~(text.startswith("%PDF-") & text.contains("%%EOF") & text.rlike(r"/Type\s*/Page\b")), "not a readable PDF")
         .when((mime == "application/pdf") & text.contains("/Encrypt"), "PDF is encrypted")
     )
-    return files.withColumns({"doc_id": uuid5(F.col(path)), "mime_type": mime, "reason": reason}).withColumn("ok", F.col("reason").isNull())
+    place = F.regexp_replace(F.col(path), "^file:(//)?(?=/)", "")
+    return files.withColumns({"doc_id": uuid5(place), "source_uri": place, "mime_type": mime, "reason": reason}).withColumn("ok", F.col("reason").isNull())
 
 
 def route(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -47,6 +52,42 @@ def route(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where("ok"), checked.where("NOT ok")
 
 
+def read_texts(checked: DataFrame, pdf_pages: Callable[[bytes], list[str | None]] | None = None) -> DataFrame:
+    """doc_id, source_uri, mime_type, size_bytes, timestamp (epoch seconds) and text of validated files.
+
+    Text is strict UTF-8. PDF pages come from the given parser, joined by blank lines, a page without text as an empty
+    one; without a parser a PDF is an error.
+    """
+    text = F.validate_utf8(F.col("content").cast("string"))
+    named = checked.select("doc_id", "source_uri", "mime_type", F.col("length").alias("size_bytes"), F.col("modificationTime").cast("double").alias("timestamp"), "content")
+    is_pdf = F.coalesce(F.col("mime_type") == "application/pdf", F.lit(False))
+    if not pdf_pages:
+        missing = F.raise_error(F.concat(F.lit("no PDF parser was given for "), F.col("source_uri")))
+        return named.withColumn("text", F.when(is_pdf, missing.cast("string")).otherwise(text)).drop("content")
+    # a UDF inside a condition would run on every row, so PDFs go their own way
+    parse = pandas_udf(lambda found: pd.Series(["\n\n".join(p or "" for p in pdf_pages(c)) for c in found], dtype=object), "string")
+    return named.where(~is_pdf).withColumn("text", text).unionByName(named.where(is_pdf).withColumn("text", parse("content"))).drop("content")
+
+
+def kafka_source(spark: SparkSession, servers: str, topic: str, schema: str) -> DataFrame:
+    """A topic of JSON records from its start, as a stream of rows; needs Spark's Kafka package on the class path."""
+    raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest").load()
+    return from_records(raw, schema)
+
+
+def from_records(raw: DataFrame, schema: str) -> DataFrame:
+    """Rows of (key, value) records. A record that is no JSON of the schema has null columns and its text in `bad`."""
+    text = F.col("value").cast("string")
+    read = raw.select(text.alias("bad"), F.from_json(text, f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    wrong = F.col("r").isNull() | F.col("r._bad").isNotNull()
+    return read.select("r.*", F.when(wrong, F.col("bad")).alias("bad")).drop("_bad")
+
+
+def to_records(df: DataFrame, key: str) -> DataFrame:
+    """(key, value) records for a Kafka sink: the key column and the whole row as JSON, nulls included."""
+    return df.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+
+
 def load_questions(spark: SparkSession, path: str) -> DataFrame:
     """Cases of a version 1 question set; other versions, empty sets, missing keys and repeated ids raise."""
     sets = spark.read.schema(QA).json(path, multiLine=True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,24 +37,38 @@ class MicroBatcher:
 
 
 def microbatches(events: DataFrame, key: str = "user_id", item: str = "event_id", at: str = "ts", size: int = SIZE, seconds: float = SECONDS) -> DataFrame:
-    """key, batch, n, first_item, last_item: each key's events in order of time, batched as a MicroBatcher driven by their times would."""
+    """key, batch, n, first_item, last_item: each key's events in order of time, batched as a MicroBatcher driven by their times would. Rows without a key are in no batch."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        now = [0.0]
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, current, count = [0.0], None, 0
         held, out = MicroBatcher(size, seconds, lambda: now[0]), []
-        part = part.sort_values([at, item])
-        for i, t in zip(part[item], part[at].astype("int64") / 1e6):
-            now[0] = t
-            held.add(i)
-            if held.ready():
-                out.append(held.flush())
+
+        def close() -> None:
+            nonlocal count
+            batch = held.flush()
+            out.append((current, count, len(batch), batch[0], batch[-1]))
+            count += 1
+
+        for part in parts:
+            for k, i, t in zip(part[key], part[item], part[at] / 1e6):
+                if k != current:
+                    if held.items:
+                        close()
+                    current, count = k, 0
+                now[0] = t
+                held.add(i)
+                if held.ready():
+                    close()
+            yield pd.DataFrame(out, columns=["key", "batch", "n", "first_item", "last_item"])
+            out.clear()
         if held.items:
-            out.append(held.flush())
-        rows = [(part[key].iloc[0], k, len(b), b[0], b[-1]) for k, b in enumerate(out)]
-        return pd.DataFrame(rows, columns=["key", "batch", "n", "first_item", "last_item"])
+            close()
+        yield pd.DataFrame(out, columns=["key", "batch", "n", "first_item", "last_item"])
 
-    micros = events.select(key, item, F.unix_micros(F.col(at).cast("timestamp")).alias(at))
-    out = micros.groupBy(key).applyInPandas(run, "key bigint, batch bigint, n bigint, first_item bigint, last_item bigint")
+    # a key's events come one after the other from a sort that spills, so a key of any size passes in bounded memory
+    micros = events.where(F.col(key).isNotNull()).select(key, item, F.unix_micros(F.col(at).cast("timestamp")).alias(at))
+    sorted_rows = micros.repartition(key).sortWithinPartitions(key, at, item)
+    out = sorted_rows.mapInPandas(run, "key bigint, batch bigint, n bigint, first_item bigint, last_item bigint")
     return out.withColumnRenamed("key", key)
 
 
@@ -83,5 +97,3 @@ def ingest(files: DataFrame, good: str, bad: str, checkpoint: str):
         checked.unpersist()
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
