@@ -269,17 +269,27 @@ def _blocks(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     sizes = family.groupBy("family", "component").agg(F.count(F.lit(1)).alias("c"))
     main = sizes.groupBy("family").agg(F.max(F.struct("c", "component")).alias("m"), F.count(F.lit(1)).alias("parts"))
     rows = store(family.join(main.where("parts > 1").select("family", F.col("m.component").alias("main")), "family"), "families")
-    rows = rows.join(sets, "doc")
 
-    def blocked(part: DataFrame) -> DataFrame:
-        w = Window.partitionBy("family").orderBy("n", "doc").rowsBetween(Window.unboundedPreceding, 0)
-        numbered = part.withColumn("block", F.floor(F.sum("n").over(w) / BLOCK))
+    def blocked(part: DataFrame, side: str) -> DataFrame:
+        # sizes are added up before they are numbered, so no task meets a family's members; a size of more tokens than
+        # a block holds is dealt to blocks of its own by hash
+        totals = part.groupBy("family", "n").agg(F.sum("n").alias("total"))
+        w = Window.partitionBy("family").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+        half = max(1, BLOCK // 2)  # the last size of a block may double it
+        totals = totals.withColumn("block", F.floor(F.coalesce(F.sum("total").over(w), F.lit(0)) / half))
+        totals = store(totals.withColumns({"own": F.when(F.col("total") > half, F.col("n")).otherwise(0), "deal": F.ceil(F.col("total") / half)}), "totals")
+        numbered = part.join(small(totals.drop("total")), ["family", "n"])
+        numbered = numbered.withColumn("deal", F.when(F.col("own") > 0, F.pmod(F.xxhash64("doc"), "deal")).otherwise(0))
+        name = F.struct("family", "block", "own", "deal").alias(f"{side}b")
         item = F.struct("doc", "component", "tokens")
-        return numbered.groupBy("family", "block").agg(F.collect_list(item).alias("items"), F.min("n").alias("low"), F.max("n").alias("high"))
+        found = numbered.join(sets, "doc").groupBy(name).agg(F.collect_list(item).alias(side), F.min("n").alias(f"{side}l"), F.max("n").alias(f"{side}h"))
+        return store(found, "blocks").withColumn("family", F.col(f"{side}b.family"))
 
-    apart = blocked(rows.where("component <> main")).select("family", F.col("items").alias("x"), F.col("low").alias("xl"), F.col("high").alias("xh"))
-    whole = blocked(rows).select("family", F.col("items").alias("y"), F.col("low").alias("yl"), F.col("high").alias("yh"))
+    apart, whole = blocked(rows.where("component <> main"), "x"), blocked(rows, "y")
     near = (F.col("xh") * 100 >= F.col("yl") * percent) & (F.col("yh") * 100 >= F.col("xl") * percent)
+    # pairs of blocks are made by name, then each side's sets come by the block's name: a family spreads over tasks
+    names = store(apart.drop("x").join(whole.drop("y"), "family").where(near).select("xb", "yb"), "names")
+    both = names.join(apart.select("xb", "x"), "xb").join(whole.select("yb", "y"), "yb").select("x", "y")
 
     def sides(column: pa.Array, i: int):
         items = column[i].values
@@ -309,7 +319,7 @@ def _blocks(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 out += [(a, b) for (a, _), b in met.items()]
             yield pa.RecordBatch.from_arrays([pa.array([int(v[k]) for v in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return apart.join(whole, "family").where(near).select("x", "y").mapInArrow(compare, "a bigint, b bigint")
+    return both.mapInArrow(compare, "a bigint, b bigint")
 
 
 def _in_small_batches(df: DataFrame, name: str) -> DataFrame:

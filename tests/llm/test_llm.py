@@ -39,6 +39,29 @@ def test_jaccard(docs, none):
     assert jaccard.similar_documents(none).count() == 0
 
 
+@pytest.mark.parametrize("block", [1, 150, 50_000])
+def test_jaccard_families_in_blocks(spark, monkeypatch, block):
+    rng = random.Random(block)
+    base = [f"b{i}" for i in range(60)]
+    texts = []
+    for _ in range(90):
+        words = base[: rng.choice([60, 60, 55, 40])]
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(len(words))] = f"v{rng.randrange(400)}"
+        texts.append(" ".join(words))
+    sets = [{tuple(t.split()[i : i + 4]) for i in range(len(t.split()) - 3)} for t in texts]
+    root = list(range(90))
+    for _ in range(8):
+        for i in range(90):
+            for j in range(90):
+                if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.similar_documents(df, rare=2).collect()}
+    assert got == dict(enumerate(root)) and 1 < len(set(root)) < 90
+
+
 def test_lm(docs, none):
     got = pitman_yor.score_documents(docs).collect()
     assert len(got) == len(ROWS)
