@@ -30,6 +30,8 @@ RARE = 24
 FREQUENT_ROWS = 1_000_000
 #: Tokens counted in one exchange row's chunk, input bytes a counting bucket, tokens a block of the exact comparison.
 CHUNK, BUCKET_BYTES, BLOCK = 1_500_000, 12 << 20, 50_000
+#: What a set weighs in a block beside its tokens, so that blocks of short sets stay small too.
+SET = 16
 #: Ranges that signatures and token counts are dealt to at least, and pairs of sets that a Python batch holds at most.
 BUCKETS, PAIRS = 64, 256
 
@@ -263,7 +265,7 @@ def _blocks(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between sets of one family and different components; one for each set and component met in a block.
 
     family: doc, family, component, n. Only pairs with a set outside the family's largest component are compared, so what
-    is already linked costs nothing. Blocks hold about BLOCK tokens; a pair of blocks is multiplied as incidence
+    is already linked costs nothing. Blocks hold BLOCK to twice as many tokens at most; a pair of blocks is multiplied as incidence
     matrices, a slice of their common tokens at a time.
     """
     sizes = family.groupBy("family", "component").agg(F.count(F.lit(1)).alias("c"))
@@ -273,11 +275,10 @@ def _blocks(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def blocked(part: DataFrame, side: str) -> DataFrame:
         # sizes are added up before they are numbered, so no task meets a family's members; a size of more tokens than
         # a block holds is dealt to blocks of its own by hash
-        totals = part.groupBy("family", "n").agg(F.sum("n").alias("total"))
+        totals = part.groupBy("family", "n").agg(F.sum(F.col("n") + SET).alias("total"))
         w = Window.partitionBy("family").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-        half = max(1, BLOCK // 2)  # the last size of a block may double it
-        totals = totals.withColumn("block", F.floor(F.coalesce(F.sum("total").over(w), F.lit(0)) / half))
-        totals = store(totals.withColumns({"own": F.when(F.col("total") > half, F.col("n")).otherwise(0), "deal": F.ceil(F.col("total") / half)}), "totals")
+        totals = totals.withColumn("block", F.floor(F.coalesce(F.sum("total").over(w), F.lit(0)) / BLOCK))
+        totals = store(totals.withColumns({"own": F.when(F.col("total") > BLOCK, F.col("n")).otherwise(0), "deal": F.ceil(F.col("total") / BLOCK)}), "totals")
         numbered = part.join(small(totals.drop("total")), ["family", "n"])
         numbered = numbered.withColumn("deal", F.when(F.col("own") > 0, F.pmod(F.xxhash64("doc"), "deal")).otherwise(0))
         name = F.struct("family", "block", "own", "deal").alias(f"{side}b")
