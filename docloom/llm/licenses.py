@@ -1,10 +1,11 @@
 """Operator 6: license scans by a positional rare-token index.
 
-Templates (base phrases and license texts) are indexed by word and position. A file looks up its highest-IDF licence
-words; each occurrence at file position p of a word at template position q votes for the template starting at
-p - q, so postings are intersected by relative position. A start with votes is verified: a base phrase needs every
-word in place; a text needs its mandatory key phrases inside the aligned span, and its score is the share of template
-words in place.
+Templates (base phrases and license texts) are indexed by word and position, each at its rarest positions: a base phrase
+at one, a text at one more than a verified text may miss, so a text that is verified has an indexed word in place. Each
+occurrence at file position p of a word at template position q votes for the template starting at p - q, so postings
+are intersected by relative position; every occurrence in a file votes. A start with votes is verified: a base phrase
+needs every word in place; a text needs its mandatory key phrases inside the aligned span, and its score is the share
+of template words in place.
 """
 
 from __future__ import annotations
@@ -44,8 +45,6 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software", "public domain"]),
     ("epl", "made available under the terms of the eclipse public license", ["eclipse public license"]),
 ]
-#: A file looks up so many distinct licence words of the highest IDF (base phrases' rarest words come on top).
-LOOKUPS = 24
 #: Share of a license text's words that must stand in place.
 LEAST = 0.6
 #: A-Z to a-z, other ASCII but digits and letters to a space; bytes over 127 belong to words.
@@ -57,7 +56,7 @@ def license_words(text: str | None) -> list[bytes]:
 
 
 class Index:
-    """Postings of every template word, IDF over the templates, and each base phrase's rarest word."""
+    """Postings of each template's rarest positions, by IDF over the templates."""
 
     def __init__(self, base: dict[str, str], templates: list[tuple[str, str, list[str]]]):
         self.entries = [(label, license_words(phrase), None) for phrase, label in base.items()]
@@ -66,32 +65,25 @@ class Index:
         self.idf = {w: math.log((len(self.entries) + 1) / n) for w, n in df.items()}
         self.postings: dict[bytes, list[tuple[int, int]]] = {}
         for t, (_, words, keys) in enumerate(self.entries):
-            # a base phrase hangs on its rarest word, a text on every word of over average IDF: others are too common
-            rarest = max(words, key=lambda w: (self.idf[w], w))
-            mean = sum(self.idf[w] for w in words) / len(words)
-            for q, w in enumerate(words):
-                if (w == rarest) if keys is None else self.idf[w] >= mean:
-                    self.postings.setdefault(w, []).append((t, q))
-        self.anchors = {w for w, found in self.postings.items() if any(self.entries[t][2] is None for t, _ in found)}
+            # at least so many words stand in place where the template is verified; of equal IDF, long words are rarer in files
+            need = len(words) if keys is None else next(k for k in range(len(words) + 1) if k / len(words) >= LEAST)
+            ranked = sorted(range(len(words)), key=lambda q: (-self.idf[words[q]], -len(words[q]), words[q], q))
+            for q in ranked[: len(words) - need + 1]:
+                self.postings.setdefault(words[q], []).append((t, q))
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, str]], dict[str, float]]:
         """Base places (start, label), and the best score of each label whose text is verified."""
         postings = self.postings
-        hits = [(i, w) for i, w in enumerate(words) if w in postings]
-        if not hits:
-            return [], {}
-        ranked = sorted({w for _, w in hits} - self.anchors, key=lambda w: (-self.idf[w], w))
-        looked = self.anchors.union(ranked[:LOOKUPS])
-        votes: Counter = Counter((t, i - q) for i, w in hits if w in looked for t, q in postings[w])
+        votes = {(t, i - q) for i, w in enumerate(words) if w in postings for t, q in postings[w]}
         base, found = [], {}
-        for (t, start), _ in votes.items():
+        for t, start in votes:
             label, template, keys = self.entries[t]
             if keys is None:
                 if start >= 0 and words[start : start + len(template)] == template:
                     base.append((start, label))
                 continue
             span = words[max(start, 0) : start + len(template)]
-            kept = sum(x == y for x, y in zip(words[max(start, 0) :][: len(template) + min(start, 0)], template[max(-start, 0) :]))
+            kept = sum(x == y for x, y in zip(span, template[max(-start, 0) :]))
             score = kept / len(template)
             if score >= LEAST and all(_inside(k, span) for k in keys):
                 found[label] = max(found.get(label, 0.0), score)

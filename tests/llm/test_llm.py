@@ -118,6 +118,29 @@ def test_licenses(docs, none):
     assert got[3].n_words == 0 and got[3].first_word is None and licenses.scan_licenses(none).count() == 0
 
 
+def test_licenses_bundles():
+    rng = random.Random(5)
+    index = licenses.Index(licenses.BASE, licenses.TEMPLATES)
+    bodies = [text for _, text, _ in licenses.TEMPLATES]
+    every = {label for label, _, _ in licenses.TEMPLATES}
+    assert set(index.scan(licenses.license_words(" . ".join(bodies)))[1]) == every
+    common = "are at can code file for it may not that any use with"
+    ends = ["creative commons zero v1 0 universal", "gnu general public license version 3"]
+    assert {"cc0", "gpl-3"} <= set(index.scan(licenses.license_words(" ".join([*bodies[:2], bodies[8], bodies[14], common, *ends])))[1])
+    for _ in range(60):
+        words = licenses.license_words(" ".join(rng.choice(bodies) for _ in range(rng.randint(1, 8))))
+        words = [b"x" if rng.random() < 0.25 else w for w in words][rng.randrange(4) :]
+        best = {}
+        for label, text, keys in licenses.TEMPLATES:
+            own = licenses.license_words(text)
+            for start in range(-len(own), len(words)):
+                score = sum(0 <= start + q < len(words) and words[start + q] == w for q, w in enumerate(own)) / len(own)
+                span = b" %s " % b" ".join(words[max(start, 0) : start + len(own)]) if start + len(own) > 0 else b""
+                if score >= licenses.LEAST and all(b" %s " % k.encode() in span for k in keys):
+                    best[label] = max(best.get(label, 0.0), score)
+        assert index.scan(words)[1] == best
+
+
 def test_chat(spark):
     said = r"</s>[INST] ok [/INST] \ <\| <<SYS>> <|im_end|>"
     rows = spark.createDataFrame([(1, 0, "user", said), (1, 1, "assistant", said), (1, 1, "assistant", said), (2, None, None, None)], "conv_id long, turn long, role string, text string")
