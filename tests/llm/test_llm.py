@@ -112,6 +112,37 @@ def test_mixing(docs, none):
     assert not any(r.kept_ for r in got if not r.tokens_) and mixing.mix(none).count() == 0
 
 
+def test_mixing_small_sources_beside_a_hot_one(spark, caplog):
+    """The sample has the wanted size, and each source its target or, where that is more than there is, all it has."""
+    sizes = {"hot": 3333, **{f"mid{i}": 400 for i in range(15)}, "s2": 200, "s04": 40, "s01": 10, "s005": 5}
+    rows = [(i, "w " * 9 + "w", f"l{i % 4}", s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).groupBy("source").agg(F.sum("tokens").alias("t"), F.sum(F.col("tokens") * F.col("probability")).alias("p")).collect()
+    total = sum(r.t for r in got)
+    assert sum(r.p for r in got) == pytest.approx(0.5 * total, rel=2e-3)
+    raised = {r.source: (r.t / total) ** 0.7 for r in got}
+    target = {s: x / sum(raised.values()) * 0.5 * total for s, x in raised.items()}
+    share, times = {r.source: r.t for r in got}, 1.0
+    for _ in range(50):
+        full = sum(share[s] for s in share if times * target[s] >= share[s])
+        times = (0.5 * total - full) / sum(target[s] for s in share if times * target[s] < share[s])
+    for r in got:
+        assert r.p == pytest.approx(min(share[r.source], times * target[r.source]), rel=3e-3)
+    assert "source=s005" in caplog.text and "cannot be met" in caplog.text
+
+
+def test_mixing_full_cells_leave_their_share_to_others(spark):
+    """A cell with less than its raked share is kept whole, and the rest of its source and language makes up for it."""
+    plan = {("a", "x"): 20, ("a", "y"): 900, ("b", "x"): 700, ("b", "y"): 2000, ("c", "x"): 80, ("c", "y"): 300}
+    rows = [(i, "w " * 9 + "w", g, s) for i, (s, g) in enumerate(c for c, n in plan.items() for _ in range(n))]
+    powers = {"source": 0.2, "lang": 0.5, "topic": 1.0}
+    docs = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), 0.3, powers).cache()
+    assert docs.where("weight * 0.3 > 1").count() > 0
+    for d in ("source", "lang"):
+        got = docs.groupBy(d).agg(F.sum("tokens").alias("t"), F.sum(F.col("tokens") * F.col("probability")).alias("p")).collect()
+        raised = [(r.t / 40_000) ** powers[d] for r in got]
+        assert [r.p for r in got] == pytest.approx([x / sum(raised) * 12_000 for x in raised], rel=2e-3)
+
+
 def test_licenses(docs, none):
     got = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
     assert (got[9].n_base, got[9].first_word, got[9].last_word, got[9].base_labels, got[9].score) == (2, 0, 3, "cc-by,mit", 1.0)
