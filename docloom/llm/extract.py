@@ -1,9 +1,10 @@
 """Operator 4: HTML extraction by consensus host paths.
 
 Every page's containers are scored by the running text that stands in them, less what is linked; the best container's
-generalised path (tags with their classes, digits taken out) is the page's vote. Votes are summed per host and path in
-Spark, by partial aggregation, so a hot host costs no more than others; each page is then extracted again under
-its host's winning path, or, where it has no such element, under its own best one.
+generalised path (tags with their classes, digits taken out), widened to the article or main element around it, is the
+page's vote. Votes are summed per host and path in Spark, by partial aggregation, so a hot host costs no more than
+others; each page is then extracted again under its host's winning path, or, where that does not hold most of the page's
+own best container (another template of the host, say), under its own best one.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ WORDS = frozenset("nav navbar navigation menu menubar sidebar side rail footer f
 #: Elements that a start tag of these kinds ends when they are open.
 ENDS = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
 
+#: The host's path goes on a page where it holds at least so much of the running text of the page's own best container.
+COVER = 0.8
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
     r"|<(script|style|noscript|template|title|iframe|textarea)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)"
@@ -131,13 +135,17 @@ def blocks(html: str | None) -> list[tuple[str, int, tuple[str, ...], bool]]:
     return out
 
 
+def _worth(text: str, linked: int) -> float:
+    return max(0.0, (len(text) - 2 * linked)) + 20 * text.count(",")
+
+
 def container_scores(found: list[tuple[str, int, tuple[str, ...], bool]]) -> dict[str, float]:
     """Score of each holding path: a block's running text counts fully for its nearest holder, less by a third a level up."""
     scores: dict[str, float] = {}
     for text, linked, path, kept in found:
         if not kept:
             continue
-        worth = max(0.0, (len(text) - 2 * linked)) + 20 * text.count(",")
+        worth = _worth(text, linked)
         share = 1.0
         for n in range(len(path), 0, -1):
             tag = path[n - 1].partition(".")[0]
@@ -150,21 +158,31 @@ def container_scores(found: list[tuple[str, int, tuple[str, ...], bool]]) -> dic
 
 
 def best_path(scores: dict[str, float]) -> str | None:
-    return min(scores, key=lambda k: (-scores[k], k)) if scores else None
+    """The best container's path, up to the nearest article or main element around it, whatever stands between."""
+    if not scores:
+        return None
+    steps = min(scores, key=lambda k: (-scores[k], k)).split("/")
+    for n in range(len(steps), 0, -1):
+        if steps[n - 1].partition(".")[0] in ("article", "main"):
+            return "/".join(steps[:n])
+    return "/".join(steps)
 
 
 def main_text(found: list[tuple[str, int, tuple[str, ...], bool]], winner: str | None) -> str:
-    """The kept blocks under the winning path, or under the page's own best where the page has none of it."""
-    for path in (winner, None):
-        path = path if path is not None else best_path(container_scores(found))
-        if path is None:
-            # no holder at all: bare blocks
-            return "\n".join(text for text, _, _, kept in found if kept)
-        steps = tuple(path.split("/"))
-        chosen = [text for text, _, own, kept in found if kept and own[: len(steps)] == steps]
-        if chosen:
-            return "\n".join(chosen)
-    return ""
+    """The kept blocks under the winning path, or under the page's own best where the winning one does not hold most of that."""
+    own = best_path(container_scores(found))
+    if own is None:
+        # no holder at all: bare blocks
+        return "\n".join(text for text, _, _, kept in found if kept)
+    under = lambda steps, path: path[: len(steps)] == steps
+    best = tuple(own.split("/"))
+    if winner is not None and winner != own:
+        steps = tuple(winner.split("/"))
+        # a text of links alone is worth nothing, but still tells where the container is
+        parts = [(_worth(text, linked) + 1e-6 * len(text), under(steps, path)) for text, linked, path, kept in found if kept and under(best, path)]
+        if sum(w for w, held in parts if held) >= COVER * sum(w for w, _ in parts):
+            best = steps
+    return "\n".join(text for text, _, path, kept in found if kept and under(best, path))
 
 
 def host_of(url):

@@ -106,6 +106,20 @@ def test_extract(spark):
     assert extract.extract_pages(rows.where("page_id < 0")).count() == 0
 
 
+def test_extract_nested_wrappers_and_two_templates(spark):
+    say = lambda word, n: " ".join([word] * n)
+    wrapped = f"<body><article><h1>Title</h1><p>Lead</p><div class=wrap><div class=content><p>{say('body', 200)}</p></div></div></article></body>"
+    halves = f"<body><article><div class=entry><section class=body><p>{say('most', 140)}</p></section><section class=notes><p>{say('rest', 60)}</p></section></div></article></body>"
+    news = f"<body><div class=page><div class=text><p>{say('news', 100)}</p></div></div></body>"
+    # the other template holds an element at the first one's path, too
+    shop = f"<body><div class=page><div class=text><p>Short teaser</p></div><div class=goods><p>{say('goods', 100)}</p></div></div></body>"
+    pages = [(1, "http://a.x/1", wrapped), (2, "http://b.x/1", halves)] + [(10 + i, f"http://c.x/{i}", news) for i in range(4)] + [(20, "http://c.x/20", shop)]
+    got = {r.page_id: (r.text, r.path_votes) for r in extract.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[1] == ("\n".join(["Title", "Lead", say("body", 200)]), 1)
+    assert got[2] == ("\n".join([say("most", 140), say("rest", 60)]), 1)
+    assert all(got[10 + i] == (say("news", 100), 4) for i in range(4)) and got[20] == (say("goods", 100), 4)
+
+
 def test_mixing(docs, none):
     got = mixing.mix(docs, fraction=1.0).select("doc_id", "tokens_", "probability", "kept_").collect()
     assert len(got) == len(ROWS) and all(0 <= r.probability <= 1 for r in got)
