@@ -1,14 +1,15 @@
 """Operator 2: language-model scoring by a hierarchical Pitman-Yor process.
 
-Each context (a class of the word before, by hash) has a Chinese restaurant whose dishes are the words that follow; new
+Each context (the word before, by 48 bits of its hash) has a Chinese restaurant whose dishes are the words that follow; new
 tables draw their dish from one shared parent restaurant of all words, whose own new tables draw from a uniform base
 over the vocabulary and one unknown word. A Gibbs sweep seats the customers of every dish anew, given the tables of
 the other dishes and the parent's predictive probability; tables of the contexts are the parent's customers. The last
 sweeps' predictive probabilities are averaged, and their logarithms sum to a text's score.
 
 Words are spread over buckets by hash, so all of a word's contexts, its parent tables and its occurrences lie in one
-row, and sweeps and scores are narrow passes over the buckets. Between sweeps only the restaurants' sizes, a vector
-of fixed length summed in Spark, go round. Seating is drawn from a seed, bucket and sweep, so a lost task repeats itself.
+row. Between sweeps the restaurants' sizes go round: each bucket sends its part of the sizes of the contexts that it
+meets to the contexts' ranges of hashes, where they are added up and sent back to the buckets that asked; no task and
+no vector holds all contexts. Seating is drawn from a seed, bucket and sweep, so a lost task repeats itself.
 
 A bucket with more than its share of a chunk's occurrences (a very frequent word) is split: its chunks go to several
 rows by salt. Their restaurants are summed in two steps and sent back to every row of the bucket, and each row scores its own occurrences.
@@ -28,28 +29,26 @@ from pyspark.sql import functions as F
 from docloom.llm.words import buckets, deltas, mix, pack, pieces, unpack, word_hashes
 from docloom.session import new_path, small, store
 
-#: Context restaurants: words share one by 16 bits of their hash.
-CONTEXTS = 1 << 16
 SWEEPS, KEPT = 3, 2
 #: Documents of a row of sums, and the sums' unit.
 GROUP, UNIT = 4096, float(1 << 20)
-CHUNK, BUCKET_BYTES, SLICES, SEED = 1_000_000, 8 << 20, 16, 7
+CHUNK, BUCKET_BYTES, SEED = 1_000_000, 8 << 20, 7
+#: Restaurants are added up in ranges of their hashes, one range for so many buckets.
+PART = 8
 END, START = (mix(np.array([x], np.uint64))[0] for x in (1, 2))
 STRENGTH = 1.0
 
 
 class Sizes(NamedTuple):
-    """What a sweep needs of the state before it: tables of each context, customers and tables of the parent."""
+    """What a sweep needs of the state before it besides the tables of its contexts: customers and tables of the parent."""
 
-    tables: np.ndarray
     customers: int
     parent_tables: int
 
 
 class Prior(NamedTuple):
-    """Fixed for all sweeps: training customers of each context, training tokens and vocabulary, discounts."""
+    """Fixed for all sweeps: training tokens and vocabulary, discounts."""
 
-    customers: np.ndarray
     tokens: int
     words: int
     discount: float
@@ -79,12 +78,14 @@ def _chunks(batches, n: int, size: int) -> Iterator[pa.RecordBatch]:
     def flush():
         nonlocal held, keys, flags, ids, total
         words, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-        # word, context and document in one integer: chunks hold under 2**24 words and 2**24 documents
-        joint = (at.astype(np.uint64) << np.uint64(40)) | (np.concatenate([h[1] for h in held]) << np.uint64(24)) | np.concatenate([h[2] for h in held])
-        joint, counts = np.unique(joint, return_counts=True)
-        at = (joint >> np.uint64(40)).astype(np.int64)
+        names, context = np.unique(np.concatenate([h[1] for h in held]), return_inverse=True)
+        # word and context, then these and the document, in one integer: chunks hold under 2**32 of each
+        pairs, pair = np.unique((at.astype(np.uint64) << np.uint64(32)) | context.astype(np.uint64), return_inverse=True)
+        joint, counts = np.unique((pair.astype(np.uint64) << np.uint64(32)) | np.concatenate([h[2] for h in held]), return_counts=True)
+        pair = pairs[(joint >> np.uint64(32)).astype(np.int64)]
+        at, context = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
         cut = np.searchsorted(buckets(words, n, 64), np.arange(n + 1))
-        rows = {k: [] for k in ("bucket", "salt", "words", "runs", "contexts", "documents", "counts")}
+        rows = {k: [] for k in ("bucket", "salt", "words", "runs", "contexts", "names", "documents", "counts")}
         for b in range(n):
             i, j = cut[b], cut[b + 1]
             if j == i:
@@ -95,8 +96,10 @@ def _chunks(batches, n: int, size: int) -> Iterator[pa.RecordBatch]:
             rows["salt"].append(int(mix(np.array([keys[0]], np.uint64))[0] % np.uint64(salts)))
             rows["words"].append(pack(deltas(words[i:j])))
             rows["runs"].append(pack(np.bincount(at[x:y] - i, minlength=j - i)))
-            rows["contexts"].append(pack((joint[x:y] >> np.uint64(24)) & np.uint64(0xFFFF)))
-            rows["documents"].append(pack(joint[x:y] & np.uint64(0xFFFFFF)))
+            met, own = np.unique(context[x:y], return_inverse=True)
+            rows["contexts"].append(pack(own))
+            rows["names"].append(pack(deltas(names[met])))
+            rows["documents"].append(pack(joint[x:y] & np.uint64(0xFFFFFFFF)))
             rows["counts"].append(pack(counts[x:y]))
         m = len(rows["bucket"])
         own, train = pack(deltas(np.array(keys, np.uint64))), pack(np.array(flags))
@@ -124,7 +127,7 @@ def _chunks(batches, n: int, size: int) -> Iterator[pa.RecordBatch]:
             some = bounds[1:] > bounds[:-1]
             last[some] = hashes[bounds[1:][some] - 1]
             word = np.concatenate([hashes, np.full(docs, END, np.uint64)])
-            context = mix(np.concatenate([before, last])) >> np.uint64(48)
+            context = np.concatenate([before, last]) >> np.uint64(16)
             held.append((word, context, np.concatenate([rows, np.arange(docs)]).astype(np.uint64) + np.uint64(len(keys))))
             keys += own[first : first + docs]
             flags += train[first : first + docs]
@@ -136,19 +139,24 @@ def _chunks(batches, n: int, size: int) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _restaurants(word: np.ndarray, contexts: np.ndarray, trained: np.ndarray) -> dict[str, bytes]:
-    """Packed restaurants of sorted (word, context) pairs and their training counts, with the sums that the prior needs."""
+def _restaurants(word: np.ndarray, contexts: np.ndarray, names: np.ndarray, trained: np.ndarray) -> dict[str, bytes]:
+    """Packed restaurants of sorted (word, place of the context in names) pairs and their training counts, with the sums that the prior needs."""
     starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
     seen = np.add.reduceat(trained, starts)
     by_word = np.add.reduceat((trained > 0).astype(np.int64), starts)
     sums = [trained.sum(), (seen > 0).sum(), (trained == 1).sum(), (trained == 2).sum(), (by_word == 1).sum(), (by_word == 2).sum(), by_word.sum()]
     found = {
-        "words": deltas(word[starts]), "pairs": np.diff(np.r_[starts, len(word)]), "contexts": contexts, "trained": trained,
-        "customers": np.bincount(contexts, trained, CONTEXTS).astype(np.int64), "tables": np.bincount(contexts[trained > 0], minlength=CONTEXTS), "sums": np.array(sums),
+        "words": deltas(word[starts]), "pairs": np.diff(np.r_[starts, len(word)]), "contexts": contexts, "names": deltas(names), "trained": trained,
+        "customers": np.bincount(contexts, trained, len(names)).astype(np.int64), "tables": np.bincount(contexts[trained > 0], minlength=len(names)), "sums": np.array(sums),
     }
     return {k: pack(v) for k, v in found.items()}
 
 
+def _named(row: dict) -> np.ndarray:
+    """The contexts of a row's pairs or entries."""
+    return np.cumsum(unpack(row["names"]), dtype=np.uint64)[unpack(row["contexts"]).astype(np.int64)]
+
+
 def _merge(part: pa.Table) -> pa.Table:
     """One row of a bucket and salt: its words, their (word, context) pairs with training counts, and occurrences by document."""
     words, contexts, keys, counts, train, named = [], [], [], [], [], {}
@@ -160,12 +168,13 @@ def _merge(part: pa.Table) -> pa.Table:
             named.update(zip(own.tolist(), _unpack_ids(row["ids"])))
         docs = unpack(row["documents"]).astype(np.int64)
         words.append(np.repeat(np.cumsum(unpack(row["words"]), dtype=np.uint64), runs))
-        contexts.append(unpack(row["contexts"]).astype(np.uint16))
+        contexts.append(_named(row))
         keys.append(own[docs])
         counts.append(unpack(row["counts"]).astype(np.int32))
         train.append(unpack(row["train"]).astype(bool)[docs])
     word, context, key, count, flag = (np.concatenate(x) for x in (words, contexts, keys, counts, train))
     del words, contexts, keys, counts, train, part_rows
+    names, context = np.unique(context, return_inverse=True)
     order = np.lexsort((context, word))
     word, context = word[order], context[order]
     new_word = np.r_[True, word[1:] != word[:-1]]
@@ -178,7 +187,7 @@ def _merge(part: pa.Table) -> pa.Table:
         {
             "bucket": part.column("bucket").slice(0, 1).combine_chunks(),
             "salt": part.column("salt").slice(0, 1).combine_chunks(),
-            **{k: binary(v) for k, v in _restaurants(word[pair], context[pair].astype(np.int64), trained).items()},
+            **{k: binary(v) for k, v in _restaurants(word[pair], context[pair], names, trained).items()},
             "runs": binary(pack(np.diff(np.r_[pair, len(word)]))),
             "documents": binary(pack(document)),
             "counts": binary(pack(count)),
@@ -190,18 +199,19 @@ def _merge(part: pa.Table) -> pa.Table:
 
 def _add_restaurants(part: pa.Table) -> pa.Table:
     """The restaurants of several rows of one bucket as one row; salt becomes their largest."""
-    found = part.select(["words", "pairs", "contexts", "trained"]).to_pylist()
+    found = part.select(["words", "pairs", "contexts", "names", "trained"]).to_pylist()
     word = np.concatenate([np.repeat(np.cumsum(unpack(r["words"]), dtype=np.uint64), unpack(r["pairs"]).astype(np.int64)) for r in found])
-    context, trained = (np.concatenate([unpack(r[k]).astype(np.int64) for r in found]) for k in ("contexts", "trained"))
+    trained = np.concatenate([unpack(r["trained"]).astype(np.int64) for r in found])
+    names, context = np.unique(np.concatenate([_named(r) for r in found]), return_inverse=True)
     order = np.lexsort((context, word))
     word, context = word[order], context[order]
     pair = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (context[1:] != context[:-1])])
-    out = _restaurants(word[pair], context[pair], np.add.reduceat(trained[order], pair))
+    out = _restaurants(word[pair], context[pair], names, np.add.reduceat(trained[order], pair))
     ends = {"bucket": part.column("bucket")[0].as_py(), "salt": max(part.column("salt").to_pylist())}
     return pa.table({**{k: pa.array([v], pa.int32()) for k, v in ends.items()}, **{k: pa.array([v], pa.binary()) for k, v in out.items()}})
 
 
-_STATE = "words binary, pairs binary, contexts binary, trained binary, customers binary, tables binary, sums binary"
+_STATE = "words binary, pairs binary, contexts binary, names binary, trained binary, customers binary, tables binary, sums binary"
 _BUCKET = f"bucket int, salt int, {_STATE}, runs binary, documents binary, counts binary, keys binary, ids binary"
 #: Rows of a split bucket that one task adds up at a time.
 FAN_IN = 64
@@ -209,20 +219,20 @@ FAN_IN = 64
 
 def _restaurant_rows(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of rows by bucket and salt: one row of restaurants a bucket, and the rows to score, with their bucket's restaurants."""
-    state, seats = ["pairs", "contexts", "trained", "customers", "tables", "sums"], ["runs", "documents", "counts", "keys", "ids"]
-    none = [F.lit(None).cast("binary").alias(k) for k in ("words", "own_words", "own_pairs", "own_contexts")]
-    scored = lambda df: df.select("bucket", *state[:3], *seats, *none)
+    state, seats = ["pairs", "contexts", "trained", "names", "customers", "tables", "sums"], ["runs", "documents", "counts", "keys", "ids"]
+    none = [F.lit(None).cast("binary").alias(k) for k in ("words", "own_words", "own_pairs", "own_contexts", "own_names")]
+    scored = lambda df: df.select("bucket", *state[:4], *seats, *none)
     split = table.where("salt > 0").select("bucket").distinct()
     if split.isEmpty():
         return table.select("bucket", *state), scored(table)
     split = small(split)
     whole, parts = table.join(split, "bucket", "left_anti"), table.join(split, "bucket", "left_semi")
     schema = f"bucket int, salt int, {_STATE}"
-    added = parts.select("bucket", "salt", "words", *state[:3]).groupBy("bucket", F.floor(F.col("salt") / FAN_IN)).applyInArrow(_add_restaurants, schema)
+    added = parts.select("bucket", "salt", "words", *state[:4]).groupBy("bucket", F.floor(F.col("salt") / FAN_IN)).applyInArrow(_add_restaurants, schema)
     added = store(added.groupBy("bucket").applyInArrow(_add_restaurants, schema), "split-restaurants")
-    sent = added.select("bucket", F.explode(F.sequence(F.lit(0), F.col("salt"))).alias("salt"), "words", *state[:3])
-    own = parts.select("bucket", "salt", *[F.col(k).alias(f"own_{k}") for k in ("words", "pairs", "contexts")], *seats)
-    joined = own.join(sent, ["bucket", "salt"]).select("bucket", *state[:3], *seats, "words", "own_words", "own_pairs", "own_contexts")
+    sent = added.select("bucket", F.explode(F.sequence(F.lit(0), F.col("salt"))).alias("salt"), "words", *state[:4])
+    own = parts.select("bucket", "salt", *[F.col(k).alias(f"own_{k}") for k in ("words", "pairs", "contexts", "names")], *seats)
+    joined = own.join(sent, ["bucket", "salt"]).select("bucket", *state[:4], *seats, "words", "own_words", "own_pairs", "own_contexts", "own_names")
     return whole.select("bucket", *state).unionByName(added.select("bucket", *state)), scored(whole).unionByName(joined)
 
 
@@ -236,28 +246,69 @@ def _total(vectors: DataFrame) -> dict[int, np.ndarray]:
     return {r["slice"]: unpack(bytes(r["values"])).astype(np.int64) for r in rows}
 
 
-def _sliced(vector: np.ndarray) -> list[bytes]:
-    return [pack(x) for x in np.split(vector, SLICES)]
+def _sent(number: int, names: np.ndarray, values: dict[str, np.ndarray], parts: int, sums: tuple[int, int] = (0, 0)) -> Iterator[dict]:
+    """A bucket's sizes of its contexts, a row for each range of hashes that it meets; sums stand in the first."""
+    cut = np.searchsorted(buckets(names, parts, 48), np.arange(parts + 1))
+    for p in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+        i, j = cut[p], cut[p + 1]
+        yield {"bucket": number, "part": p, "names": pack(deltas(names[i:j])), "customers": sums[0], "parent_tables": sums[1]} | {k: pack(v[i:j]) for k, v in values.items()}
+        sums = (0, 0)
+
+
+def _sent_schema(values: list[str]) -> str:
+    return ", ".join(["bucket int, part int, names binary, customers bigint, parent_tables bigint", *[f"{k} binary" for k in values]])
 
 
-def _gather(slices: dict[int, np.ndarray], first: int) -> np.ndarray:
-    return np.concatenate([slices[first + i] for i in range(SLICES)]) if slices else np.zeros(CONTEXTS, np.int64)
+_KINDS = {"bucket": pa.int32(), "part": pa.int32(), "names": pa.binary(), "customers": pa.int64(), "parent_tables": pa.int64()}
 
 
-def prior_of(rows: DataFrame) -> tuple[Prior, Sizes]:
+def _batch(rows: list[dict], values: list[str]) -> pa.RecordBatch:
+    kinds = _KINDS | {k: pa.binary() for k in values}
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in kinds.items()], list(kinds))
+
+
+def _added(sent: DataFrame, values: list[str]) -> tuple[DataFrame, Sizes]:
+    """Of rows by bucket and range: the values' sums over all buckets, as arrays by range in a row for each bucket; the sums' sums."""
+
+    def add(part: pa.Table) -> pa.Table:
+        found = part.to_pylist()
+        names = [np.cumsum(unpack(r["names"]), dtype=np.uint64) for r in found]
+        _, at = np.unique(np.concatenate(names), return_inverse=True)
+        ends = np.cumsum([len(x) for x in names])[:-1]
+        out = {k: part.column(k) for k in ("bucket", "part", "customers", "parent_tables")}
+        for k in values:
+            sums = np.bincount(at, np.concatenate([unpack(r[k]) for r in found]).astype(np.float64)).astype(np.int64)
+            out[k] = pa.array([pack(x) for x in np.split(sums[at], ends)], pa.binary())
+        return pa.table(out)
+
+    schema = _sent_schema(values).replace(" names binary,", "")
+    path = new_path(sent.sparkSession, "sizes")
+    sent.groupBy("part").applyInArrow(add, schema).write.parquet(path)
+    summed = sent.sparkSession.read.schema(schema).parquet(path)
+    sums = summed.agg(F.sum("customers"), F.sum("parent_tables")).first()
+    rows = summed.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("part", *values))).alias("found"))
+    return rows.select("bucket", *[F.col("found")[k].alias(k) for k in values]), Sizes(sums[0] or 0, sums[1] or 0)
+
+
+def _vector(found: list[bytes]) -> np.ndarray:
+    return np.concatenate([unpack(x).astype(np.int64) for x in found])
+
+
+def prior_of(rows: DataFrame, parts: int) -> tuple[Prior, Sizes, DataFrame]:
+    """The prior, the sizes before the first sweep, and of each bucket its contexts' customers (seated) and tables (tables0)."""
+
     def vectors(batches):
         for batch in batches:
-            slices, values = [], []
-            for c, t, s in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                slices += range(2 * SLICES + 1)
-                values += [*_sliced(unpack(c)), *_sliced(unpack(t)), s]
-            yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array(values, pa.binary())], ["slice", "values"])
-
-    found = _total(rows.select("customers", "tables", "sums").mapInArrow(vectors, "slice int, values binary"))
-    tokens, words, ones, twos, single, double, tables = (int(x) for x in found.get(2 * SLICES, np.zeros(7, np.int64)))
+            for number, names, seated, tables in zip(*(c.to_pylist() for c in batch.columns)):
+                names = np.cumsum(unpack(names), dtype=np.uint64)
+                yield _batch(list(_sent(number, names, {"seated": unpack(seated), "tables0": unpack(tables)}, parts)), ["seated", "tables0"])
+
+    found = _total(rows.select(F.lit(0).alias("slice"), F.col("sums").alias("values")))
+    tokens, words, ones, twos, single, double, tables = (int(x) for x in found.get(0, np.zeros(7, np.int64)))
     discount = lambda a, b: float(np.clip(a / (a + 2 * b) if a + b else 0.5, 0.05, 0.95))
-    prior = Prior(_gather(found, 0), tokens, words, discount(ones, twos), discount(single, double))
-    return prior, Sizes(_gather(found, SLICES), tables, words)
+    prior = Prior(tokens, words, discount(ones, twos), discount(single, double))
+    sent = rows.select("bucket", "names", "customers", "tables").mapInArrow(vectors, _sent_schema(["seated", "tables0"]))
+    return prior, Sizes(tables, words), _added(sent, ["seated", "tables0"])[0]
 
 
 def seat(customers: np.ndarray, pull: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -280,10 +331,11 @@ def seat(customers: np.ndarray, pull: np.ndarray, discount: float, rng: np.rando
 class Bucket:
     """The seating of one bucket's words."""
 
-    def __init__(self, number: int, pairs: bytes, contexts: bytes, trained: bytes, prior: Prior):
+    def __init__(self, number: int, pairs: bytes, contexts: bytes, trained: bytes, seated: list[bytes], prior: Prior):
         self.number, self.prior = number, prior
         self.pairs, self.contexts = unpack(pairs).astype(np.int64), unpack(contexts).astype(np.int64)
         self.customers = unpack(trained).astype(np.int64)
+        self.seated = _vector(seated)
         self.starts = np.cumsum(self.pairs) - self.pairs
         self.base = 1.0 / (prior.words + 1)
         self.tables = (self.customers > 0).astype(np.float64)
@@ -298,60 +350,63 @@ class Bucket:
         new = (STRENGTH + d * sizes.parent_tables) * self.base
         return (self.parents - d * self.parent_tables + new) / (STRENGTH + sizes.customers)
 
-    def sweep(self, k: int, sizes: Sizes) -> None:
+    def sweep(self, k: int, sizes: Sizes, tables: np.ndarray) -> None:
         rng = np.random.default_rng([SEED, self.number, k])
         d = self.prior.discount
-        pull = (STRENGTH + d * sizes.tables[self.contexts]) * np.repeat(self.parent(sizes), self.pairs)
+        pull = (STRENGTH + d * tables[self.contexts]) * np.repeat(self.parent(sizes), self.pairs)
         self.tables = seat(self.customers, pull, d, rng)
         self.sum_tables()
         pull = np.full(len(self.parents), (STRENGTH + self.prior.parent_discount * sizes.parent_tables) * self.base)
         self.parent_tables = seat(self.parents.astype(np.int64), pull, self.prior.parent_discount, rng)
 
-    def places(self, words: bytes, own_words: bytes, own_pairs: bytes, own_contexts: bytes) -> np.ndarray:
+    def places(self, words: bytes, own_words: bytes, own_pairs: bytes, own_contexts: bytes, names: bytes, own_names: bytes) -> np.ndarray:
         """Where the pairs of one part of a split bucket stand among the whole bucket's."""
-        joint = np.repeat(np.arange(len(self.pairs)), self.pairs) << 16 | self.contexts
+        joint = np.repeat(np.arange(len(self.pairs)), self.pairs) << 32 | self.contexts
+        met = np.searchsorted(np.cumsum(unpack(names), dtype=np.uint64), np.cumsum(unpack(own_names), dtype=np.uint64))
         word = np.searchsorted(np.cumsum(unpack(words), dtype=np.uint64), np.cumsum(unpack(own_words), dtype=np.uint64))
-        return np.searchsorted(joint, np.repeat(word, unpack(own_pairs).astype(np.int64)) << 16 | unpack(own_contexts).astype(np.int64))
+        return np.searchsorted(joint, np.repeat(word, unpack(own_pairs).astype(np.int64)) << 32 | met[unpack(own_contexts).astype(np.int64)])
 
-    def predict(self, sizes: Sizes) -> np.ndarray:
+    def predict(self, sizes: Sizes, tables: np.ndarray) -> np.ndarray:
         """Probability of each pair's word in its context, under the present seating and its sizes."""
-        d, customers = self.prior.discount, self.prior.customers[self.contexts]
+        d, customers = self.prior.discount, self.seated[self.contexts]
         parent = np.repeat(self.parent(sizes), self.pairs)
-        own = (self.customers - d * self.tables + (STRENGTH + d * sizes.tables[self.contexts]) * parent) / (STRENGTH + customers)
+        own = (self.customers - d * self.tables + (STRENGTH + d * tables[self.contexts]) * parent) / (STRENGTH + customers)
         return np.where(customers > 0, own, parent)
 
 
-def _bucket_rows(batch: pa.RecordBatch, prior: Prior) -> Iterator[tuple[Bucket, int]]:
+def _bucket_rows(batch: pa.RecordBatch, prior: Prior, states: int) -> Iterator[tuple[Bucket, list[np.ndarray], int]]:
+    """Each row's bucket, and its contexts' tables in each state."""
     for i in range(batch.num_rows):
-        yield Bucket(batch.column(0)[i].as_py(), *(batch.column(k)[i].as_py() for k in (1, 2, 3)), prior), i
+        values = [batch.column(k)[i].as_py() for k in ("bucket", "pairs", "contexts", "trained", "seated")]
+        yield Bucket(*values, prior), [_vector(batch.column(f"tables{j}")[i].as_py()) for j in range(states)], i
 
 
-def gibbs(rows: DataFrame, prior: Prior, start: Sizes, sweeps: int = SWEEPS) -> list[Sizes]:
-    """The sizes before and after each sweep."""
+def gibbs(rows: DataFrame, prior: Prior, start: Sizes, known_sizes: DataFrame, parts: int, sweeps: int = SWEEPS) -> tuple[list[Sizes], DataFrame]:
+    """The sizes before and after each sweep, and those of each bucket's contexts (tables0, tables1 and so on)."""
     states = [start]
     context = rows.sparkSession.sparkContext
     for k in range(sweeps):
         known = context.broadcast((prior, states))
+        new = f"tables{k + 1}"
 
-        def run(batches, known=known):
+        def run(batches, known=known, new=new):
             prior, states = known.value
             for batch in batches:
-                slices, values = [], []
-                for bucket, _ in _bucket_rows(batch, prior):
+                for bucket, tables, i in _bucket_rows(batch, prior, len(states)):
                     for j, sizes in enumerate(states):
-                        bucket.sweep(j, sizes)
-                    slices += range(SLICES + 1)
-                    values += _sliced(np.bincount(bucket.contexts, bucket.tables, CONTEXTS).astype(np.int64))
-                    values.append(pack(np.array([bucket.parents.sum(), bucket.parent_tables.sum()], np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array(values, pa.binary())], ["slice", "values"])
+                        bucket.sweep(j, sizes, tables[j])
+                    names = np.cumsum(unpack(batch.column("names")[i].as_py()), dtype=np.uint64)
+                    own = np.bincount(bucket.contexts, bucket.tables, len(names)).astype(np.int64)
+                    sums = (int(bucket.parents.sum()), int(bucket.parent_tables.sum()))
+                    yield _batch(list(_sent(bucket.number, names, {new: own}, parts, sums)), [new])
 
-        found = _total(rows.select("bucket", "pairs", "contexts", "trained").mapInArrow(run, "slice int, values binary"))
-        customers, parent_tables = (int(x) for x in found.get(SLICES, np.zeros(2, np.int64)))
-        states = [*states, Sizes(_gather(found, 0), customers, parent_tables)]
-    return states
+        sent = rows.select("bucket", "pairs", "contexts", "trained", "names").join(known_sizes, "bucket").mapInArrow(run, _sent_schema([new]))
+        found, sizes = _added(sent, [new])
+        known_sizes, states = known_sizes.join(found, "bucket"), [*states, sizes]
+    return states, known_sizes
 
 
-def _scores(rows: DataFrame, prior: Prior, states: list[Sizes], kept: int) -> DataFrame:
+def _scores(rows: DataFrame, prior: Prior, states: list[Sizes], known_sizes: DataFrame, kept: int) -> DataFrame:
     """doc_id, tokens, known, base, score of each document: sums over the buckets, exchanged packed by runs of GROUP documents.
 
     base: sum of log10(c + 1). Sums travel in units of 2**-20.
@@ -362,21 +417,21 @@ def _scores(rows: DataFrame, prior: Prior, states: list[Sizes], kept: int) -> Da
         prior, states = known.value
         for batch in batches:
             parts, named = [], {}
-            for bucket, i in _bucket_rows(batch, prior):
+            for bucket, tables, i in _bucket_rows(batch, prior, len(states)):
                 mean = np.zeros(len(bucket.contexts))
                 for j, sizes in enumerate(states[:-1]):
-                    bucket.sweep(j, sizes)
+                    bucket.sweep(j, sizes, tables[j])
                     if j >= len(states) - 1 - kept:
-                        mean += bucket.predict(states[j + 1]) / kept
+                        mean += bucket.predict(states[j + 1], tables[j + 1]) / kept
                 seen = np.add.reduceat(bucket.customers, bucket.starts)
                 base = np.repeat(np.log10(seen + 1), bucket.pairs)
-                runs, documents, counts = (unpack(batch.column(k)[i].as_py()).astype(np.int64) for k in (4, 5, 6))
-                keys = np.cumsum(unpack(batch.column(7)[i].as_py()), dtype=np.uint64)
-                if batch.column(8)[i].is_valid:
-                    named.update(zip(keys.tolist(), _unpack_ids(batch.column(8)[i].as_py())))
+                runs, documents, counts = (unpack(batch.column(k)[i].as_py()).astype(np.int64) for k in ("runs", "documents", "counts"))
+                keys = np.cumsum(unpack(batch.column("keys")[i].as_py()), dtype=np.uint64)
+                if batch.column("ids")[i].is_valid:
+                    named.update(zip(keys.tolist(), _unpack_ids(batch.column("ids")[i].as_py())))
                 was = np.repeat((seen > 0).astype(np.int64), bucket.pairs)
-                if batch.column(9)[i].is_valid:
-                    at = bucket.places(*(batch.column(k)[i].as_py() for k in (9, 10, 11, 12)))
+                if batch.column("words")[i].is_valid:
+                    at = bucket.places(*(batch.column(k)[i].as_py() for k in ("words", "own_words", "own_pairs", "own_contexts", "names", "own_names")))
                     mean, base, was = mean[at], base[at], was[at]
                 add = lambda x: np.bincount(documents, np.repeat(x, runs) * counts, len(keys))
                 parts.append((keys, np.bincount(documents, counts, len(keys)), add(was), add(base), add(-np.log10(mean))))
@@ -409,7 +464,7 @@ def _scores(rows: DataFrame, prior: Prior, states: list[Sizes], kept: int) -> Da
         out = [pa.array([ids[k] for k in at.tolist()], pa.int64()), *(pa.array(sums[k, at].astype(np.int64)) for k in (0, 1)), *(pa.array(sums[k, at] / UNIT) for k in (2, 3))]
         return pa.table(out, names=["doc_id", "tokens", "known", "base", "score"])
 
-    sent = rows.mapInArrow(run, "group bigint, keys binary, tokens binary, known binary, base binary, score binary, named binary, ids binary")
+    sent = rows.join(known_sizes, "bucket").mapInArrow(run, "group bigint, keys binary, tokens binary, known binary, base binary, score binary, named binary, ids binary")
     return sent.groupBy("group").applyInArrow(add_up, "doc_id bigint, tokens bigint, known bigint, base double, score double")
 
 
@@ -427,15 +482,16 @@ def score_documents(docs: DataFrame, sweeps: int = SWEEPS, kept: int = KEPT, buc
     n = int(max(1, amount // bucket_bytes))
     # a row's key is its place in this one scan; it comes back with the row's doc_id, so no second scan must agree with it
     parts = rows.select(F.monotonically_increasing_id().alias("key"), ~held_out(F.col("doc_id")), "doc_id", "text").mapInArrow(
-        lambda batches: _chunks(batches, n, chunk), "bucket int, salt int, words binary, runs binary, contexts binary, documents binary, counts binary, keys binary, train binary, ids binary"
+        lambda batches: _chunks(batches, n, chunk), "bucket int, salt int, words binary, runs binary, contexts binary, names binary, documents binary, counts binary, keys binary, train binary, ids binary"
     )
     path = new_path(spark, "restaurants")
     parts.groupBy("bucket", "salt").applyInArrow(_merge, _BUCKET).write.parquet(path)
     table = spark.read.schema(_BUCKET).parquet(path)
     restaurants, scored = _restaurant_rows(table)
-    prior, start = prior_of(restaurants)
-    states = gibbs(restaurants, prior, start, sweeps)
-    sums = _scores(scored, prior, states, kept)
+    ranges = max(1, n // PART)
+    prior, start, sizes = prior_of(restaurants, ranges)
+    states, sizes = gibbs(restaurants, prior, start, sizes, ranges, sweeps)
+    sums = _scores(scored, prior, states, sizes, kept)
     return sums.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),

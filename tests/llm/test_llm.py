@@ -91,6 +91,19 @@ def test_lm_split_buckets(spark, monkeypatch):
         assert (n, k, trained) == (len(words), sum(counts[w] > 0 for w in words), total) and abs(got - base) < 0.01
 
 
+def test_lm_each_word_is_a_context_of_its_own(spark):
+    """400,000 words, each with one follower: a text of seen pairs scores as with 1,000 words, for no other word's followers count."""
+    test, *train = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 == 2][:1] + [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 != 2]
+    each = []
+    for many in (500, 200_000):
+        texts = [" ".join(f"a{i} b{i}" for i in range(k, k + 500)) for k in range(0, many, 500)]
+        rows = [(test, " ".join(f"a{i} b{i}" for i in range(400))), *[(train[2 * k + c], t) for k, t in enumerate(texts) for c in (0, 1)]]
+        got = pitman_yor.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), bucket_bytes=1 << 20).where("held_out").first()
+        each.append(got.score / got.n_tokens)
+    print(each)
+    assert each[1] == pytest.approx(each[0], abs=0.1)
+
+
 def test_decontaminate(spark, docs, none):
     items = spark.createDataFrame([(1, " ".join(f"T{i}" for i in range(10, 40))), (2, None), (3, "two WORDS"), (4, "not there at all ever")], "item_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, items).collect()) == [(1, 1), (2, 1), (5, 3), (8, 1)]
