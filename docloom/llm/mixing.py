@@ -48,7 +48,10 @@ def topic(text: Column) -> Column:
 
 
 def fit_cells(cells: DataFrame, powers: dict[str, float], rounds: int = ROUNDS) -> DataFrame:
-    """Cells (dimensions, tokens) with a raked weight whose marginals are the targets; a cell without tokens weighs 0."""
+    """Cells (dimensions, tokens) with a raked weight whose marginals are the targets; a cell without tokens weighs 0.
+
+    Rounds go on in blocks until the marginals hold (see TOLERANCE); those that cannot be met are logged as a warning.
+    """
     current = cells.withColumn("weight", F.col("tokens").cast("double"))
     total = cells.agg(F.sum("tokens").cast("double").alias("all"))
     for d, power in powers.items():
@@ -60,7 +63,15 @@ def fit_cells(cells: DataFrame, powers: dict[str, float], rounds: int = ROUNDS)
     current = store(current, "cells")
     if current.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         current = current.coalesce(1)  # the few cells' windows need no exchange then
-    return _rake(current, list(powers), rounds)
+    dims, last = list(powers), float("inf")
+    current = _rake(current, dims, rounds)
+    for _ in range(BLOCKS):
+        off = _off(current, dims)
+        if off <= TOLERANCE or off > 0.99 * last:
+            break
+        current, last = _rake(current, dims, rounds), off
+    report(current, dims, "weight")
+    return current
 
 
 def _rake(current: DataFrame, dims: list[str], rounds: int, weight: Column | None = None, target: str = "target") -> DataFrame:

@@ -170,6 +170,23 @@ def test_mixing_full_cells_leave_their_share_to_others(spark):
         assert [r.p for r in got] == pytest.approx([x / sum(raised) * 12_000 for x in raised], rel=2e-3)
 
 
+def test_mixing_rakes_until_marginals_hold(spark, caplog):
+    powers = {"source": 0.3, "lang": 1.0, "topic": 1.0}
+
+    def off(cells):
+        rows = mixing.fit_cells(spark.createDataFrame([(*c, "note", n) for c, n in cells.items()], "source string, lang string, topic string, tokens long"), powers).collect()
+        sums, own = Counter(), Counter()
+        for r in rows:
+            sums[r.source] += r.weight
+            own[r.source] += r.tokens
+        raised = {s: (n / sum(own.values())) ** 0.3 for s, n in own.items()}
+        return max(abs(sums[s] / raised[s] * sum(raised.values()) - 1) for s in own)
+
+    assert off({("a", "x"): 100_000, ("a", "y"): 1, ("b", "x"): 1, ("b", "y"): 3000}) < 2e-3 and "cannot be met" not in caplog.text
+    # a language for each source: source targets are out of reach, and that is said
+    assert off({("a", "x"): 1000, ("b", "y"): 300}) > 0.1 and "cannot be met" in caplog.text and "source=b" in caplog.text
+
+
 def test_licenses(docs, none):
     got = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
     assert (got[9].n_base, got[9].first_word, got[9].last_word, got[9].base_labels, got[9].score) == (2, 0, 3, "cc-by,mit", 1.0)
