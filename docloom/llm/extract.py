@@ -5,11 +5,18 @@ generalised path (tags with their classes, digits taken out), widened to the art
 page's vote. Votes are summed per host and path in Spark, by partial aggregation, so a hot host costs no more than
 others; each page is then extracted again under its host's winning path, or, where that does not hold most of the page's
 own best container (another template of the host, say), under its own best one.
+
+Elements leave the text by what they are (menus, forms, scripts, hidden ones), or by a class or id that as a whole names
+comments, adverts, menus and the like (`ad-slot`, not `share-price`). A name that only hints at a notice or a list of links
+(`notice`, `header`, `related`) takes an element out only where links make up half of it, or where the host votes so:
+the path's texts repeat over pages of different text. No name takes out an element that holds the article, main or h1.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterable
 from html import unescape
 
 import pyarrow as pa
@@ -24,167 +31,346 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 DROPPED = frozenset("nav footer aside form button select textarea menu dialog head iframe object svg canvas noscript template".split())
 HOLDERS = frozenset("article main section div td body blockquote center".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-WORDS = frozenset("nav navbar navigation menu menubar sidebar side rail footer foot header masthead topbar banner ad ads adv advert adverts advertisement promo promotion sponsor sponsored commercial comment comments commentlist reply replies respond discussion disqus cookie cookies consent gdpr notice notices notification alert warning popup modal overlay newsletter subscribe subscription signup social share sharing related recommended recommendations breadcrumb breadcrumbs crumbs pagination pager widget form search login skip toolbar copyright legal disclaimer tags author-box toc".split())
+#: Elements whose content is no markup.
+RAW = frozenset("script style title textarea iframe xmp noframes".split())
+#: A class or id of these words alone (and PLAIN ones) names what is no part of an article.
+HARD = frozenset("nav navbar navigation menu menubar sidebar footer masthead topbar ad ads adv advert adverts advertisement advertisements adsbygoogle promo promotion sponsor sponsored commercial comment comments commentlist respond disqus cookie cookies consent gdpr newsletter subscribe subscription signup popup modal overlay breadcrumb breadcrumbs crumbs pagination pager login toolbar".split())
+#: These only hint at it.
+SOFT = frozenset("header banner side rail foot notice notices notification notifications alert alerts warning warnings message share sharing social related recommended recommendations search form widget widgets legal copyright disclaimer tags toc replies reply discussion skip author".split())
+PLAIN = frozenset("area bar block body bottom box button buttons col column container content entry group holder inner item items left link links list main module outer page panel right row section site slot strip text thread top unit wrap wrapper global primary secondary".split())
 #: Elements that a start tag of these kinds ends when they are open.
 ENDS = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
+WIDE = ("article", "main")
 
 #: The host's path goes on a page where it holds at least so much of the running text of the page's own best container.
 COVER = 0.8
+#: A hinted path is voted out where its texts repeat so: at least so many pages of different text, and at most this share of
+#: different texts among them.
+PAGES, DISTINCT = 3, 0.5
+
+KEPT, ALWAYS, NAMED, HINTED = range(4)
+_ATTR = re.compile(r"""([^\s"'<>/=][^\s<>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>]+)))?""")
+_NAME = re.compile(r"[a-zA-Z][\w:-]*")
+_STOP = re.compile(r"[>\"']")
+_kinds: dict[tuple[str, str], tuple[str, int]] = {}
+
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
-    r"|<(script|style|noscript|template|title|iframe|textarea)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)"
-    r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
-_ATTR = re.compile(r"""\b(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_kinds: dict[tuple[str, str], tuple[str, bool]] = {}
+def _says(name: str) -> int:
+    """What a class or id says about its element."""
+    parts = [x.lower() for x in re.split(r"[-_\d]+|(?<=[a-z])(?=[A-Z])", name) if x]
+    if not parts or any(x not in HARD and x not in SOFT and x not in PLAIN for x in parts):
+        return KEPT
+    if any(x in HARD for x in parts):
+        return NAMED
+    return HINTED if any(x in SOFT for x in parts) else KEPT
 
 
-def _kind(tag: str, attrs: str) -> tuple[str, bool]:
-    """Generalised name of an element, and whether it holds no article."""
+def _kind(tag: str, attrs: str) -> tuple[str, int]:
+    """Generalised name of an element (its tag with its classes), and why it may hold no article."""
     known = _kinds.get((tag, attrs))
-    if known is None:
-        found = {m[0].lower(): m[1] or m[2] or m[3] for m in _ATTR.findall(attrs)} if attrs else {}
-        names = [re.sub(r"\d+", "#", n.lower()) for n in found.get("class", "").split()]
-        own = [*names, *found.get("id", "").lower().split()]
-        bad = tag in DROPPED or found.get("role", "").lower() in ROLES or "hidden" in found
-        if tag not in ("article", "main", "body", "html"):
-            for name in own:
-                parts = [x for x in re.split(r"[-_#]+|(?<=[a-z])(?=[A-Z])", name) if x]
-                if parts and parts[0] not in ("has", "with", "no") and (parts[0] in WORDS or parts[-1] in WORDS):
-                    bad = True
+    if known is not None:
+        return known
+    found: dict[str, str] = {}
+    for m in _ATTR.findall(attrs):
+        found.setdefault(m[0].lower(), m[1] or m[2] or m[3])
+    classes = unescape(found.get("class", "")).split()
+    kind = KEPT
+    hidden = "hidden" in found or re.search(r"(?:^|;)\s*display\s*:\s*none", found.get("style", ""), re.I)
+    if tag in DROPPED or hidden or set(found.get("role", "").lower().split()) & ROLES:
+        kind = ALWAYS
+    elif tag not in ("article", "main", "body", "html", "h1", "h2", "h3", "h4", "h5", "h6"):
+        said = {_says(n) for n in (*classes, *found.get("id", "").split())}
+        kind = NAMED if NAMED in said else HINTED if HINTED in said else KEPT
+    elif tag == "article" and any(_says(n) == NAMED for n in classes):
+        kind = NAMED
+    known = ".".join([tag, *sorted({re.sub(r"\d+", "#", n.lower()).replace("/", "_") for n in classes})]), kind
+    if len(attrs) < 1000:
         if len(_kinds) > 100_000:
             _kinds.clear()
-        known = _kinds[tag, attrs] = (".".join([tag, *sorted(set(names))]), bad)
+        _kinds[tag, attrs] = known
     return known
 
 
-def blocks(html: str | None) -> list[tuple[str, int, tuple[str, ...], bool]]:
-    """(text, linked characters, path, kept) of each block of text in page order; kept: under no dropped element."""
-    html = html or ""
-    out, stack, held = [], [], []  # stack: (tag, name, bad)
-    linked = link = bad = 0
-    at = 0
+class Page:
+    """Elements (block ones, and inline ones that go) and blocks of text of one page, read in one linear scan.
 
-    def flush() -> None:
-        nonlocal linked
-        if held:
-            text = " ".join(unescape("".join(held)).split())
-            held.clear()
+    An element's path is a number; steps holds each path's parent and last name. blocks: (text, linked characters, element).
+    """
+
+    def __init__(self, html: str | None):
+        self.tags, self.kinds, self.parents, self.paths = [""], [KEPT], [-1], [0]
+        self.steps: list[tuple[int, str]] = [(-1, "")]
+        self.known: dict[tuple[int, str], int] = {}
+        self.blocks: list[tuple[str, int, int]] = []
+        self._stack, self._open, self._held = [0], {}, []
+        self._linked = self._skip = self._link = 0
+        self._scan(html or "")
+
+    def _flush(self) -> None:
+        if self._held:
+            text = " ".join(unescape("".join(self._held)).split())
+            self._held.clear()
             if text:
-                out.append((text, min(linked, len(text)), tuple(s[1] for s in stack), not bad))
-        linked = 0
-
-    def pop_to(n: int) -> None:
-        nonlocal bad
-        flush()
-        for s in stack[n:]:
-            bad -= s[2]
-        del stack[n:]
-
-    for m in _TOKEN.finditer(html):
-        if m.start() > at:
-            piece = html[at : m.start()]
-            held.append(piece)
-            if link:
-                linked += len(piece)
-        at = m.end()
-        tag = m[3]
-        if not tag:
-            if m[0][:9] == "<![CDATA[":
-                held.append(m[0][9:-3])
-            continue
-        tag = tag.lower()
-        if m[2]:
-            if tag == "a":
-                link = 0
-            for n in range(len(stack) - 1, -1, -1):
-                if stack[n][0] == tag:
-                    pop_to(n)
-                    break
-            else:
-                if tag in BLOCKS:
-                    flush()
-            continue
-        if tag in VOID or m[0][-2] == "/" and tag not in BLOCKS:
+                # an inline element that goes is never where a block of text stands
+                at = next(e for e in reversed(self._stack) if not e or self.tags[e] in BLOCKS or not self.kinds[e])
+                self.blocks.append((text, min(self._linked, len(text)), at))
+        self._linked = 0
+
+    def _pop(self, n: int) -> None:
+        for e in self._stack[n:]:
+            tag = self.tags[e]
+            self._open[tag] -= 1
+            self._skip -= tag not in BLOCKS
+        del self._stack[n:]
+        if self._link > n:
+            self._link = 0
+
+    def _text(self, piece: str) -> None:
+        if not self._skip:
+            self._held.append(piece)
+            if self._link:
+                self._linked += len(piece)
+
+    def _end_tag(self, tag: str) -> None:
+        if tag == "a":
+            self._link = 0
+        if self._open.get(tag):
+            n = next(n for n in range(len(self._stack) - 1, 0, -1) if self.tags[self._stack[n]] == tag)
+            if any(self.tags[e] in BLOCKS for e in self._stack[n:]):
+                self._flush()
+            self._pop(n)
+        elif tag in BLOCKS:
+            self._flush()
+
+    def _start_tag(self, tag: str, attrs: str, closed: bool) -> None:
+        block = tag in BLOCKS
+        if tag in VOID or closed and not block:
             if tag == "br":
-                held.append(" ")
+                self._text(" ")
             elif tag == "hr":
-                flush()
-            continue
-        if tag == "a":
-            link = 1
-        name, drop = _kind(tag, m[4])
-        if tag in BLOCKS or drop:
-            flush()
-            link = 0 if tag != "a" else link
-            # a header of the page goes, one inside the article stays
-            drop = drop or tag == "header" and not any(s[0] in ("article", "main") for s in stack)
-            closes = ("p",) if tag in BLOCKS and tag not in ENDS and stack and stack[-1][0] == "p" else ENDS.get(tag, ())
-            for n in range(len(stack) - 1, -1, -1):
-                if stack[n][0] in closes:
-                    pop_to(n)
-                elif stack[n][0] in HOLDERS or stack[n][0] in ("ul", "ol", "table", "dl"):
+                self._flush()
+            return
+        name, kind = _kind(tag, attrs)
+        if block:
+            self._flush()
+            if tag == "header" and not kind and not any(self._open.get(w) for w in WIDE):
+                kind = ALWAYS  # a header of the page goes, one inside the article stays
+            closes = ("p",) if tag not in ENDS and self.tags[self._stack[-1]] == "p" else ENDS.get(tag, ())
+            for n in range(len(self._stack) - 1, 0, -1):
+                over = self.tags[self._stack[n]]
+                if over in closes:
+                    self._pop(n)
+                elif over in HOLDERS or over in ("ul", "ol", "table", "dl"):
                     break
-            stack.append((tag, name, drop))
-            bad += drop
-    if at < len(html) and not re.match(r"<[a-zA-Z/!]", html[at:]):
-        held.append(html[at:])
-    flush()
-    return out
+        elif kind == HINTED or not kind and not self._skip:
+            # links and hints inside a line of text are part of it
+            if tag == "a":
+                self._link = len(self._stack)
+            return
+        parent = self._stack[-1]
+        step = (self.paths[parent], name)
+        if step not in self.known:
+            self.known[step] = len(self.steps)
+            self.steps.append(step)
+        self._stack.append(len(self.tags))
+        self.tags.append(tag)
+        self.kinds.append(kind)
+        self.parents.append(parent)
+        self.paths.append(self.known[step])
+        self._open[tag] = self._open.get(tag, 0) + 1
+        self._skip += not block
+
+    def _scan(self, html: str) -> None:
+        at, size, last = 0, len(html), html.rfind(">")
+        quotes, cdata = {'"': True, "'": True}, True  # whether such a quote, or a CDATA end, may still be ahead
+        while at < size:
+            i = html.find("<", at)
+            if i < 0 or i > last and html[i : i + 4] != "<!--":
+                # no tag can end behind here; what begins one is none of the text
+                rest = html[at:] if i < 0 or not re.match(r"</?[a-zA-Z!?]", html[i : i + 3]) else html[at:i]
+                self._text(rest)
+                break
+            if i > at:
+                self._text(html[at:i])
+            if html.startswith("<!--", i):
+                end = html.find("-->", i + 4)
+                at = size if end < 0 else end + 3
+                continue
+            if cdata and html.startswith("<![CDATA[", i):
+                end = html.find("]]>", i)
+                cdata = end >= 0
+                if cdata:
+                    self._text(html[i + 9 : end].replace("&", "&amp;"))
+                    at = end + 3
+                    continue
+            if html[i + 1 : i + 2] in ("!", "?"):
+                at = html.find(">", i) + 1
+                continue
+            ends = html[i + 1 : i + 2] == "/"
+            named = _NAME.match(html, i + 1 + ends)
+            if not named:
+                if ends:
+                    at = html.find(">", i) + 1  # a bogus comment
+                else:
+                    self._text("<")
+                    at = i + 1
+                continue
+            tag, j = named[0].lower(), named.end()
+            while True:
+                stop = _STOP.search(html, j)
+                if stop is None:
+                    # only quoted ends are left: quotes count no more
+                    quotes = {'"': False, "'": False}
+                    j = html.find(">", named.end())
+                    break
+                j = stop.start()
+                if stop[0] == ">":
+                    break
+                close = -1
+                # a quote opens a value only behind an equals sign
+                if quotes[stop[0]] and html[max(named.end(), j - 200) : j].rstrip()[-1:] == "=":
+                    close = html.find(stop[0], j + 1)
+                    quotes[stop[0]] = close >= 0
+                j = (close if close >= 0 else j) + 1
+            attrs, at = html[named.end() : j], j + 1
+            if ends:
+                self._end_tag(tag)
+            elif tag in RAW:
+                if tag in BLOCKS:
+                    self._flush()
+                found = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
+                end = html.find(">", found.end()) if found else -1
+                at = size if end < 0 else end + 1
+            else:
+                self._start_tag(tag, attrs.removesuffix("/"), attrs.endswith("/"))
+        self._flush()
+
+    def path(self, number: int) -> str:
+        names = []
+        while number > 0:
+            number, name = self.steps[number]
+            names.append(name)
+        return "/".join(reversed(names))
+
+    def number(self, path: str) -> int | None:
+        """The number of a path, None where the page has no such element."""
+        at = 0
+        for name in path.split("/"):
+            at = self.known.get((at, name), -1)
+            if at < 0:
+                return None
+        return at
+
+    def dropped(self, voted: Iterable[int] = ()) -> list[bool]:
+        """Of each element, whether it or one around it goes. voted: digests of the hinted paths that the host votes out."""
+        n = len(self.tags)
+        holds, chars, linked = [False] * n, [0] * n, [0] * n
+        for text, own, e in self.blocks:
+            chars[e] += len(text)
+            linked[e] += own
+        for e in range(n - 1, 0, -1):
+            if self.tags[e] in ("article", "main", "h1") and self.kinds[e] in (KEPT, HINTED):
+                holds[e] = True
+            p = self.parents[e]
+            holds[p] = holds[p] or holds[e]
+            chars[p] += chars[e]
+            linked[p] += linked[e]
+        voted, out = set(voted), [False] * n
+        digests = self.digests() if voted else []
+        for e in range(1, n):
+            kind = self.kinds[e]
+            own = kind == ALWAYS or kind == NAMED and not holds[e]
+            if kind == HINTED and not holds[e]:
+                own = 2 * linked[e] >= chars[e] > 0 or bool(voted) and digests[self.paths[e]] in voted
+            out[e] = own or out[self.parents[e]]
+        return out
+
+    def digests(self) -> list[int]:
+        """A 64-bit hash of each path."""
+        out = [0]
+        for parent, name in self.steps[1:]:
+            out.append(_digest(f"{out[parent]}/{name}"))
+        return out
+
+    def best(self, dropped: list[bool]) -> int | None:
+        """The best container's path, up to the nearest article or main element around it.
+
+        A block's running text counts fully for its nearest holder, less by a third a level up. Of equals the first stands.
+        """
+        carried, scores = [0.0] * len(self.tags), {}
+        for text, linked, e in self.blocks:
+            if not dropped[e]:
+                carried[e] += _worth(text, linked)
+        seen = [False] * len(self.tags)
+        for _, _, e in self.blocks:
+            if not dropped[e]:
+                seen[e] = True
+        for e in range(len(self.tags) - 1, 0, -1):
+            p = self.parents[e]
+            if self.tags[e] in HOLDERS and seen[e]:
+                # an article or main element is what the page itself calls its text
+                scores[self.paths[e]] = scores.get(self.paths[e], 0.0) + carried[e] * (1.5 if self.tags[e] in WIDE else 1.0)
+                carried[p] += carried[e] * 0.67
+            else:
+                carried[p] += carried[e]
+            seen[p] = seen[p] or seen[e]
+        if not scores:
+            return None
+        most = max(scores.values())
+        at = best = min(k for k, s in scores.items() if s == most)
+        while at > 0:
+            above, name = self.steps[at]
+            if name.partition(".")[0] in WIDE:
+                return at
+            at = above
+        return best
+
+    def under(self, path: int) -> list[bool]:
+        out = [False] * len(self.tags)
+        for e in range(1, len(self.tags)):
+            out[e] = out[self.parents[e]] or self.paths[e] == path
+        return out
+
+    def main_text(self, winner: str | None = None, voted: Iterable[int] = ()) -> str:
+        """The kept blocks under the winning path, or under the page's own best where the winning one does not hold most of that."""
+        dropped = self.dropped(voted)
+        kept = [b for b in self.blocks if not dropped[b[2]]]
+        best = self.best(dropped)
+        if best is None:
+            return "\n".join(text for text, _, _ in kept)  # no holder at all: bare blocks
+        inside = self.under(best)
+        host = self.number(winner) if winner else None
+        if host is not None and host != best:
+            theirs = self.under(host)
+            # a text of links alone is worth nothing, but still tells where the container is
+            parts = [(_worth(text, linked) + 1e-6 * len(text), theirs[e]) for text, linked, e in kept if inside[e]]
+            if sum(w for w, held in parts if held) >= COVER * sum(w for w, _ in parts):
+                inside = theirs
+        return "\n".join(text for text, _, e in kept if inside[e])
+
+    def hints(self, dropped: list[bool]) -> list[tuple[int, int]]:
+        """(path, text) digests of the hinted elements that are still kept."""
+        some = {e for e in range(1, len(self.tags)) if self.kinds[e] == HINTED and not dropped[e]}
+        if not some:
+            return []
+        digests, texts = self.digests(), {}
+        for text, _, e in self.blocks:
+            at = e
+            while at > 0 and at not in some:
+                at = self.parents[at]
+            if at > 0:
+                texts.setdefault(at, []).append(text)
+        return [(digests[self.paths[e]], _digest("\n".join(t))) for e, t in texts.items()]
+
+
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def _worth(text: str, linked: int) -> float:
     return max(0.0, (len(text) - 2 * linked)) + 20 * text.count(",")
 
 
-def container_scores(found: list[tuple[str, int, tuple[str, ...], bool]]) -> dict[str, float]:
-    """Score of each holding path: a block's running text counts fully for its nearest holder, less by a third a level up."""
-    scores: dict[str, float] = {}
-    for text, linked, path, kept in found:
-        if not kept:
-            continue
-        worth = _worth(text, linked)
-        share = 1.0
-        for n in range(len(path), 0, -1):
-            tag = path[n - 1].partition(".")[0]
-            if tag in HOLDERS:
-                key = "/".join(path[:n])
-                # an article or main element is what the page itself calls its text
-                scores[key] = scores.get(key, 0.0) + worth * share * (1.5 if tag in ("article", "main") else 1.0)
-                share *= 0.67
-    return scores
-
-
-def best_path(scores: dict[str, float]) -> str | None:
-    """The best container's path, up to the nearest article or main element around it, whatever stands between."""
-    if not scores:
-        return None
-    steps = min(scores, key=lambda k: (-scores[k], k)).split("/")
-    for n in range(len(steps), 0, -1):
-        if steps[n - 1].partition(".")[0] in ("article", "main"):
-            return "/".join(steps[:n])
-    return "/".join(steps)
-
-
-def main_text(found: list[tuple[str, int, tuple[str, ...], bool]], winner: str | None) -> str:
-    """The kept blocks under the winning path, or under the page's own best where the winning one does not hold most of that."""
-    own = best_path(container_scores(found))
-    if own is None:
-        # no holder at all: bare blocks
-        return "\n".join(text for text, _, _, kept in found if kept)
-    under = lambda steps, path: path[: len(steps)] == steps
-    best = tuple(own.split("/"))
-    if winner is not None and winner != own:
-        steps = tuple(winner.split("/"))
-        # a text of links alone is worth nothing, but still tells where the container is
-        parts = [(_worth(text, linked) + 1e-6 * len(text), under(steps, path)) for text, linked, path, kept in found if kept and under(best, path)]
-        if sum(w for w, held in parts if held) >= COVER * sum(w for w, _ in parts):
-            best = steps
-    return "\n".join(text for text, _, path, kept in found if kept and under(best, path))
-
-
 def host_of(url):
     """Lower-case host of a URL column; null where there is none."""
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
@@ -192,37 +378,54 @@ def host_of(url):
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """host, path, votes: the winning generalised path of each host (ties: the first in order)."""
+    """host, path, votes, voted: the winning generalised path of each host (ties: the first in order), and the digests of the
+    hinted paths that its pages vote out. A row per host with a vote; a host's hinted paths are those of its templates."""
 
     def vote(batches):
+        names = ["host", "path", "hint", "said", "page"]
         for batch in batches:
-            hosts, paths = [], []
+            rows = []
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1)):
-                path = best_path(container_scores(blocks(html.as_py())))
-                if path is not None:
-                    hosts.append(host)
-                    paths.append(path)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string())], ["host", "path"])
-
-    votes = pages.select(host_of(F.col("url")).alias("host"), F.col("html")).where("host IS NOT NULL").mapInArrow(vote, "host string, path string")
-    sums = votes.groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"))
-    return sums.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("votes"), "path")).alias("w")).select("host", F.col("w.path").alias("path"), (-F.col("w.votes")).alias("votes"))
+                page = Page(html.as_py())
+                dropped = page.dropped()
+                best = page.best(dropped)
+                if best is None:
+                    continue
+                rows.append((host, page.path(best), None, None, None))
+                hints = page.hints(dropped)
+                if hints:
+                    own = _digest(page.main_text())
+                    rows += [(host, None, path, said, own) for path, said in hints]
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+
+    cast = pages.select(host_of(F.col("url")).alias("host"), F.col("html")).where("host IS NOT NULL")
+    votes = store(cast.mapInArrow(vote, "host string, path string, hint bigint, said bigint, page bigint"), "votes")
+    sums = votes.where("path IS NOT NULL").groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"))
+    won = sums.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("votes"), "path")).alias("w"))
+    # a text counts once for all pages that are copies of each other
+    texts = votes.where("hint IS NOT NULL").groupBy("host", "hint", "said", "page").agg(F.lit(1).alias("n")).groupBy("host", "hint", "said").agg(F.sum("n").alias("n"))
+    hints = texts.groupBy("host", "hint").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d")).where((F.col("n") >= PAGES) & (F.col("d") <= F.col("n") * DISTINCT))
+    out = hints.groupBy("host").agg(F.sort_array(F.collect_list("hint")).alias("voted"))
+    return won.join(out, "host", "left").select("host", F.col("w.path").alias("path"), (-F.col("w.votes")).alias("votes"), "voted")
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars, path_votes: one row per row of pages (page_id, url, html; other columns are ignored).
+    """page_id, url, text, n_chars, path_votes: one row per row of pages (page_id, url, html; other columns are ignored,
+    whatever their names).
 
-    A null or empty html gives an empty text; a page without a host in its url goes by its own best path. Repeated
-    rows count as votes each and give equal rows. Two narrow passes; only votes are shuffled, and the table of hosts
-    is broadcast only if its count is within the bound.
+    A null or empty html gives an empty text; a page without a host in its url goes by its own best path. A html of any
+    length is read whole, in time linear in it. Repeated rows count as votes each and give equal rows; of paths with
+    equally many votes the first in order wins. An empty table gives an empty table. Two narrow passes; only votes
+    are shuffled, and the table of hosts is broadcast only if its size is within the bound.
     """
     winners = store(host_paths(pages), "host-paths")
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
-    joined = rows.join(small(winners), "host", "left").select("page_id", "url", "html", "path", "votes")
+    joined = rows.join(small(winners), "host", "left").select("page_id", "url", "html", "path", "votes", "voted")
 
     def extract(batches):
         for batch in batches:
-            texts = [main_text(blocks(html.as_py()), path) for html, path in zip(batch.column(2), batch.column(3).to_pylist())]
+            texts = [Page(html.as_py()).main_text(path, voted or ()) for html, path, voted in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(5).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), batch.column(4)], ["page_id", "url", "text", "n_chars", "path_votes"])
 
     return joined.mapInArrow(extract, "page_id bigint, url string, text string, n_chars bigint, path_votes bigint")
