@@ -5,12 +5,16 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side of a join of at most so many rows (of a few columns) may be broadcast; beyond it the join is shuffled.
-BROADCAST_ROWS = 1_000_000
+#: A side of a join of at most so many rows and bytes may be broadcast; beyond either the join is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 128 << 20
+_scratch: list[list[str]] = []
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -35,16 +39,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where unset (tests) one made here."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where unset one made here, on a local master only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="docloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found if "://" in found or found.startswith("file:") else f"file://{os.path.abspath(found)}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
+    return path
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
@@ -54,9 +63,43 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if, and only if, a count shows that the table is within the bound."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever Spark can reach it; one that is not there is no error."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside are deleted at the end; what is wanted of them must be written elsewhere by then."""
+    paths: list[str] = []
+    _scratch.append(paths)
+    try:
+        yield
+    finally:
+        _scratch.remove(paths)
+        for path in paths:
+            delete(spark, path)
+
+
+def _bytes(name: str, kind: T.DataType) -> Column:
+    """About how many bytes a value takes, by its own length where its type has none."""
+    c = F.col(f"`{name}`")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.NumericType, T.BooleanType)):
+        return F.greatest(F.size(c), F.lit(0)) * 8 + 32
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.length(F.to_json(F.struct(c))), F.lit(0)) * 2 + 32
+    return F.lit(8)
+
+
+def small(df: DataFrame, rows: int | None = None, size: int | None = None) -> DataFrame:
+    """Hint a broadcast if, and only if, the table's rows and bytes, counted in one pass, are within the bounds."""
+    total = sum((_bytes(f.name, f.dataType).cast("long") for f in df.schema.fields), F.lit(16))
+    n, held = df.agg(F.count(F.lit(1)), F.sum(total)).first()
+    within = n <= (BROADCAST_ROWS if rows is None else rows) and (held or 0) <= (BROADCAST_BYTES if size is None else size)
+    return F.broadcast(df) if within else df
 
 
 def fresh(name: str, taken: list[str]) -> str:
