@@ -111,6 +111,42 @@ def test_decontaminate(spark, docs, none):
     assert decontaminate.find_leaks(none, items).count() == 0 and decontaminate.find_leaks(docs, items.where("item_id < 0")).count() == 0
 
 
+def test_decontamination_search_by_sketch_alone(spark):
+    """What the sketch finds holds every pair that counts, and a document with every other shingle of an item is not found."""
+    rng = random.Random(11)
+    lengths = [1, 3, 5, 6, 9, 12, 20, 21, 40, 70, 140, 300]
+    bodies = [[f"i{i}x{j}" for j in range(n)] for i, n in enumerate(lengths)]
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(bodies)], "item_id long, text string")
+    docs = []
+    for k in range(150):
+        words = [f"f{rng.randrange(500)}" for _ in range(rng.randrange(40))]
+        for body in rng.sample(bodies, 3):
+            part = [w if rng.random() > rng.choice([0, 0.02, 0.05, 0.1]) else f"n{rng.randrange(99)}" for w in body]
+            words += part + [f"f{rng.randrange(500)}" for _ in range(rng.randrange(9))]
+        docs.append((k, " ".join(words)))
+    grams = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    want = {}
+    for d, text in docs:
+        for i, body in enumerate(bodies):
+            n = min(5, len(body))
+            own = grams(body, n)
+            hits = len(own & grams(text.split(), n))
+            if hits * 1000 >= 800 * len(own):
+                want[d, i] = hits
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id): r.hits for r in decontaminate.find_leaks(df, items).collect()} == want and len(want) > 100
+    index = store(decontaminate.item_index(items), "items").cache()
+    found = {(r.doc_id, r.item_id) for r in decontaminate.search(df, index).join(index, "item").collect()}
+    assert want.keys() <= found
+    sketched = {r.item_id: set(r.sketch) for r in index.collect()}
+    every = {r.item_id: r.m for r in index.collect()}
+    assert all(len(sketched[i]) < every[i] for i in (8, 9, 10, 11)) and {r.part for r in index.collect()} == {8, 16, 32, 64, 128, 256, 512}
+    # a text of all the words of an item whose shingles are in no sketch
+    names = {r.h: r.g for r in index.where("item_id = 11").select(F.explode(F.arrays_zip(F.col("grams"))).alias("z")).select(F.col("z.grams").alias("g")).withColumn("h", decontaminate.shingles(F.split("g", " "), 5)[0]).collect()}
+    rest = " . ".join(g for h, g in names.items() if h not in sketched[11])
+    assert decontaminate.search(spark.createDataFrame([(1, rest)], "doc_id long, text string"), index).count() == 0
+
+
 def test_extract(spark):
     page = '<body><nav><a href=x>m</a></nav><div class="post-1"><h1>A &amp; B</h1><p>Text, one.<p>Two<div class="comments"><p>no</p></div></div><footer>f</footer>'
     rows = spark.createDataFrame([(1, "http://h.x/1", page), (1, "http://h.x/1", page), (2, None, None), (3, "http://h.x/3", "")], "page_id long, url string, html string")
