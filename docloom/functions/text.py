@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Patterns of the text rules. SPACE is Unicode white space with the four ASCII separators.
+# Patterns of the text rules, where \s is Unicode white space with the four ASCII separators.
+PAGE_MARKER = r"^\s*(?:page\s+)?\d+\s*(?:of|/)\s*\d+\s*$"
+SEPARATOR = r"^\s*[-_=*]{3,}\s*$"
+SENTENCE_GAP = r"(?<=[.!?])\s+(?=[A-Z0-9(\"'])"
 SPACE = r"(?U:[\s\x1c-\x1f])"
-PAGE_MARKER = r"(?iU)^\s*(?:page\s+\d+\s*(?:of|/)\s*\d+|\d+\s*/\s*\d+)\s*$"
-SEPARATOR = r"(?U)^\s*[-=*_]{3,}\s*$"
-SENTENCE_GAP = r"(?<=[.!?])(?U:[\s\x1c-\x1f])+(?=[A-Z0-9(\"'])"
 SPARSE_BUCKETS = 65536
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
 
+def jvm(pattern: str, flags: str = "") -> str:
+    """A pattern for the JVM, where \\s and \\d are Unicode's and only a line feed ends a line."""
+    return f"(?d{flags})" + pattern.replace(r"\s", SPACE).replace(r"\d", r"\p{Nd}")
+
+
 def collapse(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, f"{SPACE}+", " "), r"^ | $", "")
 
@@ -21,7 +26,7 @@ def collapse(text: Column) -> Column:
 def drop_boilerplate(text: Column) -> Column:
     """Lines that are page markers or separators go; line ends become LF."""
     lines = F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n")
-    return F.array_join(F.filter(lines, lambda x: ~x.rlike(PAGE_MARKER) & ~x.rlike(SEPARATOR)), "\n")
+    return F.array_join(F.filter(lines, lambda x: ~x.rlike(jvm(PAGE_MARKER, "iu")) & ~x.rlike(jvm(SEPARATOR))), "\n")
 
 
 def lexical_tokens(text: Column) -> Column:
@@ -46,10 +51,24 @@ def word_count(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    parts = F.transform(F.split(F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", ""), SENTENCE_GAP), lambda s: F.regexp_replace(s, f"^{SPACE}+|{SPACE}+$", ""))
+    parts = F.transform(F.split(F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", ""), jvm(SENTENCE_GAP)), lambda s: F.regexp_replace(s, f"^{SPACE}+|{SPACE}+$", ""))
     return F.filter(parts, lambda s: s != "")
 
 
+def term_counts(text: Column, buckets: int = SPARSE_BUCKETS) -> Column:
+    """(bucket, tf) of a text's hashed terms in order of the bucket, counted inside the row: sorted, then cut where they change."""
+    hashed = F.array_sort(F.transform(lexical_tokens(text), lambda t: term_bucket(t, buckets)))
+
+    def runs(h: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (i == 0) | (F.get(h, i) != F.get(h, i - 1)))
+        # transform over an array of one binds a value, which a lambda would else compute again for each element
+        each = lambda at: F.transform(at, lambda p, j: F.struct(F.get(h, p).alias("bucket"), (F.coalesce(F.get(at, j + 1), F.size(h)) - p).cast("bigint").alias("tf")))
+        return F.transform(F.array(starts), each)[0]
+
+    none = F.array().cast("array<struct<bucket:int,tf:bigint>>")
+    return F.transform(F.array(hashed), lambda h: F.when(F.size(h) > 0, runs(h)).otherwise(none))[0]
+
+
 def term_bucket(term: Column, buckets: int = SPARSE_BUCKETS) -> Column:
     return (F.crc32(F.encode(term, "UTF-8")) % buckets).cast("int")
 
@@ -91,8 +110,9 @@ def usage(reply: Column, rate_in: Column, rate_out: Column) -> Column:
 
 
 def judge_scores(said: Column) -> Column:
-    """The first JSON object of a judge's text (fences and prose around it are passed over): three numbers from 0 to 1, else an error."""
+    """The first JSON object of a judge's text (fences and prose around it are passed over, objects in it are not): three numbers
+    from 0 to 1, else an error."""
     names = ["faithfulness", "answer_relevance", "context_precision"]
-    read = F.from_json(F.regexp_extract(said, r"(?s)(\{.*?\})", 1), ", ".join(f"{n} double" for n in names))
+    read = F.from_json(F.regexp_extract(said, r"(?s)\{.*", 0), ", ".join(f"{n} double" for n in names))
     fine = [F.coalesce(read[n].between(0.0, 1.0), F.lit(False)) for n in names]
     return F.when(fine[0] & fine[1] & fine[2], read).otherwise(F.raise_error(F.concat(F.lit("not a judge's scores: "), F.coalesce(said, F.lit("null")))))

@@ -4,21 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from docloom.functions.text import dot, lexical_tokens, term_bucket
+from docloom.functions.text import term_counts
 from docloom.session import small
 
 TOP_K, PREFETCH, RRF_K = 8, 20, 60
+#: Query vectors that a task holds at once.
+BLOCK_BYTES = 64 << 20
 NOTHING_FOUND = "No relevant context was found for this question."
 
 
 def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, bucket, tf, weight = 1 + ln(tf): counts of hashed terms, summed before the shuffle."""
-    terms = docs.select(key, F.explode(lexical_tokens(F.col(text))).alias("term"))
-    counted = terms.groupBy(key, term_bucket(F.col("term")).alias("bucket")).agg(F.count(F.lit(1)).alias("tf"))
+    """key, bucket, tf, weight = 1 + ln(tf): counts of hashed terms, one row a key and term. Counted inside each row, nothing is shuffled."""
+    counted = docs.select(key, F.inline(term_counts(F.col(text))))
     return counted.withColumn("weight", 1 + F.log(F.col("tf").cast("double")))
 
 
@@ -39,18 +44,63 @@ def sparse_topk(query_posts: DataFrame, posts: DataFrame, query: str, key: str,
     return ranked(hits, query, key, F.col("score"), k)
 
 
+def _unit(rows: list) -> np.ndarray:
+    """Vectors of one length as rows of unit length; others, and those of length 0, as rows without a number."""
+    size = max((len(v) for v in rows if v is not None), default=0)
+    out = np.array([v if v is not None and len(v) == size else [np.nan] * size for v in rows], np.float64).reshape(len(rows), size)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return out / np.sqrt(np.einsum("ij,ij->i", out, out))[:, None]
+
+
 def dense_topk(queries: DataFrame, index: DataFrame, query: str, key: str, k: int = PREFETCH) -> DataFrame:
-    """Exact cosine over all rows of the index, for a stated set of queries whose count is checked before it is broadcast."""
-    unit = lambda v: F.sqrt(dot(v, v))
-    q = queries.select(query, F.col("vector").alias("qv"), unit(F.col("vector")).alias("qn"))
-    both = index.select(key, F.col("vector").alias("dv"), unit(F.col("vector")).alias("dn")).join(small(q))
-    scored = both.select(query, key, F.round(dot(F.col("qv"), F.col("dv")) / (F.col("qn") * F.col("dn")), 6).alias("score"))
-    return ranked(scored, query, key, F.col("score"), k)
+    """Exact cosine over all rows of the index, for a stated set of queries; ties go by key.
+
+    Queries go to the tasks in blocks of at most BLOCK_BYTES. A task multiplies its rows with a block and keeps the best k of each
+    query, so what is shuffled is k rows a query and task. Vectors of another length than the queries' match nothing.
+    """
+    schema = ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n, df in ((query, queries), (key, index))) + ", score double"
+    kinds = [F.col("vector").cast("array<double>").alias("vector")]
+    held = queries.agg(F.sum(F.size("vector").cast("long") * 8 + 64)).first()[0] or 0
+    blocks = int(held // BLOCK_BYTES) + 1
+    found = None
+    for block in range(blocks):
+        some = queries.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == block) if blocks > 1 else queries
+        rows = some.select(query, *kinds).collect()  # at most about BLOCK_BYTES
+        asked = index.sparkSession.sparkContext.broadcast(([r[0] for r in rows], _unit([r[1] for r in rows])))
+
+        def best(batches, asked=asked):
+            names, matrix = asked.value
+            top = [([], []) for _ in names]  # scores and keys of each query's best
+            for batch in batches:
+                own = _unit(batch.column(1).to_pylist())
+                if not len(names) or own.shape[1] != matrix.shape[1]:
+                    continue
+                keys, scores = batch.column(0).to_pylist(), np.round(matrix @ own.T, 6)
+                for i, row in enumerate(scores):
+                    old, which = top[i]
+                    some = np.flatnonzero(row >= (old[-1] if len(old) == k else -np.inf))
+                    if len(some) > 4 * k:  # all of the k-th best score stay, for ties go by key
+                        some = some[row[some] >= -np.partition(-row[some], k - 1)[k - 1]]
+                    pairs = sorted([*zip((-s for s in old), which), *((-row[j], keys[j]) for j in some)])[:k]
+                    top[i] = ([-s for s, _ in pairs], [x for _, x in pairs])
+            out = [(n, x, float(s)) for n, (scores, keys) in zip(names, top) for s, x in zip(scores, keys)]
+            yield pd.DataFrame(out, columns=[query, key, "score"]) if out else pd.DataFrame({query: [], key: [], "score": []})
+
+        def arrow(batches, best=best):
+            for frame in best(batches):
+                yield pa.RecordBatch.from_arrays([pa.array(frame[c].tolist(), t) for c, t in zip(frame.columns, types)], list(frame.columns))
+
+        types = [*(to_arrow_type(df.schema[n].dataType) for n, df in ((query, queries), (key, index))), pa.float64()]
+        scored = index.select(key, *kinds).mapInArrow(arrow, schema)
+        found = scored if found is None else found.unionByName(scored)
+    return ranked(found, query, key, F.col("score"), k)
 
 
 def rrf(rankings: list[DataFrame], query: str, key: str, k: int = TOP_K, constant: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion: the sum of 1 / (constant + rank) over the rankings."""
-    together = rankings[0].select(query, key, "rank")
+    # k rows a query; dealt by other keys than the rest, for Spark 4.1 zips the partitions of a union whose sides are dealt alike,
+    # which fails where adaptive execution has joined those of one side
+    together = rankings[0].select(query, key, "rank").repartition(key)
     for r in rankings[1:]:
         together = together.unionByName(r.select(query, key, "rank"))
     fused = together.groupBy(query, key).agg(F.round(F.sum(1 / (F.lit(float(constant)) + F.col("rank"))), 9).alias("score"))
@@ -64,8 +114,9 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, query_vectors: DataFrame,
 
 
 def contexts(hits: DataFrame, query: str, title: str = "doc_title") -> DataFrame:
-    """One ordered list of blocks (rank, title, text) a query; a block without a title is called by its chunk."""
-    block = F.struct("rank", F.coalesce(F.nullif(F.col(title), F.lit("")), "chunk_id").alias("title"), "text", "chunk_id")
+    """One ordered list of blocks (rank, title, text, chunk_id, source_uri) a query; a block without a title is called by its chunk."""
+    uri = F.col("source_uri") if "source_uri" in hits.columns else F.lit(None).cast("string").alias("source_uri")
+    block = F.struct("rank", F.coalesce(F.nullif(F.col(title), F.lit("")), "chunk_id").alias("title"), "text", "chunk_id", uri)
     return hits.groupBy(query).agg(F.array_sort(F.collect_list(block)).alias("blocks"))
 
 
@@ -75,11 +126,28 @@ def first_citations(citations: DataFrame, query: str) -> DataFrame:
     return citations.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
+def quote_first(question: str, blocks: list[dict]) -> dict:
+    """The offline model: a reply that quotes the first block."""
+    text = blocks[0]["text"]
+    return {"content": [{"type": "text", "text": text, "citations": [{"cited_text": text, "document_index": 0}]}], "usage": None}
+
+
 def answer(question: str, blocks: list[dict], model: Callable[[str, list[dict]], dict] | None = None) -> dict:
-    """The model's answer with its citations resolved to chunks; without blocks a fixed text and no call. The default
-    model quotes the first block."""
+    """The model's answer with its citations resolved to chunks; without blocks a fixed text and no call.
+
+    A reply has content blocks, of which those of type text count, in order; a reply of text and citations alone is one such block.
+    """
     if not blocks:
         return {"text": NOTHING_FOUND, "citations": [], "usage": None}
-    reply = (model or (lambda q, b: {"text": b[0]["text"], "citations": [{"cited_text": b[0]["text"], "document_index": 0}]}))(question, blocks)
-    cited = [{"cited_text": c["cited_text"], **{k: blocks[c["document_index"]].get(k) for k in ("chunk_id", "title")}} for c in reply["citations"]]
-    return {"text": reply["text"], "citations": cited, "usage": reply.get("usage")}
+    reply = (model or quote_first)(question, blocks)
+    said = [b for b in reply.get("content", [{**reply, "type": "text"}]) if b["type"] == "text"]
+    cited = [c for b in said for c in b.get("citations") or []]
+    resolved = [{"cited_text": c["cited_text"], **{k: blocks[c["document_index"]].get(k) for k in ("chunk_id", "title", "source_uri")}} for c in cited]
+    return {"text": "".join(b["text"] for b in said), "citations": resolved, "usage": reply.get("usage")}
+
+
+def judge_prompt(question: str, reference: str, blocks: list[dict], said: str) -> str:
+    """What a judging model is asked, for a reply that judge_scores reads."""
+    criteria = "faithfulness (is the answer borne out by the context?), answer_relevance (does it meet the question?) and context_precision (how much of the context is of use?)"
+    parts = {"Question": question, "Reference answer": reference, "Context": "\n\n".join(b["text"] for b in blocks), "Answer": said}
+    return f"Rate a retrieval-based answer by {criteria}, each from 0 to 1. Reply with one JSON object of these three keys.\n\n" + "\n".join(f"{k}: {v}" for k, v in parts.items())

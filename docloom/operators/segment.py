@@ -11,13 +11,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from docloom.functions.text import SPACE, jvm
+from docloom.session import fresh
+
 # a type object, for a type's name could only be read with a session at hand
 SEGMENTS = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("breadcrumb", T.ArrayType(T.StringType()))]))
-FRONTMATTER = r"(?s)\A---[ \t]*\n(.*?)\n---[ \t]*\n"
+# Patterns of front matter, its keys, version and title lines and headings; elements with body text.
+FRONTMATTER = r"\A---\s*\n(.*?)\n---\s*\n"
+FRONT_KEY = r"^\s*{}\s*:\s*(.+)$"
+VERSION_LINE = r"^\s*(?:doc[_ ]?)?version\s*[:=]\s*(.+)$"
+TITLE_LINE = r"^\s*title\s*[:=]\s*(.+)$"
+HEADING = r"^(#{1,6})\s+(.*)$"
+BODY = frozenset(["p", "li", "td", "blockquote"])
 #: Lines from the top in which a version or title line counts.
 HEAD_LINES = 40
-_HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*$")
-_BODY = {"p", "li", "td", "blockquote"}
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_UNSEEN = ("script", "style", "template")
 
 
 def push(stack: list[str], level: int, title: str) -> list[str]:
@@ -28,7 +37,7 @@ def push(stack: list[str], level: int, title: str) -> list[str]:
 def markdown_segments(text: str | None) -> list[tuple[str, list[str]]]:
     out, stack, body = [], [], []
     for line in [*(text or "").splitlines(), None]:
-        found = _HEADING.match(line) if line is not None else None
+        found = re.match(HEADING, line) if line is not None else None
         if line is not None and not found:
             body.append(line)
             continue
@@ -41,46 +50,97 @@ def markdown_segments(text: str | None) -> list[tuple[str, list[str]]]:
 
 
 class _Html(HTMLParser):
-    """Headings set the breadcrumb; each body element gives its own whole text where it opened, nested ones too."""
+    """Headings set the breadcrumb from where they open; each body element gives its own whole text, nested ones too.
+
+    An end tag ends what is open inside its element; nothing else ends an element.
+    """
 
     def __init__(self):
         super().__init__()
-        self.out, self.stack, self.open, self.heading, self.skip = [], [], [], None, 0
+        self.out, self.stack, self.open = [], [], []  # open: (tag, pieces of text, or None)
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("script", "style"):
-            self.skip += 1
-        elif re.fullmatch("h[1-6]", tag):
-            self.heading = (int(tag[1]), [])
-        elif tag in _BODY:
-            self.out.append([[], list(self.stack)])
-            self.open.append((tag, self.out[-1]))
+        if tag in _VOID:
+            return
+        sink = None
+        if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
+            sink = []
+            self.stack = push(self.stack, int(tag[1]), sink)
+        elif tag in BODY:
+            sink = []
+            self.out.append((sink, self.stack))
+        self.open.append((tag, sink))
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in _VOID:
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if tag in ("script", "style"):
-            self.skip = max(0, self.skip - 1)
-        elif self.heading and tag == f"h{self.heading[0]}":
-            self.stack = push(self.stack, self.heading[0], " ".join(self.heading[1]))
-            self.heading = None
-        elif tag in _BODY:
-            for i in range(len(self.open) - 1, -1, -1):
-                if self.open[i][0] == tag:
-                    del self.open[i:]
-                    break
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] == tag:
+                del self.open[i:]
+                break
 
     def handle_data(self, data):
-        if not self.skip and (data := data.strip()):
-            if self.heading:
-                self.heading[1].append(data)
-            for _, segment in self.open:
-                segment[0].append(data)
+        if (data := data.strip()) and not any(tag in _UNSEEN for tag, _ in self.open):
+            for _, sink in self.open:
+                if sink is not None:
+                    sink.append(data)
+
+    def unknown_decl(self, data):
+        if data.startswith("CDATA["):
+            self.handle_data(data[6:])
 
 
 def html_segments(text: str | None) -> list[tuple[str, list[str]]]:
     parser = _Html()
     parser.feed(text or "")
     parser.close()
-    return [(" ".join(words), crumbs) for words, crumbs in parser.out if words]
+    return [(" ".join(words), ["".join(c) for c in crumbs]) for words, crumbs in parser.out if words]
+
+
+class _Head(HTMLParser):
+    """The first title's text and the first meta element of the name version."""
+
+    def __init__(self):
+        super().__init__()
+        self.title, self.meta, self.inside, self.children = None, None, False, 0
+
+    def handle_starttag(self, tag, attrs):
+        attrs = dict(reversed(attrs))
+        if tag == "meta" and self.meta is None and attrs.get("name") == "version":
+            self.meta = attrs.get("content") or ""
+        if self.inside and tag != "title":
+            self.children += 2  # a title with elements in it has no text of its own
+        if tag == "title" and self.title is None:
+            self.title, self.inside = [], True
+
+    def handle_endtag(self, tag):
+        self.inside = self.inside and tag != "title"
+
+    def handle_data(self, data):
+        if self.inside:
+            self.title.append(data)
+            self.children += 1
+
+
+def html_head(text: str) -> tuple[str | None, str | None]:
+    """version and title of a page; None where it says neither."""
+    parser = _Head()
+    for at in range(0, len(text), 1 << 16):
+        parser.feed(text[at : at + (1 << 16)])
+        if parser.meta is not None and parser.title is not None and not parser.inside:
+            break
+    else:
+        parser.close()
+    title = "".join(parser.title or []) if len(parser.title or []) == parser.children else ""
+    return (parser.meta.strip() if parser.meta else None), (title.strip() if title else None)
+
+
+@pandas_udf(T.StructType([T.StructField("version", T.StringType()), T.StructField("title", T.StringType())]))
+def _head(text: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([html_head(t) if t is not None else (None, None) for t in text], columns=["version", "title"])
 
 
 @pandas_udf(SEGMENTS)
@@ -89,7 +149,7 @@ def segment(text: pd.Series, mime: pd.Series) -> pd.Series:
 
     def one(t, m):
         if m == "text/markdown":
-            found = markdown_segments(re.sub(FRONTMATTER, "", t or "", count=1))
+            found = markdown_segments(re.sub(FRONTMATTER, "", t or "", count=1, flags=re.S))
         elif m == "text/html":
             found = html_segments(t)
         else:
@@ -99,29 +159,29 @@ def segment(text: pd.Series, mime: pd.Series) -> pd.Series:
     return pd.Series([one(t, m) for t, m in zip(text, mime)], dtype=object)
 
 
-def _strip_quotes(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, r"^\s+|\s+$", ""), r"^[\"']+|[\"']+$", "")
-
-
-def _front(text: Column, key: str) -> Column:
-    block = F.regexp_extract(text, FRONTMATTER, 1)
-    line = rf"(?im)^{key}\s*:[ \t]*(.*)$"
-    return F.when(text.rlike(FRONTMATTER) & block.rlike(line), _strip_quotes(F.regexp_extract(block, line, 1)))
-
-
-def metadata(df: DataFrame, text: str = "text", mime: str = "mime_type") -> DataFrame:
-    """Adds version and title: from frontmatter or HTML head, else from the first 40 lines; version falls back to "1"."""
-    t = F.col(text)
-    head = F.array_join(F.slice(F.split(t, r"\r\n|[\n\r]"), 1, HEAD_LINES), "\n")
-
-    def line(key: str) -> Column:
-        pattern = rf"(?im)^\s*{key}\s*[:=]\s*(.+?)\s*$"
-        return F.when(head.rlike(pattern), F.regexp_extract(head, pattern, 1))
-
-    is_html = F.col(mime) == "text/html"
-    meta = r"(?is)<meta\s+(?=[^>]*name=[\"']version[\"'])[^>]*content=[\"']([^\"']*)[\"']"
-    title = r"(?is)<title[^>]*>([^<]*)</title>"
-    own_version = F.when(is_html, F.when(t.rlike(meta), F.trim(F.regexp_extract(t, meta, 1)))).otherwise(_front(t, "version"))
-    own_title = F.when(is_html, F.when(t.rlike(title), F.trim(F.regexp_extract(t, title, 1)))).otherwise(_front(t, "title"))
-    version = F.coalesce(own_version, line("(?:doc[ _-]?)?version"))
-    return df.withColumns({"version": F.coalesce(F.when(version != "", version), F.lit("1")), "title": F.coalesce(own_title, line("title"))})
+def _strip(c: Column) -> Column:
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+
+
+def _found(text: Column, pattern: str, flags: str = "im") -> Column:
+    """The first match's first group, stripped; null without a match."""
+    return F.when(text.rlike(jvm(pattern, flags)), _strip(F.regexp_extract(text, jvm(pattern, flags), 1)))
+
+
+def metadata(df: DataFrame, text: str = "text", mime: str = "mime_type", pdf_title: str | None = None) -> DataFrame:
+    """Adds version and title: Markdown from its front matter, HTML from its head, PDF the title in the column pdf_title; else from
+    the first 40 lines. version falls back to "1". Only HTML is read outside the JVM."""
+    t, kind = F.col(text), F.col(mime)
+    head = F.array_join(F.slice(F.split(t, r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"), 1, HEAD_LINES), "\n")
+    own = fresh("own_head", df.columns)
+    read = df.withColumn(own, _head(F.when(kind == "text/html", t)))
+    is_front = (kind == "text/markdown") & t.rlike(jvm(FRONTMATTER, "s"))
+    block = F.regexp_extract(t, jvm(FRONTMATTER, "s"), 1)
+    front = lambda key: F.regexp_replace(_found(block, FRONT_KEY.format(key)), r"^[\"']+|[\"']+$", "")
+    version = F.when(is_front, front("version")).when(kind == "text/html", F.col(f"{own}.version"))
+    title = F.when(is_front, front("title")).when(kind == "text/html", F.col(f"{own}.title"))
+    if pdf_title:
+        title = title.when(kind == "application/pdf", F.nullif(_strip(F.col(pdf_title)), F.lit("")))
+    version = F.coalesce(version, _found(head, VERSION_LINE))
+    found = {"version": F.coalesce(F.nullif(version, F.lit("")), F.lit("1")), "title": F.coalesce(title, _found(head, TITLE_LINE))}
+    return read.withColumns(found).drop(own)

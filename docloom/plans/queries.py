@@ -285,7 +285,7 @@ s AS (SELECT q.vec_id AS query_id, d.vec_id, round(list_dot_product(q.e, d.e) /
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s QUALIFY rank <= 20""",
     "point_ids": f"""WITH h AS (SELECT doc_id, {_UUID} AS h FROM documents)
 SELECT doc_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || '89ab'[((strpos('0123456789abcdef', h[17]) - 1) & 3) + 1] || h[18:20] || '-' || h[21:32] AS point_id FROM h""",
-    "html_metadata": r"""SELECT page_id, '1' AS version, trim(regexp_extract(html, '(?is)<title[^>]*>([^<]*)</title>', 1)) AS title FROM pages""",
+    "html_metadata": r"""SELECT page_id, '1' AS version, trim(replace(regexp_extract(html, '(?is)<title[^>]*>([^<]*)</title>', 1), '&amp;', '&')) AS title FROM pages""",
     "markdown_segments": "SELECT doc_id, 0 AS pos, text, source || '//' || lang AS breadcrumb FROM documents",
     "chunk_fold_tokens": rf"""
 WITH RECURSIVE {_SENTENCES},

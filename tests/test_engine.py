@@ -59,6 +59,50 @@ def test_html_segments_repeat_nested_bodies():
     assert segment.html_segments("<h1>T</h1><li><p>x</p> y</li><div>gone</div>") == [("x y", ["T"]), ("x", ["T"])]
 
 
+def test_segments_as_surveyed():
+    assert segment.html_segments("<h1>Foo <b>Bar</b></h1><p>x") == [("x", ["FooBar"])]
+    assert segment.html_segments("<h2>A &amp; B<p>in</p></h2><div><p>y</div>z") == [("in", ["", "A & Bin"]), ("y", ["", "A & Bin"])]
+    assert segment.html_segments("<p>a<template>no</template><script>n</script><br>b<!-- c -->d</p>") == [("a b d", [])]
+    assert segment.markdown_segments("## \nx\n#\ty \nz") == [("x", ["", ""]), ("z", ["y"])]
+
+
+def test_metadata_as_surveyed(spark):
+    md, html, pdf = "text/markdown", "text/html", "application/pdf"
+    cases = [
+        ("---\n  version: 5\n\ttitle: 'In'\n---\nx", md, "5", "In"), ("doc-version: 9", md, "1", None), ("DOC_version = 8", md, "8", None), ("<title>A &amp; B</title><meta name=version content=6>", html, "6", "A & B"),
+        ("<title></title>title: no", html, "1", None), ("<title></title>\ntitle: L", html, "1", "L"), ("---\nversion: 3\n---\n", pdf, "3", "P"), ("---\ntitle: q\n---\nversion: 2", "text/plain", "2", "q"), ("version:\n\n7 x", md, "7 x", None),
+    ]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _, _) in enumerate(cases)], "i int, text string, mime_type string").withColumn("info", F.when(F.col("mime_type") == pdf, " P "))
+    assert [(r.version, r.title) for r in segment.metadata(df, pdf_title="info").orderBy("i").collect()] == [(v, t) for *_, v, t in cases]
+
+
+def test_page_markers(spark):
+    lines = ["3 of 10", "PAGE 3 OF 10", " 3/10 ", "page 1 / 2", "٣ of ١٠", "Page 1", "1 of 2 x", "page of 3", "***", "-_=*", "--", "=== x"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, t string")
+    kept = [r.t for r in df.select("i", T.drop_boilerplate(F.col("t")).alias("t")).orderBy("i").collect()]
+    assert kept == [""] * 5 + ["Page 1", "1 of 2 x", "page of 3", "", "", "--", "=== x"]
+
+
+def test_term_counts(spark):
+    df = spark.createDataFrame([(1, "b A b c, b"), (2, ""), (3, None), (4, "?")], "i int, t string")
+    got = {r.i: {(x.bucket, x.tf) for x in r.p} for r in df.select("i", F.coalesce(T.term_counts(F.col("t")), F.array()).alias("p")).collect()}
+    assert got == {1: {(zlib.crc32(w.encode()) % 65536, n) for w, n in (("a", 1), ("b", 3), ("c", 1))}, 2: set(), 3: set(), 4: set()}
+
+
+@pytest.mark.parametrize("block", [64 << 20, 500])
+def test_dense_topk_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(retrieval, "BLOCK_BYTES", block)
+    rng = random.Random(2)
+    rows = [(f"k{i}", [float(rng.randrange(3)) for _ in range(4)] if i % 9 else [1.0]) for i in range(300)] + [("z", None), ("o", [0.0] * 4)]
+    index, asked = spark.createDataFrame(rows, "key string, vector array<double>").repartition(5), spark.createDataFrame([(i, [1.0, float(i), 0.5, 2.0]) for i in range(12)], "q long, vector array<double>")
+    want = set()
+    for i in range(12):
+        q = np.array([1.0, i, 0.5, 2.0])
+        scored = [(-round(float(q @ v) / np.linalg.norm(q) / np.linalg.norm(v), 6), k) for k, v in rows if v and len(v) == 4 and any(v)]
+        want |= {(i, k, n + 1) for n, (_, k) in enumerate(sorted(scored)[:7])}
+    assert {(r.q, r.key, r.rank) for r in retrieval.dense_topk(asked, index, "q", "key", 7).collect()} == want
+
+
 def test_metadata_ladder(spark):
     md, html = "text/markdown", "text/html"
     cases = [("---\nversion: '2.1'\ntitle: T\n---\nx", md, "2.1", "T"), ("Doc version = 7\nTitle: Q", md, "7", "Q"), ("x", md, "1", None), ('---\nversion: ""\n---\nversion: 3', md, "1", None), ('<title> H </title><meta name="version" content=" 4 ">', html, "4", "H"), ("\n" * 40 + "version: 9", md, "1", None)]
@@ -110,7 +154,11 @@ def test_evaluation_and_gate(spark):
 def test_answers():
     assert retrieval.answer("q", [])["text"] == retrieval.NOTHING_FOUND
     said = retrieval.answer("q", [{"text": "t", "chunk_id": "c:0", "title": "T"}])
-    assert said["citations"] == [{"cited_text": "t", "chunk_id": "c:0", "title": "T"}]
+    assert said["citations"] == [{"cited_text": "t", "chunk_id": "c:0", "title": "T", "source_uri": None}]
+    blocks = [{"text": "t", "chunk_id": "c:0", "title": "T", "source_uri": "u"}]
+    reply = {"content": [{"type": "thinking", "text": "no"}, {"type": "text", "text": "a"}, {"type": "text", "text": "b", "citations": [{"cited_text": "x", "document_index": 0}]}]}
+    assert retrieval.answer("q", blocks, lambda q, b: reply) == {"text": "ab", "citations": [{"cited_text": "x", "chunk_id": "c:0", "title": "T", "source_uri": "u"}], "usage": None}
+    assert "Reference answer: r" in retrieval.judge_prompt("q", "r", blocks, "a")
 
 
 def test_micro_batcher_and_retries():

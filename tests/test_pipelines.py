@@ -114,6 +114,8 @@ def test_usage_and_judge(spark):
     said = lambda t: spark.createDataFrame([(t,)], "t string").select(T.judge_scores(F.col("t")).alias("s"))
     good = '```json\n{"faithfulness": 1, "answer_relevance": 0.5,\n "context_precision": 0}\n```\nBecause {x}'
     assert tuple(said(good).first().s) == (1.0, 0.5, 0.0)
+    nested = 'So: {"why": {"a": [1, {"b": 2}]}, "faithfulness": 1, "answer_relevance": 0.5, "context_precision": 0} {"faithfulness": 9}'
+    assert tuple(said(nested).first().s) == (1.0, 0.5, 0.0)
     for bad in ("no", '{"faithfulness": true, "answer_relevance": 0.5, "context_precision": 0}', '{"faithfulness": 1.1, "answer_relevance": 0.5, "context_precision": 0}', None):
         with pytest.raises(PySparkException):
             said(bad).collect()
