@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import sentences
-from docloom.operators.segment import segment
+from docloom.operators.segment import segments
 
 THRESHOLD, LEAST, MOST = 0.55, 128, 512
 CHUNK = "ordinal int, chunk_id string, text string, breadcrumb array<string>, token_count bigint, sentences int"
@@ -33,23 +33,31 @@ def hashed_vectors(texts: list[str], size: int = 384) -> np.ndarray:
     return out / np.where(norm == 0, 1, norm)
 
 
-def fold(tokens: list[int], crumbs: list[tuple], vectors: np.ndarray | None, least: int, most: int, threshold: float) -> list[tuple[int, int]]:
+def in_blocks(embed: Callable, texts: list[str], size: int = 512) -> Iterator[np.ndarray]:
+    """Vectors of texts one by one, made so many at a time: a document of any length has few of them in memory."""
+    for at in range(0, len(texts), size):
+        yield from embed(texts[at : at + size])
+
+
+def fold(tokens: list[int], crumbs: list[tuple], vectors: Iterable[np.ndarray] | None, least: int, most: int, threshold: float) -> list[tuple[int, int]]:
     """Ranges of sentences of each chunk. A sentence that would pass `most` starts a new chunk, as does one of another
     section or of low mean similarity to the chunk once that has `least` tokens."""
     out, start = [], 0
     if not tokens:
         return out
-    total, mean = tokens[0], None if vectors is None else vectors[0].copy()
+    following = None if vectors is None else iter(vectors)
+    total, mean = tokens[0], None if following is None else np.array(next(following), float)
     for i in range(1, len(tokens)):
-        shift = crumbs[i] != crumbs[start] or (mean is not None and float(mean @ vectors[i]) < threshold)
+        vector = None if following is None else np.asarray(next(following), float)
+        shift = crumbs[i] != crumbs[start] or (mean is not None and float(mean @ vector) < threshold)
         if total + tokens[i] > most or shift and total >= least:
             out.append((start, i))
             start, total = i, tokens[i]
-            mean = None if vectors is None else vectors[i].copy()
+            mean = None if vector is None else vector.copy()
         else:
             total += tokens[i]
             if mean is not None:
-                mean += (vectors[i] - mean) / (i - start + 1)
+                mean += (vector - mean) / (i - start + 1)
     return [*out, (start, len(tokens))]
 
 
@@ -57,7 +65,7 @@ def chunk_documents(docs: DataFrame, least: int = LEAST, most: int = MOST, thres
     """Chunks of docs (doc_id, text, mime_type). embed None: only sections and token bounds cut. Columns named in carry
     go with each chunk."""
     kept = ["doc_id", *(carry or [])]
-    parts = docs.select(*kept, segment(F.col("text"), F.col("mime_type")).alias("segments"))
+    parts = docs.select(*kept, segments(F.col("text"), F.col("mime_type")).alias("segments"))
     split = F.transform("segments", lambda s: F.struct(s["breadcrumb"].alias("breadcrumb"), sentences(s["text"]).alias("sentences")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -66,7 +74,7 @@ def chunk_documents(docs: DataFrame, least: int = LEAST, most: int = MOST, thres
             for parts, own in zip(batch["parts"], batch[kept].itertuples(index=False, name=None)):
                 flat = [(t, tuple(p["breadcrumb"])) for p in parts for t in p["sentences"]]
                 texts, crumbs = [f[0] for f in flat], [f[1] for f in flat]
-                ranges = fold([count(t) for t in texts], crumbs, embed(texts) if embed and texts else None, least, most, threshold)
+                ranges = fold([count(t) for t in texts], crumbs, in_blocks(embed, texts) if embed else None, least, most, threshold)
                 for k, (a, b) in enumerate(ranges):
                     path = " -> ".join(c for c in crumbs[a] if c)
                     text = (f"[{path}] " if path else "") + " ".join(texts[a:b])

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import re
+import time
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Callable
@@ -17,6 +19,7 @@ from docloom.functions.text import SPARSE_BUCKETS, normalize_text, uuid5
 from docloom.operators.chunking import chunk_documents, hashed_vectors
 from docloom.operators.registry import dim_guard
 from docloom.operators.segment import metadata
+from docloom.streaming.batching import RETRIES, SIZE, with_retries
 
 PAYLOAD = "chunk_id string, parent_doc_id string, text string, hierarchical_context array<string>, token_count bigint, doc_version string, doc_title string, source_uri string"
 POINT = f"point_id string, {PAYLOAD}, dense array<double>, indices array<int>, values array<double>"
@@ -24,7 +27,7 @@ POINT = f"point_id string, {PAYLOAD}, dense array<double>, indices array<int>, v
 
 def payloads(docs: DataFrame, **bounds) -> DataFrame:
     """Chunk payloads of docs (doc_id, source_uri, mime_type, text); metadata travels with its document, no join."""
-    carried = metadata(docs).select("doc_id", "text", "mime_type", F.col("version").alias("doc_version"), F.col("title").alias("doc_title"), "source_uri")
+    carried = metadata(docs, pdf_title="pdf_title" if "pdf_title" in docs.columns else None).select("doc_id", "text", "mime_type", F.col("version").alias("doc_version"), F.col("title").alias("doc_title"), "source_uri")
     chunks = chunk_documents(carried, carry=["doc_version", "doc_title", "source_uri"], **bounds)
     return chunks.select("chunk_id", F.col("doc_id").cast("string").alias("parent_doc_id"), "text", F.col("breadcrumb").alias("hierarchical_context"), "token_count", "doc_version", "doc_title", "source_uri")
 
@@ -34,18 +37,39 @@ def sparse_vector(text: str) -> tuple[list[int], list[float]]:
     return [b for b, _ in found], [1 + math.log(n) for _, n in found]
 
 
-def points(chunks: DataFrame, embed: Callable = hashed_vectors, dim: int = 384) -> DataFrame:
-    """Index points of normalized payloads, with `dropped` as a reason where the dense vector has another length.
+class PerWorker:
+    """An embedder that each worker process makes once, when it first needs it: PerWorker(load_model)(texts)."""
 
-    Dense and sparse vectors come from one pass over a batch, so they are columns of the chunk's own row.
+    _made: dict[str, Callable] = {}
+
+    def __init__(self, make: Callable[[], Callable]):
+        self.make, self.name = make, uuid.uuid4().hex
+
+    def __call__(self, texts: list[str]):
+        if self.name not in PerWorker._made:
+            PerWorker._made[self.name] = self.make()
+        return PerWorker._made[self.name](texts)
+
+
+def points(chunks: DataFrame, embed: Callable = hashed_vectors, dim: int = 384, retries: int = RETRIES, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """Index points of normalized payloads, with `dropped` as a reason where there is no dense vector of the right length.
+
+    Dense and sparse vectors come from one pass over a batch, so they are columns of the chunk's own row. Chunks are embedded
+    SIZE at a time; a call that still fails after its retries drops those chunks alone.
     """
 
+    def dense(texts: list[str]) -> tuple[list, str | None]:
+        return with_retries(lambda: ([[float(x) for x in v] for v in embed(texts)], None), lambda e: ([None] * len(texts), f"embedding failed: {e}".split("\n")[0]), retries, sleep)
+
     def vectors(texts: pd.Series) -> pd.DataFrame:
-        sparse = [sparse_vector(t) for t in texts]
-        dense = embed(list(texts)) if len(texts) else []
-        return pd.DataFrame({"dense": [[float(x) for x in v] for v in dense], "indices": [s[0] for s in sparse], "values": [s[1] for s in sparse]})
+        sparse, rows, why = [sparse_vector(t) for t in texts], [], []
+        for at in range(0, len(texts), SIZE):
+            found, error = dense(list(texts[at : at + SIZE]))
+            rows += found
+            why += [error] * len(found)
+        return pd.DataFrame({"dense": pd.Series(rows, dtype=object), "indices": [s[0] for s in sparse], "values": [s[1] for s in sparse], "failed": pd.Series(why, dtype=object)})
 
-    run = pandas_udf(vectors, "dense array<double>, indices array<int>, values array<double>")
+    run = pandas_udf(vectors, "dense array<double>, indices array<int>, values array<double>, failed string")
     flat = chunks.withColumn("raw_text", F.col("text")).withColumn("text", F.coalesce(normalize_text(F.col("text")), F.lit("")))
     made = flat.withColumn("v", run("text")).select("*", "v.*").drop("v").withColumn("point_id", uuid5(F.col("chunk_id")))
-    return dim_guard(made, dim, "dense")
+    return dim_guard(made, dim, "dense").withColumn("dropped", F.coalesce("failed", "dropped")).drop("failed")

@@ -27,6 +27,11 @@ def apply(prior: DataFrame, changes: DataFrame) -> DataFrame:
     return kept.unionByName(changes.where("action <> 'delete'").select("doc_id", "chunk_id", "version"))
 
 
+def stale(changes: DataFrame) -> DataFrame:
+    """doc_id, chunk_ids: the chunks that each document no longer has, in order; documents without any have no row."""
+    return changes.where("action = 'delete'").groupBy("doc_id").agg(F.array_sort(F.collect_list("chunk_id")).alias("chunk_ids"))
+
+
 def tombstone(prior: DataFrame, doc_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The registry without the documents, and the chunk ids to purge."""
     return prior.join(doc_ids, "doc_id", "left_anti"), prior.join(doc_ids, "doc_id", "left_semi").select("doc_id", "chunk_id")

@@ -159,6 +159,14 @@ def segment(text: pd.Series, mime: pd.Series) -> pd.Series:
     return pd.Series([one(t, m) for t, m in zip(text, mime)], dtype=object)
 
 
+def segments(text: Column, mime: Column) -> Column:
+    """Segments by type; only Markdown and HTML are read outside the JVM."""
+    marked = F.coalesce(mime.isin("text/markdown", "text/html"), F.lit(False))
+    plain = F.array(F.struct(text.alias("text"), F.array().cast("array<string>").alias("breadcrumb")))
+    none = F.array().cast(SEGMENTS)
+    return F.when(marked, segment(F.when(marked, text), mime)).when(F.length(text) > 0, plain).otherwise(none)
+
+
 def _strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 

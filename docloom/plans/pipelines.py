@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable
 from pathlib import Path
 
@@ -15,57 +16,101 @@ from docloom.functions.text import approx_tokens, normalize_text
 from docloom.operators import evaluation, indexing, registry, retrieval
 from docloom.operators.chunking import hashed_vectors
 from docloom.session import store
-from docloom.sources.files import read_texts, route, validate
+from docloom.sources import pdf
+from docloom.sources.files import from_records, read_texts, route, to_records, validate
 from docloom.sources.tables import KeyedLog
-from docloom.streaming.batching import with_retries
+from docloom.sources.topics import Topic
+from docloom.streaming.batching import RETRIES, with_retries
 
 LINEAGE = "doc_id string, chunk_id string, version bigint"
 JUDGE = ["faithfulness", "answer_relevance", "context_precision"]
+#: Cases of a report, which the driver holds.
+CASES = 100_000
 METRICS = ["retrieval_hit", "reciprocal_rank", "source_precision", "citation_hit", *JUDGE]
 
 
 class Engine:
     """Three places under one folder: the registry of chunks, the index, and what was turned down (dead)."""
 
-    def __init__(self, spark: SparkSession, path: str, embed: Callable = hashed_vectors, dim: int = 384, pdf_pages: Callable | None = None, **bounds):
+    def __init__(self, spark: SparkSession, path: str, embed: Callable = hashed_vectors, dim: int = 384, pdf_pages: Callable | None = pdf.pages, retries: int = RETRIES, sleep: Callable[[float], None] = time.sleep, **bounds):
         self.spark, self.path = spark, path.rstrip("/")
-        self.embed, self.dim, self.pdf_pages, self.bounds = embed, dim, pdf_pages, bounds
-        self.registry = KeyedLog(spark, f"{self.path}/registry", LINEAGE, "chunk_id")
-        self.index = KeyedLog(spark, f"{self.path}/index", indexing.POINT, "chunk_id")
+        self.embed, self.dim, self.pdf_pages, self.bounds, self.retries, self.sleep = embed, dim, pdf_pages, bounds, retries, sleep
+        self.registry = KeyedLog(spark, f"{self.path}/registry", LINEAGE, "chunk_id", "doc_id")
+        self.index = KeyedLog(spark, f"{self.path}/index", indexing.POINT, "chunk_id", "parent_doc_id")
 
     def _dead(self, rows: DataFrame, kind: str, number: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.path}/dead-{kind}/batch={number}")
 
-    def add_documents(self, docs: DataFrame, number: int) -> None:
-        """Brings documents (doc_id, source_uri, mime_type, text) in as batch `number`, one row a document.
-
-        Chunks that a document no longer has leave registry and index in the same batch. Points whose vector has
-        another length go to the dead chunks with their raw text. A batch that is run again gives the same tables.
-        """
+    def _chunked(self, docs: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
+        """Chunk payloads of documents, and what they change in the registry."""
         chunks = store(indexing.payloads(docs, **self.bounds), "chunks")
         now = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(None).cast("string").alias("chunk_id"))
         now = now.unionByName(chunks.select(F.col("parent_doc_id").alias("doc_id"), "chunk_id"))
-        changes = store(registry.diff(self.registry.read(before=number), now), "changes")
-        stale = changes.where("action = 'delete'").select("chunk_id")
-        made = store(indexing.points(chunks, self.embed, self.dim), "points")
+        touched = now.where("chunk_id IS NULL").select("doc_id")
+        return chunks, store(registry.diff(self.registry.read(number, touched), now), "changes")
+
+    def _indexed(self, chunks: DataFrame, gone: DataFrame, number: int) -> dict:
+        """Puts chunks into the index, and takes those in gone (chunk_id, parent_doc_id) out; what was done, as counts."""
+        made = store(indexing.points(chunks, self.embed, self.dim, self.retries, self.sleep), "points")
         refused = made.where("dropped IS NOT NULL")
         self._dead(refused.withColumn("text", F.col("raw_text")).select(*chunks.columns, F.col("dropped").alias("dlq_reason")), "chunks", number)
         # a refused chunk's older point must not stay behind it
-        self.index.write(number, made.where("dropped IS NULL"), stale.unionByName(refused.select("chunk_id")))
-        self.registry.write(number, changes.where("action <> 'delete'"), stale)
+        self.index.write(number, made.where("dropped IS NULL"), gone.unionByName(refused.select("chunk_id", "parent_doc_id")))
+        n, dropped = made.agg(F.count(F.lit(1)), F.count("dropped")).first()
+        return {"chunks": n, "upserted": n - dropped, "dropped": dropped, "normalization": measure_normalization(made, "raw_text").first().asDict()}
 
-    def add_files(self, files: DataFrame, number: int) -> None:
-        """Validates and adds files; those turned down go to the dead documents with their reasons."""
+    def add_documents(self, docs: DataFrame, number: int) -> dict:
+        """Brings documents (doc_id, source_uri, mime_type, text) in as batch `number`, one row a document; returns counts.
+
+        Chunks that a document no longer has leave registry and index in the same batch. Points whose vector has another
+        length, or whose embedding fails, go to the dead chunks with their raw text. A batch that is run again gives the same
+        tables.
+        """
+        chunks, changes = self._chunked(docs, number)
+        gone = changes.where("action = 'delete'")
+        done = self._indexed(chunks, gone.select("chunk_id", F.col("doc_id").alias("parent_doc_id")), number)
+        self.registry.write(number, changes.where("action <> 'delete'"), gone)
+        return done
+
+    def publish_documents(self, docs: DataFrame, number: int, topic: Topic) -> None:
+        """As add_documents, but chunks go to a topic for others to embed: a record a chunk, without a value for chunks that go."""
+        chunks, changes = self._chunked(docs, number)
+        gone = changes.where("action = 'delete'").select(F.concat_ws("\n", "doc_id", "chunk_id").alias("key"), F.lit(None).cast("string").alias("value"))
+        named = chunks.withColumn("key_", F.concat_ws("\n", "parent_doc_id", "chunk_id"))
+        topic.write(to_records(named, "key_").unionByName(gone), number)
+        self.registry.write(number, changes.where("action <> 'delete'"), changes.where("action = 'delete'"))
+
+    def embed_records(self, records: DataFrame, number: int) -> dict:
+        """Brings a batch of chunk records in; of records of one key the last in `at` holds, where the topic tells an order."""
+        order = F.struct("at", "value") if "at" in records.columns else F.struct("value")
+        last = records.groupBy("key").agg(F.max_by("value", order).alias("value"))
+        key = F.split("key", "\n")
+        put = from_records(last.where("value IS NOT NULL"), indexing.PAYLOAD).where("bad IS NULL").drop("bad")
+        gone = last.where("value IS NULL").select(key[1].alias("chunk_id"), key[0].alias("parent_doc_id"))
+        return self._indexed(put, gone, number)
+
+    def embed_stream(self, topic: Topic, checkpoint: str, **trigger) -> StreamingQuery:
+        """Embeds a topic's records as they come, batch by batch; offsets are committed when a batch is in."""
+        run = topic.stream().writeStream.foreachBatch(lambda batch, number: self.embed_records(batch, number) and None)
+        return run.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+    def add_files(self, files: DataFrame, number: int) -> dict:
+        """Validates and adds files; those turned down, and those that cannot be read, go to the dead documents with their reasons."""
         good, bad = route(validate(files))
-        self._dead(bad.select("doc_id", "source_uri", "mime_type", F.col("length").alias("size_bytes"), F.col("modificationTime").cast("double").alias("timestamp"), "reason"), "documents", number)
-        self.add_documents(read_texts(good, self.pdf_pages), number)
+        texts = store(read_texts(good, self.pdf_pages), "texts")
+        names = ["doc_id", "source_uri", "mime_type", "size_bytes", "timestamp", "reason"]
+        bad = bad.select(*names[:3], F.col("length").alias("size_bytes"), F.col("modificationTime").cast("double").alias("timestamp"), "reason")
+        self._dead(bad.unionByName(texts.where("reason IS NOT NULL").select(*names)), "documents", number)
+        return self.add_documents(texts.where("reason IS NULL").drop("reason"), number)
 
     def remove_documents(self, doc_ids: DataFrame, number: int) -> DataFrame:
         """Tombstones: all chunks of the documents leave; returns their ids (none for unknown documents)."""
-        _, gone = registry.tombstone(self.registry.read(before=number), doc_ids.select("doc_id").distinct())
-        gone = store(gone, "tombstones")
-        self.index.write(number, self.index.read(before=number).limit(0), gone)
-        self.registry.write(number, self.registry.read(before=number).limit(0), gone)
+        wanted = doc_ids.select("doc_id").distinct()
+        prior = self.registry.read(number, wanted)
+        gone = store(registry.tombstone(prior, wanted)[1], "tombstones")
+        none = self.spark.createDataFrame([], self.index.schema)
+        self.index.write(number, none, gone.withColumnRenamed("doc_id", "parent_doc_id"))
+        self.registry.write(number, prior.limit(0), gone)
         return gone
 
     def stream(self, files: DataFrame, checkpoint: str, sleep: Callable[[float], None] | None = None, **trigger) -> StreamingQuery:
@@ -76,13 +121,13 @@ class Engine:
                 reason = str(error).split("\n")[0]
                 self._dead(validate(batch).select("doc_id", "source_uri", "mime_type", F.lit(reason).alias("reason")), "batches", number)
 
-            with_retries(lambda: self.add_files(batch, number), aside, **({"sleep": sleep} if sleep else {}))
+            with_retries(lambda: self.add_files(batch, number), aside, sleep=sleep or self.sleep)
 
         return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
     def search(self, questions: DataFrame, k: int = retrieval.TOP_K, prefetch: int = retrieval.PREFETCH) -> DataFrame:
         """The best k chunks of each question (query_id, question) with their payloads, score and rank."""
-        index, embed = self.index.read(), self.embed
+        index, embed = store(self.index.read(), "live"), self.embed
 
         def dense(texts: pd.Series) -> pd.Series:
             return pd.Series([[float(x) for x in v] for v in embed(list(texts))] if len(texts) else [], dtype=object)
@@ -136,9 +181,11 @@ def evaluate(cases: DataFrame, hits: DataFrame, model: Callable | None = None, j
 
 
 def evaluation_report(rows: DataFrame, totals: DataFrame, dataset_version: str, judged: bool) -> dict:
-    """The evaluation as one JSON document; a question set is a bounded list of cases."""
+    """The evaluation as one JSON document; a question set is a list of at most CASES cases, more raise."""
     metrics = totals.first().asDict()
     count = metrics.pop("case_count")
+    if count > CASES:
+        raise ValueError(f"a report holds at most {CASES} cases; write the {count} rows as a table")
     cases = [r.asDict() for r in rows.orderBy("case_id").collect()]
     return {"schema_version": 2, "dataset_version": dataset_version, "case_count": count, "judge_enabled": judged, "metrics": metrics, "cases": cases}
 

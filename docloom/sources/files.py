@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from docloom.functions.text import collapse, uuid5
+from docloom.sources import pdf
 
 # Extensions and their types.
 MIME = {".pdf": "application/pdf", ".md": "text/markdown", ".markdown": "text/markdown", ".html": "text/html", ".htm": "text/html"}
@@ -52,21 +53,37 @@ def route(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where("ok"), checked.where("NOT ok")
 
 
-def read_texts(checked: DataFrame, pdf_pages: Callable[[bytes], list[str | None]] | None = None) -> DataFrame:
-    """doc_id, source_uri, mime_type, size_bytes, timestamp (epoch seconds) and text of validated files.
+def read_texts(checked: DataFrame, pdf_pages: Callable[[bytes], list[str | None]] | None = pdf.pages, pdf_title: Callable[[bytes], str | None] | None = pdf.title) -> DataFrame:
+    """doc_id, source_uri, mime_type, size_bytes, timestamp (epoch seconds), text, pdf_title and reason of validated files.
 
     Text is strict UTF-8. PDF pages come from the given parser, joined by blank lines, a page without text as an empty
-    one; without a parser a PDF is an error.
+    one. A PDF that the parser fails on has a null text and the reason; the others of its batch are not touched by that.
     """
-    text = F.validate_utf8(F.col("content").cast("string"))
+
+    def parse(content: pd.Series) -> pd.DataFrame:
+        rows = []
+        for c in content:
+            try:
+                rows.append(("\n\n".join(p or "" for p in pdf_pages(c)), pdf_title(c) if pdf_title else None, None))
+            except Exception as error:
+                rows.append((None, None, f"PDF could not be read: {error}".split("\n")[0]))
+        return pd.DataFrame(rows, columns=["text", "title", "reason"], dtype=object)
+
     named = checked.select("doc_id", "source_uri", "mime_type", F.col("length").alias("size_bytes"), F.col("modificationTime").cast("double").alias("timestamp"), "content")
     is_pdf = F.coalesce(F.col("mime_type") == "application/pdf", F.lit(False))
+    none = F.lit(None).cast("string")
+    text = named.where(~is_pdf).withColumns({"text": F.validate_utf8(F.col("content").cast("string")), "pdf_title": none, "reason": none})
     if not pdf_pages:
-        missing = F.raise_error(F.concat(F.lit("no PDF parser was given for "), F.col("source_uri")))
-        return named.withColumn("text", F.when(is_pdf, missing.cast("string")).otherwise(text)).drop("content")
-    # a UDF inside a condition would run on every row, so PDFs go their own way
-    parse = pandas_udf(lambda found: pd.Series(["\n\n".join(p or "" for p in pdf_pages(c)) for c in found], dtype=object), "string")
-    return named.where(~is_pdf).withColumn("text", text).unionByName(named.where(is_pdf).withColumn("text", parse("content"))).drop("content")
+        read = named.where(is_pdf).withColumns({"text": none, "pdf_title": none, "reason": F.lit("no PDF parser was given")})
+    else:  # a UDF inside a condition would run on every row, so PDFs go their own way
+        told = pandas_udf(parse, "text string, title string, reason string")
+        read = named.where(is_pdf).withColumn("p", told("content")).withColumns({"text": F.col("p.text"), "pdf_title": F.col("p.title"), "reason": F.col("p.reason")}).drop("p")
+    return text.unionByName(read).drop("content")
+
+
+def settled(files: DataFrame, seconds: float = 1.0) -> DataFrame:
+    """Files that were not written to for so long: the rest may still be on their way, and a later listing has them."""
+    return files.where(F.col("modificationTime").cast("double") <= F.unix_micros(F.current_timestamp()) / 1e6 - seconds)
 
 
 def kafka_source(spark: SparkSession, servers: str, topic: str, schema: str) -> DataFrame:

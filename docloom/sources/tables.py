@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.session import delete, small
+
 
 class KeyedLog:
     """Rows by key under a folder. Segment n holds what batch n put or deleted; the newest row of a key holds.
 
-    compact() writes all live rows up to the last batch as one base; later reads start there. One writer at a time.
+    Segments are partitioned by a hash of the owner column (the key's own by default), so a read for some owners meets
+    their partitions alone. After every so many batches the live rows before the batch become one base, and what it
+    replaces is deleted; reads start at the base. One writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: str):
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str, owner: str | None = None, parts: int = 16, every: int = 50):
         self.spark, self.path, self.key = spark, path.rstrip("/"), key
+        self.owner, self.parts, self.every = owner or key, parts, every
         self.schema = spark.createDataFrame([], schema).schema
-        self.stored = spark.createDataFrame([], f"{schema}, seq bigint, deleted boolean").schema
+        self.stored = spark.createDataFrame([], f"{schema}, seq bigint, deleted boolean, part int").schema
 
     def _numbers(self, kind: str) -> list[int]:
         """Numbers of the whole folders of one kind (those with a success mark), in order."""
@@ -24,26 +29,53 @@ class KeyedLog:
         found = mark.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(mark)
         return sorted(int(f.getPath().getParent().getName().removeprefix(f"{kind}-")) for f in found or [])
 
-    def _rows(self, before: int | None) -> DataFrame:
+    def _segments(self, before: int | None) -> list[str]:
         inside = lambda n: before is None or n < before
         base = [n for n in self._numbers("base") if inside(n)][-1:]
-        parts = [f"{self.path}/base-{n}" for n in base] + [f"{self.path}/batch-{n}" for n in self._numbers("batch") if inside(n) and n > (base or [-1])[0]]
-        return self.spark.read.schema(self.stored).parquet(*parts) if parts else self.spark.createDataFrame([], self.stored)
+        return [f"{self.path}/base-{n}" for n in base] + [f"{self.path}/batch-{n}" for n in self._numbers("batch") if inside(n) and n > (base or [-1])[0]]
+
+    def _part(self, owner: str):
+        return F.pmod(F.xxhash64(owner), F.lit(self.parts)).cast("int")
 
-    def read(self, before: int | None = None) -> DataFrame:
-        """Live rows; with `before`, as they were before that batch (so a batch run again does not see itself)."""
-        newest = self._rows(before).groupBy(self.key).agg(F.max_by(F.struct(*self.stored.names), "seq").alias("row"))
-        return newest.where("NOT row.deleted").select("row.*").select(*self.schema.names)
+    def read(self, before: int | None = None, owners: DataFrame | None = None) -> DataFrame:
+        """Live rows; with `before`, as they were before that batch (so a batch run again does not see itself); with `owners`
+        (a table of the owner column), theirs alone. A lone base needs no grouping."""
+        paths = self._segments(before)
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        rows = None
+        for path in paths:
+            one = self.spark.read.schema(self.stored).parquet(path)
+            rows = one if rows is None else rows.unionByName(one)
+        if owners is not None:
+            wanted = owners.select(self.owner).distinct()
+            met = [r[0] for r in wanted.select(self._part(self.owner)).distinct().collect()]  # at most `parts`
+            rows = rows.where(F.col("part").isin(met)).join(small(wanted), self.owner, "left_semi")
+        if len(paths) > 1 or not paths[0].startswith(f"{self.path}/base-"):
+            rows = rows.groupBy(self.key).agg(F.max_by(F.struct(*self.schema.names, "deleted"), "seq").alias("row")).select("row.*")
+        return rows.where("NOT deleted").select(*self.schema.names)
 
     def write(self, number: int, put: DataFrame, gone: DataFrame | None = None) -> None:
-        """Puts rows (one a key) and deletes keys. A key in both is put."""
+        """Puts rows (one a key) and deletes keys (with their owners, where those are columns of their own). A key in both is put."""
+        if len(self._segments(number)) > self.every:
+            self.compact(number)
         rows = put.select(*self.schema.names, F.lit(False).alias("deleted"))
         if gone is not None:
-            gone = gone.select(self.key).distinct().join(put.select(self.key), self.key, "left_anti")
+            named = list(dict.fromkeys([self.key, self.owner]))
+            gone = gone.select(*named).dropDuplicates([self.key]).join(put.select(self.key), self.key, "left_anti")
             rows = rows.unionByName(gone.withColumn("deleted", F.lit(True)), allowMissingColumns=True)
-        rows.withColumn("seq", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{self.path}/batch-{number}")
+        rows = rows.withColumns({"seq": F.lit(number).cast("bigint"), "part": self._part(self.owner)})
+        rows.write.partitionBy("part").mode("overwrite").parquet(f"{self.path}/batch-{number}")
 
-    def compact(self) -> None:
-        if numbers := self._numbers("batch"):
-            live = self.read().withColumns({"seq": F.lit(numbers[-1]).cast("bigint"), "deleted": F.lit(False)})
-            live.write.mode("overwrite").parquet(f"{self.path}/base-{numbers[-1]}")
+    def compact(self, before: int | None = None) -> None:
+        """One base of all live rows of the batches before that number (all there are by default); older segments go."""
+        numbers = [n for n in self._numbers("batch") if before is None or n < before]
+        old = self._segments(before)
+        if not numbers or old == [f"{self.path}/base-{numbers[-1]}"]:
+            return
+        live = self.read(before).withColumns({"seq": F.lit(numbers[-1]).cast("bigint"), "deleted": F.lit(False), "part": self._part(self.owner)})
+        live.repartition("part").write.partitionBy("part").mode("overwrite").parquet(f"{self.path}/base-{numbers[-1]}")
+        for path in old:
+            # the last batch stays, so that it can be run again
+            if path != f"{self.path}/batch-{numbers[-1]}":
+                delete(self.spark, path)

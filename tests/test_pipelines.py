@@ -2,6 +2,7 @@
 
 import json
 import uuid
+import zlib
 
 import pytest
 from pyspark.errors import PySparkException
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.operators import indexing
 from docloom.plans.pipelines import Engine, evaluate, evaluation_report, health, measure_normalization, preview, report, write_json
-from docloom.sources.files import from_records, read_files, read_texts, to_records, validate, watch_files
+from docloom.sources import pdf
+from docloom.sources.files import from_records, read_files, read_texts, settled, to_records, validate, watch_files
 from docloom.sources.tables import KeyedLog
+from docloom.sources.topics import FolderTopic
 from docloom.streaming.batching import MicroBatcher, microbatches
 
 NOTES = "---\ntitle: Notes\nversion: 3\n---\n# Storage\n## Replication\nCopies may lag behind the primary. A failure can lose late writes.\n# Routing\nBalancers spread requests over servers. Health checks remove broken ones."
@@ -84,15 +87,81 @@ def test_streams_guard_and_set_aside(spark, tmp_path):
     refused = spark.read.parquet(str(tmp_path / "short/dead-chunks")).collect()
     assert refused and all("384 dimensions, 7 expected" in r.dlq_reason for r in refused) and short.index.read().count() == 0
     (box / "p.pdf").write_bytes(b"%PDF-1.4 /Type /Page %%EOF")
-    waits = []
+    # a file that cannot be read is set aside alone
     failing = Engine(spark, str(tmp_path / "failing"))
-    assert failing.stream(watch_files(spark, str(box)), str(tmp_path / "s2"), sleep=waits.append).awaitTermination(240)
-    assert len(waits) == 5 and spark.read.parquet(str(tmp_path / "failing/dead-batches")).count() == 2
+    assert failing.stream(watch_files(spark, str(box)), str(tmp_path / "s2")).awaitTermination(240)
+    assert [r.reason for r in spark.read.parquet(str(tmp_path / "failing/dead-documents")).collect()] == ["PDF could not be read: PDF has no pages"]
+    assert failing.index.read().count() > 0
+    # what fails as a whole is tried again, then set aside with its reason
+    waits = []
+    broken = Engine(spark, str(tmp_path / "broken"), no_such_bound=1)
+    assert broken.stream(watch_files(spark, str(box)), str(tmp_path / "s3"), sleep=waits.append).awaitTermination(240)
+    assert len(waits) == 5 and spark.read.parquet(str(tmp_path / "broken/dead-batches")).count() == 2
     parsed = Engine(spark, str(tmp_path / "parsed"), pdf_pages=lambda content: ["One page.", None])
     parsed.add_files(read_files(spark, str(box)), 0)
     assert any(r.text == "One page." for r in parsed.index.read().collect())
 
 
+def test_failed_embeddings_drop_their_own_chunks(spark, tmp_path):
+    def embed(texts):
+        if any("w20x" in t for t in texts):
+            raise ValueError("no vector\nfor this")
+        return [[1.0, 2.0]] * len(texts)
+
+    chunks = spark.createDataFrame([(f"d:{i}", "d", f"w{i}x", [], 1, "1", None, "u") for i in range(40)], indexing.PAYLOAD).coalesce(1).sortWithinPartitions(F.substring("chunk_id", 3, 9).cast("int"))
+    made = indexing.points(chunks, embed, 2, retries=2, sleep=lambda s: None).collect()
+    assert {r.chunk_id for r in made if r.dropped} == {f"d:{i}" for i in range(16, 32)} and {r.dropped for r in made} == {None, "embedding failed: no vector"}
+    assert all((r.dense is None) == (r.dropped is not None) for r in made)
+
+
+def test_chunks_through_a_topic(spark, tmp_path):
+    topic = FolderTopic(spark, str(tmp_path / "topic"))
+    engine = Engine(spark, str(tmp_path / "engine"), least=5, most=200, threshold=0.0)
+    direct = Engine(spark, str(tmp_path / "direct"), least=5, most=200, threshold=0.0)
+    docs = lambda text: spark.createDataFrame([("a", "u/a", "text/markdown", text), ("b", "u/b", "text/plain", "Plain words here.")], "doc_id string, source_uri string, mime_type string, text string")
+    for number, text in enumerate([NOTES, NOTES.split("# Routing")[0]]):
+        engine.publish_documents(docs(text), number, topic)
+        done = direct.add_documents(docs(text), number)
+        assert engine.embed_stream(topic, str(tmp_path / "state")).awaitTermination(120)
+        rows = lambda e: sorted(map(str, e.index.read().collect()))
+        assert rows(engine) == rows(direct) and sorted(map(str, engine.registry.read().collect())) == sorted(map(str, direct.registry.read().collect()))
+        assert done["upserted"] == done["chunks"] == len(rows(direct)) and done["dropped"] == 0 and done["normalization"]["before_tokens"] > 0
+    assert len(rows(engine)) == 2
+
+
+def test_keyed_log_owners_and_compaction(spark, tmp_path):
+    log = KeyedLog(spark, str(tmp_path / "log"), "k string, o string, v bigint", "k", "o", parts=4, every=3)
+    want = {}
+    for n in range(9):
+        rows = [(f"k{i}", f"o{i % 5}", n) for i in range(n, n + 6)]
+        log.write(n, spark.createDataFrame(rows, "k string, o string, v bigint"), spark.createDataFrame([(f"k{n - 1}", f"o{(n - 1) % 5}")], "k string, o string"))
+        want |= {k: (k, o, v) for k, o, v in rows}
+        want.pop(f"k{n - 1}", None)
+        assert {tuple(r) for r in log.read().collect()} == set(want.values())
+        some = spark.createDataFrame([("o1",), ("o1",), ("none",)], "o string")
+        assert {tuple(r) for r in log.read(owners=some).collect()} == {r for r in want.values() if r[1] == "o1"}
+    assert len(log._segments(None)) < 6 and len(list((tmp_path / "log").iterdir())) < 8
+
+
+def test_pdf_text_and_title(spark, tmp_path):
+    page = zlib.compress(b"BT /F1 12 Tf 72 700 Td (Hello \\(PDF\\)) Tj 0 -14 Td [(wor) -20 (ld) -300 (two)] TJ ET")
+    body = b"%PDF-1.4\n1 0 obj<</Type/Catalog/Pages 2 0 R>>endobj 2 0 obj<</Type/Pages/Kids[3 0 R 5 0 R]/Count 2>>endobj 3 0 obj<</Type/Page/Parent 2 0 R/Contents 4 0 R>>endobj "
+    body += b"4 0 obj<</Length %d/Filter/FlateDecode>>stream\n%s\nendstream endobj 5 0 obj<</Type/Page/Parent 2 0 R>>endobj 6 0 obj<</Title(A \\(b\\))>>endobj trailer<</Root 1 0 R/Info 6 0 R>>\n%%%%EOF" % (len(page), page)
+    (tmp_path / "x.pdf").write_bytes(body)
+    got = read_texts(validate(read_files(spark, str(tmp_path)))).first()
+    assert (got.text, got.pdf_title, got.reason) == ("Hello (PDF)\nworld two\n\n", "A (b)", None)
+    assert indexing.payloads(read_texts(validate(read_files(spark, str(tmp_path)))), least=1).first().doc_title == "A (b)"
+    assert pdf.title(body.replace(b"/Title(A", b"/Titel(A")) is None
+    with pytest.raises(ValueError):
+        pdf.pages(b"%PDF-1.7 /Encrypt")
+
+
+def test_settled_files(spark, tmp_path):
+    (tmp_path / "a.md").write_text("x")
+    assert settled(read_files(spark, str(tmp_path)), 600.0).count() == 0
+    assert settled(read_files(spark, str(tmp_path)), -600.0).count() == 1
+
+
 def test_strict_utf8_and_records(spark, tmp_path):
     rows = spark.createDataFrame([("k", None, [1, 2])], "a string, b bigint, c array<int>")
     sent = to_records(rows, "a")
