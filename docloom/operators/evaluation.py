@@ -30,9 +30,13 @@ def totals(cases: DataFrame, quality: list[str], tokens: list[str], cost: str) -
     return cases.agg(*[F.avg(c).alias(c) for c in quality], *[F.sum(c).alias(c) for c in tokens], strict_sum(F.col(cost)).alias(cost), F.count(F.lit(1)).alias("case_count"))
 
 
+class GateMissed(SystemExit):
+    """A metric below its gate."""
+
+
 def gate(value: float, least: float, name: str = "retrieval_hit") -> None:
     if value < least:
-        raise SystemExit(f"{name} {value:.4f} is below {least:.4f}")
+        raise GateMissed(f"{name} {value:.4f} is below {least:.4f}")
 
 
 def normalization_report(df: DataFrame, before: str, after: str, target: float = 0.15) -> DataFrame:
