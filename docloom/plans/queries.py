@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators import chunking, evaluation, indexing, registry, retrieval, segment
+from docloom.plans import more_queries
 from docloom.session import new_path, table
 from docloom.sources.files import from_records, to_records
 from docloom.sources.tables import KeyedLog
@@ -222,7 +223,8 @@ QUERIES = {
         html_segments, markdown_segments, chunk_fold_tokens, chunk_fold_semantic, dim_guard, registry_diff, tombstone, route_valid_invalid, eval_metrics, token_usage,
         strict_cost, citation_dedup, microbatch_events, backoff_ceiling, index_points, keyed_log, record_roundtrip, judge_scores, context_blocks,
     )
-}
+} | more_queries.QUERIES
+
 
 def _crc_table() -> str:
     def entry(x: int) -> int:
@@ -328,3 +330,49 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN lower(o_orderstatus) ELSE o
     "context_blocks": f"""WITH {_TOPK}
 SELECT item_id, string_agg(CASE WHEN doc_id % 2 = 0 THEN source ELSE doc_id::VARCHAR END, '|' ORDER BY rank) AS titles FROM top8 JOIN documents USING (doc_id) GROUP BY item_id""",
 }
+
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(term) + 1), lambda i: ord(term[i])::BIGINT)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295)"
+#: Sentences with their word counts and unit vectors of hashed word counts, and the ordered fold over them.
+_FOLD = rf"""{_SENTENCES},
+crc AS (SELECT {_crc_table()} AS t),
+s AS (SELECT doc_id, generate_subscripts(parts, 1) AS i, unnest(parts) AS sentence FROM split),
+said AS (SELECT doc_id, i, sentence, len(list_filter(regexp_split_to_array(sentence, '\s+'), lambda w: w <> '')) AS n, regexp_extract_all(lower(sentence), '[a-z0-9]+') AS terms FROM s),
+places AS (SELECT term, {_CRC} AS code FROM (SELECT DISTINCT unnest(terms) AS term FROM said), crc),
+counted AS (SELECT doc_id, i, code % 384 AS b, count(*)::DOUBLE AS c FROM (SELECT doc_id, i, unnest(terms) AS term FROM said) JOIN places USING (term) GROUP BY ALL),
+folded AS (SELECT doc_id, i, map_from_entries(list((b, c))) AS m, sqrt(sum(c * c)) AS norm FROM counted GROUP BY ALL),
+v AS (SELECT said.doc_id, said.i, sentence, n, list_transform(range(384), lambda k: coalesce(m[k], 0.0::DOUBLE) / norm) AS vec
+  FROM said LEFT JOIN folded ON folded.doc_id = said.doc_id AND folded.i = said.i),
+w AS (SELECT doc_id, i, sentence, n, CASE WHEN vec[1] IS NULL THEN list_transform(range(384), lambda k: 0.0::DOUBLE) ELSE vec END AS vec FROM v),
+walk AS (
+  SELECT doc_id, i, n, 0 AS ordinal, n AS total, 1 AS k, vec AS mean FROM w WHERE i = 1
+  UNION ALL SELECT doc_id, i, n, CASE WHEN cut THEN ordinal + 1 ELSE ordinal END, CASE WHEN cut THEN n ELSE total + n END, CASE WHEN cut THEN 1 ELSE k + 1 END,
+    CASE WHEN cut THEN vec ELSE list_transform(list_zip(mean, vec), lambda p: p[1] + (p[2] - p[1]) / (k + 1)) END
+  FROM (SELECT w.doc_id, w.i, w.n, ordinal, total, k, mean, vec, total + w.n > 512 OR (list_dot_product(mean, vec) < 0.55 AND total >= 128) AS cut FROM walk JOIN w ON w.doc_id = walk.doc_id AND w.i = walk.i + 1)),
+chunks AS (SELECT walk.doc_id, ordinal, string_agg(sentence, ' ' ORDER BY walk.i) AS text, sum(walk.n)::BIGINT AS token_count, count(*)::INTEGER AS sentences FROM walk JOIN w ON w.doc_id = walk.doc_id AND w.i = walk.i GROUP BY ALL)
+"""
+_CHUNK_UUID = _UUID.replace("'doc:' || doc_id", "doc_id || ':' || ordinal")
+ORACLE_SQL |= {
+    "chunk_fold_semantic": f"WITH RECURSIVE {_FOLD} SELECT doc_id, ordinal, doc_id || ':' || ordinal AS chunk_id, token_count, sentences FROM chunks",
+    "index_points": f"""WITH RECURSIVE {_FOLD},
+terms AS (SELECT doc_id, ordinal, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM chunks),
+hits AS (SELECT doc_id, ordinal, code % 65536 AS sparse, code % 384 AS dense FROM terms JOIN places USING (term)),
+sparse AS (SELECT doc_id, ordinal, count(*)::INTEGER AS terms, sum(1 + ln(c::DOUBLE)) AS weights FROM (SELECT doc_id, ordinal, sparse, count(*) AS c FROM hits GROUP BY ALL) GROUP BY ALL),
+dense AS (SELECT doc_id, ordinal, sum(c) / sqrt(sum(c * c)) AS total FROM (SELECT doc_id, ordinal, dense, count(*)::DOUBLE AS c FROM hits GROUP BY ALL) GROUP BY ALL),
+h AS (SELECT doc_id, ordinal, {_CHUNK_UUID} AS h FROM chunks)
+SELECT h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || '89ab'[((strpos('0123456789abcdef', h[17]) - 1) & 3) + 1] || h[18:20] || '-' || h[21:32] AS point_id,
+  doc_id || ':' || ordinal AS chunk_id, doc_id::VARCHAR AS parent_doc_id, token_count, source AS source_uri, NULL::VARCHAR AS dropped,
+  coalesce(s.terms, 0) AS terms, round(coalesce(weights, 0), 6) AS weights, round(coalesce(total, 0), 6) AS dense_sum
+FROM chunks JOIN h USING (doc_id, ordinal) JOIN documents USING (doc_id) LEFT JOIN sparse s USING (doc_id, ordinal) LEFT JOIN dense USING (doc_id, ordinal)""",
+    "hybrid_search": f"""WITH {_TERMS},
+places AS (SELECT DISTINCT term, {_CRC} % 64 AS b FROM hashed, crc),
+dense AS (SELECT kind, id, b, count(*)::DOUBLE AS c FROM raw JOIN places USING (term) GROUP BY ALL),
+norms AS (SELECT kind, id, sqrt(sum(c * c)) AS norm FROM dense GROUP BY ALL),
+near AS (SELECT q.id AS item_id, d.id AS doc_id, sum(q.c * d.c) AS dot FROM dense q JOIN dense d USING (b) WHERE q.kind = 'q' AND d.kind = 'd' GROUP BY ALL),
+cosine AS (SELECT q.id AS item_id, d.id AS doc_id, round(coalesce(dot, 0) / (q.norm * d.norm), 6) AS score FROM norms q CROSS JOIN norms d LEFT JOIN near ON near.item_id = q.id AND near.doc_id = d.id WHERE q.kind = 'q' AND d.kind = 'd'),
+dense20 AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM cosine QUALIFY rank <= 20),
+scored AS (SELECT q.id AS item_id, d.id AS doc_id, round(sum(q.weight * d.weight), 6) AS score FROM posts q JOIN posts d USING (bucket) WHERE q.kind = 'q' AND d.kind = 'd' GROUP BY ALL),
+sparse20 AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored QUALIFY rank <= 20),
+fused AS (SELECT item_id, doc_id, round(sum(1 / (60.0::DOUBLE + rank)), 9) AS score FROM (SELECT * FROM dense20 UNION ALL SELECT * FROM sparse20) GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM fused QUALIFY rank <= 8""",
+}
+ORACLE_SQL |= more_queries.oracle_sql(_TOPK, _REGISTRY)
