@@ -238,18 +238,53 @@ def test_licenses_bundles():
     common = "are at can code file for it may not that any use with"
     ends = ["creative commons zero v1 0 universal", "gnu general public license version 3"]
     assert {"cc0", "gpl-3"} <= set(index.scan(licenses.license_words(" ".join([*bodies[:2], bodies[8], bodies[14], common, *ends])))[1])
-    for _ in range(60):
-        words = licenses.license_words(" ".join(rng.choice(bodies) for _ in range(rng.randint(1, 8))))
-        words = [b"x" if rng.random() < 0.25 else w for w in words][rng.randrange(4) :]
+    # one word more or less, and others within, in a whole text
+    words = licenses.license_words(licenses.MIT)
+    assert index.scan(words[:9] + [b"very"] + words[9:])[1]["mit"] == 1.0
+    long = licenses.Index({}, [("mit", licenses.MIT, [])])
+    assert long.scan([b"x"] * 50 + words[:60] + [b"a", b"b"] + words[61:120] + words[123:] + words)[1] == {"mit": 1.0}
+    assert long.scan(words[:60] + [b"a", b"b"] + words[61:120] + words[123:])[1] == {"mit": (len(words) - 4) / len(words)}
+    assert long.scan(words[::-1])[1] == {} and long.scan([w for w in words for _ in (0, 1)])[1] == {}
+
+
+def plain_in_order(template, words, start, drift):
+    """Longest common run in order, by all pairs of places that are near enough."""
+    best = {}
+    for q, w in enumerate(template):
+        for p in range(max(0, start + q - drift), min(len(words), start + q + drift + 1)):
+            if words[p] == w:
+                best[q, p] = 1 + max((n for (a, b), n in best.items() if a < q and b < p), default=0)
+    return max(best.values(), default=0)
+
+
+def test_licenses_against_every_place(spark):
+    rng = random.Random(6)
+    short = [x for x in licenses.TEMPLATES if len(x[1].split()) < 30]
+    index = licenses.Index(licenses.BASE, short)
+    for _ in range(40):
+        words = []
+        for _, text, _ in rng.choices(short, k=rng.randint(1, 4)):
+            for w in licenses.license_words(text):
+                chance = rng.random()
+                words += [] if chance < 0.08 else [b"x", w] if chance < 0.16 else [b"y"] if chance < 0.24 else [w]
         best = {}
-        for label, text, keys in licenses.TEMPLATES:
-            own = licenses.license_words(text)
+        for label, text, keys in short:
+            own, keys = licenses.license_words(text), [licenses.license_words(k) for k in keys]
+            drift = max(2, len(own) // 10)
             for start in range(-len(own), len(words)):
-                score = sum(0 <= start + q < len(words) and words[start + q] == w for q, w in enumerate(own)) / len(own)
-                span = b" %s " % b" ".join(words[max(start, 0) : start + len(own)]) if start + len(own) > 0 else b""
-                if score >= licenses.LEAST and all(b" %s " % k.encode() in span for k in keys):
-                    best[label] = max(best.get(label, 0.0), score)
+                span = words[max(start - drift, 0) : max(start + len(own) + drift, 0)]
+                if all(any(span[i : i + len(k)] == k for i in range(len(span))) for k in keys):
+                    score = plain_in_order(own, words, start, drift) / len(own)
+                    if score >= licenses.LEAST:
+                        best[label] = max(best.get(label, 0.0), score)
         assert index.scan(words)[1] == best
+    base = {}
+    text = " ".join(rng.choice("gnu general public license apache mit cc by x".split()) for _ in range(3000))
+    for phrase, label in licenses.BASE.items():
+        for at in range(3000):
+            if text.split()[at : at + len(phrase.split())] == phrase.split():
+                base[at] = label
+    assert index.scan(licenses.license_words(text))[0] == sorted(base.items()) and len(base) > 50
 
 
 def test_chat(spark):
