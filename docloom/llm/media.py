@@ -1,8 +1,9 @@
 """Operator 9: media columns. Payloads lie in content-addressed tar shards; rows carry digest, offset and length.
 
-A payload of 8-bit samples is stored losslessly as a grey PNG of 576 columns. Every task writes tar shards of its own
-under a unique name in the shared folder, so a retried task leaves an orphan and never a torn shard, and a shard
-holds a payload once however many of its rows carry it. Rows are given out only after their shard is closed.
+A payload of 8-bit samples is stored losslessly as a grey PNG of 576 columns. Digests of all payloads are gathered first, and
+of equal ones one row's is stored: a payload lies in one shard, once, and every row that carries it points there. Every
+task writes tar shards of its own under a unique name in the shared folder, so a retried task leaves an orphan and never a
+torn shard; where members lie is written to a table once, and what is asked of it later writes no shard again.
 Metadata columns come from range reads of the header alone; features from reading the whole member back.
 """
 
@@ -20,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.session import shared_dir
+from docloom.session import shared_dir, small, store
 
 COLUMNS = 576
-#: A shard is closed at so many bytes.
-SHARD_BYTES = 64 << 20
+#: A shard is closed at so many bytes, or when so many rows wait for it.
+SHARD_BYTES, SHARD_ROWS = 64 << 20, 100_000
 PNG = b"\x89PNG\r\n\x1a\n"
 #: Bytes of a PNG up to the end of its IHDR chunk.
 HEADER = 33
@@ -85,8 +86,10 @@ def _store(uri: str):
     return system, path
 
 
-def write_media(rows: DataFrame, folder: str, payload: str = "payload", key: str = "doc_id", size: str = "n_bytes") -> DataFrame:
-    """key, size, shard (a URI), digest (SHA-256 of the stored form), offset, length, columns, rows, bits.
+def write_media(rows: DataFrame, folder: str, payload: str = "payload", key: str = "doc_id", size: str = "n_bytes", carry: str | None = None) -> DataFrame:
+    """key, size, shard (a URI), digest (SHA-256 of the stored form), offset, length, columns, rows, bits, and the binary column to carry.
+
+    The result is lazy: each action writes shards of its own, so store it before it is used more than once.
 
     payload: bytes, a positive multiple of 576 long (others raise); size: its length before padding. Rows keep their number, repeated ones share
     a member of their shard. columns, rows and bits are read from the stored header alone.
@@ -102,13 +105,13 @@ def write_media(rows: DataFrame, folder: str, payload: str = "payload", key: str
             system, at = _store(path)
             with system.open_input_file(at) as f:
                 heads = {d: png_header(f.read_at(HEADER, o)) for d, (o, _) in seen.items()}
-            done = [(k, n, path, d, *seen[d], *heads[d]) for k, n, d in out]
+            done = [(k, n, path, d, *seen[d], *heads[d], more) for k, n, d, more in out]
             tar, sink, seen, out = None, None, {}, []
-            names = ["key", "size", "shard", "digest", "offset", "length", "columns", "rows", "bits"]
+            names = ["key", "size", "shard", "digest", "offset", "length", "columns", "rows", "bits", "carried"]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), KINDS)], names)
 
         for batch in batches:
-            for k, n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for k, n, data, more in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
                 if sink is None:
                     path, at = f"{folder}/{uuid.uuid4().hex}.tar", 0
                     system, inner = _store(path)
@@ -123,16 +126,17 @@ def write_media(rows: DataFrame, folder: str, payload: str = "payload", key: str
                     sink.write(head + stored + b"\0" * (-len(stored) % 512))
                     seen[digest] = (at + len(head), len(stored))
                     at += len(head) + len(stored) + -len(stored) % 512
-                out.append((k, n, digest))
-                if at >= SHARD_BYTES:
+                out.append((k, n, digest, more))
+                if at >= SHARD_BYTES or len(out) >= SHARD_ROWS:
                     yield close()
         if out:
             yield close()
 
-    KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-    found = rows.select(F.col(key).cast("bigint").alias("key"), F.col(size).cast("bigint").alias("size"), F.col(payload).alias("payload"))
-    schema = "key bigint, size bigint, shard string, digest string, offset bigint, length bigint, columns int, rows int, bits int"
-    return found.mapInArrow(write, schema).withColumnsRenamed({"key": key, "size": size})
+    KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    found = rows.select(F.col(key).cast("bigint").alias("key"), F.col(size).cast("bigint").alias("size"), F.col(payload).alias("payload"), (F.col(carry) if carry else F.lit(None).cast("binary")).alias("carried"))
+    schema = "key bigint, size bigint, shard string, digest string, offset bigint, length bigint, columns int, rows int, bits int, carried binary"
+    out = found.mapInArrow(write, schema).withColumnsRenamed({"key": key, "size": size})
+    return out.withColumnRenamed("carried", carry) if carry else out.drop("carried")
 
 
 def read_media(rows: DataFrame) -> DataFrame:
@@ -177,13 +181,41 @@ def text_payload(text):
     return F.concat(data, F.substring(F.lit(b"\xff" * COLUMNS), F.lit(1), more))
 
 
+def stored_payloads(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Of docs (doc_id, text): doc_id, n_bytes, payload of every row, payload its SHA-256; and of each payload where it lies and what
+    its header says (see write_media). Both are tables of their own, no longer than the rows.
+
+    The smallest doc_id of a payload stands for it. Rows that repeat both doc_id and text may be stored once a task; they all
+    point to one member.
+    """
+    size = F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("bigint").alias("n_bytes")
+    body = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), size, text_payload(F.col("text")).alias("body")).withColumn("payload", F.unhex(F.sha2("body", 256)))
+    rows = store(body.drop("body"), "payloads")
+    shared = rows.groupBy("payload").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("payload", "first")
+    shared = store(shared, "shared").toDF("shared", "first")
+    # payloads of one row alone are not in that table; the others are written where the row is the one that stands for them
+    chosen = body.join(small(shared), F.col("payload") == F.col("shared"), "left").where("shared IS NULL OR doc_id <=> first")
+    members = write_media(chosen.select("doc_id", "n_bytes", "body", "payload"), folder, "body", carry="payload")
+    members = store(members, "members").drop("doc_id", "n_bytes")
+    return rows, members.groupBy("payload").agg(F.min(F.struct(*[c for c in members.columns if c != "payload"])).alias("m")).select("payload", "m.*")
+
+
 def document_media(docs: DataFrame) -> DataFrame:
-    """The op9 row of every row of docs (doc_id, text; other columns are ignored; a null doc_id stays null)."""
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, and where the stored form
+    lies: shard, offset; columns, rows and bits are its header's. One row per row of docs (doc_id, text; other columns are ignored).
+
+    A null text counts as empty, which is one payload of 576 bytes 255; a null doc_id stays null; texts of any length are
+    stored whole. Equal texts point to one member and have equal values, whatever their ids, so there are no ties.
+    An empty table gives an empty table. Shards stay in the shared folder: they are what the rows point to.
+    """
     folder = f"{shared_dir(docs.sparkSession)}/media-{uuid.uuid4().hex}"
-    size = F.octet_length(F.coalesce(F.col("text"), F.lit(""))).alias("n_bytes")
-    body = docs.select("doc_id", text_payload(F.col("text")).alias("payload"), size)
-    out = read_media(write_media(body, folder))
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), "media_sha256", "feature", "columns", "rows", "bits"]
+    rows, members = stored_payloads(docs, folder)
+    read = store(read_media(store(members, "places")), "media")
+    bad = read.where("hex(payload) <> upper(payload_sha256)").limit(1).count()
+    if bad:
+        raise ValueError("a stored payload is not the one that was to be stored")
+    out = rows.join(small(read), "payload")
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), "media_sha256", "feature", "columns", "rows", "bits", "shard", "offset"]
     return out.select(*names)
 
 

@@ -3,8 +3,10 @@
 import hashlib
 import math
 import random
+import struct
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -318,6 +320,36 @@ def test_media(docs, none):
     assert len(got) == len(ROWS) and media.document_media(none).count() == 0
 
 
+def plain_png(payload):
+    """Lines of a grey PNG by the standard library."""
+    lines = b"".join(b"\0" + payload[i : i + 576] for i in range(0, len(payload), 576))
+    parts = [(b"IHDR", struct.pack(">IIBBBBB", 576, len(payload) // 576, 8, 0, 0, 0, 0)), (b"IDAT", zlib.compress(lines, 6)), (b"IEND", b"")]
+    return b"\x89PNG\r\n\x1a\n" + b"".join(struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b)) for k, b in parts)
+
+
+def test_media_is_stored_once_and_rows_point_to_it(spark):
+    texts = ["one text " * 90, "another", None, ""]
+    rows = [(i, texts[i % 4]) for i in range(80)] + [(None, "one text " * 90), (3, "of its own"), (3, "of its own")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"payload": F.lit(1), "shard": F.lit("x"), "n_bytes": F.lit(2)}).repartition(4)
+    out = media.document_media(df)
+    assert out.count() == 83  # an action more writes nothing more
+    got = out.collect()
+    assert sorted(Counter((r.doc_id, r.payload_sha256) for r in got).values()) == sorted(Counter((i, hashlib.sha256(media.pad((t or "").encode())).hexdigest()) for i, t in rows).values())
+    folder = Path(got[0].shard.removeprefix("file://").removeprefix("file:")).parent
+    members = [name for tar in folder.glob("*.tar") for name in media.tar_members(tar.read_bytes())]
+    assert sorted(set(members)) == sorted({f"{r.media_sha256[:2]}/{r.media_sha256}.png" for r in got}) and 4 <= len(members) <= 5
+    assert len({(r.shard, r.offset) for r in got}) == 4
+    for r in got:
+        stored = Path(r.shard.removeprefix("file://").removeprefix("file:")).read_bytes()[r.offset : r.offset + r.media_bytes]
+        payload = media.decode_png(stored)
+        assert hashlib.sha256(stored).hexdigest() == r.media_sha256 and hashlib.sha256(payload).hexdigest() == r.payload_sha256
+        assert stored == plain_png(payload)
+        mean = sum(payload) / len(payload)
+        edges = [i * len(payload) // 64 for i in range(65)]
+        bits = "".join("1" if sum(payload[a:b]) * len(payload) >= sum(payload) * (b - a) else "0" for a, b in zip(edges, edges[1:]))
+        assert r.feature == f"mean={mean:.4f};var={sum((x - mean) ** 2 for x in payload) / len(payload):.4f};ahash={int(bits, 2):016x}"
+
+
 def test_sharding(spark, docs, none):
     got = sharding.shard_documents(docs).collect()
     assert all(r.grown_shard in (r.shard, 40) for r in got) and all(r.size == len((dict((a, b) for a, b, *_ in ROWS)[r.doc_id] or "").encode()) + 16 for r in got)
