@@ -50,7 +50,7 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    out = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), texts=False)
     return out.select("doc_id", "source", "lang", "evidence", "host_site", "site", "quality", "good")
 
 

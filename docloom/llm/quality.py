@@ -1,9 +1,10 @@
 """Operator 8: a quality classifier by hierarchical empirical Bayes.
 
-A linear classifier gives each document's evidence (a log odds of being good). Sites are a hierarchy of host and path; the
-mean evidence of a host shrinks toward the global mean and that of a path toward its host's, each by a weight
-n / (n + k), where k is the within-site over the between-site variance, estimated from grouped sums over all documents.
-A document's posterior log odds combine its own evidence with its site's shrunken deviation.
+A linear classifier gives each document's evidence (a log odds of being good). Sites are a hierarchy of host and path. The share
+of good documents that is expected of a host shrinks from the documents' own mean toward the global one, and that of a
+path toward its host's, each by n / (n + k), where k is the within-site over the between-site variance, estimated from grouped
+sums over all documents. A document's posterior puts its path's share, as told by the other documents there, in the place
+of the global one: its log odds are the evidence, plus the path's log odds, less the global ones.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from docloom.session import fresh, small, store
 
 #: The classifier is fitted on at most so many labelled rows, those of the smallest hash of their id.
 SAMPLE = 20_000
-#: Share of the site's shrunken deviation that joins a document's own evidence.
-SITE = 0.25
+#: A site's share of good documents is taken as no nearer to 0 or 1 than this.
+EDGE = 0.01
 NAMES = ["bias", "log_words", "upper", "digit", "bang", "bar", "symbol", "mark", "quote", "space", "line", "high", "word_len", "distinct", "adjacent", "top", "ends"]
 
 
@@ -80,9 +81,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
     """Weights from labelled documents; a doc_id with several labels counts once, as good if any says so."""
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("y"))
     chosen = store(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "labelled")
-    # at most `sample` rows, so the side is bounded by construction
-    found = docs.select(F.col("doc_id"), F.col("text")).join(F.broadcast(chosen), "doc_id")
-    rows = found.select("doc_id", "y", feature_column(F.col("text")).alias("x")).dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
+    # at most `sample` rows, so the side is bounded by construction; of a repeated doc_id the first text in order counts
+    found = docs.select(F.col("doc_id"), F.col("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = found.select("doc_id", "y", feature_column(F.col("text")).alias("x")).orderBy("doc_id").toPandas()
     x = expand(np.array(rows["x"].tolist(), float)) if len(rows) else np.zeros((0, len(NAMES) + 5))
     return fit(x, rows["y"].to_numpy(float))
 
@@ -99,11 +100,20 @@ def evidence(text: Column, weights: np.ndarray) -> Column:
     return score(text)
 
 
+def site_columns(docs: DataFrame) -> tuple[Column, Column]:
+    """Host and path of a document: of its url, where docs has one (the path's first part); else its source and language."""
+    if "url" in docs.columns:
+        url = F.coalesce(F.col("url").cast("string"), F.lit(""))
+        host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+        return F.nullif(host, F.lit("")), F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]*)", 1)
+    return F.col("source"), F.col("lang")
+
+
 def site_posteriors(rows: DataFrame, value: str, host: str, path: str) -> DataFrame:
-    """host, path, site: the shrunken deviation of each path from the global mean of value.
+    """host, path, n, s (rows and sum of value), mean (of all), host_mean, host_share (the host's mean, shrunk toward the global
+    one) and k (the rows that the host's share counts for in the path's). A row per path that has a value.
 
-    One grouped aggregation by path; hosts and the global prior are sums of its rows. Two terms: the host's deviation from
-    the global mean, shrunk by n_h / (n_h + k_h), and the path's from the host's mean, shrunk by n_p / (n_p + k_p).
+    One grouped aggregation by path; hosts and the global prior are sums of its rows.
     """
     v = F.col(value)
     paths = rows.groupBy(host, path).agg(F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q"))
@@ -119,30 +129,43 @@ def site_posteriors(rows: DataFrame, value: str, host: str, path: str) -> DataFr
     per_host = F.greatest(((F.col("HW") - F.col("S") * F.col("S") / F.col("N")) - (F.col("H") - 1) * within) / F.col("N"), within * 1e-4)
     prior = total.select((F.col("S") / F.col("N")).alias("mean"), (within / per_path).alias("kp"), (within / per_host).alias("kh"))
     # one row of sums, joined to tables of sites
+    own = F.col("hs") / F.col("hn")
     hosts = hosts.crossJoin(F.broadcast(prior)).select(
-        F.col(host).alias("site_key"), "kp", (F.col("hs") / F.col("hn")).alias("host_mean"),
-        ((F.col("hs") / F.col("hn") - F.col("mean")) * F.col("hn") / (F.col("hn") + F.col("kh"))).alias("host_dev"),
+        F.col(host).alias("site_key"), "kp", "mean", own.alias("host_mean"), (F.col("mean") + (own - F.col("mean")) * F.col("hn") / (F.col("hn") + F.col("kh"))).alias("host_share"),
     )
     both = paths.join(small(hosts), paths[host].eqNullSafe(F.col("site_key")))
-    dev = (F.col("s") / F.col("n") - F.col("host_mean")) * F.col("n") / (F.col("n") + F.col("kp"))
-    return both.select(F.col(host), F.col(path), F.round("host_dev", 9).alias("host_site"), F.round(F.col("host_dev") + dev, 9).alias("site"))
+    return both.select(F.col(host), F.col(path), "n", "s", "mean", "host_mean", "host_share", F.col("kp").alias("k"))
+
+
+def _odds(share: Column) -> Column:
+    held = F.least(F.greatest(share, F.lit(EDGE)), F.lit(1 - EDGE))
+    return F.log(held / (1 - held))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", site: float = SITE, least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """docs with evidence, host_site, site, quality (a probability) and good (quality >= least); clashing names get an underscore.
+def score_quality(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, least: float = 0.5, sample: int = SAMPLE, texts: bool = True) -> DataFrame:
+    """docs with evidence, host_site, site (shares of good documents), quality (a probability) and good (quality >= least);
+    clashing names get an underscore. Without texts the result has no column text.
 
-    host and path name the columns of the site hierarchy (null: a site of its own). A null text counts as empty. An
-    empty table stays empty; without labels of both classes the evidence is 0 and every document good. Repeated rows
-    score alike. Texts never leave their task: two narrow passes, and a shuffle of sums by site.
+    host and path are the site hierarchy (see site_columns; null: a site of its own). A null text counts as empty, and a text
+    of any length is read whole. An empty table stays empty; without labels of both classes the evidence is 0 and every document
+    good. Repeated rows score alike; of a repeated labelled doc_id the first text in order is learnt from, and ties of the
+    sample go by doc_id. Features are computed once, in a pass that writes the scored rows; sites are sums over those.
     """
     weights = train(docs, labels, sample)
     names = {n: fresh(n, docs.columns) for n in ("evidence", "host_site", "site", "quality", "good")}
-    marked = docs.withColumn(names["evidence"], evidence(F.col("text"), weights))
-    sites = site_posteriors(marked.select(F.col(host).alias("h"), F.col(path).alias("p"), F.col(names["evidence"]).alias("v")), "v", "h", "p")
+    of_url = site_columns(docs)
+    h, p, v = (fresh(n, [*docs.columns, *names.values()]) for n in ("site_h", "site_p", "site_v"))
+    marked = docs.withColumns({names["evidence"]: evidence(F.col("text"), weights), h: of_url[0] if host is None else host, p: of_url[1] if path is None else path})
+    marked = store(marked if texts else marked.drop("text"), "scored").withColumn(v, 1 / (1 + F.exp(-F.col(names["evidence"]))))
+    sites = store(site_posteriors(marked.select(F.col(h).alias("h"), F.col(p).alias("p"), F.col(v).alias("v")), "v", "h", "p"), "sites")
     # the sites' own columns clash with none of docs
-    h, p, of_host, of_path = (fresh(n, marked.columns) for n in ("site_h", "site_p", "site_host", "site_all"))
-    sites = store(sites, "sites").toDF(h, p, of_host, of_path)
-    out = marked.join(small(sites), marked[host].eqNullSafe(F.col(h)) & marked[path].eqNullSafe(F.col(p)), "left")
-    odds = F.col(names["evidence"]) + F.lit(site) * F.coalesce(of_path, F.lit(0.0))
-    out = out.withColumns({names["host_site"]: F.coalesce(of_host, F.lit(0.0)), names["site"]: F.coalesce(of_path, F.lit(0.0)), names["quality"]: F.round(1 / (1 + F.exp(-odds)), 9)})
-    return out.withColumn(names["good"], F.col(names["quality"]) >= least).drop(h, p, of_host, of_path)
+    own = {c: fresh(f"of_site_{c}", marked.columns) for c in sites.columns}
+    out = marked.join(small(sites.toDF(*own.values())), marked[h].eqNullSafe(F.col(own["h"])) & marked[p].eqNullSafe(F.col(own["p"])), "left")
+    at = {c: F.col(n) for c, n in own.items()}
+    # the path's share without the document itself
+    rest = at["n"] - 1
+    apart = F.when(rest > 0, ((at["s"] - F.col(v)) / rest - at["host_mean"]) * rest / (rest + at["k"])).otherwise(F.lit(0.0))
+    site = at["host_share"] + apart
+    odds = F.col(names["evidence"]) + _odds(site) - _odds(at["mean"])
+    out = out.withColumns({names["host_site"]: F.round(at["host_share"], 9), names["site"]: F.round(site, 9), names["quality"]: F.round(1 / (1 + F.exp(-odds)), 9)})
+    return out.withColumn(names["good"], F.col(names["quality"]) >= least).drop(h, p, v, *own.values())

@@ -308,6 +308,23 @@ def test_quality(spark, docs, none):
     assert quality.score_quality(docs, labels).count() == len(ROWS)
     assert quality.score_quality(docs, labels.where("doc_id < 0")).where("NOT good").count() == 0
     assert quality.score_quality(none, labels).count() == 0
+    got = quality.score_quality(docs, labels).collect()
+    assert {str((r.evidence, r.site, r.quality_)) for r in got if r.doc_id == 5}.__len__() == 1 and all(0 <= r.quality_ <= 1 and r.quality == "x" for r in got)
+    # a repeated labelled id with two texts gives the same model in any order
+    twice = docs.unionByName(docs.where("doc_id = 1").withColumn("text", F.lit("0 ! ! ! !")))
+    one, two = (sorted((str(r.doc_id), r.evidence) for r in quality.score_quality(df, labels).collect()) for df in (twice, twice.repartition(7)))
+    assert one == two
+
+
+def test_quality_of_sites_by_url(spark):
+    """Documents of equal texts differ by what the rest of their path is like; a path of one goes by its host."""
+    good, bad = "Plain words of some length, all fine here.", "!!!! $$$$ #### !!!!"
+    rows = [(i, good if i % 2 else bad, f"http://{'a' if i % 2 else 'b'}.x/p/{i}") for i in range(40)] + [(100, "some text, 12!", "http://a.x/p/z"), (101, "some text, 12!", "http://b.x/p/z"), (102, "some text, 12!", None), (103, "some text, 12!", "http://a.x/q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, url string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.score_quality(df, labels).collect()}
+    assert got[100].evidence == got[101].evidence == got[102].evidence and got[100].quality > got[102].quality > got[101].quality
+    assert got[103].site == got[103].host_site > got[101].host_site
 
 
 def test_media(docs, none):

@@ -60,7 +60,8 @@ def test_quality(spark, steps):
     known = docs["doc_id"].isin(marks.index).to_numpy()
     order = np.argsort(docs["doc_id"][known].to_numpy())
     w = quality.fit(x[known][order], marks[docs["doc_id"][known]].to_numpy(float)[order])
-    v = np.clip(x @ w, -12, 12)
+    evidence = np.clip(x @ w, -12, 12)
+    v = 1 / (1 + np.exp(-evidence))
     host, path = defaultdict(list), defaultdict(list)
     for e, h, p in zip(v, docs["source"], docs["lang"]):
         host[h].append(e)
@@ -70,13 +71,22 @@ def test_quality(spark, steps):
     within = max((float(v @ v) - pw) / max(len(v) - len(path), 1), 1e-9)
     kp = within / max((pw - hw - (len(path) - len(host)) * within) / len(v), within * 1e-4)
     kh = within / max((hw - v.sum() ** 2 / len(v) - (len(host) - 1) * within) / len(v), within * 1e-4)
-    kept = []
-    for e, h, p, doc in zip(v, docs["source"], docs["lang"], docs["doc_id"]):
+    odds = lambda share: math.log(min(max(share, 0.01), 0.99) / (1 - min(max(share, 0.01), 0.99)))
+    kept, want = [], {}
+    for e, own, h, p, doc in zip(evidence, v, docs["source"], docs["lang"], docs["doc_id"]):
         a, b = host[h], path[h, p]
-        site = (np.mean(a) - mean) * len(a) / (len(a) + kh) + (np.mean(b) - np.mean(a)) * len(b) / (len(b) + kp)
-        if 1 / (1 + math.exp(-(e + quality.SITE * site))) >= 0.5:
+        share = mean + (np.mean(a) - mean) * len(a) / (len(a) + kh)
+        site, n = share, len(b) - 1
+        if n:
+            site += ((sum(b) - own) / n - np.mean(a)) * n / (n + kp)
+        want[doc] = (e, share, site, 1 / (1 + math.exp(-(e + odds(site) - odds(mean)))))
+        if want[doc][3] >= 0.5:
             kept.append(doc)
     assert ids(steps[1]) == sorted(kept)
+    got = quality.score_quality(table(spark, SF, "documents"), table(spark, SF, "labels"), texts=False)
+    assert "text" not in got.columns
+    for r in got.collect():
+        assert (r.evidence, r.host_site, r.site, r.quality) == pytest.approx(want[r.doc_id], abs=1e-6)
     # held against the labels: good documents stay, bad ones go
     told = marks.reindex(docs["doc_id"]).dropna()
     right = [(d in set(kept)) == (q == 1) for d, q in told.items()]
