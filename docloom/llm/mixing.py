@@ -10,12 +10,13 @@ seed, so equal inputs give equal samples on any cluster.
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docloom.session import BROADCAST_ROWS, fresh, small, store
+from docloom.session import fresh, small, store
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Target shares are the corpus's own, raised to this power and normalised: below 1 large values give way to small ones.
@@ -24,6 +25,9 @@ ROUNDS = 8
 #: Marginals hold where they are off by at most this share of their target. Raking goes on in blocks of rounds until they
 #: do, or a block gains less than a hundredth, or so many blocks are done; what does not hold then is reported.
 TOLERANCE, BLOCKS = 1e-3, 25
+#: So few cells are raked in one task, where no window needs an exchange; more are dealt by value.
+ONE_TASK = 20_000
+Targets = dict[str, dict[str | None, float]]
 
 
 def tokens(text: Column) -> Column:
@@ -47,9 +51,27 @@ def topic(text: Column) -> Column:
     )
 
 
-def fit_cells(cells: DataFrame, powers: dict[str, float], rounds: int = ROUNDS) -> DataFrame:
+def target_shares(share: DataFrame, targets: dict[str | None, float] | None) -> DataFrame:
+    """Of v, s (a share of a value): v, s with given shares in place; values not named share what is left in proportion.
+
+    Given shares of values that have no tokens are left out, and the rest is scaled to a sum of 1.
+    """
+    if not targets:
+        return share
+    if min(targets.values()) < 0 or sum(targets.values()) > 1 + 1e-9:
+        raise ValueError("target shares must be 0 or more and add up to 1 at most")
+    given = share.sparkSession.range(1).select(F.inline(F.array(*[F.struct(F.lit(v).cast("string").alias("named"), F.lit(float(x)).alias("want")) for v, x in targets.items()])))
+    both = share.join(small(given), F.col("v").cast("string").eqNullSafe(F.col("named")), "left")
+    others = both.agg(F.sum(F.when(F.col("want").isNull(), F.col("s"))).alias("others"))
+    left = F.lit(max(0.0, 1.0 - sum(targets.values())))
+    found = F.when(F.col("want").isNotNull(), F.when(F.col("s") > 0, F.col("want")).otherwise(F.lit(0.0)))
+    return both.crossJoin(F.broadcast(others)).select("v", found.otherwise(F.when(F.col("others") > 0, F.col("s") / F.col("others") * left).otherwise(F.lit(0.0))).alias("s"))
+
+
+def fit_cells(cells: DataFrame, powers: dict[str, float], rounds: int = ROUNDS, targets: Targets | None = None) -> DataFrame:
     """Cells (dimensions, tokens) with a raked weight whose marginals are the targets; a cell without tokens weighs 0.
 
+    Targets are the shares given for a dimension's values, or the cells' own raised to the dimension's power.
     Rounds go on in blocks until the marginals hold (see TOLERANCE); those that cannot be met are logged as a warning.
     """
     current = cells.withColumn("weight", F.col("tokens").cast("double"))
@@ -57,12 +79,13 @@ def fit_cells(cells: DataFrame, powers: dict[str, float], rounds: int = ROUNDS)
     for d, power in powers.items():
         share = cells.groupBy(d).agg(F.sum("tokens").cast("double").alias("own")).crossJoin(F.broadcast(total))
         share = share.select(F.col(d).alias("v"), F.when(F.col("own") > 0, F.pow(F.col("own") / F.col("all"), F.lit(power))).otherwise(F.lit(0.0)).alias("s"))
+        share = target_shares(share, (targets or {}).get(d))
         norm = share.agg(F.sum("s").alias("norm"))
         target = share.crossJoin(F.broadcast(norm)).select("v", (F.col("s") / F.col("norm")).alias(f"{d}_target"))
         current = current.join(small(target), current[d].eqNullSafe(target["v"])).drop("v")
     current = store(current, "cells")
-    if current.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        current = current.coalesce(1)  # the few cells' windows need no exchange then
+    if current.count() <= ONE_TASK:
+        current = current.coalesce(1)
     dims, last = list(powers), float("inf")
     current = _rake(current, dims, rounds)
     for _ in range(BLOCKS):
@@ -139,25 +162,29 @@ def report(cells: DataFrame, dims: list[str], weight: str) -> None:
         logging.getLogger(__name__).warning("%s: %d target shares cannot be met; the worst: %s", weight, missed.count(), "; ".join(worst))
 
 
-def mix(docs: DataFrame, fraction: float = 0.5, powers: dict[str, float] | None = None, seed: int = 17, rounds: int = ROUNDS) -> DataFrame:
+def mix(docs: DataFrame, fraction: float = 0.5, powers: dict[str, float] | None = None, seed: int = 17, rounds: int = ROUNDS, targets: Targets | None = None, topic_of: Callable[[Column], Column] = topic) -> DataFrame:
     """docs with topic, tokens, weight, probability and kept (names taken by docs get an underscore behind).
 
+    targets: wanted shares of tokens by dimension (source, lang, topic) and value, as {"source": {"web": 0.3}}; a value that is not
+    named has its part of the rest, and a dimension that is not named goes by its power. topic_of gives a text's topic.
     weight: raked weight of the row's cell over its own share, 1 where nothing changes. probability: fraction x weight, so
     that the expected tokens are the given fraction of the corpus (1 at most); where that passes 1 for some cell, the
     weights are raked again within the bounds (see bound_cells), so that what a full cell lacks comes from others of its
     source, language and topic. Marginals that a sample of this size cannot have are logged as a warning. Null values of a dimension are a value of their own. Rows
-    without tokens have weight and probability 0 and are not kept. Repeated ids share a draw; an empty table stays one.
+    without tokens (null and empty texts among them) have weight and probability 0 and are not kept; a text of any length
+    counts whole. Repeated ids share a draw, and rows of one cell have one probability, so there are no ties to break; an
+    empty table stays one.
 
     One narrow pass sums cells by partial aggregation, so a hot source costs no more than any other; the raking works
     on cells alone, and a second narrow pass looks each row's cell up.
     """
     powers = powers or POWERS
     names = {n: fresh(n, docs.columns) for n in ("topic", "tokens", "weight", "probability", "kept")}
-    marked = docs.withColumns({names["topic"]: topic(F.col("text")), names["tokens"]: tokens(F.col("text"))})
+    marked = docs.withColumns({names["topic"]: topic_of(F.col("text")), names["tokens"]: tokens(F.col("text"))})
     dims = [F.col(names["topic"] if d == "topic" else d).alias(d) for d in DIMENSIONS]
     cells = store(marked.select(*dims, F.col(names["tokens"]).alias("tokens")).groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "sums")
     whole = cells.agg(F.sum("tokens").cast("double").alias("all"))
-    fitted = fit_cells(cells, {d: powers.get(d, 1.0) for d in DIMENSIONS}, rounds)
+    fitted = fit_cells(cells, {d: powers.get(d, 1.0) for d in DIMENSIONS}, rounds, targets)
     fitted = bound_cells(fitted, list(DIMENSIONS), fraction, rounds).crossJoin(F.broadcast(whole))
     over_own = lambda w: F.when(F.col("tokens") > 0, F.round(F.col(w) * F.col("all") / F.col("tokens"), 9)).otherwise(F.lit(0.0))
     # the cells' own columns clash with none of docs

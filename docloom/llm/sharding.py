@@ -77,22 +77,30 @@ def number_rows(df: DataFrame, group: str, order: list[str], name: str = "slot")
     return joined.withColumn(name, F.col("start") + F.row_number().over(within) - 1).drop("g", "p", "start", part)
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, tree: list[Leaf] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, one row per row of docs.
+def shard_documents(docs: DataFrame, shards: int = 40, tree: list[Leaf] | None = None, key: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, one row per row of docs; with keep, all columns of docs besides,
+    and clashing names of ours get an underscore.
 
     The law is ``key``: only doc_id and the tree decide. size is the text's UTF-8 bytes plus 16 (null text: 16, with
-    the crc32 of no bytes, 0). A null doc_id is a key of its own. Repeated rows share a shard and get slots of their own. An
-    empty table gives an empty table. Other columns are ignored, whatever their names.
+    the crc32 of no bytes, 0), whatever its length. A null doc_id is a key of its own. Repeated rows share a shard and get slots
+    of their own, in any order; slots go by doc_id, crc32 and size. An empty table gives an empty table. Without keep other
+    columns are ignored, whatever their names; with it whole rows travel to their shards' ranges, as writing shards needs.
     """
     tree = tree or even_tree(shards)
     id_, body = F.col(key).cast("bigint"), F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(
-        id_.alias("doc_id"),
-        (F.octet_length(body).cast("bigint") + 16).alias("size"),
-        F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
-        F.lit("key").alias("law"),
-        tree_shard(id_, tree).alias("shard"),
-        tree_shard(id_, grow(tree)).alias("grown_shard"),
-    )
-    out = number_rows(rows, "shard", ["doc_id", "text_crc32", "size"])
-    return out.select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast(T.LongType()).alias("slot"), "grown_shard")
+    made = {
+        "doc_id": id_,
+        "size": F.octet_length(body).cast("bigint") + 16,
+        "text_crc32": F.crc32(F.encode(body, "UTF-8")),
+        "law": F.lit("key"),
+        "shard": tree_shard(id_, tree),
+        "grown_shard": tree_shard(id_, grow(tree)),
+    }
+    if keep:
+        del made["doc_id"]
+    named = {n: fresh(n, docs.columns if keep else []) for n in (*made, "slot")}
+    rows = docs.withColumns({named[n]: c for n, c in made.items()}) if keep else docs.select(*[c.alias(n) for n, c in made.items()])
+    out = number_rows(rows, named["shard"], [key if keep else "doc_id", named["text_crc32"], named["size"]], named["slot"])
+    out = out.withColumn(named["slot"], F.col(named["slot"]).cast(T.LongType()))
+    ours = [named[n] for n in ("size", "text_crc32", "law", "shard", "slot", "grown_shard")]
+    return out.select(*(docs.columns if keep else ["doc_id"]), *ours)

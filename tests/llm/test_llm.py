@@ -225,6 +225,26 @@ def test_mixing_rakes_until_marginals_hold(spark, caplog):
     assert off({("a", "x"): 1000, ("b", "y"): 300}) > 0.1 and "cannot be met" in caplog.text and "source=b" in caplog.text
 
 
+def test_mixing_to_given_shares(spark):
+    plan = {("a", "x"): 300, ("a", "y"): 900, ("b", "x"): 700, ("b", "y"): 1500, ("c", "x"): 280, ("c", "y"): 320}
+    rows = [(i, "w " * 9 + "w", g, s) for i, (s, g) in enumerate(c for c, n in plan.items() for _ in range(n))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.mix(df, 0.2, {"lang": 1.0}, targets={"source": {"a": 0.6, "c": 0.1, "absent": 0.0}}).cache()
+    for d, want in (("source", {"a": 0.6, "b": 0.3, "c": 0.1}), ("lang", {"x": 0.32, "y": 0.68})):
+        sums = {r[0]: r[1] for r in got.groupBy(d).agg(F.sum(F.col("tokens") * F.col("probability"))).collect()}
+        assert {k: v / sum(sums.values()) for k, v in sums.items()} == pytest.approx(want, rel=3e-3) and sum(sums.values()) == pytest.approx(8000, rel=1e-6)
+    with pytest.raises(ValueError):
+        mixing.mix(df, targets={"source": {"a": 0.9, "b": 0.2}})
+
+
+def test_mixing_repeats_and_dealt_cells(spark, docs, monkeypatch):
+    one = mixing.mix(docs, 0.7).select("doc_id", "text", "probability", "kept_").collect()
+    assert len({(r.probability, r.kept_) for r in one if r.doc_id == 5}) == 1
+    monkeypatch.setattr(mixing, "ONE_TASK", 0)
+    monkeypatch.setattr("docloom.session.BROADCAST_ROWS", -1)
+    assert sorted(map(str, mixing.mix(docs, 0.7).select("doc_id", "text", "probability", "kept_").collect())) == sorted(map(str, one))
+
+
 def test_licenses(docs, none):
     got = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
     assert (got[9].n_base, got[9].first_word, got[9].last_word, got[9].base_labels, got[9].score) == (2, 0, 3, "cc-by,mit", 1.0)
@@ -375,3 +395,19 @@ def test_sharding(spark, docs, none):
         slots = sorted(r.slot for r in many if r.shard == s)
         assert slots == list(range(len(slots))) and 350 < len(slots) < 650
     assert 350 < sum(r.grown_shard == 40 for r in many) < 650 and sharding.shard_documents(none).count() == 0
+    whole = sharding.shard_documents(docs, keep=True)
+    assert whole.columns[: len(docs.columns)] == docs.columns and whole.columns[len(docs.columns) :] == ["size", "text_crc32", "law", "shard", "slot_", "grown_shard"]
+    assert sorted(map(str, whole.select("doc_id", "size", "shard", F.col("slot_").alias("slot")).collect())) == sorted(map(str, sharding.shard_documents(docs).select("doc_id", "size", "shard", "slot").collect()))
+
+
+def test_sharding_grows_inside_a_rack(spark):
+    """A shard more in a rack takes rows, in that rack's region and rack, and rows move only into subtrees whose weight rose."""
+    tree = sharding.even_tree(16)
+    more = [*tree, (tree[0][0], tree[0][1], 99, 1.0)]
+    at = {leaf[2]: leaf[:2] for leaf in more}
+    rows = spark.range(20_000).select(sharding.tree_shard(F.col("id"), tree).alias("a"), sharding.tree_shard(F.col("id"), more).alias("b")).collect()
+    moved = [(r.a, r.b) for r in rows if r.a != r.b]
+    assert 800 < sum(r.b == 99 for r in rows) < 1600 and len(moved) < 5000
+    for a, b in moved:
+        # into the region, or within it into the rack, or within that into the shard
+        assert at[b][0] == tree[0][0] and (at[a][0] != at[b][0] or at[b] == at[99] and (at[a] != at[b] or b == 99))

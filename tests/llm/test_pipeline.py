@@ -189,6 +189,7 @@ def test_sharding(steps):
         assert (r.size, r.text_crc32, r.law) == (len(body) + 16, zlib.crc32(body), "key")
         assert (r.shard, r.grown_shard) == (plain_shard(r.doc_id, tree), plain_shard(r.doc_id, grow(tree)))
         assert r.grown_shard in (r.shard, 40)
+        assert r.text == docs.loc[r.doc_id, "text"] and r.source == docs.loc[r.doc_id, "source"]
     for _, part in out.groupby("shard"):
         assert sorted(part["slot"]) == list(range(len(part)))
 
@@ -204,5 +205,9 @@ def test_edges(spark):
         none = stage(spark, docs.where("doc_id = -1"), SF)
         if name != "sharding":
             assert got.columns == docs.columns and none.columns == docs.columns
-        assert got.count() <= len(rows) and none.count() == 0
+        want = {"quality_classifier": None, "ngram_jaccard_join": 6, "benchmark_decontamination": 6, "mixing_to_target_weights": None, "sharding": 6}[name]
+        kept = [(r.doc_id, r.text) for r in got.collect()]
+        assert none.count() == 0 and (len(kept) == want if want else not Counter(kept) - Counter((r[0], r[1]) for r in rows))
+        # rows that repeat go or stay together
+        assert kept.count((1, long)) in (0, 2)
     assert Counter(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == {1: 2, 2: 1, 3: 1, 4: 1, None: 1}
