@@ -1,7 +1,9 @@
 """A corpus pipeline: each stage's result is written as Parquet and read again as the next one's documents.
 
 Stages: documents of low quality go; one document of each near-duplicate group stays (the smallest doc_id); documents
-that hold a benchmark item go; sources, languages and topics are mixed to target weights; what is left is put into shards.
+that hold a benchmark item go; sources, languages and topics are mixed to target weights; what is left is put into shards,
+whole rows with their shard and slot. Stages take null and empty texts, null ids, repeated rows, texts of any length, clashing
+names and empty tables as their operators say; rows that repeat both id and text go or stay together in each.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from docloom.llm.jaccard import keep_one
 from docloom.llm.mixing import mix
 from docloom.llm.quality import score_quality
 from docloom.llm.sharding import shard_documents
-from docloom.session import fresh, store, table
+from docloom.session import fresh, new_path, scratch, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return shard_documents(docs, 40)
+    return shard_documents(docs, 40, keep=True)
 
 
 STAGES = [
@@ -50,7 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Each stage's own tables are deleted when its result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = store(stage(spark, docs, sf_dir), name)
+        path = new_path(spark, name)
+        with scratch(spark):
+            found = stage(spark, docs, sf_dir)
+            found.write.parquet(path)
+        docs = spark.read.schema(found.schema).parquet(path)
     return docs
