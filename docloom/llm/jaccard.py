@@ -12,6 +12,7 @@ compared with all of it in blocks. Every link comes from exact verification.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,21 +27,55 @@ from docloom.session import small, store
 
 #: A token of more documents than this is frequent; signatures of at most so many sets give all pairs.
 RARE = 24
-#: The table of frequent tokens that every worker holds has at most so many rows: beyond it the least frequent count as rare.
-FREQUENT_ROWS = 1_000_000
+#: Bits of the filter of frequent tokens for each of them, its most bits in all, and its hashes. A filter never misses a frequent
+#: token; a fuller one takes more rare ones for frequent, which costs them combinations and loses nothing.
+TOKEN_BITS, MOST_BITS, HASHES = 16, 1 << 29, 4
 #: Tokens counted in one exchange row's chunk, input bytes a counting bucket, tokens a block of the exact comparison.
 CHUNK, BUCKET_BYTES, BLOCK = 1_500_000, 12 << 20, 50_000
 #: What a set weighs in a block beside its tokens, so that blocks of short sets stay small too.
 SET = 16
-#: Ranges that signatures and token counts are dealt to at least, and pairs of sets that a Python batch holds at most.
-BUCKETS, PAIRS = 64, 256
+#: Ranges that signatures and token counts are dealt to at least, pairs of sets that a Python batch holds at most, and pairs of
+#: one set that are dealt to a task together.
+BUCKETS, PAIRS, DEAL = 64, 256, 64
 
 
-def frequent_tokens(docs: DataFrame, size: int, n: int, rare: int = RARE, rows: int = FREQUENT_ROWS) -> np.ndarray:
-    """Sorted 48-bit prefixes of the tokens in more than `rare` documents, counted over all of them (copies once a chunk).
+class Frequent:
+    """A Bloom filter of tokens, in as many slices of equal size as the tokens' key space has ranges."""
+
+    def __init__(self, slices: list[bytes], bits: int):
+        self.bits, self.n = bits, len(slices)
+        self.data = np.frombuffer(b"".join(slices), np.uint8)
+
+    @staticmethod
+    def places(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+        one, two = mix(keys), mix(keys + np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
+        for k in range(HASHES):
+            yield ((one + np.uint64(k) * two) >> np.uint64(16)) % np.uint64(bits)
+
+    @staticmethod
+    def slice_of(keys: np.ndarray, bits: int) -> bytes:
+        data = np.zeros(bits, np.uint8)
+        for at in Frequent.places(keys, bits):
+            data[at.astype(np.int64)] = 1
+        return np.packbits(data).tobytes()
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        if not self.n:
+            return np.zeros(len(keys), bool)
+        first = buckets(keys, self.n) * (self.bits // 8)
+        found = np.ones(len(keys), bool)
+        for at in self.places(keys, self.bits):
+            at = at.astype(np.int64)
+            found &= (self.data[first + (at >> 3)] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+        return found
+
+
+def frequent_tokens(docs: DataFrame, size: int, n: int, rare: int = RARE) -> Frequent:
+    """The filter of tokens (by their 48-bit prefixes) in more than `rare` documents, counted over all of them (copies once a chunk).
 
     Tasks count their own tokens first and exchange packed counts by ranges of the key, so a token of every document
-    costs one entry a task. If more than `rows` tokens qualify, the least count is doubled until they do not.
+    costs one entry a task. Frequent tokens stay in a table by range; each range makes its slice of the filter, whose size
+    goes by their number up to a fixed bound.
     """
 
     def count(batches):
@@ -75,14 +110,17 @@ def frequent_tokens(docs: DataFrame, size: int, n: int, rare: int = RARE, rows:
         keys, counts = keys[order], counts[order]
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
         df = np.add.reduceat(counts, first) if len(first) else counts
-        return pd.DataFrame({"token": keys[first][df > rare].astype(np.int64), "df": df[df > rare]})
+        return pd.DataFrame({"bucket": part["bucket"].iloc[0], "token": keys[first][df > rare].astype(np.int64)})
 
     counted = docs.select("text").mapInArrow(count, "bucket int, keys binary, counts binary")
-    found = store(counted.groupBy("bucket").applyInPandas(reduce, "token bigint, df bigint"), "frequent")
-    least = rare
-    while found.where(F.col("df") > least).limit(rows + 1).count() > rows:
-        least *= 2
-    return np.sort(found.where(F.col("df") > least).select("token").toPandas()["token"].to_numpy(np.int64)).astype(np.uint64)
+    found = store(counted.groupBy("bucket").applyInPandas(reduce, "bucket int, token bigint"), "frequent")
+    total = found.count()
+    if not total:
+        return Frequent([], 8)
+    bits = max(8, min(TOKEN_BITS * total, MOST_BITS) // n // 8 * 8)
+    filled = found.groupBy("bucket").applyInPandas(lambda part: pd.DataFrame({"bucket": part["bucket"][:1], "data": [Frequent.slice_of(part["token"].to_numpy(np.int64).astype(np.uint64), bits)]}), "bucket int, data binary")
+    slices = {r["bucket"]: bytes(r["data"]) for r in filled.collect()}  # MOST_BITS at most
+    return Frequent([slices.get(b, bytes(bits // 8)) for b in range(n)], bits)
 
 
 def _levels(n: int, percent: int) -> range:
@@ -90,15 +128,13 @@ def _levels(n: int, percent: int) -> range:
     return range((-(-percent * n // 100)).bit_length() - 1, (100 * n // percent).bit_length())
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+def signatures(tokens: np.ndarray, frequent: Frequent, percent: int) -> tuple[np.ndarray, int]:
     """(signatures, rare tokens) of a sorted set."""
     n = len(tokens)
     if not n:
         return tokens, 0
     misses = n - -(-percent * n // 100)
-    keys = tokens >> np.uint64(16)
-    at = np.searchsorted(frequent, keys)
-    common = frequent[np.minimum(at, len(frequent) - 1)] == keys if len(frequent) else np.zeros(n, bool)
+    common = frequent.has(tokens >> np.uint64(16))
     single, many = tokens[~common], tokens[common]
     if len(single) > misses or n == 1:
         return single[: misses + 1], len(single)
@@ -135,7 +171,7 @@ def _keyed(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(keys, "doc_id bigint, n bigint, key binary")
 
 
-def _candidates(docs: DataFrame, size: int, frequent: np.ndarray, percent: int, n: int, rare: int) -> DataFrame:
+def _candidates(docs: DataFrame, size: int, frequent: Frequent, percent: int, n: int, rare: int) -> DataFrame:
     """many, a, b, an, bn: pairs that share a signature, each once a bucket.
 
     A signature of at most `rare` sets gives all its pairs of similar sizes. One of more (many) gives each set (a) with the
@@ -253,8 +289,17 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * same >= percent * (len(both) - same))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    x, y = sets.toDF("a", "x"), sets.toDF("b", "y")
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint")
+    both = _with_sets(_with_sets(pairs, sets, "b", "a", "y"), sets, "a", "b", "x", pairs)
+    return both.select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint")
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame, side: str, other: str, name: str, counted: DataFrame | None = None) -> DataFrame:
+    """Pairs with the sets of one side. A set of very many pairs (the leader of a family) goes to several tasks, DEAL of its pairs to each."""
+    many = (pairs if counted is None else counted).groupBy(side).agg(F.ceil(F.count(F.lit(1)) / DEAL).alias("deal")).where("deal > 1")
+    many = small(store(many, "deals").toDF("doc", "deal"))
+    dealt = pairs.join(many.withColumnRenamed("doc", side), side, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(other), F.col("deal")), F.lit(0).cast("bigint"))).drop("deal")
+    copies = sets.join(many, "doc", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("deal", F.lit(1)).cast("bigint") - 1)))
+    return dealt.join(copies.select(F.col("doc").alias(side), "salt", F.col("tokens").alias(name)), [side, "salt"]).drop("salt")
 
 
 def _similar_sizes(percent: int, x: str, y: str):
@@ -338,9 +383,10 @@ def similar_documents(docs: DataFrame, size: int = 4, percent: int = 85, rare: i
     """doc_id, n_shingles, component_id, one row per row of docs (doc_id, text; other columns are ignored).
 
     Two documents link when 100 x intersection >= percent x union of their sets of `size`-word shingles. A null or empty
-    text, or one without words, has an empty set and links with nothing. component_id is the smallest doc_id
-    reachable by links. Rows that repeat a doc_id stand for one node with all their texts; rows without a doc_id get
-    no component. Equal sets are one class from the start, so exact copies never meet as pairs.
+    text, or one without words, has an empty set and links with nothing; a text of any length has its whole set. component_id
+    is the smallest doc_id reachable by links. Rows that repeat a doc_id stand for one node with all their texts; rows without
+    a doc_id get no component. An empty table gives an empty table. Equal sets are one class from the start, so exact copies
+    never meet as pairs; links have no order, so there are no ties.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     amount = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

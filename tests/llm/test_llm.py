@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +42,42 @@ def test_jaccard(docs, none):
     assert jaccard.similar_documents(none).count() == 0
 
 
+def test_frequent_filter():
+    rng = random.Random(1)
+    keys = np.array(sorted(rng.randrange(1 << 48) for _ in range(5000)), np.uint64)
+    own = jaccard.buckets(keys, 7)
+    held = jaccard.Frequent([jaccard.Frequent.slice_of(keys[own == b], 12_000) for b in range(7)], 12_000)
+    others = np.array([rng.randrange(1 << 48) for _ in range(20_000)], np.uint64)
+    assert held.has(keys).all() and held.has(others).mean() < 0.01
+    assert not jaccard.Frequent([], 8).has(keys).any()
+
+
+@pytest.mark.parametrize("bits", [1 << 29, 64])
+@pytest.mark.parametrize("rows", [1_000_000, -1])
+def test_jaccard_with_full_filters_and_shuffled_joins(spark, monkeypatch, bits, rows):
+    """Hot leaders, dealt pairs, a filter that takes most tokens for frequent and no broadcast give what plain Python gives."""
+    rng = random.Random(4)
+    base, texts = [f"b{i}" for i in range(80)], []
+    for k in range(160):
+        words = list(base) if k % 2 else [f"c{k % 9}x{i}" for i in range(50)]
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(len(words))] = f"v{rng.randrange(300)}"
+        texts.append(" ".join(words))
+    sets = [{tuple(t.split()[i : i + 4]) for i in range(len(t.split()) - 3)} for t in texts]
+    root = list(range(160))
+    for _ in range(8):
+        for i in range(160):
+            for j in range(160):
+                if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+    monkeypatch.setattr(jaccard, "MOST_BITS", bits)
+    monkeypatch.setattr(jaccard, "DEAL", 5)
+    monkeypatch.setattr("docloom.session.BROADCAST_ROWS", rows)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.similar_documents(df, rare=3).collect()}
+    assert got == dict(enumerate(root)) and 1 < len(set(root)) < 160
+
+
 @pytest.mark.parametrize("block", [1, 150, 50_000])
 def test_jaccard_families_in_blocks(spark, monkeypatch, block):
     rng = random.Random(block)
