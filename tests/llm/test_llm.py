@@ -55,7 +55,7 @@ def test_frequent_filter():
 @pytest.mark.parametrize("bits", [1 << 29, 64])
 @pytest.mark.parametrize("rows", [1_000_000, -1])
 def test_jaccard_with_full_filters_and_shuffled_joins(spark, monkeypatch, bits, rows):
-    """Hot leaders, dealt pairs, a filter that takes most tokens for frequent and no broadcast give what plain Python gives."""
+    """Hot leaders, a filter that takes most tokens for frequent and no broadcast give what plain Python gives."""
     rng = random.Random(4)
     base, texts = [f"b{i}" for i in range(80)], []
     for k in range(160):
@@ -71,7 +71,6 @@ def test_jaccard_with_full_filters_and_shuffled_joins(spark, monkeypatch, bits,
                 if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
                     root[i] = root[j] = min(root[i], root[j])
     monkeypatch.setattr(jaccard, "MOST_BITS", bits)
-    monkeypatch.setattr(jaccard, "DEAL", 5)
     monkeypatch.setattr("docloom.session.BROADCAST_ROWS", rows)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in jaccard.similar_documents(df, rare=3).collect()}
