@@ -62,7 +62,30 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_lm_scoring, op3_decontamination, op4_html_extraction, op5_mixing, op6_license_scan, op7_chat_formatting, op8_quality, op9_media_columns, op10_sharding)}
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of operator 2 that SQL can tell: tokens and the base score."""
+    out = op2_lm_scoring(spark, sf_dir)
+    return out.select("doc_id", "n_tokens", "n_known", "train_tokens", "held_out", F.round("base_score", 6).alias("base_score"))
+
+
+def license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of operator 6 that SQL can tell: words and base places."""
+    return op6_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of operator 9 that SQL can tell: the payload as it was read back."""
+    return op9_media_columns(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def shard_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What operator 10 gives whatever the draws: sizes, and slots gapless by doc_id within a shard, summed up by shard."""
+    out = op10_sharding(spark, sf_dir)
+    sums = out.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), (F.max("slot") + 1).alias("slots"), F.count_distinct("slot").alias("distinct_slots"), F.sum("size").alias("bytes"))
+    return sums.agg(F.sum("n").alias("n"), F.sum("slots").alias("slots"), F.sum("distinct_slots").alias("distinct_slots"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("shards"))
+
+
+QUERIES = {f.__name__: f for f in (lm_base, license_places, media_payloads, shard_law, op1_ngram_jaccard, op2_lm_scoring, op3_decontamination, op4_html_extraction, op5_mixing, op6_license_scan, op7_chat_formatting, op8_quality, op9_media_columns, op10_sharding)}
 
 OP7_SQL = r"""
 WITH said AS (
@@ -133,4 +156,58 @@ FROM marked m JOIN looked l ON m.source IS NOT DISTINCT FROM l.source AND m.lang
 """
 
 
-ORACLE_SQL = {"op3_decontamination": OP3_SQL, "op5_mixing": _raking_sql(), "op7_chat_formatting": OP7_SQL}
+OP1_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) END AS g FROM w),
+rows AS (SELECT doc_id, unnest(g) AS g FROM sets),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS same FROM rows x JOIN rows y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 100 * same >= 85 * (len(x.g) + len(y.g) - same)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS seen FROM sets UNION SELECT reach.doc_id, edges.b FROM reach JOIN edges ON edges.a = reach.seen)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, (SELECT min(seen) FROM reach WHERE reach.doc_id = sets.doc_id) AS component_id FROM sets
+"""
+#: crc32 of doc_id as text, over a table of the polynomial's remainders.
+_CRC32 = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ord((doc_id::VARCHAR)[i])::BIGINT)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295)"
+
+
+def _remainders() -> str:
+    out = []
+    for x in range(256):
+        for _ in range(8):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        out.append(str(x))
+    return "[" + ", ".join(out) + "]::BIGINT[]"
+
+
+LM_SQL = f"""
+WITH crc AS (SELECT {_remainders()} AS t),
+w AS (SELECT doc_id, {_CRC32} % 7 = 2 AS held_out, list_append({WORDS_SQL}, '') AS w FROM documents, crc),
+said AS (SELECT doc_id, held_out, unnest(w) AS word FROM w),
+counted AS (SELECT word, count(*) AS c FROM said WHERE NOT held_out GROUP BY word),
+total AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM counted)
+SELECT doc_id, count(*) AS n_tokens, count(c) AS n_known, any_value(n) AS train_tokens, any_value(held_out) AS held_out,
+  round(sum(log10((coalesce(c, 0) + 1) / (n + v + 1)::DOUBLE)), 6) AS base_score
+FROM said LEFT JOIN counted USING (word), total GROUP BY doc_id
+"""
+_BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+_FOUND = " UNION ALL ".join(
+    f"SELECT doc_id, '{label}' AS label, unnest(list_filter(range(0, len(w)), lambda i: array_to_string(w[i + 1 : i + {len(phrase.split())}], ' ') = '{phrase}')) AS place FROM w" for phrase, label in _BASE.items()
+)
+LICENSE_SQL = rf"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+f AS ({_FOUND})
+SELECT doc_id, len(any_value(w))::BIGINT AS n_words, count(place) AS n_base, min(place) AS first_word, max(place) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
+FROM w LEFT JOIN f USING (doc_id) GROUP BY doc_id
+"""
+MEDIA_SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS body FROM documents),
+s AS (SELECT doc_id, body, octet_length(body)::BIGINT AS n, CASE WHEN octet_length(body) = 0 THEN 576 ELSE (576 - octet_length(body) % 576) % 576 END AS more FROM d)
+SELECT doc_id, n AS n_bytes, n + more AS payload_bytes, sha256(body || unhex(repeat('FF', more::INTEGER))) AS payload_sha256 FROM s
+"""
+SHARD_SQL = "SELECT count(*)::BIGINT AS n, count(*)::BIGINT AS slots, count(*)::BIGINT AS distinct_slots, sum(octet_length(encode(coalesce(text, ''))) + 16)::BIGINT AS bytes, 40::BIGINT AS shards FROM documents"
+
+ORACLE_SQL = {
+    "op1_ngram_jaccard": OP1_SQL, "op3_decontamination": OP3_SQL, "op5_mixing": _raking_sql(), "op7_chat_formatting": OP7_SQL,
+    "lm_base": LM_SQL, "license_places": LICENSE_SQL, "media_payloads": MEDIA_SQL, "shard_law": SHARD_SQL,
+}

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.llm.components import components
-from docloom.llm.words import buckets, deltas, mix, pack, shingle_sets, unpack
+from docloom.llm.words import buckets, deltas, mix, pack, release, shingle_sets, unpack
 from docloom.session import small, store
 
 #: A token of more documents than this is frequent; signatures of at most so many sets give all pairs.
@@ -101,6 +101,8 @@ def frequent_tokens(docs: DataFrame, size: int, n: int, rare: int = RARE) -> Fre
                     held, total, met = [], 0, set()
         if total:
             yield flush(held)
+        del held, met
+        release()
 
     def reduce(part: pd.DataFrame) -> pd.DataFrame:
         keys = np.concatenate([np.cumsum(unpack(x), dtype=np.uint64) for x in part["keys"]])
@@ -208,6 +210,8 @@ def _candidates(docs: DataFrame, size: int, frequent: Frequent, percent: int, n:
                     held, total, met = [], 0, set()
         if total:
             yield flush()
+        held, met = [], set()
+        release()
 
     def meet(part: pd.DataFrame) -> pd.DataFrame:
         sig = np.concatenate([np.cumsum(unpack(x), dtype=np.uint64) for x in part["sigs"]])
@@ -245,7 +249,10 @@ def _candidates(docs: DataFrame, size: int, frequent: Frequent, percent: int, n:
         large = np.flatnonzero(count[group] > rare) if len(group) else group
         add(large, first[group[large]], True)
         empty = pd.DataFrame({"many": np.zeros(0, bool), **{c: np.zeros(0, np.int64) for c in ("a", "b", "an", "bn")}})
-        return pd.concat(out).drop_duplicates() if out else empty
+        found = pd.concat(out).drop_duplicates() if out else empty
+        del sig, at, doc, size_, singles, order, group, few, large
+        release()
+        return found
 
     packed = docs.select("doc_id", "text").mapInArrow(sign, "bucket int, sigs binary, at binary, docs binary, n binary, rare binary")
     return packed.groupBy("bucket").applyInPandas(meet, "many boolean, a bigint, b bigint, an bigint, bn bigint")

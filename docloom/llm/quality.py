@@ -142,21 +142,23 @@ def _odds(share: Column) -> Column:
     return F.log(held / (1 - held))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, least: float = 0.5, sample: int = SAMPLE, texts: bool = True) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, least: float = 0.5, sample: int = SAMPLE, once: bool = True, texts: bool = True) -> DataFrame:
     """docs with evidence, host_site, site (shares of good documents), quality (a probability) and good (quality >= least);
     clashing names get an underscore. Without texts the result has no column text.
 
     host and path are the site hierarchy (see site_columns; null: a site of its own). A null text counts as empty, and a text
     of any length is read whole. An empty table stays empty; without labels of both classes the evidence is 0 and every document
     good. Repeated rows score alike; of a repeated labelled doc_id the first text in order is learnt from, and ties of the
-    sample go by doc_id. Features are computed once, in a pass that writes the scored rows; sites are sums over those.
+    sample go by doc_id. Features are computed once, in a pass that writes the scored rows, and sites are sums over those; with
+    once=False nothing is written but sums, and the features are computed in two passes.
     """
     weights = train(docs, labels, sample)
     names = {n: fresh(n, docs.columns) for n in ("evidence", "host_site", "site", "quality", "good")}
     of_url = site_columns(docs)
     h, p, v = (fresh(n, [*docs.columns, *names.values()]) for n in ("site_h", "site_p", "site_v"))
     marked = docs.withColumns({names["evidence"]: evidence(F.col("text"), weights), h: of_url[0] if host is None else host, p: of_url[1] if path is None else path})
-    marked = store(marked if texts else marked.drop("text"), "scored").withColumn(v, 1 / (1 + F.exp(-F.col(names["evidence"]))))
+    marked = marked if texts else marked.drop("text")
+    marked = (store(marked, "scored") if once else marked).withColumn(v, 1 / (1 + F.exp(-F.col(names["evidence"]))))
     sites = store(site_posteriors(marked.select(F.col(h).alias("h"), F.col(p).alias("p"), F.col(v).alias("v")), "v", "h", "p"), "sites")
     # the sites' own columns clash with none of docs
     own = {c: fresh(f"of_site_{c}", marked.columns) for c in sites.columns}
