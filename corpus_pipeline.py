@@ -20,7 +20,8 @@ from docloom.session import fresh, new_path, scratch, table
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     good = fresh("good", docs.columns)
-    return score_quality(docs, table(spark, sf_dir, "labels")).where(good).select(*docs.columns)
+    # once=False: the texts would lie on disk a third time, beside the input and this stage's result, until the stage is read
+    return score_quality(docs, table(spark, sf_dir, "labels"), once=False).where(good).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
