@@ -73,8 +73,9 @@ def flatten_part(part: Column) -> Column:
 def format_chats(messages: DataFrame, parts: str = "parts") -> DataFrame:
     """conv_id, formatted, turns, spans, attachments; one row per conversation.
 
-    messages: conv_id, turn, role and a column of parts (null: none). Rows stand by turn, then role and text (nulls
-    first, as an empty role). spans: start and length in code points (from 0) of what the loss covers, the
+    messages: conv_id, turn, role and a column of parts (null: none); other columns are ignored. Rows stand by turn (null first),
+    then by role (null: an empty one) and by the escaped text, so rows that tie in all three are equal. A null conv_id is a
+    conversation like any other, a null or empty text an empty turn, and a text of any length is formatted whole. spans: start and length in code points (from 0) of what the loss covers, the
     contents of assistant turns, with the message's place (from 1) and the start within its frame. attachments: message place, part place, kind, ref, start and tokens. Repeated rows
     stay repeated turns. An empty table gives an empty table.
 

@@ -452,6 +452,11 @@ def test_chat(spark):
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     assert got[1].turns_sha256 == sha(f"user\n{said}\n" + f"assistant\n{said}\n" * 2) and got[1].loss_sha256 == sha(said * 2)
     assert (got[2].n_turns, got[2].loss_chars) == (1, 0) and chat.chat_digests(rows.where("conv_id < 0")).count() == 0
+    clash = spark.createDataFrame([(None, 0, "user", LONG), (None, 1, "assistant", LONG), (3, 0, "user", "")], "conv_id long, turn long, role string, text string")
+    for c in ("piece", "flat", "parts", "place", "at", "rows"):
+        clash = clash.withColumn(c, F.lit("x"))
+    got = {r.conv_id: r for r in chat.chat_digests(clash).collect()}
+    assert got[None].turns_sha256 == sha(f"user\n{LONG}\nassistant\n{LONG}\n") and got[None].loss_chars == len(LONG) and got[3].n_turns == 1
     part = "struct(kind, cast(null as string) text, ref, 57L width, 28L height, 2D seconds, 3L pages)"
     parts = spark.createDataFrame([("image", "i"), ("audio", "a"), ("document", "d")], "kind string, ref string").selectExpr(f"{part} p").groupBy().agg(F.array_sort(F.collect_list("p")).alias("parts"))
     out = chat.format_chats(parts.selectExpr("1L conv_id", "0L turn", "'user' role", "parts")).first()
