@@ -57,7 +57,7 @@ def sentences(text: Column) -> Column:
 
 def term_counts(text: Column, buckets: int = SPARSE_BUCKETS) -> Column:
     """(bucket, tf) of a text's hashed terms in order of the bucket, counted inside the row: sorted, then cut where they change."""
-    hashed = F.array_sort(F.transform(lexical_tokens(text), lambda t: term_bucket(t, buckets)))
+    hashed = F.sort_array(F.transform(lexical_tokens(text), lambda t: term_bucket(t, buckets)))
 
     def runs(h: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (i == 0) | (F.get(h, i) != F.get(h, i - 1)))
