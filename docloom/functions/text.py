@@ -10,6 +10,8 @@ PAGE_MARKER = r"^\s*(?:page\s+)?\d+\s*(?:of|/)\s*\d+\s*$"
 SEPARATOR = r"^\s*[-_=*]{3,}\s*$"
 SENTENCE_GAP = r"(?<=[.!?])\s+(?=[A-Z0-9(\"'])"
 SPACE = r"(?U:[\s\x1c-\x1f])"
+# The same white space as characters, but the plain space.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 SPARSE_BUCKETS = 65536
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
@@ -19,8 +21,14 @@ def jvm(pattern: str, flags: str = "") -> str:
     return f"(?d{flags})" + pattern.replace(r"\s", SPACE).replace(r"\d", r"\p{Nd}")
 
 
+def strip(text: Column) -> Column:
+    """No white space at either end."""
+    return F.btrim(text, F.lit(" " + BLANKS))
+
+
 def collapse(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, f"{SPACE}+", " "), r"^ | $", "")
+    """Runs of white space to one space, none at the ends. A plain space that stands alone is no match, so most gaps cost no copy."""
+    return F.trim(F.regexp_replace(text, f"(?! (?!{SPACE})){SPACE}+", " "))
 
 
 def drop_boilerplate(text: Column) -> Column:
@@ -37,7 +45,9 @@ def normalize_text(text: Column) -> Column:
     """Boilerplate lines out, white space collapsed; an error if that changed the sequence of lexical tokens."""
     kept = drop_boilerplate(text)
     flat = collapse(kept)
-    return F.when(lexical_tokens(kept) == lexical_tokens(flat), flat).otherwise(F.when(text.isNull(), None).otherwise(F.raise_error(F.lit("normalization changed the lexical tokens"))))
+    fine = kept.isNull() | (lexical_tokens(kept) == lexical_tokens(flat))
+    # flat stands outside of the condition, so that it is computed once for both
+    return F.get(F.array(flat), F.when(fine, 0).otherwise(F.raise_error(F.lit("normalization changed the lexical tokens")).cast("int")))
 
 
 def approx_tokens(text: Column) -> Column:
@@ -47,11 +57,11 @@ def approx_tokens(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     flat = collapse(text)
-    return F.when(flat == "", 0).otherwise(F.size(F.split(flat, " "))).cast("bigint")
+    return (F.size(F.split(flat, " ")) - F.when(flat == "", 1).otherwise(0)).cast("bigint")
 
 
 def sentences(text: Column) -> Column:
-    parts = F.transform(F.split(F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", ""), jvm(SENTENCE_GAP)), lambda s: F.regexp_replace(s, f"^{SPACE}+|{SPACE}+$", ""))
+    parts = F.transform(F.split(strip(text), jvm(SENTENCE_GAP)), strip)
     return F.filter(parts, lambda s: s != "")
 
 

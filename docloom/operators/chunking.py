@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import sentences
 from docloom.operators.segment import segments
+from docloom.session import spread
 
 THRESHOLD, LEAST, MOST = 0.55, 128, 512
 CHUNK = "ordinal int, chunk_id string, text string, breadcrumb array<string>, token_count bigint, sentences int"
@@ -65,7 +66,7 @@ def chunk_documents(docs: DataFrame, least: int = LEAST, most: int = MOST, thres
     """Chunks of docs (doc_id, text, mime_type). embed None: only sections and token bounds cut. Columns named in carry
     go with each chunk."""
     kept = ["doc_id", *(carry or [])]
-    parts = docs.select(*kept, segments(F.col("text"), F.col("mime_type")).alias("segments"))
+    parts = spread(docs.select(*kept, "text", "mime_type")).select(*kept, segments(F.col("text"), F.col("mime_type")).alias("segments"))
     split = F.transform("segments", lambda s: F.struct(s["breadcrumb"].alias("breadcrumb"), sentences(s["text"]).alias("sentences")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from docloom.functions.text import term_counts
-from docloom.session import small
+from docloom.session import small, spread
 
 TOP_K, PREFETCH, RRF_K = 8, 20, 60
 #: Query vectors that a task holds at once.
@@ -23,7 +23,7 @@ NOTHING_FOUND = "No relevant context was found for this question."
 
 def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, bucket, tf, weight = 1 + ln(tf): counts of hashed terms, one row a key and term. Counted inside each row, nothing is shuffled."""
-    counted = docs.select(key, F.inline(term_counts(F.col(text))))
+    counted = spread(docs.select(key, text)).select(key, F.inline(term_counts(F.col(text))))
     return counted.withColumn("weight", 1 + F.log(F.col("tf").cast("double")))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from docloom.functions.text import SPACE, jvm
+from docloom.functions.text import jvm, strip
 from docloom.session import fresh
 
 # a type object, for a type's name could only be read with a session at hand
@@ -167,13 +167,9 @@ def segments(text: Column, mime: Column) -> Column:
     return F.when(marked, segment(F.when(marked, text), mime)).when(F.length(text) > 0, plain).otherwise(none)
 
 
-def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
-
-
 def _found(text: Column, pattern: str, flags: str = "im") -> Column:
     """The first match's first group, stripped; null without a match."""
-    return F.when(text.rlike(jvm(pattern, flags)), _strip(F.regexp_extract(text, jvm(pattern, flags), 1)))
+    return F.when(text.rlike(jvm(pattern, flags)), strip(F.regexp_extract(text, jvm(pattern, flags), 1)))
 
 
 def metadata(df: DataFrame, text: str = "text", mime: str = "mime_type", pdf_title: str | None = None) -> DataFrame:
@@ -189,7 +185,7 @@ def metadata(df: DataFrame, text: str = "text", mime: str = "mime_type", pdf_tit
     version = F.when(is_front, front("version")).when(kind == "text/html", F.col(f"{own}.version"))
     title = F.when(is_front, front("title")).when(kind == "text/html", F.col(f"{own}.title"))
     if pdf_title:
-        title = title.when(kind == "application/pdf", F.nullif(_strip(F.col(pdf_title)), F.lit("")))
+        title = title.when(kind == "application/pdf", F.nullif(strip(F.col(pdf_title)), F.lit("")))
     version = F.coalesce(version, _found(head, VERSION_LINE))
     found = {"version": F.coalesce(F.nullif(version, F.lit("")), F.lit("1")), "title": F.coalesce(title, _found(head, TITLE_LINE))}
     return read.withColumns(found).drop(own)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.operators import chunking, evaluation, indexing, registry, retrieval, segment
 from docloom.plans import more_queries
-from docloom.session import new_path, table
+from docloom.session import new_path, spread, table
 from docloom.sources.files import from_records, to_records
 from docloom.sources.tables import KeyedLog
 from docloom.streaming.batching import microbatches
@@ -17,13 +17,13 @@ MARKED = "Page 1 of 2\n-----\n"
 
 
 def normalize_docs(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
     return docs.select("doc_id", T.normalize_text(F.concat(F.lit(MARKED), "text")).alias("normalized"))
 
 
 def normalization_metrics(spark: SparkSession, sf: str) -> DataFrame:
     whole = F.concat(F.lit(MARKED), F.col("text"))
-    rows = table(spark, sf, "documents").select(T.approx_tokens(whole).alias("before"), T.approx_tokens(T.normalize_text(whole)).alias("after"))
+    rows = spread(table(spark, sf, "documents").select("text")).select(T.approx_tokens(whole).alias("before"), T.approx_tokens(T.normalize_text(whole)).alias("after"))
     return evaluation.normalization_report(rows, "before", "after")
 
 
@@ -32,7 +32,7 @@ def approx_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sentences(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
 def sparse_terms(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,8 +68,8 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     """Every benchmark text against all documents; dense vectors are unit word counts in 64 hashed places."""
 
     def dense(df: DataFrame, key: str) -> DataFrame:
-        counted = df.select(key, F.explode(T.lexical_tokens(F.col("text"))).alias("t")).groupBy(key, T.term_bucket(F.col("t"), 64).alias("b")).count()
-        found = counted.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("b", F.col("count").cast("double")))).alias("m"))
+        counted = spread(df.select(key, "text")).select(key, T.term_counts(F.col("text"), 64).alias("terms")).where(F.size("terms") > 0)
+        found = counted.select(key, F.map_from_entries(F.transform("terms", lambda t: F.struct(t["bucket"], t["tf"].cast("double")))).alias("m"))
         return found.select(key, F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("vector"))
 
     q, d = table(spark, sf, "benchmark"), table(spark, sf, "documents")
@@ -117,8 +117,8 @@ def dim_guard(spark: SparkSession, sf: str) -> DataFrame:
 def _versions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf, "documents").select("doc_id", (F.floor(F.col("n_chars") / 500) + 1).alias("n"))
     name = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("i").cast("string"))
-    spread = lambda n: docs.select("doc_id", F.explode(F.sequence(F.lit(0), n - 1)).alias("i")).select("doc_id", name.alias("chunk_id"))
-    return spread(F.col("n")).withColumn("version", (1 + F.col("doc_id") % 3).cast("bigint")), spread(F.greatest(F.lit(1), F.col("n") + F.col("doc_id") % 3 - 1))
+    chunks = lambda n: docs.select("doc_id", F.explode(F.sequence(F.lit(0), n - 1)).alias("i")).select("doc_id", name.alias("chunk_id"))
+    return chunks(F.col("n")).withColumn("version", (1 + F.col("doc_id") % 3).cast("bigint")), chunks(F.greatest(F.lit(1), F.col("n") + F.col("doc_id") % 3 - 1))
 
 
 def registry_diff(spark: SparkSession, sf: str) -> DataFrame:

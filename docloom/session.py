@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 #: A side of a join of at most so many rows and bytes may be broadcast; beyond either the join is shuffled.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 128 << 20
+#: A table of fewer bytes a core may lie in fewer row groups than there are cores.
+SPREAD_BYTES = 16 << 20
 _scratch: list[list[str]] = []
 
 
@@ -102,6 +104,16 @@ def small(df: DataFrame, rows: int | None = None, size: int | None = None) -> Da
     return F.broadcast(df) if within else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores, for work that costs far more than moving them, if the table is so small by the optimizer's estimate
+    that its few row groups could leave cores idle. A larger table is read as it lies, without a shuffle; a stream stays as it is."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    held = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if held < cores * SPREAD_BYTES else df
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """A column name that clashes with none of those taken."""
     while name.lower() in {c.lower() for c in taken}:

@@ -44,6 +44,14 @@ def test_normalization_rules(spark):
     assert rows.select(T.normalize_text(F.col("t"))).first()[0] == "a b c Page 3 --"
 
 
+def test_white_space_is_that_of_python(spark):
+    texts = [f"{chr(i)}a{chr(i)}b {chr(i)}c.{chr(i)} D {chr(i)}" for i in range(1, 0x3100)] + ["", " ", "a", " \n\t a  b\n c "]
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    got = rows.select("t", T.collapse(F.col("t")).alias("flat"), T.word_count(F.col("t")).alias("n"), T.strip(F.col("t")).alias("s")).collect()
+    for t, flat, n, s in got:
+        assert (flat, n, s) == ((" ".join(t.split()), len(t.split()), t.strip()) if t is not None else (None, None, None)), repr(t)
+
+
 def test_ids_and_terms(spark):
     row = spark.createDataFrame([("doc:é",)], "t string").select(T.uuid5(F.col("t")), T.term_bucket(F.col("t"))).first()
     assert row[0] == str(uuid.uuid5(uuid.NAMESPACE_URL, "doc:é")) and row[1] == zlib.crc32("doc:é".encode()) % 65536

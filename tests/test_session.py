@@ -31,6 +31,17 @@ def test_joins_without_broadcast_give_the_same(spark, monkeypatch):
     assert run() == one and one
 
 
+def test_only_small_tables_are_spread(spark, monkeypatch, tmp_path):
+    shuffled = lambda df: "Repartition" in df._jdf.queryExecution().analyzed().toString()
+    spark.range(50).coalesce(1).write.parquet(f"{tmp_path}/t")
+    rows = spark.read.parquet(f"{tmp_path}/t")
+    assert shuffled(session.spread(rows)) and session.spread(rows).count() == 50 and session.spread(rows.limit(0)).count() == 0
+    stream = spark.readStream.schema("id long").parquet(f"{tmp_path}/t")
+    assert session.spread(stream) is stream
+    monkeypatch.setattr(session, "SPREAD_BYTES", 0)
+    assert not shuffled(session.spread(rows))
+
+
 def test_scratch_tables_go(spark):
     with session.scratch(spark):
         path = session.store(spark.range(3), "gone").inputFiles()[0].removeprefix("file://").removeprefix("file:")
