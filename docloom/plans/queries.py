@@ -68,9 +68,10 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     """Every benchmark text against all documents; dense vectors are unit word counts in 64 hashed places."""
 
     def dense(df: DataFrame, key: str) -> DataFrame:
-        counted = spread(df.select(key, "text")).select(key, T.term_counts(F.col("text"), 64).alias("terms")).where(F.size("terms") > 0)
-        found = counted.select(key, F.map_from_entries(F.transform("terms", lambda t: F.struct(t["bucket"], t["tf"].cast("double")))).alias("m"))
-        return found.select(key, F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("vector"))
+        counts = F.map_from_entries(F.transform(T.term_counts(F.col("text"), 64), lambda t: F.struct(t["bucket"], t["tf"].cast("double"))))
+        # transform over an array of one binds the counts; a text without terms is a vector of length 0, which matches nothing
+        places = lambda m: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0)))
+        return spread(df.select(key, "text")).select(key, F.transform(F.array(counts), places)[0].alias("vector"))
 
     q, d = table(spark, sf, "benchmark"), table(spark, sf, "documents")
     out = retrieval.hybrid_search(q, d, dense(q, "item_id"), dense(d, "doc_id"), "item_id", "doc_id")
