@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from docloom.llm.chat import chat_digests
 from docloom.llm.decontaminate import find_leaks
 from docloom.llm.extract import extract_pages
+from docloom.llm.infill import infill_digests
 from docloom.llm.jaccard import similar_documents
 from docloom.llm.licenses import scan_licenses
 from docloom.llm.media import document_media
 from docloom.llm.mixing import mix
+from docloom.llm.packing import pack_documents
 from docloom.llm.pitman_yor import score_documents
 from docloom.llm.quality import score_quality
+from docloom.llm.resample import resample
 from docloom.llm.sharding import shard_documents
 from docloom.session import table
 
@@ -62,6 +65,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill_digests(table(spark, sf_dir, "documents"))
+
+
 def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of operator 2 that SQL can tell: tokens and the base score."""
     out = op2_lm_scoring(spark, sf_dir)
@@ -85,7 +102,7 @@ def shard_law(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.agg(F.sum("n").alias("n"), F.sum("slots").alias("slots"), F.sum("distinct_slots").alias("distinct_slots"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("shards"))
 
 
-QUERIES = {f.__name__: f for f in (lm_base, license_places, media_payloads, shard_law, op1_ngram_jaccard, op2_lm_scoring, op3_decontamination, op4_html_extraction, op5_mixing, op6_license_scan, op7_chat_formatting, op8_quality, op9_media_columns, op10_sharding)}
+QUERIES = {f.__name__: f for f in (lm_base, license_places, media_payloads, shard_law, op1_ngram_jaccard, op2_lm_scoring, op3_decontamination, op4_html_extraction, op5_mixing, op6_license_scan, op7_chat_formatting, op8_quality, op9_media_columns, op10_sharding, op11_resampling, op12_packing, op13_infill)}
 
 OP7_SQL = r"""
 WITH said AS (
@@ -206,8 +223,37 @@ s AS (SELECT doc_id, body, octet_length(body)::BIGINT AS n, CASE WHEN octet_leng
 SELECT doc_id, n AS n_bytes, n + more AS payload_bytes, sha256(body || unhex(repeat('FF', more::INTEGER))) AS payload_sha256 FROM s
 """
 SHARD_SQL = "SELECT count(*)::BIGINT AS n, count(*)::BIGINT AS slots, count(*)::BIGINT AS distinct_slots, sum(octet_length(encode(coalesce(text, ''))) + 16)::BIGINT AS bytes, 40::BIGINT AS shards FROM documents"
+#: crc32 of the bytes of `term`, by the same table.
+_TERM_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, octet_length(b) + 1), lambda i: ('0x' || h[2 * i - 1 : 2 * i])::BIGINT)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295)"
+RESAMPLE_SQL = rf"""
+WITH crc AS (SELECT {_remainders()} AS t),
+w AS (SELECT kind, id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM (SELECT 's' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 't', item_id, text FROM benchmark)),
+f AS (SELECT kind, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS term FROM w),
+coded AS (SELECT term, {_TERM_CRC} % 10000 AS bucket FROM (SELECT term, encode(term) AS b, hex(encode(term)) AS h FROM (SELECT DISTINCT term FROM f)), crc),
+hits AS (SELECT kind, id, bucket, count(*) AS n FROM f JOIN coded USING (term) GROUP BY ALL),
+counts AS (SELECT range AS bucket, coalesce(sum(n) FILTER (kind = 's'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (kind = 't'), 0)::DOUBLE AS t FROM range(10000) LEFT JOIN hits ON bucket = range GROUP BY range),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM counts) + 10000) / ((s + 1) * ((SELECT sum(t) FROM counts) + 10000))))::BIGINT AS gain FROM counts),
+weighed AS (SELECT id, sum(n) AS n_features, sum(n * gain) AS weight FROM hits JOIN gains USING (bucket) WHERE kind = 's' GROUP BY id),
+scored AS (SELECT id AS doc_id, len(w) AS words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE))))::BIGINT AS score
+  FROM w LEFT JOIN weighed USING (id) WHERE kind = 's'),
+placed AS (SELECT *, CASE WHEN words >= 20 THEN row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) END AS place FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT count(*) FROM scored WHERE words >= 20) * 5 // 100 THEN place END AS rank FROM placed
+"""
+INFILL_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id) AS h, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+k AS (SELECT *, len(u)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS low, greatest(h1 % (n + 1), h2 % (n + 1)) AS high,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM k),
+p AS (SELECT *, array_to_string(u[1 : low], '') AS prefix, array_to_string(u[low + 1 : high], '') AS middle, array_to_string(u[high + 1 :], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+"""
 
 ORACLE_SQL = {
     "op1_ngram_jaccard": OP1_SQL, "op3_decontamination": OP3_SQL, "op5_mixing": _raking_sql(), "op7_chat_formatting": OP7_SQL,
     "lm_base": LM_SQL, "license_places": LICENSE_SQL, "media_payloads": MEDIA_SQL, "shard_law": SHARD_SQL,
+    "op11_resampling": RESAMPLE_SQL, "op13_infill": INFILL_SQL,
 }
