@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -13,11 +14,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from docloom.functions.text import term_counts
-from docloom.session import small, spread
+from docloom.session import spread
 
 TOP_K, PREFETCH, RRF_K = 8, 20, 60
-#: Query vectors that a task holds at once.
-BLOCK_BYTES = 64 << 20
+#: Query vectors that a task holds at once, and so many queries of sparse ones.
+BLOCK_BYTES, BLOCK_QUERIES = 64 << 20, 4096
+#: Terms of a block of sparse rows, and products of their weights with those of queries that a task holds at once.
+BLOCK_TERMS, BLOCK_PRODUCTS = 1 << 14, 1 << 21
 NOTHING_FOUND = "No relevant context was found for this question."
 
 
@@ -27,9 +30,10 @@ def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return counted.withColumn("weight", 1 + F.log(F.col("tf").cast("double")))
 
 
-def sparse_vectors(posts: DataFrame, key: str) -> DataFrame:
-    pairs = F.array_sort(F.collect_list(F.struct("bucket", "weight")))
-    return posts.groupBy(key).agg(pairs.alias("p")).select(key, F.col("p.bucket").alias("indices"), F.col("p.weight").alias("values"))
+def term_vectors(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, indices, values: the postings of each row inside the row, by bucket; a text without terms has empty ones."""
+    counted = spread(docs.select(key, text)).select(key, F.coalesce(term_counts(F.col(text)), F.array()).alias("t"))
+    return counted.select(key, F.col("t.bucket").alias("indices"), F.transform("t.tf", lambda n: 1 + F.log(n.cast("double"))).alias("values"))
 
 
 def ranked(scores: DataFrame, query: str, key: str, score: Column, k: int) -> DataFrame:
@@ -38,10 +42,148 @@ def ranked(scores: DataFrame, query: str, key: str, score: Column, k: int) -> Da
     return scores.withColumn("score", score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def sparse_topk(query_posts: DataFrame, posts: DataFrame, query: str, key: str, k: int = PREFETCH) -> DataFrame:
-    q = query_posts.select(query, "bucket", F.col("weight").alias("qw"))
-    hits = posts.join(small(q), "bucket").groupBy(query, key).agg(F.round(F.sum(F.col("qw") * F.col("weight")), 6).alias("score"))
-    return ranked(hits, query, key, F.col("score"), k)
+class Best:
+    """The best k keys of each query that a task has met so far, by falling score, ties by key."""
+
+    def __init__(self, names: list, k: int):
+        self.names, self.k = names, k
+        self.scores: list[list[float]] = [[] for _ in names]
+        self.keys: list[list] = [[] for _ in names]
+        #: What a key must reach to be of use.
+        self.least = np.full(len(names), -np.inf)
+
+    def add(self, query: int, scores: np.ndarray, keys: list) -> None:
+        """Scores of some keys (of unequal keys, the query's own so far aside), without those that are not numbers."""
+        some = np.flatnonzero(scores >= self.least[query])
+        if not len(some):
+            return
+        if len(some) > 4 * self.k:  # all of the k-th best score stay, for ties go by key
+            some = some[scores[some] >= -np.partition(-scores[some], self.k - 1)[self.k - 1]]
+        pairs = sorted([*zip((-s for s in self.scores[query]), self.keys[query]), *((-scores[j], keys[j]) for j in some)])[: self.k]
+        self.scores[query], self.keys[query] = [-s for s, _ in pairs], [x for _, x in pairs]
+        if len(pairs) == self.k:
+            self.least[query] = self.scores[query][-1]
+
+    def batch(self, names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+        """(query, key, score) rows."""
+        which = [n for n, found in zip(self.names, self.keys) for _ in found]
+        columns = [which, list(chain.from_iterable(self.keys)), list(chain.from_iterable(self.scores))]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+
+def _kinds(queries: DataFrame, query: str, index: DataFrame, key: str) -> tuple[str, list[pa.DataType]]:
+    """Schema and Arrow types of (query, key, score) rows."""
+    found = [queries.schema[query].dataType, index.schema[key].dataType]
+    return f"`{query}` {found[0].simpleString()}, `{key}` {found[1].simpleString()}, score double", [*map(to_arrow_type, found), pa.float64()]
+
+
+class Asked:
+    """Sparse queries by bucket: which ask for it, and with what weight."""
+
+    def __init__(self, rows: list):
+        self.names = [r[0] for r in rows]
+        sizes = [len(r[1]) for r in rows]
+        query = np.repeat(np.arange(len(rows)), sizes)
+        bucket = np.fromiter(chain.from_iterable(r[1] for r in rows), np.int64, sum(sizes))
+        weight = np.fromiter(chain.from_iterable(r[2] for r in rows), np.float64, sum(sizes))
+        order = np.argsort(bucket, kind="stable")
+        self.query, self.weight = query[order], weight[order]
+        self.buckets, self.term = np.unique(bucket[order], return_inverse=True)
+
+    def hits(self, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which terms of a block some query asks for, and their places among the queries' buckets."""
+        at = np.minimum(np.searchsorted(self.buckets, bucket), len(self.buckets) - 1)
+        met = np.flatnonzero(self.buckets[at] == bucket)
+        return met, at[met]
+
+
+def score_block(asked: Asked, best: Best, doc: np.ndarray, bucket: np.ndarray, weight: np.ndarray, keys: list) -> int:
+    """Adds a block's rows to the best of the queries that its bounds do not rule out; returns how many queries those were.
+
+    A query's score in a row is at most the sum, over its buckets, of its weight and the block's largest: where that is below
+    the k-th score the task has, no row of the block is looked at for the query.
+    """
+    met, at = asked.hits(bucket)
+    if not len(met):
+        return 0
+    doc, weight = doc[met], weight[met]
+    top = np.zeros(len(asked.buckets))
+    np.maximum.at(top, at, weight)
+    bound = np.bincount(asked.query, asked.weight * top[asked.term], len(asked.names))
+    wanted = (bound > 0) & (bound >= best.least - 1e-6)  # scores are rounded to six digits
+    live = np.flatnonzero(wanted)
+    if not len(live):
+        return 0
+    # postings of those queries alone, by bucket
+    kept = np.flatnonzero(wanted[asked.query])
+    row, factor = (np.cumsum(wanted) - 1)[asked.query[kept]], asked.weight[kept]
+    count = np.bincount(asked.term[kept], minlength=len(asked.buckets))
+    begin = np.cumsum(count) - count
+    total, size = np.zeros(len(live) * len(keys)), count[at]
+    ends = np.cumsum(size)
+    first = 0
+    while first < len(at):  # so many products at once
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + BLOCK_PRODUCTS, "right")))
+        n = size[first:last]
+        which = np.repeat(begin[at[first:last]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        total += np.bincount(row[which] * len(keys) + np.repeat(doc[first:last], n), factor[which] * np.repeat(weight[first:last], n), len(total))
+        first = last
+    for q, scores in zip(live, np.round(total.reshape(len(live), len(keys)), 6)):
+        some = np.flatnonzero(scores)  # a row without a shared bucket is no hit
+        best.add(int(q), scores[some], [keys[j] for j in some] if len(some) < len(keys) else keys)
+    return len(live)
+
+
+def sparse_blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list]]:
+    """(row, bucket, weight, keys) of blocks of a batch of (key, indices, values): rows of most weight first, so that later blocks
+    have low bounds. A row larger than a block is one by itself."""
+    held = [c.fill_null([]) if c.null_count else c for c in batch.columns[1:]]
+    bounds = [c.offsets.to_numpy() for c in held]
+    size = np.diff(bounds[0])
+    bucket = held[0].flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    weight = held[1].flatten().to_numpy(zero_copy_only=False)
+    start = bounds[0][:-1] - bounds[0][0]
+    heavy = np.concatenate([[0.0], np.cumsum(weight)])
+    order = np.argsort(heavy[start] - heavy[start + size], kind="stable")
+    order = order[size[order] > 0]
+    ends = np.cumsum(size[order])
+    keys, first = batch.column(0), 0
+    while first < len(order):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + BLOCK_TERMS, "right")))
+        rows = order[first:last]
+        n = size[rows]
+        at = np.repeat(start[rows] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        yield np.repeat(np.arange(len(rows)), n), bucket[at], weight[at], keys.take(pa.array(rows)).to_pylist()
+        first = last
+
+
+def sparse_topk(queries: DataFrame, index: DataFrame, query: str, key: str, k: int = PREFETCH) -> DataFrame:
+    """The best k rows of the index for each query by the dot product of their sparse vectors (indices, values; weights are not negative).
+
+    Both are tables with one row a vector, so a score is made inside a row and no pair is shuffled. Tasks read the index in blocks, keep the
+    best k of each query and skip, by upper bounds, what cannot be among them; what is shuffled is k rows a query and task. Queries go to the
+    tasks in blocks of BLOCK_QUERIES. Rows that share no bucket with a query, and null keys' rows, are no hits; ties go by key.
+    """
+    schema, types = _kinds(queries, query, index, key)
+    asked = queries.where(F.size("indices") > 0).select(query, "indices", F.col("values").cast("array<double>"))
+    blocks = (asked.count() - 1) // BLOCK_QUERIES + 1
+    rows = index.where(F.col(key).isNotNull()).select(key, F.col("indices").cast("array<int>").alias("indices"), F.col("values").cast("array<double>").alias("values"))
+    found = None
+    for block in range(max(1, blocks)):
+        some = asked.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == block) if blocks > 1 else asked
+        held = index.sparkSession.sparkContext.broadcast(Asked(some.collect()))  # about BLOCK_QUERIES rows
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            asked = held.value
+            best = Best(asked.names, k)
+            for batch in batches if asked.names else ():
+                for doc, bucket, weight, keys in sparse_blocks(batch):
+                    score_block(asked, best, doc, bucket, weight, keys)
+            yield best.batch([query, key, "score"], types)
+
+        scored = rows.mapInArrow(run, schema)
+        found = scored if found is None else found.unionByName(scored)
+    return ranked(found, query, key, F.col("score"), k)
 
 
 def _unit(rows: list) -> np.ndarray:
@@ -58,7 +200,7 @@ def dense_topk(queries: DataFrame, index: DataFrame, query: str, key: str, k: in
     Queries go to the tasks in blocks of at most BLOCK_BYTES. A task multiplies its rows with a block and keeps the best k of each
     query, so what is shuffled is k rows a query and task. Vectors of another length than the queries' match nothing.
     """
-    schema = ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n, df in ((query, queries), (key, index))) + ", score double"
+    schema, types = _kinds(queries, query, index, key)
     kinds = [F.col("vector").cast("array<double>").alias("vector")]
     held = queries.agg(F.sum(F.size("vector").cast("long") * 8 + 64)).first()[0] or 0
     blocks = int(held // BLOCK_BYTES) + 1
@@ -68,30 +210,19 @@ def dense_topk(queries: DataFrame, index: DataFrame, query: str, key: str, k: in
         rows = some.select(query, *kinds).collect()  # at most about BLOCK_BYTES
         asked = index.sparkSession.sparkContext.broadcast(([r[0] for r in rows], _unit([r[1] for r in rows])))
 
-        def best(batches, asked=asked):
+        def run(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
             names, matrix = asked.value
-            top = [([], []) for _ in names]  # scores and keys of each query's best
+            best = Best(names, k)
             for batch in batches:
                 own = _unit(batch.column(1).to_pylist())
                 if not len(names) or own.shape[1] != matrix.shape[1]:
                     continue
-                keys, scores = batch.column(0).to_pylist(), np.round(matrix @ own.T, 6)
-                for i, row in enumerate(scores):
-                    old, which = top[i]
-                    some = np.flatnonzero(row >= (old[-1] if len(old) == k else -np.inf))
-                    if len(some) > 4 * k:  # all of the k-th best score stay, for ties go by key
-                        some = some[row[some] >= -np.partition(-row[some], k - 1)[k - 1]]
-                    pairs = sorted([*zip((-s for s in old), which), *((-row[j], keys[j]) for j in some)])[:k]
-                    top[i] = ([-s for s, _ in pairs], [x for _, x in pairs])
-            out = [(n, x, float(s)) for n, (scores, keys) in zip(names, top) for s, x in zip(scores, keys)]
-            yield pd.DataFrame(out, columns=[query, key, "score"]) if out else pd.DataFrame({query: [], key: [], "score": []})
-
-        def arrow(batches, best=best):
-            for frame in best(batches):
-                yield pa.RecordBatch.from_arrays([pa.array(frame[c].tolist(), t) for c, t in zip(frame.columns, types)], list(frame.columns))
-
-        types = [*(to_arrow_type(df.schema[n].dataType) for n, df in ((query, queries), (key, index))), pa.float64()]
-        scored = index.select(key, *kinds).mapInArrow(arrow, schema)
+                keys = batch.column(0).to_pylist()
+                for i, scores in enumerate(np.round(matrix @ own.T, 6)):
+                    best.add(i, scores, keys)
+            yield best.batch([query, key, "score"], types)
+
+        scored = index.select(key, *kinds).mapInArrow(run, schema)
         found = scored if found is None else found.unionByName(scored)
     return ranked(found, query, key, F.col("score"), k)
 
@@ -108,7 +239,7 @@ def rrf(rankings: list[DataFrame], query: str, key: str, k: int = TOP_K, constan
 
 
 def hybrid_search(queries: DataFrame, docs: DataFrame, query_vectors: DataFrame, doc_vectors: DataFrame, query: str, key: str, k: int = TOP_K, prefetch: int = PREFETCH) -> DataFrame:
-    sparse = sparse_topk(postings(queries, query), postings(docs, key), query, key, prefetch)
+    sparse = sparse_topk(term_vectors(queries, query), term_vectors(docs, key), query, key, prefetch)
     dense = dense_topk(query_vectors, doc_vectors, query, key, prefetch)
     return rrf([dense, sparse], query, key, k)
 

@@ -133,11 +133,9 @@ class Engine:
             return pd.Series([[float(x) for x in v] for v in embed(list(texts))] if len(texts) else [], dtype=object)
 
         vectors = questions.select("query_id", F.pandas_udf(dense, "array<double>")("question").alias("vector"))
-        sparse = index.select("chunk_id", F.explode(F.arrays_zip("indices", "values")).alias("p")).select("chunk_id", F.col("p.indices").alias("bucket"), F.col("p.values").alias("weight"))
-        asked = retrieval.postings(questions, "query_id", "question")
         rankings = [
             retrieval.dense_topk(vectors, index.select("chunk_id", F.col("dense").alias("vector")), "query_id", "chunk_id", prefetch),
-            retrieval.sparse_topk(asked, sparse, "query_id", "chunk_id", prefetch),
+            retrieval.sparse_topk(retrieval.term_vectors(questions, "query_id", "question"), index.select("chunk_id", "indices", "values"), "query_id", "chunk_id", prefetch),
         ]
         best = retrieval.rrf(rankings, "query_id", "chunk_id", k)
         return best.join(index.drop("dense", "indices", "values", "point_id"), "chunk_id")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docloom.functions import text as T
 from docloom.operators import chunking, evaluation, indexing, registry, retrieval, segment
+from docloom.operators.vector_index import VectorIndex
 from docloom.plans import more_queries
 from docloom.session import new_path, spread, table
 from docloom.sources.files import from_records, to_records
@@ -42,7 +44,7 @@ def sparse_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 def sparse_topk(spark: SparkSession, sf: str) -> DataFrame:
     q, d = table(spark, sf, "benchmark"), table(spark, sf, "documents")
-    return retrieval.sparse_topk(retrieval.postings(q, "item_id"), retrieval.postings(d, "doc_id"), "item_id", "doc_id", 8).select("item_id", "doc_id", "score", "rank")
+    return retrieval.sparse_topk(retrieval.term_vectors(q, "item_id"), retrieval.term_vectors(d, "doc_id"), "item_id", "doc_id", 8).select("item_id", "doc_id", "score", "rank")
 
 
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -56,6 +58,26 @@ def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.dense_topk(q, v, "query_id", "vec_id").select("query_id", "vec_id", "score", "rank")
 
 
+def _lists(spark: SparkSession, sf: str) -> tuple[VectorIndex, DataFrame]:
+    v = _vectors(spark, sf)
+    return VectorIndex.build(v.select("vec_id", "vector"), new_path(spark, "vector-lists"), "vec_id"), v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "vector")
+
+
+def dense_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """The queries of dense_topk against inverted lists, read as far as no row can be missed."""
+    index, asked = _lists(spark, sf)
+    return index.search(asked, "query_id", exact=True).select("query_id", "vec_id", "score", "rank")
+
+
+def dense_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """The same against the probed lists alone, with each query's lists and rows read and its recall."""
+    index, asked = _lists(spark, sf)
+    exact = index.search(asked, "query_id", exact=True).select("query_id", "vec_id", F.lit(1.0).alias("hit"))
+    near = index.search(asked, "query_id").join(exact, ["query_id", "vec_id"], "left")
+    recall = F.sum(F.coalesce("hit", F.lit(0.0))).over(Window.partitionBy("query_id")) / retrieval.PREFETCH
+    return near.select("query_id", "vec_id", "score", "rank", "lists", "rows_read", recall.alias("recall"))
+
+
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
     """Fuses a ranking by sparse score with one by document length, of the same queries."""
     sparse = sparse_topk(spark, sf)
@@ -220,7 +242,7 @@ def context_blocks(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        normalize_docs, normalization_metrics, approx_tokens, sentences, sparse_terms, sparse_topk, dense_topk, rrf_fusion, hybrid_search, point_ids, html_metadata,
+        normalize_docs, normalization_metrics, approx_tokens, sentences, sparse_terms, sparse_topk, dense_topk, dense_exact, dense_lists, rrf_fusion, hybrid_search, point_ids, html_metadata,
         html_segments, markdown_segments, chunk_fold_tokens, chunk_fold_semantic, dim_guard, registry_diff, tombstone, route_valid_invalid, eval_metrics, token_usage,
         strict_cost, citation_dedup, microbatch_events, backoff_ceiling, index_points, keyed_log, record_roundtrip, judge_scores, context_blocks,
     )
@@ -332,6 +354,7 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN lower(o_orderstatus) ELSE o
 SELECT item_id, string_agg(CASE WHEN doc_id % 2 = 0 THEN source ELSE doc_id::VARCHAR END, '|' ORDER BY rank) AS titles FROM top8 JOIN documents USING (doc_id) GROUP BY item_id""",
 }
 
+ORACLE_SQL["dense_exact"] = ORACLE_SQL["dense_topk"]
 _CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(term) + 1), lambda i: ord(term[i])::BIGINT)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295)"
 #: Sentences with their word counts and unit vectors of hashed word counts, and the ordered fold over them.
 _FOLD = rf"""{_SENTENCES},

@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom import session
-from docloom.operators import retrieval
 
 
 def hinted(df):
@@ -22,15 +21,6 @@ def test_small_counts_rows_and_bytes(spark):
     assert not hinted(session.small(nested, size=500_000))
 
 
-def test_joins_without_broadcast_give_the_same(spark, monkeypatch):
-    words = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 17}" for j in range(1, 9))) for i in range(60)], "doc_id long, text string")
-    asked = words.where("doc_id < 5").select(F.col("doc_id").alias("item_id"), "text")
-    run = lambda: sorted(map(tuple, retrieval.sparse_topk(retrieval.postings(asked, "item_id"), retrieval.postings(words, "doc_id"), "item_id", "doc_id", 8).collect()))
-    one = run()
-    monkeypatch.setattr(session, "BROADCAST_ROWS", -1)
-    assert run() == one and one
-
-
 def test_only_small_tables_are_spread(spark, monkeypatch, tmp_path):
     shuffled = lambda df: "Repartition" in df._jdf.queryExecution().analyzed().toString()
     spark.range(50).coalesce(1).write.parquet(f"{tmp_path}/t")
