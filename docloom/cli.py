@@ -35,9 +35,9 @@ def _engine(spark: SparkSession, args: argparse.Namespace) -> Engine:
     return Engine(spark, args.engine, **({"embed": _named(args.embed)} if args.embed else {}))
 
 
-def _next(engine: Engine) -> int:
-    """The number after every batch so far; one writer at a time."""
-    return max([-1, *(n for log in (engine.registry, engine.index) for kind in ("base", "batch") for n in log._numbers(kind))]) + 1
+def _next(engine: Engine) -> str:
+    """A name of a batch of its own."""
+    return f"run-{engine.tables.view().version + 1}"
 
 
 def check_health(spark: SparkSession, args: argparse.Namespace) -> int:
@@ -56,7 +56,9 @@ def check_health(spark: SparkSession, args: argparse.Namespace) -> int:
 
 def ingest(spark: SparkSession, args: argparse.Namespace) -> int:
     engine = _engine(spark, args)
-    if args.action == "process":
+    if args.action == "retry":
+        print(json.dumps(engine.retry(_next(engine)), sort_keys=True))
+    elif args.action == "process":
         print(json.dumps(engine.add_files(read_files(spark, args.path), _next(engine)), sort_keys=True))
     else:
         trigger = {"availableNow": True} if args.once else {"processingTime": "2 seconds"}
@@ -174,8 +176,8 @@ def parser() -> argparse.ArgumentParser:
     output, once = {"output": {"help": "file for the JSON result"}}, {"once": {"action": "store_true", "help": "stop when all there is has been handled"}}
     command("health", check_health)
     one = command("ingest", ingest, **once)
-    one.add_argument("action", choices=["process", "watch"])
-    one.add_argument("path")
+    one.add_argument("action", choices=["process", "watch", "retry"])
+    one.add_argument("path", nargs="?", help="folder of files; not used by retry")
     command("chunk", chunk, "path", topic={"help": "folder of the topic that chunks go to"})
     command("embed", embed, "topic", **once)
     command("query", query, "question", top_k={"type": int, "default": retrieval.TOP_K}, model=models["model"])

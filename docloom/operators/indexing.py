@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-import time
 import uuid
 import zlib
 from collections import Counter
@@ -19,7 +18,7 @@ from docloom.functions.text import SPARSE_BUCKETS, normalize_text, uuid5
 from docloom.operators.chunking import chunk_documents, hashed_vectors
 from docloom.operators.registry import dim_guard
 from docloom.operators.segment import metadata
-from docloom.streaming.batching import RETRIES, SIZE, with_retries
+from docloom.streaming.batching import SIZE
 
 PAYLOAD = "chunk_id string, parent_doc_id string, text string, hierarchical_context array<string>, token_count bigint, doc_version string, doc_title string, source_uri string"
 POINT = f"point_id string, {PAYLOAD}, dense array<double>, indices array<int>, values array<double>"
@@ -51,20 +50,22 @@ class PerWorker:
         return PerWorker._made[self.name](texts)
 
 
-def points(chunks: DataFrame, embed: Callable = hashed_vectors, dim: int = 384, retries: int = RETRIES, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """Index points of normalized payloads, with `dropped` as a reason where there is no dense vector of the right length.
+def points(chunks: DataFrame, embed: Callable = hashed_vectors, dim: int = 384, size: int = SIZE) -> DataFrame:
+    """Index points of normalized payloads, with `dropped` as a reason where there is no dense vector of the right length, and `failed` where the
+    embedder raised: that may go well another time.
 
     Dense and sparse vectors come from one pass over a batch, so they are columns of the chunk's own row. Chunks are embedded
-    SIZE at a time; a call that still fails after its retries drops those chunks alone.
+    `size` at a time; a call that fails leaves those chunks alone without vectors. Nothing waits in a task.
     """
 
-    def dense(texts: list[str]) -> tuple[list, str | None]:
-        return with_retries(lambda: ([[float(x) for x in v] for v in embed(texts)], None), lambda e: ([None] * len(texts), f"embedding failed: {e}".split("\n")[0]), retries, sleep)
-
     def vectors(texts: pd.Series) -> pd.DataFrame:
         sparse, rows, why = [sparse_vector(t) for t in texts], [], []
-        for at in range(0, len(texts), SIZE):
-            found, error = dense(list(texts[at : at + SIZE]))
+        for at in range(0, len(texts), size):
+            some = list(texts[at : at + size])
+            try:
+                found, error = [[float(x) for x in v] for v in embed(some)], None
+            except Exception as raised:
+                found, error = [None] * len(some), f"embedding failed: {raised}".split("\n")[0]
             rows += found
             why += [error] * len(found)
         return pd.DataFrame({"dense": pd.Series(rows, dtype=object), "indices": [s[0] for s in sparse], "values": [s[1] for s in sparse], "failed": pd.Series(why, dtype=object)})
@@ -72,4 +73,4 @@ def points(chunks: DataFrame, embed: Callable = hashed_vectors, dim: int = 384,
     run = pandas_udf(vectors, "dense array<double>, indices array<int>, values array<double>, failed string")
     flat = chunks.withColumn("raw_text", F.col("text")).withColumn("text", F.coalesce(normalize_text(F.col("text")), F.lit("")))
     made = flat.withColumn("v", run("text")).select("*", "v.*").drop("v").withColumn("point_id", uuid5(F.col("chunk_id")))
-    return dim_guard(made, dim, "dense").withColumn("dropped", F.coalesce("failed", "dropped")).drop("failed")
+    return dim_guard(made, dim, "dense").withColumn("dropped", F.coalesce("failed", "dropped"))

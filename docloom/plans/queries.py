@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from docloom.functions import text as T
 from docloom.operators import chunking, evaluation, indexing, registry, retrieval, segment
 from docloom.operators.vector_index import VectorIndex
-from docloom.plans import more_queries
+from docloom.plans import more_queries, stream_queries
 from docloom.session import new_path, spread, table
 from docloom.sources.files import from_records, to_records
 from docloom.sources.tables import KeyedLog
@@ -246,7 +246,7 @@ QUERIES = {
         html_segments, markdown_segments, chunk_fold_tokens, chunk_fold_semantic, dim_guard, registry_diff, tombstone, route_valid_invalid, eval_metrics, token_usage,
         strict_cost, citation_dedup, microbatch_events, backoff_ceiling, index_points, keyed_log, record_roundtrip, judge_scores, context_blocks,
     )
-} | more_queries.QUERIES
+} | more_queries.QUERIES | stream_queries.QUERIES
 
 
 def _crc_table() -> str:
@@ -399,4 +399,4 @@ sparse20 AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORD
 fused AS (SELECT item_id, doc_id, round(sum(1 / (60.0::DOUBLE + rank)), 9) AS score FROM (SELECT * FROM dense20 UNION ALL SELECT * FROM sparse20) GROUP BY ALL)
 SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM fused QUALIFY rank <= 8""",
 }
-ORACLE_SQL |= more_queries.oracle_sql(_TOPK, _REGISTRY)
+ORACLE_SQL |= more_queries.oracle_sql(_TOPK, _REGISTRY) | stream_queries.ORACLE_SQL

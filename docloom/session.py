@@ -17,6 +17,8 @@ BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 128 << 20
 #: A table of fewer bytes a core may lie in fewer row groups than there are cores.
 SPREAD_BYTES = 16 << 20
 _scratch: list[list[str]] = []
+#: The folder made where a local session names none.
+_own: list[str] = []
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -46,8 +48,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="docloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="docloom-"))
+        found = _own[0]
     return found if "://" in found or found.startswith("file:") else f"file://{os.path.abspath(found)}"
 
 
@@ -65,10 +68,45 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _place(spark: SparkSession, path: str) -> tuple:
+    """A path and its file system, wherever Spark can reach it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder, wherever Spark can reach it; one that is not there is no error."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    place, files = _place(spark, path)
+    files.delete(place, True)
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where there is no such folder."""
+    place, files = _place(spark, path)
+    return [f.getPath().getName() for f in files.listStatus(place)] if files.exists(place) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    place, files = _place(spark, path)
+    stream = files.open(place)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8")
+    finally:
+        stream.close()
+
+
+def write_once(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there whole or not at all: written beside its place and renamed. One that is there already is an error."""
+    place, files = _place(spark, path)
+    beside, _ = _place(spark, f"{path}.{uuid.uuid4().hex}")
+    stream = files.create(beside, False)
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+    rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration())
+    context.rename(files.makeQualified(beside), files.makeQualified(place), spark.sparkContext._gateway.new_array(rename, 0))
 
 
 @contextmanager

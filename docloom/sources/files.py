@@ -18,7 +18,7 @@ BINARY = "path string, modificationTime timestamp, length bigint, content binary
 QA = "schema_version int, dataset_version string, cases array<struct<id:string,question:string,reference_answer:string,expected_source_uri_contains:string>>"
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
+def read_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(path)
 
 

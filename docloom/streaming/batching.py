@@ -7,9 +7,10 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions.text import backoff_ceiling
 from docloom.sources.files import route, validate
 
 SIZE, SECONDS, RETRIES = 16, 2.0, 5
@@ -76,15 +77,18 @@ def backoff(retry: int, base: float = 1.0, cap: float = 60.0, rng: Callable[[flo
     return rng(0.0, min(cap, base * 2**retry))
 
 
-def with_retries(step: Callable[[], object], dead: Callable[[Exception], object], retries: int = RETRIES, sleep: Callable[[float], None] = time.sleep):
-    """Runs a step up to retries + 1 times, waiting between; the last failure goes to `dead`."""
-    for n in range(retries + 1):
-        try:
-            return step()
-        except Exception as error:
-            if n == retries:
-                return dead(error)
-            sleep(backoff(n))
+def due(now: Column, attempts: Column, *key: str, base: float = 1.0, cap: float = 60.0) -> Column:
+    """When a row that has failed so many times (1 or more) is to be tried again, in epoch seconds: full jitter up to the ceiling of its retry, by a hash of
+    key and attempt, so that the same failure is given the same time wherever and however often it is worked out."""
+    share = F.shiftrightunsigned(F.xxhash64(*key, attempts), 11).cast("double") / float(2**53)
+    return now + share * backoff_ceiling((attempts - 1).cast("double"), base, cap)
+
+
+def scheduled(failed: DataFrame, key: str, now: float, retries: int = RETRIES) -> tuple[DataFrame, DataFrame]:
+    """Rows that failed just now (attempts: how many times before) as those to be tried again, with attempts and due, and those that have had all their tries."""
+    counted = failed.withColumn("attempts", F.col("attempts") + 1)
+    again = counted.where(F.col("attempts") <= retries)
+    return again.withColumn("due", due(F.lit(now), F.col("attempts"), key)), counted.where(F.col("attempts") > retries)
 
 
 def ingest(files: DataFrame, good: str, bad: str, checkpoint: str):

@@ -16,7 +16,7 @@ from docloom.functions import text as T
 from docloom.operators import chunking, evaluation, registry, retrieval, segment
 from docloom.plans import queries as engine
 from docloom.sources.files import load_questions, read_files, route, validate, watch_files
-from docloom.streaming.batching import MicroBatcher, backoff, ingest, with_retries
+from docloom.streaming.batching import MicroBatcher, backoff, due, ingest
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -176,12 +176,17 @@ def test_micro_batcher_and_retries():
     held.add(1)
     now[0] = 2.0
     assert held.ready() and held.flush() == [1] and not held.ready()
-    calls, dead = [], []
-    with_retries(lambda: calls.append(1) or 1 / 0, dead.append, sleep=lambda s: None)
-    assert len(calls) == 6 and len(dead) == 1
     assert all(0 <= backoff(n) <= 60 for n in range(12))
 
 
+def test_due_times(spark):
+    """Full jitter under the ceiling of each retry, the same time for the same failure."""
+    rows = spark.range(2000).select(F.concat(F.lit("k"), "id").alias("k"), (F.col("id") % 8 + 1).cast("int").alias("attempts"))
+    got = rows.select("attempts", due(F.lit(100.0), F.col("attempts"), "k").alias("at"))
+    shares = [(r["at"] - 100) / min(60, 2 ** (r.attempts - 1)) for r in got.collect()]
+    assert all(0 <= s < 1 for s in shares) and 0.45 < sum(shares) / len(shares) < 0.55 and got.collect() == got.collect()
+
+
 def test_files_validate_route_and_stream(spark, tmp_path):
     box = tmp_path / "in"
     box.mkdir()

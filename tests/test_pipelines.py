@@ -13,28 +13,13 @@ from docloom.operators import indexing
 from docloom.plans.pipelines import Engine, evaluate, evaluation_report, health, measure_normalization, preview, report, write_json
 from docloom.sources import pdf
 from docloom.sources.files import from_records, read_files, read_texts, settled, to_records, validate, watch_files
-from docloom.sources.tables import KeyedLog
+from docloom.sources.tables import Tables
 from docloom.sources.topics import FolderTopic
 from docloom.streaming.batching import MicroBatcher, microbatches
 
 NOTES = "---\ntitle: Notes\nversion: 3\n---\n# Storage\n## Replication\nCopies may lag behind the primary. A failure can lose late writes.\n# Routing\nBalancers spread requests over servers. Health checks remove broken ones."
 
 
-def test_keyed_log(spark, tmp_path):
-    log = KeyedLog(spark, str(tmp_path / "log"), "k string, v bigint", "k")
-    rows = lambda *r: spark.createDataFrame(list(r), "k string, v bigint")
-    assert log.read().count() == 0
-    log.write(0, rows(("a", 1), ("b", 1), ("c", None)))
-    log.write(1, rows(("b", 2)), rows(("a", 0), ("b", 0), ("zz", 0)))
-    log.write(1, rows(("b", 3)), rows(("a", 0)))  # run again: replaces itself
-    want = {("b", 3), ("c", None)}
-    assert {tuple(r) for r in log.read().collect()} == want and log.read(before=1).count() == 3
-    log.compact()
-    assert {tuple(r) for r in log.read().collect()} == want
-    log.write(2, rows(("a", 9)))
-    assert {tuple(r) for r in log.read().collect()} == want | {("a", 9)} and {tuple(r) for r in log.read(before=2).collect()} == want
-
-
 def test_files_to_answers(spark, tmp_path):
     box = tmp_path / "in"
     box.mkdir()
@@ -92,28 +77,91 @@ def test_streams_guard_and_set_aside(spark, tmp_path):
     assert failing.stream(watch_files(spark, str(box)), str(tmp_path / "s2")).awaitTermination(240)
     assert [r.reason for r in spark.read.parquet(str(tmp_path / "failing/dead-documents")).collect()] == ["PDF could not be read: PDF has no pages"]
     assert failing.index.read().count() > 0
-    # what fails as a whole is tried again, then set aside with its reason
-    waits = []
-    broken = Engine(spark, str(tmp_path / "broken"), no_such_bound=1)
-    assert broken.stream(watch_files(spark, str(box)), str(tmp_path / "s3"), sleep=waits.append).awaitTermination(240)
-    assert len(waits) == 5 and spark.read.parquet(str(tmp_path / "broken/dead-batches")).count() == 2
+    # files of a batch that fails as a whole wait; after six tries in all they are dead, with the reason; nothing sleeps
+    now = [1000.0]
+    broken = Engine(spark, str(tmp_path / "broken"), clock=lambda: now[0], no_such_bound=1)
+    assert broken.stream(watch_files(spark, str(box)), str(tmp_path / "s3")).awaitTermination(240)
+    waiting = {r.doc_id: (r.attempts, r.due) for r in broken.tables.reader("files").read().collect()}
+    assert len(waiting) == 2 and all(n == 1 and 1000 <= due <= 1001 for n, due in waiting.values()) and broken.retry("early")["files"] in (0, 1, 2)
+    for n in range(2, 7):
+        now[0] += 61
+        assert broken.retry(f"again-{n}")["files"] == 2
+        waiting = broken.tables.reader("files").read().collect()
+        assert all(r.attempts == n and now[0] <= r.due <= now[0] + min(60, 2 ** (n - 1)) for r in waiting) and len(waiting) == (2 if n < 6 else 0)
+    dead = spark.read.parquet(str(tmp_path / "broken/dead-files")).collect()
+    assert len(dead) == 2 and all("no_such_bound" in r.reason for r in dead)
+    now[0] += 61
+    assert broken.retry("late")["files"] == 0
     parsed = Engine(spark, str(tmp_path / "parsed"), pdf_pages=lambda content: ["One page.", None])
     parsed.add_files(read_files(spark, str(box)), 0)
     assert any(r.text == "One page." for r in parsed.index.read().collect())
 
 
-def test_failed_embeddings_drop_their_own_chunks(spark, tmp_path):
+def test_failed_embeddings_drop_their_own_chunks(spark):
     def embed(texts):
         if any("w20x" in t for t in texts):
             raise ValueError("no vector\nfor this")
         return [[1.0, 2.0]] * len(texts)
 
     chunks = spark.createDataFrame([(f"d:{i}", "d", f"w{i}x", [], 1, "1", None, "u") for i in range(40)], indexing.PAYLOAD).coalesce(1).sortWithinPartitions(F.substring("chunk_id", 3, 9).cast("int"))
-    made = indexing.points(chunks, embed, 2, retries=2, sleep=lambda s: None).collect()
-    assert {r.chunk_id for r in made if r.dropped} == {f"d:{i}" for i in range(16, 32)} and {r.dropped for r in made} == {None, "embedding failed: no vector"}
+    made = indexing.points(chunks, embed, 2).collect()
+    assert {r.chunk_id for r in made if r.failed} == {f"d:{i}" for i in range(16, 32)} and {r.dropped for r in made} == {None, "embedding failed: no vector"}
     assert all((r.dense is None) == (r.dropped is not None) for r in made)
 
 
+def test_failed_embeddings_are_tried_again(spark, tmp_path):
+    """Six tries at full-jitter times, then the dead chunks; what works in between is indexed, what leaves its document is tried no more."""
+    now, marks = [0.0], tmp_path / "works"
+
+    def embed(texts):
+        if not marks.exists() and any("late" in t for t in texts) or any("never" in t for t in texts):
+            raise ValueError("down")
+        return [[float(len(t)), 1.0] for t in texts]
+
+    engine = Engine(spark, str(tmp_path / "engine"), embed=embed, dim=2, clock=lambda: now[0], least=1, most=50)
+    docs = lambda *found: spark.createDataFrame([(i, "u", "text/plain", t) for i, t in found], "doc_id string, source_uri string, mime_type string, text string").repartition(4, "doc_id")
+    # one document a call, for a call that fails fails for all of its chunks
+    for i, said in enumerate(["good words", "late words", "never words", "never gone"]):
+        done = engine.add_documents(docs((f"d{i}", said)), f"first-{i}")
+        assert (done["upserted"], done["waiting"], done["dropped"]) == ((1, 0, 0) if i == 0 else (0, 1, 0))
+    waiting = lambda: {r.parent_doc_id: (r.attempts, r.due) for r in engine.tables.reader("retries").read().collect()}
+    first = waiting()
+    assert set(first) == {"d1", "d2", "d3"} and all(n == 1 and 0 <= due <= 1 for n, due in first.values()) and len({due for _, due in first.values()}) == 3
+    assert {r.parent_doc_id for r in engine.index.read().collect()} == {"d0"} and engine.registry.read().count() == 4
+    engine.remove_documents(spark.createDataFrame([("d3",)], "doc_id string"), "gone")
+    marks.write_text("")
+    for n in range(2, 7):
+        now[0] += 61
+        engine.retry(f"again-{n}")
+        assert waiting().get("d2", (n, 0))[0] == n
+    assert waiting() == {} and {r.parent_doc_id for r in engine.index.read().collect()} == {"d0", "d1"}
+    dead = spark.read.parquet(str(tmp_path / "engine/dead-chunks")).collect()
+    assert [(r.parent_doc_id, r.dlq_reason) for r in dead] == [("d2", "embedding failed: down")]
+
+
+def test_a_commit_that_fails_leaves_registry_and_index_alike(spark, tmp_path, monkeypatch):
+    engine = Engine(spark, str(tmp_path / "engine"), least=1, most=50)
+    docs = lambda text: spark.createDataFrame([("a", "u", "text/plain", text)], "doc_id string, source_uri string, mime_type string, text string")
+    engine.add_documents(docs("One. Two."), 0)
+    chunks = lambda: (sorted(r.text for r in engine.index.read().collect()), sorted(r.version for r in engine.registry.read().collect()))
+    before = chunks()
+    write, calls = Tables._write, []
+
+    def failing(self, *args):
+        calls.append(1)
+        if len(calls) == 2:
+            raise OSError("lost")
+        return write(self, *args)
+
+    monkeypatch.setattr(Tables, "_write", failing)
+    with pytest.raises(OSError):
+        engine.add_documents(docs("Other."), 1)
+    assert chunks() == before
+    monkeypatch.undo()
+    engine.add_documents(docs("Other."), 1)
+    assert chunks() == (["Other."], [2])
+
+
 def test_chunks_through_a_topic(spark, tmp_path):
     topic = FolderTopic(spark, str(tmp_path / "topic"))
     engine = Engine(spark, str(tmp_path / "engine"), least=5, most=200, threshold=0.0)
@@ -129,20 +177,6 @@ def test_chunks_through_a_topic(spark, tmp_path):
     assert len(rows(engine)) == 2
 
 
-def test_keyed_log_owners_and_compaction(spark, tmp_path):
-    log = KeyedLog(spark, str(tmp_path / "log"), "k string, o string, v bigint", "k", "o", parts=4, every=3)
-    want = {}
-    for n in range(9):
-        rows = [(f"k{i}", f"o{i % 5}", n) for i in range(n, n + 6)]
-        log.write(n, spark.createDataFrame(rows, "k string, o string, v bigint"), spark.createDataFrame([(f"k{n - 1}", f"o{(n - 1) % 5}")], "k string, o string"))
-        want |= {k: (k, o, v) for k, o, v in rows}
-        want.pop(f"k{n - 1}", None)
-        assert {tuple(r) for r in log.read().collect()} == set(want.values())
-        some = spark.createDataFrame([("o1",), ("o1",), ("none",)], "o string")
-        assert {tuple(r) for r in log.read(owners=some).collect()} == {r for r in want.values() if r[1] == "o1"}
-    assert len(log._segments(None)) < 6 and len(list((tmp_path / "log").iterdir())) < 8
-
-
 def test_pdf_text_and_title(spark, tmp_path):
     page = zlib.compress(b"BT /F1 12 Tf 72 700 Td (Hello \\(PDF\\)) Tj 0 -14 Td [(wor) -20 (ld) -300 (two)] TJ ET")
     body = b"%PDF-1.4\n1 0 obj<</Type/Catalog/Pages 2 0 R>>endobj 2 0 obj<</Type/Pages/Kids[3 0 R 5 0 R]/Count 2>>endobj 3 0 obj<</Type/Page/Parent 2 0 R/Contents 4 0 R>>endobj "
