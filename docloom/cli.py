@@ -20,6 +20,7 @@ from docloom.operators import evaluation, indexing, retrieval
 from docloom.plans.pipelines import Engine, evaluate, evaluation_report, health, measure_normalization, preview, report, write_json
 from docloom.session import local_session, new_path
 from docloom.sources.files import load_questions, read_files, read_texts, route, settled, validate, watch_files
+from docloom.sources.settled import watch_settled
 from docloom.sources.topics import FolderTopic
 
 
@@ -62,7 +63,9 @@ def ingest(spark: SparkSession, args: argparse.Namespace) -> int:
         print(json.dumps(engine.add_files(read_files(spark, args.path), _next(engine)), sort_keys=True))
     else:
         trigger = {"availableNow": True} if args.once else {"processingTime": "2 seconds"}
-        engine.stream(watch_files(spark, args.path), f"{engine.path}/watched", **trigger).awaitTermination()
+        # files of a file system that is not mounted come by moves, which are atomic
+        files = watch_files(spark, args.path) if "://" in args.path else watch_settled(spark, args.path, args.settle_seconds)
+        engine.stream(files, f"{engine.path}/watched", **trigger).awaitTermination()
     return 0
 
 
@@ -178,6 +181,7 @@ def parser() -> argparse.ArgumentParser:
     one = command("ingest", ingest, **once)
     one.add_argument("action", choices=["process", "watch", "retry"])
     one.add_argument("path", nargs="?", help="folder of files; not used by retry")
+    one.add_argument("--settle-seconds", type=float, default=1.0, help="how long a watched file must have stayed as it is")
     command("chunk", chunk, "path", topic={"help": "folder of the topic that chunks go to"})
     command("embed", embed, "topic", **once)
     command("query", query, "question", top_k={"type": int, "default": retrieval.TOP_K}, model=models["model"])

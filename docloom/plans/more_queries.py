@@ -10,8 +10,10 @@ from docloom.operators import evaluation, registry, segment
 from docloom.plans import pipelines
 from docloom.session import new_path, table
 from docloom.sources.files import from_records, load_questions, to_records, validate
+from docloom.sources.settled import watch_settled
 from docloom.sources.topics import FolderTopic
 from docloom.streaming.batching import ingest
+from docloom.streaming.delivery import Deliveries
 
 
 def _pick(key: str, choices: list[Column | str]) -> Column:
@@ -197,6 +199,34 @@ def watched_pages(spark: SparkSession, sf: str) -> DataFrame:
     return taken.unionByName(turned).drop("batch")
 
 
+def settled_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The same files by the source that waits until a file has settled, stopped and started again: each is taken once."""
+    pages = table(spark, sf, "pages")
+    box, out, state = (new_path(spark, n) for n in ("settled-box", "settled-out", "settled-state"))
+    body = F.regexp_replace("html", r"[\r\n]+", " ")
+    named = pages.select(body.alias("value"), F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("name"), (F.col("page_id") % 2).alias("half"))
+    for half in range(2):
+        named.where(F.col("half") == half).drop("half").repartition("name").write.partitionBy("name").text(f"{box}/half={half}")
+        files = watch_settled(spark, box, 0.0)
+        told = files.select(F.regexp_extract("path", "name=(p[0-9]+)/", 1).alias("name"), F.sha2("content", 256).alias("sha256"), "length")
+        told.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema("name string, sha256 string, length bigint").parquet(out)
+
+
+def deliveries(spark: SparkSession, sf: str) -> DataFrame:
+    """Events sent to a topic in four batches, of which one fails on its first try and one on all: what was sent and what was not."""
+    events, topic = table(spark, sf, "events").select("event_id", "event_type"), FolderTopic(spark, new_path(spark, "delivered"))
+    sent = Deliveries(spark, new_path(spark, "deliveries"))
+    records = lambda n: to_records(events.where(F.col("event_id") % 4 == n), "event_id")
+    full = lambda df: df.select(F.raise_error(F.concat(F.lit("no room for "), "key")).cast("string").alias("value")).write.mode("overwrite").text(new_path(spark, "full"))
+    for n, write in ((0, None), (1, full), (1, None), (2, full), (3, None)):
+        try:
+            sent.send(records(n), n, write or (lambda df, n=n: topic.write(df, n)))
+        except Exception:  # noted by the deliveries
+            continue
+    return sent.read().select("batch", "sent", "undelivered", F.col("reason").isNotNull().alias("failed"))
+
+
 def preview_chunks(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text", F.array("source", F.lit(""), "lang").alias("hierarchical_context"), F.col("n_chars").alias("token_count"))
     return pipelines.preview(docs, width=40)
@@ -231,7 +261,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         page_markers, front_metadata, head_metadata, markdown_headings, html_headings, stale_chunks, index_sync, reregister, dead_points, eval_totals, gate_verdicts, answered_cases, question_set,
-        chunk_topic, watched_pages, preview_chunks, pdf_and_utf8, search_engine,
+        chunk_topic, watched_pages, settled_pages, deliveries, preview_chunks, pdf_and_utf8, search_engine,
     )
 }
 
@@ -298,6 +328,8 @@ FROM m GROUP BY item_id""",
 WITH f AS (SELECT '/box/p' || page_id || CASE page_id % 3 WHEN 0 THEN '.html' WHEN 1 THEN '.md' ELSE '.exe' END AS path, page_id FROM pages)
 SELECT path, CASE page_id % 3 WHEN 0 THEN 'text/html' WHEN 1 THEN 'text/markdown' END AS mime_type, page_id % 3 <> 2 AND page_id % 6 <> 1 AS ok,
   CASE WHEN page_id % 3 = 2 THEN 'unsupported extension ''.exe''' WHEN page_id % 6 = 1 THEN 'document is empty' END AS reason FROM f""",
+        "settled_pages": r"""SELECT 'p' || page_id AS name, sha256(regexp_replace(html, '[\r\n]+', ' ', 'g') || chr(10)) AS sha256, (octet_length(encode(regexp_replace(html, '[\r\n]+', ' ', 'g'))) + 1)::BIGINT AS length FROM pages""",
+        "deliveries": "SELECT (event_id % 4)::VARCHAR AS batch, CASE WHEN event_id % 4 = 2 THEN 0 ELSE count(*) END AS sent, CASE WHEN event_id % 4 = 2 THEN count(*) ELSE 0 END AS undelivered, event_id % 4 = 2 AS failed FROM events GROUP BY event_id % 4",
         "preview_chunks": r"""
 WITH f AS (SELECT *, regexp_replace(text, '\s+', ' ', 'g') AS flat FROM documents)
 SELECT doc_id::VARCHAR AS chunk_id, source || ' > ' || lang AS section, n_chars AS token_count, CASE WHEN length(flat) > 40 THEN flat[1:40] || '…' ELSE flat END AS preview FROM f""",

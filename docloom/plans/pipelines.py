@@ -23,6 +23,7 @@ from docloom.sources.files import from_records, read_files, read_texts, route, t
 from docloom.sources.tables import Keyed, Tables
 from docloom.sources.topics import Topic
 from docloom.streaming.batching import RETRIES, scheduled
+from docloom.streaming.delivery import Deliveries
 
 LINEAGE = "doc_id string, chunk_id string, version bigint"
 #: Of what is to be tried again: how often it has failed, when its next try is due (epoch seconds) and why it failed.
@@ -50,6 +51,7 @@ class Engine:
         kinds = {"registry": Keyed(LINEAGE, "chunk_id", "doc_id"), "index": Keyed(indexing.POINT, "chunk_id", "parent_doc_id"), "retries": Keyed(f"{indexing.PAYLOAD}, {WAITING}", "chunk_id", "parent_doc_id"), "files": Keyed(f"doc_id string, source_uri string, {WAITING}", "doc_id")}
         self.tables = Tables(spark, f"{self.path}/tables", kinds)
         self.registry, self.index = self.tables.reader("registry"), self.tables.reader("index")
+        self.deliveries = Deliveries(spark, f"{self.path}/deliveries")
         self._turn = threading.RLock()
 
     def _dead(self, rows: DataFrame, kind: str, batch: str | int) -> None:
@@ -136,7 +138,8 @@ class Engine:
             chunks, changes = self._chunked(docs, batch)
             gone = changes.where("action = 'delete'").select(F.concat_ws("\n", "doc_id", "chunk_id").alias("key"), F.lit(None).cast("string").alias("value"))
             named = chunks.withColumn("key_", F.concat_ws("\n", "parent_doc_id", "chunk_id"))
-            topic.write(to_records(named, "key_").unionByName(gone), self.tables.view(batch).version)
+            version = self.tables.view(batch).version
+            self.deliveries.send(to_records(named, "key_").unionByName(gone), batch, lambda records: topic.write(records, version))
             self.tables.commit(batch, {"registry": (changes.where("action <> 'delete'"), changes.where("action = 'delete'"))})
 
     def embed_records(self, records: DataFrame, batch: str | int) -> dict:

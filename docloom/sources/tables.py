@@ -167,8 +167,10 @@ class Tables:
                 names = list(dict.fromkeys([kind.key, kind.dealt]))
                 gone = gone.select(*names).dropDuplicates([kind.key]).join(put.select(kind.key), kind.key, "left_anti")
                 rows = rows.unionByName(gone.withColumn("deleted", F.lit(True)), allowMissingColumns=True)
-            made = self._write(table, rows.withColumn("seq", F.lit(version).cast("bigint")), rows.count(), (version, version), str(batch))
-            now.setdefault(table, []).append(made)
+            n = rows.count()
+            if n:
+                made = self._write(table, rows.withColumn("seq", F.lit(version).cast("bigint")), n, (version, version), str(batch))
+                now.setdefault(table, []).append(made)
         told = {"batch": str(batch), "segments": _told(now), "before": _told(before)}
         write_once(self.spark, f"{self.path}/versions/{version:012d}.json", json.dumps(told))
         self.vacuum()

@@ -60,9 +60,6 @@ def test_topic_commands_and_demo(spark, box, capsys):
 
 
 def test_health_says_what_is_down(spark, box, capsys):
-    (box / "broken").mkdir()
-    (box / "broken/index").mkdir()
-    (box / "broken/index/batch-0").mkdir()
-    (box / "broken/index/batch-0/_SUCCESS").write_text("")
-    (box / "broken/index/batch-0/part-0.parquet").write_text("no parquet")
+    (box / "broken/tables/versions").mkdir(parents=True)
+    (box / "broken/tables/versions/000000000001.json").write_text("no json")
     assert main(["health", "--engine", str(box / "broken")]) == 1 and "down" in capsys.readouterr().out
