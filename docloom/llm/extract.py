@@ -3,13 +3,16 @@
 Every page's containers are scored by the running text that stands in them, less what is linked; the best container's
 generalised path (tags with their classes, digits taken out), widened to the article or main element around it, is the
 page's vote. Votes are summed per host and path in Spark, by partial aggregation, so a hot host costs no more than
-others; each page is then extracted again under its host's winning path, or, where that does not hold most of the page's
-own best container (another template of the host, say), under its own best one.
+others; each page is then extracted again under its host's winning path, where it has that path with text in it, or else under its own best one.
 
 Elements leave the text by what they are (menus, forms, scripts, hidden ones), or by a class or id that as a whole names
 comments, adverts, menus and the like (`ad-slot`, not `share-price`). A name that only hints at a notice or a list of links
 (`notice`, `header`, `related`) takes an element out only where links make up half of it, or where the host votes so:
-the path's texts repeat over pages of different text. No name takes out an element that holds the article, main or h1.
+the path's texts repeat over pages of different text. No name takes out an element that holds the article, main or a h1 with its text, and
+a form, dialog, aside or button stays where it holds most of a page's running text.
+
+Reader comments go by their structure: siblings of one path that each show a date and an author, or a way to reply, beside other text, and
+article elements inside the article. A host's pages vote for such paths too, so that a page's only comment goes where others have several.
 """
 
 from __future__ import annotations
@@ -28,31 +31,39 @@ from docloom.session import small, store
 # Element kinds.
 BLOCKS = frozenset("address article aside blockquote body button center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("nav footer aside form button select textarea menu dialog head iframe object svg canvas noscript template".split())
+SPARED = frozenset("form dialog aside button".split())
+DROPPED = frozenset("nav footer select textarea menu head iframe object svg canvas noscript template".split())
 HOLDERS = frozenset("article main section div td body blockquote center".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 #: Elements whose content is no markup.
 RAW = frozenset("script style title textarea iframe xmp noframes".split())
 #: A class or id of these words alone (and PLAIN ones) names what is no part of an article.
-HARD = frozenset("nav navbar navigation menu menubar sidebar footer masthead topbar ad ads adv advert adverts advertisement advertisements adsbygoogle promo promotion sponsor sponsored commercial comment comments commentlist respond disqus cookie cookies consent gdpr newsletter subscribe subscription signup popup modal overlay breadcrumb breadcrumbs crumbs pagination pager login toolbar".split())
+HARD = frozenset("nav navbar navigation menu menubar sidebar footer masthead topbar ad ads adv advert adverts advertisement advertisements adsbygoogle promo promotion sponsor sponsored comment comments commentlist respond disqus cookie cookies consent gdpr newsletter subscribe subscription signup popup modal overlay breadcrumb breadcrumbs crumbs pagination pager login toolbar".split())
 #: These only hint at it.
-SOFT = frozenset("header banner side rail foot notice notices notification notifications alert alerts warning warnings message share sharing social related recommended recommendations search form widget widgets legal copyright disclaimer tags toc replies reply discussion skip author".split())
-PLAIN = frozenset("area bar block body bottom box button buttons col column container content entry group holder inner item items left link links list main module outer page panel right row section site slot strip text thread top unit wrap wrapper global primary secondary".split())
+SOFT = frozenset("commercial header banner side rail foot notice notices notification notifications alert alerts warning warnings message share sharing social related recommended recommendations search form widget widgets legal copyright disclaimer tags toc replies reply discussion skip author".split())
+#: Of the names that take an element out, those of lists of links: running text stays in spite of them.
+LINKS = frozenset("nav navbar navigation menu menubar topbar breadcrumb breadcrumbs crumbs pagination pager toolbar".split())
+#: Classes, and relations of links, that mark who wrote something, when, and where to reply.
+AUTHOR, DATE, REPLY = (frozenset(w.split()) for w in ("author byline user username avatar vcard nickname commenter poster", "date time timestamp posted published when ago", "reply replies respond quote report"))
+SIGNED, REPLIES = 3, 4
+PLAIN = frozenset("user reader readers visitor area bar block body bottom box button buttons col column container content entry group holder inner item items left link links list main module outer page panel right row section site slot strip text thread top unit wrap wrapper global primary secondary".split())
 #: Elements that a start tag of these kinds ends when they are open.
 ENDS = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
 WIDE = ("article", "main")
 
-#: The host's path goes on a page where it holds at least so much of the running text of the page's own best container.
-COVER = 0.8
+#: Running text from which on a h1 is that of an article, a list of links is none, and what stands beside comments is no list itself.
+RUNNING = 140
 #: A hinted path is voted out where its texts repeat so: at least so many pages of different text, and at most this share of
 #: different texts among them.
 PAGES, DISTINCT = 3, 0.5
+#: Pages of different text on which a host's path must show comments, to take it out on the others.
+THREADS = 2
 
-KEPT, ALWAYS, NAMED, HINTED = range(4)
+KEPT, ALWAYS, NAMED, HINTED, SPARE, LISTED = range(6)
 _ATTR = re.compile(r"""([^\s"'<>/=][^\s<>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>]+)))?""")
 _NAME = re.compile(r"[a-zA-Z][\w:-]*")
 _STOP = re.compile(r"[>\"']")
-_kinds: dict[tuple[str, str], tuple[str, int]] = {}
+_kinds: dict[tuple[str, str], tuple[str, int, int]] = {}
 
 
 def _says(name: str) -> int:
@@ -61,12 +72,12 @@ def _says(name: str) -> int:
     if not parts or any(x not in HARD and x not in SOFT and x not in PLAIN for x in parts):
         return KEPT
     if any(x in HARD for x in parts):
-        return NAMED
+        return LISTED if all(x in LINKS or x not in HARD for x in parts) else NAMED
     return HINTED if any(x in SOFT for x in parts) else KEPT
 
 
-def _kind(tag: str, attrs: str) -> tuple[str, int]:
-    """Generalised name of an element (its tag with its classes), and why it may hold no article."""
+def _kind(tag: str, attrs: str) -> tuple[str, int, int]:
+    """Generalised name of an element (its tag with its classes), why it may hold no article, and what it marks (bits of author and date, SIGNED, and REPLIES)."""
     known = _kinds.get((tag, attrs))
     if known is not None:
         return known
@@ -75,15 +86,23 @@ def _kind(tag: str, attrs: str) -> tuple[str, int]:
         found.setdefault(m[0].lower(), m[1] or m[2] or m[3])
     classes = unescape(found.get("class", "")).split()
     kind = KEPT
-    hidden = "hidden" in found or re.search(r"(?:^|;)\s*display\s*:\s*none", found.get("style", ""), re.I)
+    hidden = "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true" or re.search(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", found.get("style", ""), re.I)
     if tag in DROPPED or hidden or set(found.get("role", "").lower().split()) & ROLES:
         kind = ALWAYS
+    elif tag in SPARED:
+        kind = SPARE
+    elif tag == "header" and any(_says(n) == HINTED and re.match("(?i)site|global|page|top", n) for n in classes):
+        kind = ALWAYS
     elif tag not in ("article", "main", "body", "html", "h1", "h2", "h3", "h4", "h5", "h6"):
         said = {_says(n) for n in (*classes, *found.get("id", "").split())}
-        kind = NAMED if NAMED in said else HINTED if HINTED in said else KEPT
+        kind = next((k for k in (NAMED, LISTED, HINTED) if k in said), KEPT)
+        if tag in ("td", "th", "tr") and kind != KEPT:
+            kind = HINTED  # a column's name tells of its content
     elif tag == "article" and any(_says(n) == NAMED for n in classes):
         kind = NAMED
-    known = ".".join([tag, *sorted({re.sub(r"\d+", "#", n.lower()).replace("/", "_") for n in classes})]), kind
+    words = {w.lower() for n in (*classes, *found.get("rel", "").split(), *found.get("itemprop", "").split()) for w in re.split(r"[-_\d]+|(?<=[a-z])(?=[A-Z])", n)}
+    marks = sum(1 << i for i, kinds in enumerate((AUTHOR, DATE, REPLY)) if words & kinds) | (2 if tag == "time" else 0)
+    known = ".".join([tag, *sorted({re.sub(r"\d+", "#", n.lower()).replace("/", "_") for n in classes})]), kind, marks
     if len(attrs) < 1000:
         if len(_kinds) > 100_000:
             _kinds.clear()
@@ -102,6 +121,7 @@ class Page:
         self.steps: list[tuple[int, str]] = [(-1, "")]
         self.known: dict[tuple[int, str], int] = {}
         self.blocks: list[tuple[str, int, int]] = []
+        self.marks = [0]
         self._stack, self._open, self._held = [0], {}, []
         self._linked = self._skip = self._link = 0
         self._scan(html or "")
@@ -150,7 +170,8 @@ class Page:
             elif tag == "hr":
                 self._flush()
             return
-        name, kind = _kind(tag, attrs)
+        name, kind, marks = _kind(tag, attrs)
+        self.marks[self._stack[-1]] |= 0 if block else marks
         if block:
             self._flush()
             if tag == "header" and not kind and not any(self._open.get(w) for w in WIDE):
@@ -175,6 +196,7 @@ class Page:
         self._stack.append(len(self.tags))
         self.tags.append(tag)
         self.kinds.append(kind)
+        self.marks.append(marks)
         self.parents.append(parent)
         self.paths.append(self.known[step])
         self._open[tag] = self._open.get(tag, 0) + 1
@@ -216,6 +238,7 @@ class Page:
                     at = i + 1
                 continue
             tag, j = named[0].lower(), named.end()
+            behind = j
             while True:
                 stop = _STOP.search(html, j)
                 if stop is None:
@@ -227,11 +250,11 @@ class Page:
                 if stop[0] == ">":
                     break
                 close = -1
-                # a quote opens a value only behind an equals sign
-                if quotes[stop[0]] and html[max(named.end(), j - 200) : j].rstrip()[-1:] == "=":
+                # a quote opens a value only behind an equals sign, which no quote stands before
+                if quotes[stop[0]] and html[behind:j].rstrip()[-1:] == "=":
                     close = html.find(stop[0], j + 1)
                     quotes[stop[0]] = close >= 0
-                j = (close if close >= 0 else j) + 1
+                behind = j = (close if close >= 0 else j) + 1
             attrs, at = html[named.end() : j], j + 1
             if ends:
                 self._end_tag(tag)
@@ -261,30 +284,85 @@ class Page:
                 return None
         return at
 
-    def dropped(self, voted: Iterable[int] = ()) -> list[bool]:
-        """Of each element, whether it or one around it goes. voted: digests of the hinted paths that the host votes out."""
+    def _sums(self, gone: list[bool] | None = None) -> tuple[list[int], list[int]]:
+        """Characters of each element, and those of running text (not linked) among them, without what is gone."""
+        chars, running = [0] * len(self.tags), [0] * len(self.tags)
+        for text, linked, e in self.blocks:
+            if not gone or not gone[e]:
+                chars[e] += len(text)
+                running[e] += len(text) - linked
+        for e in range(len(self.tags) - 1, 0, -1):
+            chars[self.parents[e]] += chars[e]
+            running[self.parents[e]] += running[e]
+        return chars, running
+
+    def _by_kind(self, hinted: set[int]) -> list[bool]:
+        """Of each element, whether its own kind or that of one around it takes it out. hinted: digests of the hinted paths that the host votes out."""
         n = len(self.tags)
-        holds, chars, linked = [False] * n, [0] * n, [0] * n
-        for text, own, e in self.blocks:
-            chars[e] += len(text)
-            linked[e] += own
+        heads, wide, out = [False] * n, [0] * n, [False] * n
+        chars, running = self._sums()
         for e in range(n - 1, 0, -1):
-            if self.tags[e] in ("article", "main", "h1") and self.kinds[e] in (KEPT, HINTED):
-                holds[e] = True
-            p = self.parents[e]
-            holds[p] = holds[p] or holds[e]
-            chars[p] += chars[e]
-            linked[p] += linked[e]
-        voted, out = set(voted), [False] * n
-        digests = self.digests() if voted else []
+            kept, p = self.kinds[e] in (KEPT, HINTED), self.parents[e]
+            heads[e] = heads[e] or self.tags[e] == "h1" and kept
+            wide[e] += self.tags[e] in WIDE and kept
+            heads[p] = heads[p] or heads[e]
+            wide[p] += wide[e]
+        digests = self.digests() if hinted else []
         for e in range(1, n):
-            kind = self.kinds[e]
-            own = kind == ALWAYS or kind == NAMED and not holds[e]
-            if kind == HINTED and not holds[e]:
-                own = 2 * linked[e] >= chars[e] > 0 or bool(voted) and digests[self.paths[e]] in voted
+            kind, own = self.kinds[e], False
+            holds = wide[e] > 0 or heads[e] and running[e] >= RUNNING
+            if kind == ALWAYS:
+                own = True
+            elif kind == SPARE:
+                # what a page is all about is in no frame around nothing: a site may wrap its pages so
+                own = not running[e] or 2 * running[e] < running[0] or wide[e] < wide[0]
+            elif kind == NAMED:
+                own = not holds
+            elif kind == LISTED:
+                own = not holds and (running[e] < RUNNING or 3 * running[e] < 2 * chars[e])
+            elif kind == HINTED and not holds:
+                own = 2 * running[e] <= chars[e] and chars[e] > 0 or bool(hinted) and digests[self.paths[e]] in hinted
             out[e] = own or out[self.parents[e]]
         return out
 
+    def threads(self, gone: list[bool]) -> set[int]:
+        """Paths of comments, in what is not gone: of siblings that each show an author and a date or a way to reply (articles: a way to reply), where as
+        much running text as a short paragraph stands outside of them; and of article elements inside an article with so much text of its own."""
+        n = len(self.tags)
+        _, running = self._sums(gone)
+        marks, nested, around = self.marks[:], [0] * n, [0] * n  # around: the article around an element
+        for e in range(1, n):
+            p = self.parents[e]
+            around[e] = p if self.tags[p] == "article" else around[p]
+        siblings: dict[tuple[int, int], list[int]] = {}
+        for e in range(n - 1, 0, -1):
+            if gone[e]:
+                continue
+            p, article = self.parents[e], self.tags[e] == "article"
+            if article and around[e]:
+                nested[around[e]] += running[e]
+            elif running[e] and self.tags[e] in BLOCKS and (marks[e] & REPLIES or not article and marks[e] & SIGNED == SIGNED):
+                siblings.setdefault((p, self.paths[e]), []).append(e)
+            marks[p] |= marks[e]
+        out = {path for (_, path), found in siblings.items() if len(found) > 1 and running[0] - sum(running[e] for e in found) >= RUNNING}
+        return out | {self.paths[e] for e in range(1, n) if self.tags[e] == "article" and around[e] and not gone[e] and running[around[e]] - nested[around[e]] >= RUNNING}
+
+    def dropped(self, voted: Iterable[int] = ()) -> list[bool]:
+        """Of each element, whether it or one around it goes. voted: digests of the paths of notices and of comments that the host votes out."""
+        votes = set(voted)
+        out = self._by_kind(votes)
+        paths, n = self.threads(out), len(self.tags)
+        _, running = self._sums(out)
+        if votes:
+            digests = self.digests()
+            found = [e for e in range(1, n) if self.kinds[e] == KEPT and not out[e] and digests[self.paths[e]] in votes]
+            # a path of comments that is all of another page is its text
+            if running[0] - sum(running[e] for e in found) >= RUNNING:
+                paths |= {self.paths[e] for e in found}
+        for e in range(1, n):
+            out[e] = out[e] or self.paths[e] in paths or out[self.parents[e]]
+        return out
+
     def digests(self) -> list[int]:
         """A 64-bit hash of each path."""
         out = [0]
@@ -332,22 +410,25 @@ class Page:
         return out
 
     def main_text(self, winner: str | None = None, voted: Iterable[int] = ()) -> str:
-        """The kept blocks under the winning path, or under the page's own best where the winning one does not hold most of that."""
+        """The kept blocks under the winning path, or, where the page has no running text there, under its own best."""
         dropped = self.dropped(voted)
         kept = [b for b in self.blocks if not dropped[b[2]]]
         best = self.best(dropped)
         if best is None:
             return "\n".join(text for text, _, _ in kept)  # no holder at all: bare blocks
-        inside = self.under(best)
         host = self.number(winner) if winner else None
         if host is not None and host != best:
             theirs = self.under(host)
-            # a text of links alone is worth nothing, but still tells where the container is
-            parts = [(_worth(text, linked) + 1e-6 * len(text), theirs[e]) for text, linked, e in kept if inside[e]]
-            if sum(w for w, held in parts if held) >= COVER * sum(w for w, _ in parts):
-                inside = theirs
+            if any(theirs[e] and linked < len(text) for text, linked, e in kept):
+                return "\n".join(text for text, _, e in kept if theirs[e])
+        inside = self.under(best)
         return "\n".join(text for text, _, e in kept if inside[e])
 
+    def thread_digests(self) -> list[int]:
+        found = self.threads(self._by_kind(set()))
+        digests = self.digests() if found else []
+        return [digests[p] for p in sorted(found)]
+
     def hints(self, dropped: list[bool]) -> list[tuple[int, int]]:
         """(path, text) digests of the hinted elements that are still kept."""
         some = {e for e in range(1, len(self.tags)) if self.kinds[e] == HINTED and not dropped[e]}
@@ -392,10 +473,11 @@ def host_paths(pages: DataFrame) -> DataFrame:
                 if best is None:
                     continue
                 rows.append((host, page.path(best), None, None, None))
-                hints = page.hints(dropped)
-                if hints:
+                hints, threads = page.hints(dropped), page.thread_digests()
+                if hints or threads:
                     own = _digest(page.main_text())
                     rows += [(host, None, path, said, own) for path, said in hints]
+                    rows += [(host, None, path, None, own) for path in threads]
             kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
@@ -404,9 +486,11 @@ def host_paths(pages: DataFrame) -> DataFrame:
     sums = votes.where("path IS NOT NULL").groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"))
     won = sums.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("votes"), "path")).alias("w"))
     # a text counts once for all pages that are copies of each other
-    texts = votes.where("hint IS NOT NULL").groupBy("host", "hint", "said", "page").agg(F.lit(1).alias("n")).groupBy("host", "hint", "said").agg(F.sum("n").alias("n"))
+    texts = votes.where("hint IS NOT NULL AND said IS NOT NULL").groupBy("host", "hint", "said", "page").agg(F.lit(1).alias("n")).groupBy("host", "hint", "said").agg(F.sum("n").alias("n"))
     hints = texts.groupBy("host", "hint").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d")).where((F.col("n") >= PAGES) & (F.col("d") <= F.col("n") * DISTINCT))
-    out = hints.groupBy("host").agg(F.sort_array(F.collect_list("hint")).alias("voted"))
+    # pages of different text that show comments under a path
+    threads = votes.where("hint IS NOT NULL AND said IS NULL").groupBy("host", "hint", "page").agg(F.lit(1).alias("n")).groupBy("host", "hint").agg(F.sum("n").alias("n")).where(F.col("n") >= THREADS)
+    out = hints.select("host", "hint").unionByName(threads.select("host", "hint")).distinct().groupBy("host").agg(F.sort_array(F.collect_list("hint")).alias("voted"))
     return won.join(out, "host", "left").select("host", F.col("w.path").alias("path"), (-F.col("w.votes")).alias("votes"), "voted")
 
 

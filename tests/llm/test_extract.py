@@ -1,5 +1,6 @@
 """HTML extraction against a plain reader of article elements, and case by case."""
 
+import random
 import time
 from html.parser import HTMLParser
 
@@ -102,3 +103,61 @@ def test_broken_markup_takes_linear_time(piece):
     began = time.process_time()
     Page(piece * 50_000).main_text()
     assert time.process_time() - began < 5
+
+
+TEXT = "Running text, of some length, that goes on. " * 5
+SAID = "A comment, with its own words, that is as long as any text here. " * 9
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f"<body><form action=x><div class=page>{BODY}<input><select><option>No</select><button>Go</button></div></form></body>",
+        f"<body><dialog open>{BODY}</dialog><nav><a href=x>No</a></nav></body>",
+        f"<article>{BODY}<section><article><p>{SAID}</article><article><p>{SAID}</article></section></article>",
+        f"<article>{BODY}<article><p>{SAID}</p></article></article>",
+        f"<body><div class=story>{BODY}</div><div class=talk>" + f"<div class=post><span class=author>Ann</span><time>1 May</time><p>{SAID}</div>" * 4 + "</div>",
+        f"<body><div class=story>{BODY}</div><section>" + f"<article><p>{SAID}<a href=x class=reply-link>Reply</a></article>" * 3 + "</section>",
+        f'<article><p title={" " * 300}"b>x">{TEXT}</article>',
+        f"<body><div class=masthead><h1>Site</h1><p>Since 1990</div><header class=site-header>Site</header><div class=story>{BODY}</div>",
+        f"<article>{BODY}<div aria-hidden=true><p>{TEXT}</div><div style='visibility: hidden'><p>{TEXT}</div><div class=user-comments><p>{SAID}</div></article>",
+    ],
+)
+def test_frames_comments_and_hidden_parts(html):
+    assert Page(html).main_text() == TEXT.strip()
+
+
+@pytest.mark.parametrize("part", ["<div class=commercial>Kept</div>", f"<div class=content-navigation><p>Kept {TEXT}</div>", "<table><tr><td class=login>Kept</td></tr></table>", "<div class=entry><time>1 May</time><p>Kept</div>"])
+def test_parts_of_an_article_stay_in_spite_of_names(part):
+    assert "Kept" in Page(f"<article>{BODY}{part}</article>").main_text()
+
+
+def test_lists_of_posts_are_no_comments():
+    post = f"<article><span class=author>Ann</span><time>1 May</time>{BODY}</article>"
+    assert Page(f"<body><div><p>{TEXT}</p>{post * 3}</div>").main_text().count(TEXT.strip()) >= 3
+    entry = f"<div class=entry><span class=author>Ann</span><time>1 May</time>{BODY}</div>"
+    assert Page(f"<body><main>{entry * 3}</main>").main_text().count(TEXT.strip()) == 3
+
+
+def made_page(host, n):
+    """(html, article) of a made page: ten hosts, two templates each, with menus, notices, comments of any number and forms around all."""
+    rng = random.Random(f"{host}/{n}")
+    say = lambda least: " ".join(f"{rng.choice('abcdefgh')}word{rng.randrange(900)}," for _ in range(rng.randrange(least, 3 * least)))
+    paragraphs = [say(40) for _ in range(rng.randrange(2, 6))]
+    second = rng.random() < 0.3 and host % 3 == 0
+    inner = "".join(f"<p>{p}</p>" for p in paragraphs)
+    story = {0: f"<article><h1>Title {n}</h1>{inner}</article>", 1: f"<div class='story s{n}'><h1>Title {n}</h1>{inner}</div>", 2: f"<div id=x><section class=txt><h1>Title {n}</h1>{inner}</section></div>", 3: f"<main><h1>Title {n}</h1>{inner}</main>"}[(host + second) % 4]
+    one = {0: "<li class=c><b class=user>u</b> <time>now</time><p>{}</p></li>", 1: "<div class=talk><span class=byline>u</span><span class=when>now</span><p>{}</p></div>", 2: "<div class=msg><p>{}</p><a class=reply href=x>Reply</a></div>"}[host % 3]
+    comments = "".join(one.format(say(30)) for _ in range(rng.choice([0, 1, 2, 5, 12])))
+    menu = "<div class=top-menu><a href=1>Home</a> <a href=2>News</a></div><nav><ul><li><a href=3>More</a></ul></nav>"
+    body = f"<header>Site {host}</header>{menu}{story}<div class=lower>{comments}</div><div class=notice>Host {host} has a notice for all.</div><footer>End of {host}</footer>"
+    return f"<html><body>{f'<form method=post>{body}<button>Send</button></form>' if host % 5 == 4 else body}</body></html>", "\n".join([f"Title {n}", *paragraphs])
+
+
+def test_made_pages_of_ten_hosts(spark):
+    """Scoring, votes and extraction again give the article that each page was made of."""
+    made = {(h, n): made_page(h, n) for h in range(10) for n in range(30)}
+    rows = [(100 * h + n, f"http://h{h}.x/{n}", html) for (h, n), (html, _) in made.items()]
+    got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    wrong = [k for k, (_, text) in made.items() if got[100 * k[0] + k[1]] != text]
+    assert wrong == []
