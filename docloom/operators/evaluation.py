@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import strict_sum
@@ -34,6 +34,11 @@ class GateMissed(SystemExit):
     """A metric below its gate."""
 
 
+def passes(value: Column, least: Column) -> Column:
+    """Whether a metric reaches its gate; one without a value does not."""
+    return F.coalesce(value >= least, F.lit(False))
+
+
 def gate(value: float, least: float, name: str = "retrieval_hit") -> None:
     if value < least:
         raise GateMissed(f"{name} {value:.4f} is below {least:.4f}")

@@ -52,7 +52,7 @@ class PerWorker:
 
 def points(chunks: DataFrame, embed: Callable = hashed_vectors, dim: int = 384, size: int = SIZE) -> DataFrame:
     """Index points of normalized payloads, with `dropped` as a reason where there is no dense vector of the right length, and `failed` where the
-    embedder raised: that may go well another time.
+    embedder raised: that may go well another time. raw_text is the text as it came, of those without a point alone.
 
     Dense and sparse vectors come from one pass over a batch, so they are columns of the chunk's own row. Chunks are embedded
     `size` at a time; a call that fails leaves those chunks alone without vectors. Nothing waits in a task.
@@ -73,4 +73,5 @@ def points(chunks: DataFrame, embed: Callable = hashed_vectors, dim: int = 384,
     run = pandas_udf(vectors, "dense array<double>, indices array<int>, values array<double>, failed string")
     flat = chunks.withColumn("raw_text", F.col("text")).withColumn("text", F.coalesce(normalize_text(F.col("text")), F.lit("")))
     made = flat.withColumn("v", run("text")).select("*", "v.*").drop("v").withColumn("point_id", uuid5(F.col("chunk_id")))
-    return dim_guard(made, dim, "dense").withColumn("dropped", F.coalesce("failed", "dropped"))
+    told = dim_guard(made, dim, "dense").withColumn("dropped", F.coalesce("failed", "dropped"))
+    return told.withColumn("raw_text", F.when(F.col("dropped").isNotNull(), F.col("raw_text")))

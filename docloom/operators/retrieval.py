@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -282,3 +283,29 @@ def judge_prompt(question: str, reference: str, blocks: list[dict], said: str) -
     criteria = "faithfulness (is the answer borne out by the context?), answer_relevance (does it meet the question?) and context_precision (how much of the context is of use?)"
     parts = {"Question": question, "Reference answer": reference, "Context": "\n\n".join(b["text"] for b in blocks), "Answer": said}
     return f"Rate a retrieval-based answer by {criteria}, each from 0 to 1. Reply with one JSON object of these three keys.\n\n" + "\n".join(f"{k}: {v}" for k, v in parts.items())
+
+
+def read_scores(said: str) -> dict[str, float]:
+    """The first JSON object of a judge's text as three numbers from 0 to 1, as text.judge_scores reads it; an error if there is none such."""
+    names = ["faithfulness", "answer_relevance", "context_precision"]
+    try:
+        found, _ = json.JSONDecoder().raw_decode(said[said.index("{") :])
+        scores = {n: found[n] for n in names}
+    except (ValueError, KeyError, TypeError, AttributeError):
+        scores = {}
+    if len(scores) < 3 or any(isinstance(v, bool) or not isinstance(v, (int, float)) or not 0 <= v <= 1 for v in scores.values()):
+        raise ValueError(f"not a judge's scores: {said}")
+    return {n: float(v) for n, v in scores.items()}
+
+
+def text_judge(ask: Callable[[str], dict]) -> Callable[[dict, list[dict], dict], dict]:
+    """A judge for evaluate() from a text model: ask(prompt) gives {"text": ..., and input_tokens, output_tokens, cost_usd where known}. An answer without
+    context is not judged by the model: nothing bears it out."""
+
+    def judge(case: dict, blocks: list[dict], said: dict) -> dict:
+        if not blocks:
+            return {"faithfulness": 0.0, "answer_relevance": 0.0, "context_precision": 0.0, "cost_usd": 0.0}
+        reply = ask(judge_prompt(case["question"], case["reference_answer"], blocks, said["text"]))
+        return {**{n: reply.get(n) for n in ("input_tokens", "output_tokens", "cost_usd")}, **read_scores(reply["text"])}
+
+    return judge

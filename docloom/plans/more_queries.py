@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators import evaluation, registry, segment
+from docloom.operators import evaluation, registry, retrieval, segment
 from docloom.plans import pipelines
 from docloom.session import new_path, table
-from docloom.sources.files import from_records, load_questions, to_records, validate
+from docloom.sources.files import from_records, load_question_lines, load_questions, to_records, validate
 from docloom.sources.settled import watch_settled
 from docloom.sources.topics import FolderTopic
-from docloom.streaming.batching import ingest
+from docloom.streaming.batching import due, ingest
 from docloom.streaming.delivery import Deliveries
 
 
@@ -232,19 +235,74 @@ def preview_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return pipelines.preview(docs, width=40)
 
 
+def _made_pdf(said: Column, packed: bool) -> Column:
+    """A PDF of one page that shows a text, with its tree in the open or in an object stream."""
+    tree = ["<</Type/Catalog/Pages 2 0 R>>", "<</Type/Pages/Kids[3 0 R]/Count 1>>", "<</Type/Page/Parent 2 0 R/Contents 4 0 R>>"]
+    if packed:
+        at = [sum(len(t) + 1 for t in tree[:i]) for i in range(3)]
+        index = " ".join(f"{i + 1} {a}" for i, a in enumerate(at)) + " "
+        objects = f"5 0 obj<</Type/ObjStm/N 3/First {len(index)}>>stream\n{index}{' '.join(tree)}\nendstream endobj"
+    else:
+        objects = " ".join(f"{i + 1} 0 obj{t}endobj" for i, t in enumerate(tree))
+    return F.concat(F.lit(f"%PDF-1.5\n{objects} 4 0 obj<</Length 9>>stream\nBT ("), said, F.lit(") Tj ET\nendstream endobj trailer<</Root 1 0 R>>\n%%EOF"))
+
+
 def pdf_and_utf8(spark: SparkSession, sf: str) -> DataFrame:
-    """Validation by content: UTF-8 broken by a byte, PDFs whole, cut, locked and empty."""
+    """Validation by content: UTF-8 broken by a byte; PDFs whole, with objects in a stream, locked, cut, and prose that only looks like one; an empty page."""
     docs = table(spark, sf, "documents")
-    whole = F.concat(F.lit("%PDF-1.4\n1 0 obj<</Type /Page>>endobj "), F.col("source"), F.lit("\n%%EOF"))
-    content = _pick("doc_id", [F.concat(F.encode("text", "UTF-8"), F.lit(b"\xff")), F.encode("text", "UTF-8"), whole.cast("binary"), F.concat(whole, F.lit("/Encrypt")).cast("binary"), F.lit(b"%PDF-1.4"), F.lit(b"")])
-    path = F.concat(F.lit("/in.d/"), F.col("doc_id").cast("string"), _pick("doc_id", [".md", ".markdown", ".pdf", ".PDF", ".pdf", ".htm"]))
+    whole, packed = _made_pdf(F.col("source"), False), _made_pdf(F.col("source"), True)
+    prose = F.concat(F.lit("%PDF-1.4 tells of /Type /Page and "), F.col("source"), F.lit(" %%EOF"))
+    content = _pick("doc_id", [F.concat(F.encode("text", "UTF-8"), F.lit(b"\xff")), F.encode("text", "UTF-8"), whole.cast("binary"), F.concat(whole, F.lit("/Encrypt")).cast("binary"), F.lit(b"PDF-1.4"), F.lit(b""), packed.cast("binary"), prose.cast("binary")])
+    path = F.concat(F.lit("/in.d/"), F.col("doc_id").cast("string"), _pick("doc_id", [".md", ".markdown", ".pdf", ".PDF", ".pdf", ".htm", ".pdf", ".pdf"]))
     checked = validate(docs.select("doc_id", path.alias("path"), content.alias("content")))
     return checked.select(F.col("path").alias("source"), "mime_type", "ok", "reason")
 
 
+def judged_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Every case judged by a text model from its prompt to the scores read from its reply; a third of the cases has no context."""
+    from docloom.plans.queries import sparse_topk
+
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.col("source").alias("source_uri"))
+    hits = sparse_topk(spark, sf).where("item_id % 3 <> 1").join(docs, "doc_id").select(F.col("item_id").cast("string").alias("query_id"), F.col("doc_id").cast("string").alias("chunk_id"), "rank", "text", "source_uri", F.lit("").alias("doc_title"))
+    cases = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("question"), F.col("item_id").cast("string").alias("reference_answer"), F.lit("src").alias("expected_source_uri_contains"))
+    rows, _ = pipelines.evaluate(cases, hits, None, retrieval.text_judge(_scoring_model))
+    return rows.select("case_id", "faithfulness", "answer_relevance", "context_precision", "input_tokens", "cost_usd")
+
+
+def _scoring_model(prompt: str) -> dict:
+    """Reads question and reference from the prompt, and puts scores into a fence with prose around it."""
+    question, reference = re.search(r"\nQuestion: (.*)\nReference answer: (\d+)\nContext: ", prompt, re.S).groups()
+    n = int(reference)
+    said = json.dumps({"why": {"a": 1}, "faithfulness": len(question) % 8 / 8, "answer_relevance": n % 4 / 4, "context_precision": 1})
+    return {"text": f"Scores:\n```json\n{said}\n```\nAs {{asked}}.", "input_tokens": n, "output_tokens": 1, "cost_usd": n / 8}
+
+
+def gates_by_language(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each language's share of good documents passes each of a row of gates."""
+    shares = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").groupBy("lang").agg(F.avg("quality").alias("share"))
+    gates = shares.select("lang", "share", F.explode(F.sequence(F.lit(0), F.lit(10))).alias("tenth"))
+    return gates.select("lang", F.col("tenth").cast("bigint").alias("tenth"), evaluation.passes(F.col("share"), F.col("tenth") / 10).alias("passes"))
+
+
+def due_times(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as failures of one to eight tries: the ceiling of each wait, and whether the time drawn lies under it."""
+    failed = table(spark, sf, "events").select("event_id", (F.col("event_id") % 8 + 1).cast("int").alias("attempts"))
+    at = due(F.lit(1000.0), F.col("attempts"), "event_id") - 1000
+    ceiling = T.backoff_ceiling((F.col("attempts") - 1).cast("double"))
+    return failed.select("event_id", ceiling.alias("ceiling"), ((at >= 0) & (at < ceiling)).alias("within"))
+
+
+def question_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents as a question set of one case a line, read back with its checks; no set is in one row or group."""
+    lines = table(spark, sf, "documents").select(F.lit("docs").alias("dataset_version"), F.col("doc_id").cast("string").alias("id"), F.col("text").alias("question"), F.col("lang").alias("reference_answer"), F.col("source").alias("expected_source_uri_contains"))
+    path = new_path(spark, "question-lines")
+    lines.write.json(path)
+    return load_question_lines(spark, path)
+
+
 def search_engine(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents of one language brought into an engine, replaced in part and taken out in part; then its chunks and versions."""
-    docs = table(spark, sf, "documents").where("lang = 'de'").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("source_uri"), F.lit("text/plain").alias("mime_type"), "text")
+    """All documents brought into an engine, replaced in part and taken out in part; then its chunks and versions."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("source_uri"), F.lit("text/plain").alias("mime_type"), "text")
     engine = pipelines.Engine(spark, new_path(spark, "engine"), embed=_lengths, dim=2, least=5, most=100_000_000, threshold=-1.0)
     engine.add_documents(docs, 0)
     engine.add_documents(docs.where("CAST(doc_id AS bigint) % 2 = 0").withColumn("text", F.lit("Changed.")), 1)
@@ -261,7 +319,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         page_markers, front_metadata, head_metadata, markdown_headings, html_headings, stale_chunks, index_sync, reregister, dead_points, eval_totals, gate_verdicts, answered_cases, question_set,
-        chunk_topic, watched_pages, settled_pages, deliveries, preview_chunks, pdf_and_utf8, search_engine,
+        chunk_topic, watched_pages, settled_pages, deliveries, preview_chunks, pdf_and_utf8, judged_cases, gates_by_language, due_times, question_lines, search_engine,
     )
 }
 
@@ -334,11 +392,17 @@ SELECT path, CASE page_id % 3 WHEN 0 THEN 'text/html' WHEN 1 THEN 'text/markdown
 WITH f AS (SELECT *, regexp_replace(text, '\s+', ' ', 'g') AS flat FROM documents)
 SELECT doc_id::VARCHAR AS chunk_id, source || ' > ' || lang AS section, n_chars AS token_count, CASE WHEN length(flat) > 40 THEN flat[1:40] || '…' ELSE flat END AS preview FROM f""",
         "pdf_and_utf8": r"""
-WITH d AS (SELECT doc_id, doc_id % 6 AS k, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat FROM documents),
-r AS (SELECT *, CASE k WHEN 0 THEN 'content is not UTF-8' WHEN 1 THEN CASE WHEN flat = '' THEN 'document is empty' END WHEN 3 THEN 'PDF is encrypted' WHEN 4 THEN 'not a readable PDF' WHEN 5 THEN 'no HTML tags found' END AS reason FROM d)
-SELECT '/in.d/' || doc_id || ['.md', '.markdown', '.pdf', '.PDF', '.pdf', '.htm'][k + 1] AS source,
+WITH d AS (SELECT doc_id, doc_id % 8 AS k, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat FROM documents),
+r AS (SELECT *, CASE k WHEN 0 THEN 'content is not UTF-8' WHEN 1 THEN CASE WHEN flat = '' THEN 'document is empty' END WHEN 3 THEN 'PDF is encrypted' WHEN 4 THEN 'not a PDF' WHEN 5 THEN 'no HTML tags found' WHEN 7 THEN 'PDF has no pages' END AS reason FROM d)
+SELECT '/in.d/' || doc_id || ['.md', '.markdown', '.pdf', '.PDF', '.pdf', '.htm', '.pdf', '.pdf'][k + 1] AS source,
   CASE WHEN k IN (0, 1) THEN 'text/markdown' WHEN k = 5 THEN 'text/html' ELSE 'application/pdf' END AS mime_type, reason IS NULL AS ok, reason FROM r""",
+        "judged_cases": """
+SELECT item_id::VARCHAR AS case_id, CASE WHEN item_id % 3 = 1 THEN 0 ELSE length(text) % 8 / 8 END::DOUBLE AS faithfulness, CASE WHEN item_id % 3 = 1 THEN 0 ELSE item_id % 4 / 4 END::DOUBLE AS answer_relevance,
+  CASE WHEN item_id % 3 = 1 THEN 0 ELSE 1 END::DOUBLE AS context_precision, CASE WHEN item_id % 3 = 1 THEN 0 ELSE item_id END AS input_tokens, NULL::DOUBLE AS cost_usd FROM benchmark""",
+        "gates_by_language": "WITH s AS (SELECT lang, avg(quality) AS share FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang) SELECT lang, range AS tenth, coalesce(share >= range / 10, false) AS passes FROM s, range(11)",
+        "due_times": "SELECT event_id, least(60.0, pow(2.0, event_id % 8)) AS ceiling, true AS within FROM events",
+        "question_lines": "SELECT 'docs' AS dataset_version, doc_id::VARCHAR AS id, text AS question, lang AS reference_answer, source AS expected_source_uri_contains FROM documents",
         "search_engine": rf"""
-WITH d AS (SELECT doc_id, doc_id % 2 = 0 AS changed, source, CASE WHEN doc_id % 2 = 0 THEN 'Changed.' ELSE {_FLAT.format('text')} END AS body FROM documents WHERE lang = 'de' AND doc_id % 5 <> 0)
+WITH d AS (SELECT doc_id, doc_id % 2 = 0 AS changed, source, CASE WHEN doc_id % 2 = 0 THEN 'Changed.' ELSE {_FLAT.format('text')} END AS body FROM documents WHERE doc_id % 5 <> 0)
 SELECT doc_id::VARCHAR AS doc_id, doc_id || ':0' AS chunk_id, CASE WHEN changed THEN 2 ELSE 1 END::BIGINT AS version, source AS source_uri, {_WORDS.format('body')} AS token_count, length(body)::BIGINT AS chars FROM d WHERE body <> ''""",
     }

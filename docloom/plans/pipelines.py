@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from docloom.functions.text import approx_tokens, normalize_text
 from docloom.operators import evaluation, indexing, registry, retrieval
 from docloom.operators.chunking import hashed_vectors
-from docloom.session import small, store
+from docloom.session import scratch, small, store
 from docloom.sources import pdf
 from docloom.sources.files import from_records, read_files, read_texts, route, to_records, validate
 from docloom.sources.tables import Keyed, Tables
@@ -74,7 +74,7 @@ class Engine:
         tried = chunks if again else chunks.withColumn("attempts", F.lit(0))
         # what has failed before is embedded one by one: what cannot be embedded keeps no other back
         made = store(indexing.points(tried, self.embed, self.dim, 1 if again else indexing.SIZE), "points")
-        raw = made.withColumn("text", F.col("raw_text"))
+        raw = made.where("dropped IS NOT NULL").withColumn("text", F.col("raw_text"))
         again, lost = scheduled(raw.where("failed IS NOT NULL"), "chunk_id", self.clock(), self.retries)
         refused = raw.where("failed IS NULL AND dropped IS NOT NULL").unionByName(lost)
         names = [c for c in chunks.columns if c not in ("attempts", "due", "reason")]
@@ -85,7 +85,7 @@ class Engine:
         settled = made.select(*owner).unionByName(gone.select(*owner))
         changes = {"index": (made.where("dropped IS NULL"), gone.unionByName(without)), "retries": (again.withColumn("reason", F.col("failed")), settled)}
         n, dropped, waiting = made.agg(F.count(F.lit(1)), F.count("dropped"), F.count(F.when(F.col("failed").isNotNull() & (F.col("attempts") < self.retries), 1))).first()
-        return changes, {"chunks": n, "upserted": n - dropped, "dropped": dropped - waiting, "waiting": waiting, "normalization": measure_normalization(made, "raw_text").first().asDict()}
+        return changes, {"chunks": n, "upserted": n - dropped, "dropped": dropped - waiting, "waiting": waiting, "normalization": measure_normalization(chunks).first().asDict()}
 
     def add_documents(self, docs: DataFrame, batch: str | int, also: dict[str, tuple] | None = None) -> dict:
         """Brings documents (doc_id, source_uri, mime_type, text) in as one batch, one row a document; returns counts.
@@ -94,7 +94,7 @@ class Engine:
         length go to the dead chunks with their raw text, and so do those whose embedding has failed too often. A batch that is run again gives the same
         tables. `also` are changes of other tables to go with the commit.
         """
-        with self._turn:
+        with self._turn, scratch(self.spark):
             chunks, changes = self._chunked(docs, batch)
             gone = changes.where("action = 'delete'")
             put, done = self._indexed(chunks, gone.select("chunk_id", F.col("doc_id").alias("parent_doc_id")), batch)
@@ -103,7 +103,7 @@ class Engine:
 
     def retry(self, batch: str | int, at_once: int = 10_000) -> dict:
         """Tries again what is due, the longest due first: chunks whose embedding failed, and files of batches that failed; returns counts."""
-        with self._turn:
+        with self._turn, scratch(self.spark):
             view, now = self.tables.view(batch), self.clock()
             ready = lambda t: store(view.read(t).where(F.col("due") <= now).orderBy("due").limit(at_once), t)
             chunks, files = ready("retries"), ready("files")
@@ -134,7 +134,7 @@ class Engine:
         """As add_documents, but chunks go to a topic for others to embed: a record a chunk, without a value for chunks that go.
 
         Topics number their batches by the version of the tables, so a batch that is run again writes its segment again."""
-        with self._turn:
+        with self._turn, scratch(self.spark):
             chunks, changes = self._chunked(docs, batch)
             gone = changes.where("action = 'delete'").select(F.concat_ws("\n", "doc_id", "chunk_id").alias("key"), F.lit(None).cast("string").alias("value"))
             named = chunks.withColumn("key_", F.concat_ws("\n", "parent_doc_id", "chunk_id"))
@@ -149,8 +149,8 @@ class Engine:
         key = F.split("key", "\n")
         put = from_records(last.where("value IS NOT NULL"), indexing.PAYLOAD).where("bad IS NULL").drop("bad")
         gone = last.where("value IS NULL").select(key[1].alias("chunk_id"), key[0].alias("parent_doc_id"))
-        with self._turn:
-            changes, done = self._indexed(put, store(gone, "gone"), batch)
+        with self._turn, scratch(self.spark):
+            changes, done = self._indexed(store(put, "received"), store(gone, "gone"), batch)
             self.tables.commit(batch, changes)
             return done
 
@@ -161,7 +161,7 @@ class Engine:
 
     def add_files(self, files: DataFrame, batch: str | int, tried: DataFrame | None = None) -> dict:
         """Validates and adds files; those turned down, and those that cannot be read, go to the dead documents with their reasons. `tried` (doc_id): files that wait no longer."""
-        good, bad = route(validate(files))
+        good, bad = route(validate(files, pdf_pages=self.pdf_pages))
         texts = store(read_texts(good, self.pdf_pages), "texts")
         names = ["doc_id", "source_uri", "mime_type", "size_bytes", "timestamp", "reason"]
         bad = bad.select(*names[:3], F.col("length").alias("size_bytes"), F.col("modificationTime").cast("double").alias("timestamp"), "reason")

@@ -208,6 +208,13 @@ def index_points(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("point_id", "chunk_id", "parent_doc_id", "token_count", "source_uri", "dropped", F.size("indices").alias("terms"), total("values").alias("weights"), total("dense").alias("dense_sum"))
 
 
+def sparse_indices(spark: SparkSession, sf: str) -> DataFrame:
+    """The sparse vector of every document as an index holds it: buckets in order, with their weights."""
+    docs = table(spark, sf, "documents").select(F.concat(F.col("doc_id"), F.lit(":0")).alias("chunk_id"), "text")
+    made = indexing.points(docs).select("chunk_id", "indices", "values")
+    return made.select("chunk_id", F.array_join("indices", ",").alias("indices"), F.array_join(F.transform("values", lambda v: F.round(v * 1_000_000).cast("bigint")), ",").alias("weights"))
+
+
 def keyed_log(spark: SparkSession, sf: str) -> DataFrame:
     """Orders put in one batch, some put again and some deleted in the next, compacted, then read."""
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
@@ -244,7 +251,7 @@ QUERIES = {
     for f in (
         normalize_docs, normalization_metrics, approx_tokens, sentences, sparse_terms, sparse_topk, dense_topk, dense_exact, dense_lists, rrf_fusion, hybrid_search, point_ids, html_metadata,
         html_segments, markdown_segments, chunk_fold_tokens, chunk_fold_semantic, dim_guard, registry_diff, tombstone, route_valid_invalid, eval_metrics, token_usage,
-        strict_cost, citation_dedup, microbatch_events, backoff_ceiling, index_points, keyed_log, record_roundtrip, judge_scores, context_blocks,
+        strict_cost, citation_dedup, microbatch_events, backoff_ceiling, index_points, sparse_indices, keyed_log, record_roundtrip, judge_scores, context_blocks,
     )
 } | more_queries.QUERIES | stream_queries.QUERIES
 
@@ -300,6 +307,9 @@ SELECT b AS before_tokens, a AS after_tokens, b - a AS removed_tokens, round((b
     "sentences": f"WITH {_SENTENCES} SELECT doc_id, (generate_subscripts(parts, 1) - 1)::INTEGER AS pos, unnest(parts) AS sentence FROM split",
     "sparse_terms": f"WITH {_TERMS} SELECT id AS doc_id, bucket, tf, round(weight, 9) AS weight FROM posts WHERE kind = 'd'",
     "sparse_topk": f"WITH {_TOPK} SELECT item_id, doc_id, score, rank FROM top8",
+    "sparse_indices": f"""WITH {_TERMS}
+SELECT d.doc_id || ':0' AS chunk_id, coalesce(string_agg(bucket, ',' ORDER BY bucket), '') AS indices, coalesce(string_agg(round(weight * 1000000)::BIGINT, ',' ORDER BY bucket), '') AS weights
+FROM documents d LEFT JOIN posts ON kind = 'd' AND id = d.doc_id GROUP BY d.doc_id""",
     "rrf_fusion": f"""WITH {_TOPK},
 lengths AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY n_chars, doc_id) AS rank FROM top8 JOIN documents USING (doc_id)),
 fused AS (SELECT item_id, doc_id, round(sum(1 / (60.0::DOUBLE + rank)), 9) AS score FROM (SELECT item_id, doc_id, rank FROM top8 UNION ALL SELECT * FROM lengths) GROUP BY ALL)

@@ -27,11 +27,21 @@ def watch_files(spark: SparkSession, folder: str, per_trigger: int = 100) -> Dat
     return spark.readStream.format("binaryFile").schema(BINARY).option("maxFilesPerTrigger", per_trigger).load(folder)
 
 
-def validate(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+def validate(files: DataFrame, path: str = "path", content: str = "content", pdf_pages: Callable[[bytes], list[str | None]] | None = pdf.pages) -> DataFrame:
     """Adds doc_id, source_uri (an absolute path, or a URI of another file system), mime_type, ok and reason: the type goes by extension, the content is looked at for sanity.
 
-    PDF parsing needs a library of its own; here a PDF is valid if it has a header, an end mark and a page, and is not encrypted.
+    A PDF is valid if the parser reads its pages and there are some; the reason is the parser's. Other rows give the parser nothing to read.
     """
+
+    def unread(contents: pd.Series) -> pd.Series:
+        out = []
+        for c in contents:
+            try:
+                out.append(None if c is None or pdf_pages(c) else "PDF has no pages")
+            except Exception as error:
+                out.append(str(error).split("\n")[0] or "not a readable PDF")
+        return pd.Series(out, dtype=object)
+
     ending = F.lower(F.regexp_extract(F.col(path), r"[^/](\.[^./]+)$", 1))
     mime = F.element_at(F.create_map(*[F.lit(x) for kv in MIME.items() for x in kv]), ending)
     utf8 = F.is_valid_utf8(F.col(content).cast("string"))
@@ -41,9 +51,9 @@ def validate(files: DataFrame, path: str = "path", content: str = "content") ->
         .when((mime != "application/pdf") & ~utf8, "content is not UTF-8")
         .when((mime == "text/markdown") & (collapse(text) == ""), "document is empty")
         .when((mime == "text/html") & ~text.rlike("<[A-Za-z]"), "no HTML tags found")
-        .when((mime == "application/pdf") & ~(text.startswith("%PDF-") & text.contains("%%EOF") & text.rlike(r"/Type\s*/Page\b")), "not a readable PDF")
-        .when((mime == "application/pdf") & text.contains("/Encrypt"), "PDF is encrypted")
     )
+    if pdf_pages:
+        reason = F.coalesce(reason, pandas_udf(unread, "string")(F.when(mime == "application/pdf", F.coalesce(content, F.lit(b"")))))
     place = F.regexp_replace(F.col(path), "^file:(//)?(?=/)", "")
     return files.withColumns({"doc_id": uuid5(place), "source_uri": place, "mime_type": mime, "reason": reason}).withColumn("ok", F.col("reason").isNull())
 
@@ -105,6 +115,18 @@ def to_records(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
 
 
+def load_question_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Cases of a question set of any size, a JSON object a line, with the version of their set; missing keys and repeated ids raise when they are read."""
+    names = ["dataset_version", "id", "question", "reference_answer", "expected_source_uri_contains"]
+    rows = spark.read.schema(", ".join(f"{n} string" for n in names)).json(path)
+    missing = F.lit(False)
+    for n in names:
+        missing = missing | F.col(n).isNull()
+    counted = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"), *[F.first(n).alias(n) for n in names if n != "id"])
+    wrong = F.when(missing, "a case needs all keys").when(F.col("n") > 1, "a case needs an id of its own")
+    return counted.withColumn("id", F.when(wrong.isNotNull(), F.raise_error(F.concat(wrong, F.lit(": "), F.coalesce("id", F.lit("null")))).cast("string")).otherwise(F.col("id"))).select(*names)
+
+
 def load_questions(spark: SparkSession, path: str) -> DataFrame:
     """Cases of a version 1 question set; other versions, empty sets, missing keys and repeated ids raise."""
     sets = spark.read.schema(QA).json(path, multiLine=True)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.operators import chunking, evaluation, registry, retrieval, segment
 from docloom.plans import queries as engine
-from docloom.sources.files import load_questions, read_files, route, validate, watch_files
+from docloom.sources.files import load_question_lines, load_questions, read_files, route, validate, watch_files
 from docloom.streaming.batching import MicroBatcher, backoff, due, ingest
 
 SF = "/root/testdata/sf0.001"
@@ -210,3 +210,43 @@ def test_question_sets(spark, tmp_path):
         else:
             with pytest.raises(ValueError):
                 load_questions(spark, str(path))
+
+
+def test_question_lines(spark, tmp_path):
+    case = {"dataset_version": "v", "id": "1", "question": "q", "reference_answer": "r", "expected_source_uri_contains": "u"}
+    for lines, ok in (([case, {**case, "id": "2"}], True), ([case, case], False), ([case, {**case, "id": None}], False), ([{k: v for k, v in case.items() if k != "question"}], False)):
+        (tmp_path / "qa.jsonl").write_text("\n".join(map(json.dumps, lines)))
+        read = load_question_lines(spark, str(tmp_path / "qa.jsonl"))
+        if ok:
+            assert [r.id for r in read.orderBy("id").collect()] == ["1", "2"]
+        else:
+            with pytest.raises(Exception, match="a case needs"):
+                read.collect()
+
+
+def test_judge_from_prompt_to_scores():
+    prompts = []
+
+    def ask(prompt):
+        prompts.append(prompt)
+        return {"text": 'So:\n```json\n{"faithfulness": 1, "answer_relevance": 0.5, "context_precision": 0, "x": {"y": 1}}\n``` {}', "input_tokens": 7, "output_tokens": 2, "cost_usd": None}
+
+    judge = retrieval.text_judge(ask)
+    case, blocks = {"question": "q?", "reference_answer": "r"}, [{"text": "context"}]
+    assert judge(case, blocks, {"text": "a"}) == {"input_tokens": 7, "output_tokens": 2, "cost_usd": None, "faithfulness": 1.0, "answer_relevance": 0.5, "context_precision": 0.0}
+    assert all(x in prompts[0] for x in ("q?", "Reference answer: r", "context", "Answer: a"))
+    assert judge(case, [], {"text": retrieval.NOTHING_FOUND})["faithfulness"] == 0.0 and len(prompts) == 1
+    for bad in ("no", '{"faithfulness": true, "answer_relevance": 0.5, "context_precision": 0}', '{"faithfulness": 1.1, "answer_relevance": 0.5, "context_precision": 0}', "{}", "{no"):
+        with pytest.raises(ValueError):
+            retrieval.read_scores(bad)
+
+
+def test_pdfs_are_valid_by_their_pages(spark):
+    tree = ["<</Type/Catalog/Pages 2 0 R>>", "<</Type/Pages/Kids[3 0 R]/Count 1>>", "<</Type/Page/Parent 2 0 R/Contents 4 0 R>>"]
+    index = "1 0 2 30 3 65 "
+    packed = f"%PDF-1.5\n5 0 obj<</Type/ObjStm/N 3/First {len(index)}>>stream\n{index}{' '.join(tree)}\nendstream endobj 4 0 obj<</Length 9>>stream\nBT (Hello there) Tj ET\nendstream endobj\n%%EOF"
+    rows = [("a.pdf", packed.encode()), ("b.pdf", b"%PDF-1.4 prose of /Type /Page and %%EOF"), ("c.pdf", packed.encode() + b"/Encrypt"), ("d.pdf", b""), ("e.pdf", None), ("f.md", b"# x")]
+    got = {r.path: (r.ok, r.reason) for r in validate(spark.createDataFrame(rows, "path string, content binary")).collect()}
+    assert got == {"a.pdf": (True, None), "b.pdf": (False, "PDF has no pages"), "c.pdf": (False, "PDF is encrypted"), "d.pdf": (False, "not a PDF"), "e.pdf": (False, "not a PDF"), "f.md": (True, None)}
+    given = validate(spark.createDataFrame(rows[1:2], "path string, content binary"), pdf_pages=lambda content: [])
+    assert given.first().reason == "PDF has no pages"

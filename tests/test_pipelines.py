@@ -75,7 +75,7 @@ def test_streams_guard_and_set_aside(spark, tmp_path):
     # a file that cannot be read is set aside alone
     failing = Engine(spark, str(tmp_path / "failing"))
     assert failing.stream(watch_files(spark, str(box)), str(tmp_path / "s2")).awaitTermination(240)
-    assert [r.reason for r in spark.read.parquet(str(tmp_path / "failing/dead-documents")).collect()] == ["PDF could not be read: PDF has no pages"]
+    assert [r.reason for r in spark.read.parquet(str(tmp_path / "failing/dead-documents")).collect()] == ["PDF has no pages"]
     assert failing.index.read().count() > 0
     # files of a batch that fails as a whole wait; after six tries in all they are dead, with the reason; nothing sleeps
     now = [1000.0]
