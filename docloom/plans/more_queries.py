@@ -203,17 +203,15 @@ def watched_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def settled_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """The same files by the source that waits until a file has settled, stopped and started again: each is taken once."""
-    pages = table(spark, sf, "pages")
+    """Pages as lines of files that a source takes when they have settled, stopped and started again: each is taken once and whole."""
+    pages = table(spark, sf, "pages").select("page_id", "html")
     box, out, state = (new_path(spark, n) for n in ("settled-box", "settled-out", "settled-state"))
-    body = F.regexp_replace("html", r"[\r\n]+", " ")
-    named = pages.select(body.alias("value"), F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("name"), (F.col("page_id") % 2).alias("half"))
     for half in range(2):
-        named.where(F.col("half") == half).drop("half").repartition("name").write.partitionBy("name").text(f"{box}/half={half}")
-        files = watch_settled(spark, box, 0.0)
-        told = files.select(F.regexp_extract("path", "name=(p[0-9]+)/", 1).alias("name"), F.sha2("content", 256).alias("sha256"), "length")
+        pages.where(F.col("page_id") % 2 == half).write.option("maxRecordsPerFile", 1000).json(f"{box}/half={half}")
+        lines = watch_settled(spark, box, 0.0).select(F.explode(F.split(F.col("content").cast("string"), "\n")).alias("line")).where("line <> ''")
+        told = lines.select(F.from_json("line", "page_id bigint, html string").alias("p")).select("p.page_id", F.sha2("p.html", 256).alias("sha256"), F.octet_length("p.html").cast("bigint").alias("n_bytes"))
         told.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
-    return spark.read.schema("name string, sha256 string, length bigint").parquet(out)
+    return spark.read.schema("page_id bigint, sha256 string, n_bytes bigint").parquet(out)
 
 
 def deliveries(spark: SparkSession, sf: str) -> DataFrame:
@@ -386,7 +384,7 @@ FROM m GROUP BY item_id""",
 WITH f AS (SELECT '/box/p' || page_id || CASE page_id % 3 WHEN 0 THEN '.html' WHEN 1 THEN '.md' ELSE '.exe' END AS path, page_id FROM pages)
 SELECT path, CASE page_id % 3 WHEN 0 THEN 'text/html' WHEN 1 THEN 'text/markdown' END AS mime_type, page_id % 3 <> 2 AND page_id % 6 <> 1 AS ok,
   CASE WHEN page_id % 3 = 2 THEN 'unsupported extension ''.exe''' WHEN page_id % 6 = 1 THEN 'document is empty' END AS reason FROM f""",
-        "settled_pages": r"""SELECT 'p' || page_id AS name, sha256(regexp_replace(html, '[\r\n]+', ' ', 'g') || chr(10)) AS sha256, (octet_length(encode(regexp_replace(html, '[\r\n]+', ' ', 'g'))) + 1)::BIGINT AS length FROM pages""",
+        "settled_pages": "SELECT page_id, sha256(html) AS sha256, octet_length(encode(html))::BIGINT AS n_bytes FROM pages",
         "deliveries": "SELECT (event_id % 4)::VARCHAR AS batch, CASE WHEN event_id % 4 = 2 THEN 0 ELSE count(*) END AS sent, CASE WHEN event_id % 4 = 2 THEN count(*) ELSE 0 END AS undelivered, event_id % 4 = 2 AS failed FROM events GROUP BY event_id % 4",
         "preview_chunks": r"""
 WITH f AS (SELECT *, regexp_replace(text, '\s+', ' ', 'g') AS flat FROM documents)
