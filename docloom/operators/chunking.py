@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from docloom.functions.text import sentences
 from docloom.operators.segment import segments
 from docloom.session import spread
 
 THRESHOLD, LEAST, MOST = 0.55, 128, 512
+#: Chunks that a task sends on at once.
+SENT = 256
 CHUNK = "ordinal int, chunk_id string, text string, breadcrumb array<string>, token_count bigint, sentences int"
 
 
@@ -22,10 +27,7 @@ def words(text: str) -> int:
 
 
 def hashed_vectors(texts: list[str], size: int = 384) -> np.ndarray:
-    """Offline embedder: signed word counts in `size` hashed places, of unit length."""
-    import re
-    import zlib
-
+    """Offline embedder: word counts in `size` hashed places, of unit length."""
     out = np.zeros((len(texts), size))
     for i, t in enumerate(texts):
         for w in re.findall("[a-z0-9]+", t.lower()):
@@ -69,18 +71,30 @@ def chunk_documents(docs: DataFrame, least: int = LEAST, most: int = MOST, thres
     parts = spread(docs.select(*kept, "text", "mime_type")).select(*kept, segments(F.col("text"), F.col("mime_type")).alias("segments"))
     split = F.transform("segments", lambda s: F.struct(s["breadcrumb"].alias("breadcrumb"), sentences(s["text"]).alias("sentences")))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = [to_arrow_type(docs.schema[c].dataType) for c in kept]
+    names = [*kept, "ordinal", "chunk_id", "text", "breadcrumb", "token_count", "sentences"]
+    types = [*kinds, pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int64(), pa.int32()]
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a document at a time, so that a worker holds one and the chunks it has not sent yet
+        rows: list[tuple] = []
         for batch in batches:
-            rows = []
-            for parts, own in zip(batch["parts"], batch[kept].itertuples(index=False, name=None)):
-                flat = [(t, tuple(p["breadcrumb"])) for p in parts for t in p["sentences"]]
+            for i in range(batch.num_rows):
+                *own, parts = (c[i].as_py() for c in batch.columns)
+                flat = [(t, tuple(p["breadcrumb"])) for p in parts or () for t in p["sentences"]]
                 texts, crumbs = [f[0] for f in flat], [f[1] for f in flat]
                 ranges = fold([count(t) for t in texts], crumbs, in_blocks(embed, texts) if embed else None, least, most, threshold)
                 for k, (a, b) in enumerate(ranges):
                     path = " -> ".join(c for c in crumbs[a] if c)
                     text = (f"[{path}] " if path else "") + " ".join(texts[a:b])
                     rows.append((*own, k, f"{own[0]}:{k}", text, list(crumbs[a]), count(text), b - a))
-            yield pd.DataFrame(rows, columns=[*kept, "ordinal", "chunk_id", "text", "breadcrumb", "token_count", "sentences"])
+                if len(rows) >= SENT:
+                    yield table(rows)
+                    rows = []
+        yield table(rows)
 
-    types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return parts.select(*kept, split.alias("parts")).mapInPandas(run, f"{types}, {CHUNK}")
+    said = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
+    return parts.select(*kept, split.alias("parts")).mapInArrow(run, f"{said}, {CHUNK}")

@@ -7,12 +7,12 @@ import re
 import uuid
 import zlib
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from docloom.functions.text import SPARSE_BUCKETS, normalize_text, uuid5
 from docloom.operators.chunking import chunk_documents, hashed_vectors
@@ -58,20 +58,22 @@ def points(chunks: DataFrame, embed: Callable = hashed_vectors, dim: int = 384,
     `size` at a time; a call that fails leaves those chunks alone without vectors. Nothing waits in a task.
     """
 
-    def vectors(texts: pd.Series) -> pd.DataFrame:
-        sparse, rows, why = [sparse_vector(t) for t in texts], [], []
-        for at in range(0, len(texts), size):
-            some = list(texts[at : at + size])
-            try:
-                found, error = [[float(x) for x in v] for v in embed(some)], None
-            except Exception as raised:
-                found, error = [None] * len(some), f"embedding failed: {raised}".split("\n")[0]
-            rows += found
-            why += [error] * len(found)
-        return pd.DataFrame({"dense": pd.Series(rows, dtype=object), "indices": [s[0] for s in sparse], "values": [s[1] for s in sparse], "failed": pd.Series(why, dtype=object)})
-
-    run = pandas_udf(vectors, "dense array<double>, indices array<int>, values array<double>, failed string")
-    flat = chunks.withColumn("raw_text", F.col("text")).withColumn("text", F.coalesce(normalize_text(F.col("text")), F.lit("")))
-    made = flat.withColumn("v", run("text")).select("*", "v.*").drop("v").withColumn("point_id", uuid5(F.col("chunk_id")))
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                some = part.column(0).to_pylist()
+                sparse = [sparse_vector(t) for t in some]
+                try:
+                    found, error = [np.asarray(v, np.float64) for v in embed(some)], None
+                except Exception as raised:
+                    found, error = [None] * len(some), f"embedding failed: {raised}".split("\n")[0]
+                made = [pa.array(found, pa.list_(pa.float64())), pa.array([s[0] for s in sparse], pa.list_(pa.int32())), pa.array([s[1] for s in sparse], pa.list_(pa.float64())), pa.array([error] * len(some), pa.string())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, "dense", "indices", "values", "failed"])
+
+    raw = F.col("text")
+    flat = chunks.select(F.coalesce(normalize_text(raw), F.lit("")).alias("text"), *[c for c in chunks.columns if c != "text"], raw.alias("raw_text"))
+    said = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in flat.schema.fields)
+    made = flat.mapInArrow(vectors, f"{said}, dense array<double>, indices array<int>, values array<double>, failed string").withColumn("point_id", uuid5(F.col("chunk_id")))
     told = dim_guard(made, dim, "dense").withColumn("dropped", F.coalesce("failed", "dropped"))
     return told.withColumn("raw_text", F.when(F.col("dropped").isNotNull(), F.col("raw_text")))
