@@ -8,9 +8,10 @@ from pyspark.sql.window import Window
 
 from docloom.functions import text as T
 from docloom.operators import chunking, evaluation, indexing, registry, retrieval, segment
+from docloom.operators.latent import Latent
 from docloom.operators.vector_index import VectorIndex
 from docloom.plans import more_queries, stream_queries
-from docloom.session import new_path, spread, table
+from docloom.session import new_path, spread, store, table
 from docloom.sources.files import from_records, to_records
 from docloom.sources.tables import KeyedLog
 from docloom.streaming.batching import microbatches
@@ -71,11 +72,23 @@ def dense_exact(spark: SparkSession, sf: str) -> DataFrame:
 
 def dense_lists(spark: SparkSession, sf: str) -> DataFrame:
     """The same against the probed lists alone, with each query's lists and rows read and its recall."""
-    index, asked = _lists(spark, sf)
-    exact = index.search(asked, "query_id", exact=True).select("query_id", "vec_id", F.lit(1.0).alias("hit"))
-    near = index.search(asked, "query_id").join(exact, ["query_id", "vec_id"], "left")
-    recall = F.sum(F.coalesce("hit", F.lit(0.0))).over(Window.partitionBy("query_id")) / retrieval.PREFETCH
-    return near.select("query_id", "vec_id", "score", "rank", "lists", "rows_read", recall.alias("recall"))
+    return _with_recall(*_lists(spark, sf), "query_id")
+
+
+def _with_recall(index: VectorIndex, asked: DataFrame, query: str) -> DataFrame:
+    """What the probed lists give, with each query's lists and rows read and the share of its exact answer that it has."""
+    exact = index.search(asked, query, exact=True).select(query, index.key, F.lit(1.0).alias("hit"))
+    near = index.search(asked, query).join(exact, [query, index.key], "left")
+    recall = F.sum(F.coalesce("hit", F.lit(0.0))).over(Window.partitionBy(query)) / retrieval.PREFETCH
+    return near.select(query, index.key, "score", "rank", "lists", "rows_read", recall.alias("recall"))
+
+
+def latent_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents nearest to those with ids divisible by 100, by an embedding learnt from all of them, in inverted lists."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    vectors = store(Latent.fit(docs).embed(docs, "doc_id"), "latent-vectors")
+    index = VectorIndex.build(vectors, new_path(spark, "latent-lists"), "doc_id")
+    return _with_recall(index, vectors.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "vector"), "query_id")
 
 
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
@@ -249,7 +262,7 @@ def context_blocks(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        normalize_docs, normalization_metrics, approx_tokens, sentences, sparse_terms, sparse_topk, dense_topk, dense_exact, dense_lists, rrf_fusion, hybrid_search, point_ids, html_metadata,
+        normalize_docs, normalization_metrics, approx_tokens, sentences, sparse_terms, sparse_topk, dense_topk, dense_exact, dense_lists, latent_neighbours, rrf_fusion, hybrid_search, point_ids, html_metadata,
         html_segments, markdown_segments, chunk_fold_tokens, chunk_fold_semantic, dim_guard, registry_diff, tombstone, route_valid_invalid, eval_metrics, token_usage,
         strict_cost, citation_dedup, microbatch_events, backoff_ceiling, index_points, sparse_indices, keyed_log, record_roundtrip, judge_scores, context_blocks,
     )
