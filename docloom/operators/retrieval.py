@@ -274,7 +274,7 @@ def answer(question: str, blocks: list[dict], model: Callable[[str, list[dict]],
     reply = (model or quote_first)(question, blocks)
     said = [b for b in reply.get("content", [{**reply, "type": "text"}]) if b["type"] == "text"]
     cited = [c for b in said for c in b.get("citations") or []]
-    resolved = [{"cited_text": c["cited_text"], **{k: blocks[c["document_index"]].get(k) for k in ("chunk_id", "title", "source_uri")}} for c in cited]
+    resolved = [{"cited_text": c["cited_text"], **{k: c[k] for k in ("start", "end") if k in c}, **{k: blocks[c["document_index"]].get(k) for k in ("chunk_id", "title", "source_uri")}} for c in cited]
     return {"text": "".join(b["text"] for b in said), "citations": resolved, "usage": reply.get("usage")}
 
 

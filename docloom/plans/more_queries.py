@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators import evaluation, registry, retrieval, segment
+from docloom.operators import evaluation, extractive, registry, retrieval, segment
 from docloom.plans import pipelines
 from docloom.session import new_path, table
 from docloom.sources.files import from_records, load_question_lines, load_questions, to_records, validate
@@ -275,6 +275,31 @@ def _scoring_model(prompt: str) -> dict:
     return {"text": f"Scores:\n```json\n{said}\n```\nAs {{asked}}.", "input_tokens": n, "output_tokens": 1, "cost_usd": n / 8}
 
 
+def _asked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Every benchmark text as a question, and its hits among the documents with their texts."""
+    from docloom.plans.queries import sparse_topk
+
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.col("source").alias("source_uri"))
+    hits = sparse_topk(spark, sf).join(docs, "doc_id").select(F.col("item_id").cast("string").alias("query_id"), F.col("doc_id").cast("string").alias("chunk_id"), "rank", "text", "source_uri", F.lit("").alias("doc_title"))
+    return table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("question")), hits
+
+
+def cited_quotes(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each sentence that answers a question stands in its document where it is said to, and whether its document bears all of it out."""
+    questions, hits = _asked(spark, sf)
+    said = extractive.cited_sentences(questions, retrieval.contexts(hits, "query_id"))
+    placed = said.join(hits.select("query_id", "chunk_id", "text"), ["query_id", "chunk_id"])
+    exact = F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")) == F.col("sentence")
+    whole = extractive.cover(F.col("sentence"), F.col("text")) == 1.0
+    return placed.groupBy("query_id").agg(F.min(exact).alias("exact"), F.min(whole).alias("borne_out"))
+
+
+def question_cover(spark: SparkSession, sf: str) -> DataFrame:
+    """How much of each question's terms each of its hits has."""
+    questions, hits = _asked(spark, sf)
+    return hits.join(questions, "query_id").select("query_id", "chunk_id", F.round(extractive.cover(F.col("question"), F.col("text")), 9).alias("cover"))
+
+
 def gates_by_language(spark: SparkSession, sf: str) -> DataFrame:
     """Whether each language's share of good documents passes each of a row of gates."""
     shares = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").groupBy("lang").agg(F.avg("quality").alias("share"))
@@ -317,7 +342,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         page_markers, front_metadata, head_metadata, markdown_headings, html_headings, stale_chunks, index_sync, reregister, dead_points, eval_totals, gate_verdicts, answered_cases, question_set,
-        chunk_topic, watched_pages, settled_pages, deliveries, preview_chunks, pdf_and_utf8, judged_cases, gates_by_language, due_times, question_lines, search_engine,
+        chunk_topic, watched_pages, settled_pages, deliveries, preview_chunks, pdf_and_utf8, judged_cases, cited_quotes, question_cover, gates_by_language, due_times, question_lines, search_engine,
     )
 }
 
@@ -397,6 +422,10 @@ SELECT '/in.d/' || doc_id || ['.md', '.markdown', '.pdf', '.PDF', '.pdf', '.htm'
         "judged_cases": """
 SELECT item_id::VARCHAR AS case_id, CASE WHEN item_id % 3 = 1 THEN 0 ELSE length(text) % 8 / 8 END::DOUBLE AS faithfulness, CASE WHEN item_id % 3 = 1 THEN 0 ELSE item_id % 4 / 4 END::DOUBLE AS answer_relevance,
   CASE WHEN item_id % 3 = 1 THEN 0 ELSE 1 END::DOUBLE AS context_precision, CASE WHEN item_id % 3 = 1 THEN 0 ELSE item_id END AS input_tokens, NULL::DOUBLE AS cost_usd FROM benchmark""",
+        "cited_quotes": f"WITH {topk} SELECT item_id::VARCHAR AS query_id, true AS exact, true AS borne_out FROM top8 GROUP BY item_id",
+        "question_cover": f"""WITH {topk},
+t AS (SELECT item_id, doc_id, list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]+')) AS q, regexp_extract_all(lower(d.text), '[a-z0-9]+') AS w FROM top8 JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id))
+SELECT item_id::VARCHAR AS query_id, doc_id::VARCHAR AS chunk_id, CASE WHEN len(q) > 0 THEN round(len(list_intersect(q, w)) / len(q), 9) END AS cover FROM t""",
         "gates_by_language": "WITH s AS (SELECT lang, avg(quality) AS share FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang) SELECT lang, range AS tenth, coalesce(share >= range / 10, false) AS passes FROM s, range(11)",
         "due_times": "SELECT event_id, least(60.0, pow(2.0, event_id % 8)) AS ceiling, true AS within FROM events",
         "question_lines": "SELECT 'docs' AS dataset_version, doc_id::VARCHAR AS id, text AS question, lang AS reference_answer, source AS expected_source_uri_contains FROM documents",
