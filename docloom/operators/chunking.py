@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +27,30 @@ def words(text: str) -> int:
     return len(text.split())
 
 
+class _Codes(dict):
+    """crc32 of words, kept while there are not too many of them."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1 << 18:
+            self.clear()
+        self[word] = code = zlib.crc32(word.encode())
+        return code
+
+
+_codes = _Codes()
+
+
+def term_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(which text, crc32) of each lexical term of some texts, in order."""
+    found = [[_codes[w] for w in re.findall("[a-z0-9]+", t.lower())] for t in texts]
+    sizes = [len(f) for f in found]
+    return np.repeat(np.arange(len(texts)), sizes), np.fromiter(chain.from_iterable(found), np.int64, sum(sizes))
+
+
 def hashed_vectors(texts: list[str], size: int = 384) -> np.ndarray:
     """Offline embedder: word counts in `size` hashed places, of unit length."""
-    out = np.zeros((len(texts), size))
-    for i, t in enumerate(texts):
-        for w in re.findall("[a-z0-9]+", t.lower()):
-            out[i, zlib.crc32(w.encode()) % size] += 1
+    row, code = term_codes(texts)
+    out = np.bincount(row * size + code % size, minlength=len(texts) * size).reshape(len(texts), size).astype(float)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norm == 0, 1, norm)
 

@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import math
-import re
 import uuid
-import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.text import SPARSE_BUCKETS, normalize_text, uuid5
-from docloom.operators.chunking import chunk_documents, hashed_vectors
+from docloom.functions.text import SPARSE_BUCKETS, approx_tokens, normalize_text, uuid5
+from docloom.operators.chunking import chunk_documents, hashed_vectors, term_codes
 from docloom.operators.registry import dim_guard
 from docloom.operators.segment import metadata
 from docloom.streaming.batching import SIZE
@@ -32,8 +28,8 @@ def payloads(docs: DataFrame, **bounds) -> DataFrame:
 
 
 def sparse_vector(text: str) -> tuple[list[int], list[float]]:
-    found = sorted(Counter(zlib.crc32(w.encode()) % SPARSE_BUCKETS for w in re.findall("[a-z0-9]+", text.lower())).items())
-    return [b for b, _ in found], [1 + math.log(n) for _, n in found]
+    bucket, n = np.unique(term_codes([text])[1] % SPARSE_BUCKETS, return_counts=True)
+    return bucket.tolist(), (1 + np.log(n)).tolist()
 
 
 class PerWorker:
@@ -52,7 +48,8 @@ class PerWorker:
 
 def points(chunks: DataFrame, embed: Callable = hashed_vectors, dim: int = 384, size: int = SIZE) -> DataFrame:
     """Index points of normalized payloads, with `dropped` as a reason where there is no dense vector of the right length, and `failed` where the
-    embedder raised: that may go well another time. raw_text is the text as it came, of those without a point alone.
+    embedder raised: that may go well another time. raw_text is the text as it came, of those without a point alone; tokens_before and tokens_after
+    are the counts of both.
 
     Dense and sparse vectors come from one pass over a batch, so they are columns of the chunk's own row. Chunks are embedded
     `size` at a time; a call that fails leaves those chunks alone without vectors. Nothing waits in a task.
@@ -73,6 +70,7 @@ def points(chunks: DataFrame, embed: Callable = hashed_vectors, dim: int = 384,
 
     raw = F.col("text")
     flat = chunks.select(F.coalesce(normalize_text(raw), F.lit("")).alias("text"), *[c for c in chunks.columns if c != "text"], raw.alias("raw_text"))
+    flat = flat.withColumns({"tokens_before": approx_tokens(F.col("raw_text")), "tokens_after": approx_tokens(F.col("text"))})
     said = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in flat.schema.fields)
     made = flat.mapInArrow(vectors, f"{said}, dense array<double>, indices array<int>, values array<double>, failed string").withColumn("point_id", uuid5(F.col("chunk_id")))
     told = dim_guard(made, dim, "dense").withColumn("dropped", F.coalesce("failed", "dropped"))

@@ -64,6 +64,9 @@ class Latent:
         df[met["bucket"].to_numpy(np.int64)] = met["n"]
         idf = np.log((1 + n) / (1 + df)) + 1
         used = np.flatnonzero(df)
+        # what tasks send to each other in a round is at most a quarter of the vectors' bytes
+        sent = len(used) * (dimensions + MORE) * 8
+        rows = rows.coalesce(max(1, int(12 * df.sum() // (4 * sent)))) if len(used) else rows
         matrix = np.zeros((SPARSE_BUCKETS, dimensions + MORE))
         matrix[used] = np.random.default_rng(seed).normal(size=(len(used), dimensions + MORE))
         strengths = np.zeros(dimensions)

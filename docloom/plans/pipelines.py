@@ -85,7 +85,7 @@ class Engine:
         settled = made.select(*owner).unionByName(gone.select(*owner))
         changes = {"index": (made.where("dropped IS NULL"), gone.unionByName(without)), "retries": (again.withColumn("reason", F.col("failed")), settled)}
         n, dropped, waiting = made.agg(F.count(F.lit(1)), F.count("dropped"), F.count(F.when(F.col("failed").isNotNull() & (F.col("attempts") < self.retries), 1))).first()
-        return changes, {"chunks": n, "upserted": n - dropped, "dropped": dropped - waiting, "waiting": waiting, "normalization": measure_normalization(chunks).first().asDict()}
+        return changes, {"chunks": n, "upserted": n - dropped, "dropped": dropped - waiting, "waiting": waiting, "normalization": evaluation.normalization_report(made, "tokens_before", "tokens_after").first().asDict()}
 
     def add_documents(self, docs: DataFrame, batch: str | int, also: dict[str, tuple] | None = None) -> dict:
         """Brings documents (doc_id, source_uri, mime_type, text) in as one batch, one row a document; returns counts.

@@ -19,6 +19,8 @@ from docloom.session import delete, list_names, read_text, small, write_once
 
 #: Segments of one level that become one, rows of a segment's part, manifests that readers may be pinned to.
 FAN, PART_ROWS, KEEP = 8, 200_000, 3
+#: Parts that each task may write a file of.
+WRITTEN = 16
 #: Parts that a read may name; one for more owners than that meets every part.
 MOST_PARTS = 1000
 
@@ -179,7 +181,8 @@ class Tables:
     def _write(self, table: str, rows: DataFrame, n: int, span: tuple[int, int], batch: str) -> Segment:
         parts, name = parts_of(n), f"{span[1]}-{uuid.uuid4().hex}"
         dealt = rows.drop("segment").withColumn("part", F.concat(F.lit(f"{parts}."), part(self.kinds[table].dealt, parts).cast("string")))
-        dealt = dealt.hint("rebalance", F.col("part")) if parts > 1 else dealt
+        # few parts are written by every task; rows are shuffled only where that would make too many files
+        dealt = dealt.hint("rebalance", F.col("part")) if parts > WRITTEN else dealt
         dealt.write.partitionBy("part").parquet(f"{self.path}/{table}/segment={name}")
         if batch == "merged":
             n = self.rows(table, [Segment(name, n, parts, *span, batch)]).count()
