@@ -7,7 +7,7 @@ import time
 from docloom.plans import queries as engine
 from docloom.session import local_session
 
-NAMES = ["normalize_docs", "sentences", "chunk_fold_semantic", "sparse_terms", "sparse_topk", "hybrid_search", "dense_topk", "registry_diff", "microbatch_events"]
+NAMES = ["normalize_docs", "sentences", "chunk_fold_semantic", "sparse_terms", "sparse_topk", "hybrid_search", "dense_topk", "registry_diff", "microbatch_events", "dense_lists", "synced_tables"]
 
 
 def main() -> None:

@@ -69,7 +69,8 @@ def microbatches(events: DataFrame, key: str = "user_id", item: str = "event_id"
     # a key's events come one after the other from a sort that spills, so a key of any size passes in bounded memory
     micros = events.where(F.col(key).isNotNull()).select(key, item, F.unix_micros(F.col(at).cast("timestamp")).alias(at))
     sorted_rows = micros.repartition(key).sortWithinPartitions(key, at, item)
-    out = sorted_rows.mapInPandas(run, "key bigint, batch bigint, n bigint, first_item bigint, last_item bigint")
+    kinds = {c: events.schema[c].dataType.simpleString() for c in (key, item)}
+    out = sorted_rows.mapInPandas(run, f"key {kinds[key]}, batch bigint, n bigint, first_item {kinds[item]}, last_item {kinds[item]}")
     return out.withColumnRenamed("key", key)
 
 

@@ -239,6 +239,8 @@ def test_microbatches_equal_a_batcher(spark):
         out += [held.flush()] if held.items else []
         want |= {(u, k, len(b), b[0], b[-1]) for k, b in enumerate(out)}
     assert {tuple(r) for r in got} == want
+    named = events.where("user_id = 3").select(F.lit("u").alias("user_id"), F.concat(F.lit("e"), "event_id").alias("event_id"), F.timestamp_seconds("t").alias("ts"))
+    assert {r.user_id for r in microbatches(named, size=4, seconds=9.0).collect()} == {"u"}
 
 
 def test_health_and_measure(spark):

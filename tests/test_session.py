@@ -1,6 +1,8 @@
 """Broadcast bounds, scratch tables and the shared folder."""
 
 import os
+import subprocess
+import sys
 from types import SimpleNamespace
 
 import pytest
@@ -45,3 +47,12 @@ def test_a_cluster_needs_a_shared_folder():
     far = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="yarn"))
     with pytest.raises(ValueError):
         session.shared_dir(far)
+
+
+def test_a_session_without_the_setting_has_a_folder_of_its_own(tmp_path):
+    """Spark's own defaults name no folder here, and a running session cannot be given one."""
+    code = "from docloom.session import local_session, store, shared_dir; s = local_session(2, 2); assert s.conf.get('spark.checkpoint.dir', None) is None; print(store(s.range(5), 'x').count(), shared_dir(s) == shared_dir(s))"
+    env = {**os.environ, "SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": os.path.dirname(os.path.dirname(os.path.abspath(__file__)))}
+    env.pop("PYSPARK_GATEWAY_PORT", None)
+    done = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=240)
+    assert done.stdout.split() == ["5", "True"], done.stderr[-2000:]
