@@ -3,7 +3,7 @@
 Every page's containers are scored by the running text that stands in them, less what is linked; the best container's
 generalised path (tags with their classes, digits taken out), widened to the article or main element around it, is the
 page's vote. Votes are summed per host and path in Spark, by partial aggregation, so a hot host costs no more than
-others; each page is then extracted again under its host's winning path, where it has that path with text in it, or else under its own best one.
+others; each page is then extracted again under its host's winning path, where it has that path with running text in it, or else under its own best one.
 
 Elements leave the text by what they are (menus, forms, scripts, hidden ones), or by a class or id that as a whole names
 comments, adverts, menus and the like (`ad-slot`, not `share-price`). A name that only hints at a notice or a list of links
@@ -410,18 +410,19 @@ class Page:
         return out
 
     def main_text(self, winner: str | None = None, voted: Iterable[int] = ()) -> str:
-        """The kept blocks under the winning path, or, where the page has no running text there, under its own best."""
+        """The kept blocks under the winning path, or, where the page has little running text there and less than half of that of its own best, under that."""
         dropped = self.dropped(voted)
         kept = [b for b in self.blocks if not dropped[b[2]]]
         best = self.best(dropped)
         if best is None:
             return "\n".join(text for text, _, _ in kept)  # no holder at all: bare blocks
-        host = self.number(winner) if winner else None
+        inside, host = self.under(best), self.number(winner) if winner else None
         if host is not None and host != best:
             theirs = self.under(host)
-            if any(theirs[e] and linked < len(text) for text, linked, e in kept):
-                return "\n".join(text for text, _, e in kept if theirs[e])
-        inside = self.under(best)
+            # a text of links alone is worth nothing, but still tells where the container is
+            held, own = (sum(len(text) - linked + 1e-6 * len(text) for text, linked, e in kept if some[e]) for some in (theirs, inside))
+            if held >= RUNNING or held > 0 and 2 * held >= own:
+                inside = theirs
         return "\n".join(text for text, _, e in kept if inside[e])
 
     def thread_digests(self) -> list[int]:
