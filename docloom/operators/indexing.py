@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import SPARSE_BUCKETS, approx_tokens, normalize_text, uuid5
-from docloom.operators.chunking import chunk_documents, hashed_vectors, term_codes
+from docloom.operators.chunking import SENT, chunk_documents, hashed_vectors, term_codes
 from docloom.operators.registry import dim_guard
 from docloom.operators.segment import metadata
 from docloom.streaming.batching import SIZE
@@ -27,9 +27,17 @@ def payloads(docs: DataFrame, **bounds) -> DataFrame:
     return chunks.select("chunk_id", F.col("doc_id").cast("string").alias("parent_doc_id"), "text", F.col("breadcrumb").alias("hierarchical_context"), "token_count", "doc_version", "doc_title", "source_uri")
 
 
+def sparse_arrays(texts: list[str]) -> tuple[pa.Array, pa.Array]:
+    """Buckets in order and weights of each text's hashed terms."""
+    row, code = term_codes(texts)
+    met, n = np.unique(row * SPARSE_BUCKETS + code % SPARSE_BUCKETS, return_counts=True)
+    offsets = pa.array(np.searchsorted(met // SPARSE_BUCKETS, np.arange(len(texts) + 1)).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array((met % SPARSE_BUCKETS).astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(1 + np.log(n)))
+
+
 def sparse_vector(text: str) -> tuple[list[int], list[float]]:
-    bucket, n = np.unique(term_codes([text])[1] % SPARSE_BUCKETS, return_counts=True)
-    return bucket.tolist(), (1 + np.log(n)).tolist()
+    bucket, weight = sparse_arrays([text])
+    return bucket[0].as_py(), weight[0].as_py()
 
 
 class PerWorker:
@@ -46,10 +54,10 @@ class PerWorker:
         return PerWorker._made[self.name](texts)
 
 
-def points(chunks: DataFrame, embed: Callable = hashed_vectors, dim: int = 384, size: int = SIZE) -> DataFrame:
+def points(chunks: DataFrame, embed: Callable = hashed_vectors, dim: int = 384, size: int = SIZE, counted: bool = False) -> DataFrame:
     """Index points of normalized payloads, with `dropped` as a reason where there is no dense vector of the right length, and `failed` where the
-    embedder raised: that may go well another time. raw_text is the text as it came, of those without a point alone; tokens_before and tokens_after
-    are the counts of both.
+    embedder raised: that may go well another time. raw_text is the text as it came, of those without a point alone; with counted, tokens_before and
+    tokens_after are the counts of both.
 
     Dense and sparse vectors come from one pass over a batch, so they are columns of the chunk's own row. Chunks are embedded
     `size` at a time; a call that fails leaves those chunks alone without vectors. Nothing waits in a task.
@@ -57,20 +65,24 @@ def points(chunks: DataFrame, embed: Callable = hashed_vectors, dim: int = 384,
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
-                some = part.column(0).to_pylist()
-                sparse = [sparse_vector(t) for t in some]
-                try:
-                    found, error = [np.asarray(v, np.float64) for v in embed(some)], None
-                except Exception as raised:
-                    found, error = [None] * len(some), f"embedding failed: {raised}".split("\n")[0]
-                made = [pa.array(found, pa.list_(pa.float64())), pa.array([s[0] for s in sparse], pa.list_(pa.int32())), pa.array([s[1] for s in sparse], pa.list_(pa.float64())), pa.array([error] * len(some), pa.string())]
+            for at in range(0, batch.num_rows, SENT):
+                part = batch.slice(at, SENT)
+                texts, dense, why = part.column(0).to_pylist(), [], []
+                for first in range(0, len(texts), size):
+                    some = texts[first : first + size]
+                    try:
+                        found, error = [np.asarray(v, np.float64) for v in embed(some)], None
+                    except Exception as raised:
+                        found, error = [None] * len(some), f"embedding failed: {raised}".split("\n")[0]
+                    dense += found
+                    why += [error] * len(found)
+                made = [pa.array(dense, pa.list_(pa.float64())), *sparse_arrays(texts), pa.array(why, pa.string())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, "dense", "indices", "values", "failed"])
 
     raw = F.col("text")
     flat = chunks.select(F.coalesce(normalize_text(raw), F.lit("")).alias("text"), *[c for c in chunks.columns if c != "text"], raw.alias("raw_text"))
-    flat = flat.withColumns({"tokens_before": approx_tokens(F.col("raw_text")), "tokens_after": approx_tokens(F.col("text"))})
+    if counted:
+        flat = flat.withColumns({"tokens_before": approx_tokens(F.col("raw_text")), "tokens_after": approx_tokens(F.col("text"))})
     said = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in flat.schema.fields)
     made = flat.mapInArrow(vectors, f"{said}, dense array<double>, indices array<int>, values array<double>, failed string").withColumn("point_id", uuid5(F.col("chunk_id")))
     told = dim_guard(made, dim, "dense").withColumn("dropped", F.coalesce("failed", "dropped"))

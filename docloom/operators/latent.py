@@ -83,11 +83,15 @@ class Latent:
     def embed(self, docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         """key, vector (array<double>, of unit length; zeros for a text that tells nothing) for every row."""
         rows = term_vectors(docs, key, text)
-        held = docs.sparkSession.sparkContext.broadcast((self.idf, self.directions))
+        used = np.flatnonzero(self.directions.any(axis=1))
+        held = docs.sparkSession.sparkContext.broadcast((self.idf, used, self.directions[used].astype(np.float32)))
+        width = self.directions.shape[1]
         kind = to_arrow_type(docs.schema[key].dataType)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            idf, directions = held.value
+            idf, used, some_rows = held.value
+            directions = np.zeros((len(idf), width))
+            directions[used] = some_rows
             for batch in batches:
                 found = _rows_times(*_csr(batch, 1, idf), directions)
                 size = np.linalg.norm(found, axis=1, keepdims=True)
@@ -101,11 +105,14 @@ class Latent:
 def _there_and_back(rows: DataFrame, idf: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     """The transposed matrix of all rows times (the rows times a matrix): each task sends a row a bucket it has met, which are added up by bucket."""
     width = matrix.shape[1]
-    held = rows.sparkSession.sparkContext.broadcast((idf, matrix))
+    used = np.flatnonzero(matrix.any(axis=1))
+    held = rows.sparkSession.sparkContext.broadcast((idf, used, matrix[used]))
     names = [f"c{i}" for i in range(width)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, matrix = held.value
+        idf, used, some_rows = held.value
+        matrix = np.zeros((len(idf), width))
+        matrix[used] = some_rows
         total, met = np.zeros_like(matrix), np.zeros(len(matrix), bool)
         for batch in batches:
             bounds, bucket, weight = _csr(batch, 0, idf)
@@ -124,6 +131,7 @@ def _there_and_back(rows: DataFrame, idf: np.ndarray, matrix: np.ndarray) -> np.
 
     parts = rows.mapInArrow(run, "bucket int, " + ", ".join(f"{c} double" for c in names))
     sums = parts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names]).toPandas()  # SPARSE_BUCKETS rows at most
+    held.destroy()  # the next round has another
     out = np.zeros_like(matrix)
     out[sums["bucket"].to_numpy(np.int64)] = sums[names].to_numpy()
     return out

@@ -73,7 +73,7 @@ class Engine:
         again = "attempts" in chunks.columns
         tried = chunks if again else chunks.withColumn("attempts", F.lit(0))
         # what has failed before is embedded one by one: what cannot be embedded keeps no other back
-        made = store(indexing.points(tried, self.embed, self.dim, 1 if again else indexing.SIZE), "points")
+        made = store(indexing.points(tried, self.embed, self.dim, 1 if again else indexing.SIZE, counted=True), "points")
         raw = made.where("dropped IS NOT NULL").withColumn("text", F.col("raw_text"))
         again, lost = scheduled(raw.where("failed IS NOT NULL"), "chunk_id", self.clock(), self.retries)
         refused = raw.where("failed IS NULL AND dropped IS NOT NULL").unionByName(lost)
