@@ -130,8 +130,10 @@ def _there_and_back(rows: DataFrame, idf: np.ndarray, matrix: np.ndarray) -> np.
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *[pa.array(total[some, i]) for i in range(width)]], ["bucket", *names])
 
     parts = rows.mapInArrow(run, "bucket int, " + ", ".join(f"{c} double" for c in names))
-    sums = parts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names]).toPandas()  # SPARSE_BUCKETS rows at most
+    sums = parts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names]).toArrow()  # SPARSE_BUCKETS rows at most
     held.destroy()  # the next round has another
     out = np.zeros_like(matrix)
-    out[sums["bucket"].to_numpy(np.int64)] = sums[names].to_numpy()
+    at = sums["bucket"].to_numpy()
+    for i, c in enumerate(names):  # column by column: no second copy of the whole
+        out[at, i] = sums[c].to_numpy()
     return out
