@@ -33,3 +33,14 @@ def test_html_metadata_equals_its_sql_on_other_references(spark, tmp_path):
     db.sql(f"CREATE VIEW pages AS FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
     want = set(db.sql(queries.ORACLE_SQL["html_metadata"]).fetchall())
     assert {tuple(r) for r in queries.html_metadata(spark, str(tmp_path)).collect()} == want and len(want) == 5
+
+
+def test_watched_pages_are_few_files(spark, tmp_path, monkeypatch):
+    """300 pages, line ends in them, in no more files than tasks wrote; each page is met once and by its own path."""
+    from docloom.plans import more_queries
+
+    monkeypatch.setattr(more_queries, "new_path", lambda _, name: f"file://{tmp_path}/{name}")
+    spark.createDataFrame([(i, f"<p>{i}</p>\r\n<p>\n</p>") for i in range(300)], "page_id bigint, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = more_queries.watched_pages(spark, str(tmp_path)).collect()
+    assert len(list((tmp_path / "box").rglob("*.json"))) <= 16 and len(rows) == len({r.path for r in rows}) == 300
+    assert {(r.ok, r.reason) for r in rows} == {(True, None), (False, "unsupported extension '.exe'"), (False, "document is empty")}
