@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docloom.sources.tables import Keyed, Tables
 from docloom.streaming.batching import SECONDS, SIZE
@@ -17,74 +18,64 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def use_state(spark: SparkSession) -> None:
-    """Stateful streams of this session keep their state in RocksDB, the one store that timers work with."""
+    """Stateful streams of this session keep their state in RocksDB, on disk."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-class Batcher(StatefulProcessor):
+#: A key's open batch, and the items that the watermark has not passed, as pairs of item and time in 64-bit numbers.
+OPEN = "batch long, n long, since long, first long, last long, waiting binary"
+
+
+class Batcher:
     """A key's items in batches: one is full with `size` items, and over when `millis` have passed since its first.
 
     By event time items wait until the watermark has passed them, so they are met in their order whatever order they came in. By processing time they are met as they
-    come, and an age is told by the time of the trigger. Either way a batch that nothing more is added to goes out by a timer.
+    come, and an age is told by the time of the trigger. Either way a batch that nothing more is added to goes out by a timeout. The state is one value,
+    which goes to the worker and back with the key's rows.
     """
 
     def __init__(self, key: str, size: int, millis: int, by_event: bool):
         self.key, self.size, self.millis, self.by_event = key, size, millis, by_event
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "item long, at long")
-        self.open = handle.getValueState("open", "batch long, n long, since long, first long, last long")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = timerValues.getCurrentWatermarkInMs() if self.by_event else timerValues.getCurrentProcessingTimeInMs()
-        found = [(int(i), int(t)) for part in rows for i, t in zip(part["item"], part["at"])]
+    def __call__(self, key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentWatermarkMs() if self.by_event else state.getCurrentProcessingTimeMs()
+        *held, waiting = state.get if state.exists else (0, 0, 0, 0, 0, b"")
+        # a key that has timed out is given no rows
+        found = [] if state.hasTimedOut else [p[["item", "at"]].to_numpy(np.int64) for p in parts]
+        pairs = np.concatenate([np.frombuffer(bytes(waiting), np.int64).reshape(-1, 2), *found])
         if self.by_event:
-            self.waiting.appendList(found)
-            yield self._go_on(key, [], now)
+            due = pairs[:, 1] < now
+            items, later = pairs[due], pairs[~due]
+            items = items[np.lexsort((items[:, 0], items[:, 1]))].tolist()
         else:
-            yield self._go_on(key, [(i, now) for i, _ in sorted(found, key=lambda x: (x[1], x[0]))], now)
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield self._go_on(key, [], timerValues.getCurrentWatermarkInMs() if self.by_event else timerValues.getCurrentProcessingTimeInMs())
-
-    def _go_on(self, key: tuple, items: list[tuple[int, int]], now: int) -> pd.DataFrame:
+            items, later = [(i, now) for i in sorted(pairs[:, 0].tolist())], pairs[:0]
+        out, held = self._go_on(items, now, *map(int, held))
+        state.update((*held, later.tobytes()))
+        n, since = held[1:3]
+        ends = ([since + self.millis] if n else []) + ([int(later[:, 1].min()) + 1] if len(later) else [])
+        if ends and self.by_event:
+            state.setTimeoutTimestamp(max(min(ends) - 1, now))  # it goes off when the watermark has passed it
+        elif ends:
+            state.setTimeoutDuration(max(min(ends) - now, 1))
+        yield pd.DataFrame([(key[0], *row) for row in out], columns=[self.key, "batch", "n", "first_item", "last_item"])
+
+    def _go_on(self, items: list, now: int, batch: int, n: int, since: int, first: int, last: int) -> tuple[list[tuple], tuple]:
         """Adds the items whose time has come, and lets go of batches that are full or over by now."""
-        later: list[tuple[int, int]] = []
-        if self.by_event:
-            held = [(int(i), int(t)) for i, t in self.waiting.get()]
-            items = sorted(((i, t) for i, t in held if t < now), key=lambda x: (x[1], x[0]))
-            later = [(i, t) for i, t in held if t >= now]
-            if items:
-                self.waiting.put(later) if later else self.waiting.clear()
-        batch, n, since, first, last = self.open.get() if self.open.exists() else (0, 0, 0, 0, 0)
         out = []
-
-        def close() -> None:
-            nonlocal batch, n
-            out.append((key[0], batch, n, first, last))
-            batch, n = batch + 1, 0
-
         for item, at in items:
             if n and at - since >= self.millis:
-                close()
+                out.append((batch, n, first, last))
+                batch, n = batch + 1, 0
             if not n:
                 since, first = at, item
             n, last = n + 1, item
             if n >= self.size:
-                close()
+                out.append((batch, n, first, last))
+                batch, n = batch + 1, 0
         if n and now - since >= self.millis:
-            close()
-        self.open.update((batch, n, since, first, last))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        ends = ([since + self.millis] if n else []) + ([min(t for _, t in later) + 1] if later else [])
-        if ends:
-            self.handle.registerTimer(max(min(ends), now + 1))
-        return pd.DataFrame(out, columns=[self.key, "batch", "n", "first_item", "last_item"])
-
-    def close(self) -> None:
-        pass
+            out.append((batch, n, first, last))
+            batch, n = batch + 1, 0
+        return out, (batch, n, since, first, last)
 
 
 def batched(stream: DataFrame, key: str, item: str, at: str | None = None, size: int = SIZE, seconds: float = SECONDS, delay: str = "0 seconds") -> DataFrame:
@@ -101,7 +92,8 @@ def batched(stream: DataFrame, key: str, item: str, at: str | None = None, size:
         rows = timed.withColumn("at", F.unix_millis("time"))
     kind = stream.schema[key].dataType.simpleString()
     made = Batcher(key, size, int(seconds * 1000), at is not None)
-    return rows.groupBy(key).transformWithStateInPandas(made, f"`{key}` {kind}, batch long, n long, first_item long, last_item long", "append", "eventTime" if at else "processingTime")
+    timeout = GroupStateTimeout.EventTimeTimeout if at else GroupStateTimeout.ProcessingTimeTimeout
+    return rows.groupBy(key).applyInPandasWithState(made, f"`{key}` {kind}, batch long, n long, first_item long, last_item long", OPEN, "append", timeout)
 
 
 class Newest:

@@ -44,3 +44,36 @@ def test_watched_pages_are_few_files(spark, tmp_path, monkeypatch):
     rows = more_queries.watched_pages(spark, str(tmp_path)).collect()
     assert len(list((tmp_path / "box").rglob("*.json"))) <= 16 and len(rows) == len({r.path for r in rows}) == 300
     assert {(r.ok, r.reason) for r in rows} == {(True, None), (False, "unsupported extension '.exe'"), (False, "document is empty")}
+
+
+class _OneValue:
+    """A key's state that counts how often it is put."""
+
+    exists, hasTimedOut, get, puts, ends = False, False, None, 0, None  # noqa: N815
+
+    def getCurrentWatermarkMs(self):  # noqa: N802
+        return self.now
+
+    def update(self, value):
+        self.exists, self.get, self.puts = True, value, self.puts + 1
+
+    def setTimeoutTimestamp(self, at):  # noqa: N802
+        self.ends = at
+
+
+def test_a_key_goes_through_one_state_value():
+    """Items wait in the key's one value until the watermark passes them, and the timeout tells when that will be."""
+    import pandas as pd
+
+    from docloom.streaming.stateful import Batcher
+
+    state, made = _OneValue(), Batcher("k", 2, 100, True)
+    state.now = 0
+    assert [len(f) for f in made(("a",), iter([pd.DataFrame({"item": [3, 1, 2], "at": [30, 10, 20]})]), state)] == [0]
+    assert state.puts == 1 and state.ends == 10
+    state.now, state.hasTimedOut = 31, True
+    (out,) = made(("a",), iter([]), state)
+    assert out.values.tolist() == [["a", 0, 2, 1, 2]] and state.puts == 2 and state.ends == 129
+    state.now = 130
+    (out,) = made(("a",), iter([]), state)
+    assert out.values.tolist() == [["a", 1, 1, 3, 3]]
