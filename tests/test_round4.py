@@ -77,3 +77,22 @@ def test_a_key_goes_through_one_state_value():
     state.now = 130
     (out,) = made(("a",), iter([]), state)
     assert out.values.tolist() == [["a", 1, 1, 3, 3]]
+
+
+def test_terms_and_heads_cost_no_more_than_they_need(spark):
+    """Terms are those of the pattern whatever letters stand around them; lines beyond the head are not split."""
+    import re
+    import zlib
+
+    from pyspark.sql import functions as F
+
+    from docloom.operators.chunking import _codes, term_codes
+
+    texts = ["Ab-9 éa xK İi", "", "ÿz\x00q\n__ 漢x字y \U0001f600k"]
+    row, code = term_codes(texts)
+    want = [(i, zlib.crc32(w.encode())) for i, t in enumerate(texts) for w in re.findall("[a-z0-9]+", t.lower())]
+    assert list(zip(row.tolist(), code.tolist())) == want and all(isinstance(w, bytes) for w in _codes)
+    lines = "x\n" * 39 + "title: last\n" + "y\n" * 100 + "version: 9\n"
+    made = segment.metadata(spark.createDataFrame([(lines,)], "text string").withColumn("mime_type", F.lit("text/plain")))
+    assert made.select("version", "title").first() == ("1", "last")
+    assert f", {segment.HEAD_LINES + 1})" in made._jdf.queryExecution().analyzed().toString()
