@@ -597,6 +597,21 @@ def gibbs(rows: DataFrame, prior: Prior, start: Sizes, known_sizes: DataFrame, p
     return states, out
 
 
+def _plus(total: tuple | None, more: tuple) -> tuple:
+    """(sorted keys, and sums of each) of both, added up by key."""
+    if total is None:
+        return more
+    keys = np.union1d(total[0], more[0])
+    places = [np.searchsorted(keys, x[0]) for x in (total, more)]
+    out = []
+    for sums in zip(total[1:], more[1:]):
+        both = np.zeros(len(keys))
+        for at, values in zip(places, sums):
+            both[at] += values
+        out.append(both)
+    return keys, *out
+
+
 def _scores(rows: DataFrame, states: list[tuple[Prior, Sizes]], known_sizes: DataFrame) -> DataFrame:
     """doc_id, tokens, known, base, score of each document: sums over the buckets, exchanged packed by runs of GROUP documents.
 
@@ -607,7 +622,8 @@ def _scores(rows: DataFrame, states: list[tuple[Prior, Sizes]], known_sizes: Dat
     def run(batches):
         states = known.value
         for batch in batches:
-            parts, named = [], {}
+            # the sums of the buckets so far by document: one bucket's come to them at a time
+            total, named = None, {}
             for i in range(batch.num_rows):
                 values = {n: batch.column(n)[i].as_py() for n in ("bucket", "pairs", "contexts", "trained", "seated", *(f"{c}{j}" for j in range(len(states)) for c in ("tables", "own", "parent")))}
                 mean = 0.0
@@ -625,11 +641,10 @@ def _scores(rows: DataFrame, states: list[tuple[Prior, Sizes]], known_sizes: Dat
                     at = bucket.places(*(batch.column(k)[i].as_py() for k in ("words", "own_words", "own_pairs", "own_contexts", "names", "own_names")))
                     mean, base, was = mean[at], base[at], was[at]
                 add = lambda x: np.bincount(documents, np.repeat(x, runs) * counts, len(keys))
-                parts.append((keys, np.bincount(documents, counts, len(keys)), add(was), add(base), add(-np.log10(mean))))
-            if not parts:
+                total = _plus(total, (keys, np.bincount(documents, counts, len(keys)), add(was), add(base), add(-np.log10(mean))))
+            if total is None:
                 continue
-            keys, at = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
-            sums = [np.bincount(at, np.concatenate([x[k] for x in parts]), len(keys)) for k in (1, 2, 3, 4)]
+            keys, *sums = total
             sums = [np.rint(x).astype(np.uint64) for x in sums[:2]] + [x.view(np.uint64) for x in sums[2:]]
             group = keys // np.uint64(GROUP)
             cut = np.r_[np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), len(keys)]

@@ -96,3 +96,15 @@ def test_terms_and_heads_cost_no_more_than_they_need(spark):
     made = segment.metadata(spark.createDataFrame([(lines,)], "text string").withColumn("mime_type", F.lit("text/plain")))
     assert made.select("version", "title").first() == ("1", "last")
     assert f", {segment.HEAD_LINES + 1})" in made._jdf.queryExecution().analyzed().toString()
+
+
+def test_sums_of_buckets_come_together_one_at_a_time():
+    import numpy as np
+
+    from docloom.llm.pitman_yor import _plus
+
+    parts = [(np.array(k, np.uint64), np.array(v, float), np.array(v, float) * 2) for k, v in (([1, 5, 9], [1, 2, 3]), ([2, 5], [10, 20]), ([9], [100]))]
+    total = None
+    for part in parts:
+        total = _plus(total, part)
+    assert total[0].tolist() == [1, 2, 5, 9] and total[1].tolist() == [1, 10, 22, 103] and total[2].tolist() == [2, 20, 44, 206]
