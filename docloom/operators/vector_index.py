@@ -12,11 +12,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from docloom.operators.retrieval import PREFETCH, Best, _kinds, _unit, ranked
+from docloom.operators.retrieval import PREFETCH, Best, _kinds, _unit, query_blocks, ranked
 from docloom.session import small, store
 
 #: Rows that centroids and the number of probed lists are fitted on: those of the smallest key hashes over the whole table.
@@ -24,6 +25,18 @@ SAMPLE_ROWS, SAMPLE_BYTES, MOST_LISTS = 1 << 17, 128 << 20, 4096
 #: Rows of the sample that are searched for.
 TRIALS = 200
 SLACK = 1e-3
+#: Queries whose cosines to all centroids are held at once.
+QUERIES = 2048
+
+
+def unit_rows(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """A column of vectors as rows of unit length; null ones, those of another length and those of length 0 are rows without a number."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    fine = pc.fill_null(pc.equal(pc.list_value_length(column), dim), False)
+    out = np.full((len(column), dim), np.nan)
+    out[fine.to_numpy(zero_copy_only=False)] = column.filter(fine).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return out / np.sqrt(np.einsum("ij,ij->i", out, out))[:, None]
 
 
 def fit_centroids(sample: np.ndarray, lists: int, rounds: int = 12) -> np.ndarray:
@@ -75,6 +88,7 @@ class VectorIndex:
     key: str
     probes: int
     meta: pd.DataFrame
+    table: DataFrame | None = None
 
     @staticmethod
     def build(rows: DataFrame, path: str, key: str, lists: int | None = None, recall: float = 0.97, k: int = PREFETCH) -> VectorIndex:
@@ -93,8 +107,8 @@ class VectorIndex:
         lists = min(lists or max(1, round(n**0.5)), MOST_LISTS)
         rows = rows.where(F.size("vector") == dim)
         bound = max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * dim)))
-        sample = rows.orderBy(F.xxhash64(key), key).limit(bound).select("vector").toPandas()["vector"]
-        held = _unit(list(sample)).astype(np.float32) if len(sample) else np.zeros((0, dim), np.float32)
+        sample = rows.orderBy(F.xxhash64(key), key).limit(bound).select("vector").toArrow()["vector"]
+        held = unit_rows(sample, dim).astype(np.float32)
         held = held[~np.isnan(held).any(axis=1)]
         centroids = fit_centroids(held, min(lists, max(1, len(held)))) if len(held) else np.zeros((1, dim), np.float32)
         probes = enough_probes(held, centroids, k, recall) if len(held) else 1
@@ -125,29 +139,35 @@ class VectorIndex:
 
     def rows(self, lists: np.ndarray | None = None) -> DataFrame:
         """list, key, angle, vector of some lists, or all: only those folders are read, and only the columns used."""
-        found = self.spark.read.schema(self.meta["schema"].iloc[0]).parquet(f"{self.path}/lists")
+        if self.table is None:  # its folders are listed once
+            self.table = self.spark.read.schema(self.meta["schema"].iloc[0]).parquet(f"{self.path}/lists")
+        found = self.table
         return found if lists is None else found.where(F.col("list").isin([int(i) for i in lists]))
 
-    def _scored(self, names: list, matrix: np.ndarray, chosen: np.ndarray, query: str, kinds: tuple, k: int) -> DataFrame:
-        """The best k of each query that each task finds in the lists chosen for it (a row of booleans a query)."""
+    def _scored(self, names: list, matrix: np.ndarray, chosen: np.ndarray, query: str, kinds: tuple, k: int, least: np.ndarray | None = None) -> DataFrame:
+        """The best k of each query that each task finds in the lists chosen for it (a row of booleans a query), of those that reach its least score if there is one."""
         schema, types = kinds
         key = self.key
-        shared = self.spark.sparkContext.broadcast((names, matrix, chosen))
+        shared = self.spark.sparkContext.broadcast((names, matrix, np.packbits(chosen.T, axis=1), least))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, matrix, chosen = shared.value
+            names, matrix, packed, least = shared.value
             best = Best(names, k)
+            if least is not None:
+                best.least = least.copy()
             for batch in batches:
                 own, keys = batch.column(0).to_numpy(), batch.column(1)
-                unit = _unit(batch.column(2).to_pylist())
+                unit = unit_rows(batch.column(2), matrix.shape[1])
                 for one in np.unique(own):
-                    at, which = np.flatnonzero(own == one), np.flatnonzero(chosen[:, one])
+                    at, which = np.flatnonzero(own == one), np.flatnonzero(np.unpackbits(packed[one], count=len(names)))
                     named = keys.take(pa.array(at)).to_pylist()
-                    for q, scores in zip(which, np.round(matrix[which] @ unit[at].T, 6)):
-                        best.add(int(q), scores, named)
+                    for some in query_blocks(which, len(at)):
+                        best.rows(some, matrix[some] @ unit[at].T, named)
             yield best.batch([query, key, "score"], types)
 
-        return self.rows(np.flatnonzero(chosen.any(axis=0))).select("list", key, "vector").mapInArrow(run, schema)
+        # each task sends k rows a query, so there are no more than two tasks a core
+        read = self.rows(np.flatnonzero(chosen.any(axis=0))).select("list", key, "vector").coalesce(2 * self.spark.sparkContext.defaultParallelism)
+        return read.mapInArrow(run, schema)
 
     def search(self, queries: DataFrame, query: str, k: int = PREFETCH, exact: bool = False, probes: int | None = None) -> DataFrame:
         """query, key, score, rank and, the same in each row of a query, lists and rows_read (in those lists): the best k by cosine among
@@ -156,26 +176,41 @@ class VectorIndex:
         Queries (query, vector) are a stated set that the driver can hold, of which null vectors, those of another length and those of length 0 match nothing. The exact
         mode also reads each list whose radius does not rule it out against the query's k-th score so far. Ties go by key.
         """
-        held = queries.select(query, F.col("vector").cast("array<double>").alias("vector")).toPandas()
-        centroids = _unit(self.meta["centroid"].tolist())
-        vectors = [v if v is not None and len(v) == centroids.shape[1] else np.zeros(centroids.shape[1]) for v in held["vector"]]
-        unit = _unit(vectors) if vectors else np.zeros((0, centroids.shape[1]))
+        return self._search(queries, query, k, exact, probes)[int(exact)]
+
+    def both(self, queries: DataFrame, query: str, k: int = PREFETCH) -> tuple[DataFrame, DataFrame]:
+        """What search gives without and with exact, the probed lists being read once for both."""
+        return self._search(queries, query, k, True, None)
+
+    def _search(self, queries: DataFrame, query: str, k: int, exact: bool, probes: int | None) -> tuple[DataFrame, DataFrame | None]:
+        held = queries.select(query, F.col("vector").cast("array<double>").alias("vector")).toArrow()
+        centroids = np.nan_to_num(_unit(self.meta["centroid"].tolist()))
+        unit = unit_rows(held["vector"], centroids.shape[1])
         fine = np.flatnonzero(~np.isnan(unit).any(axis=1))
-        names, unit = [held[query].tolist()[i] for i in fine], unit[fine]
-        kinds, sizes = _kinds(queries, query, self.rows(), self.key), self.meta["rows"].to_numpy()
-        cosine = unit @ np.nan_to_num(centroids).T
-        chosen = np.zeros(cosine.shape, bool)
-        np.put_along_axis(chosen, np.argsort(-cosine, axis=1, kind="stable")[:, : probes or self.probes], True, axis=1)
+        names, unit = held[query].take(pa.array(fine)).to_pylist(), unit[fine]
+        kinds, sizes, radius = _kinds(queries, query, self.rows(), self.key), self.meta["rows"].to_numpy(), self.meta["radius"].to_numpy()
+        chosen = np.zeros((len(unit), len(centroids)), bool)
+        for at in range(0, len(unit), QUERIES):
+            near = np.argsort(-(unit[at : at + QUERIES] @ centroids.T), axis=1, kind="stable")[:, : probes or self.probes]
+            np.put_along_axis(chosen[at : at + QUERIES], near, True, axis=1)
         found = ranked(self._scored(names, unit, chosen, query, kinds, k), query, self.key, F.col("score"), k)
-        if exact:
-            found = store(found, "probed")
-            least = {r[0]: r[1] for r in found.where(F.col("rank") == k).select(query, "score").collect()}  # a row a query
-            reach = np.array([least.get(q, -2.0) for q in names])
-            bound = np.cos(np.maximum(0.0, np.arccos(np.clip(cosine, -1, 1)) - self.meta["radius"].to_numpy() - SLACK))
-            more = (bound >= reach[:, None] - 1e-6) & (sizes > 0) & ~chosen
-            rest = self._scored(names, unit, more, query, kinds, k)
-            found = ranked(found.select(query, self.key, "score").unionByName(rest), query, self.key, F.col("score"), k)
-            chosen = chosen | more
+        if not exact:
+            return self._told(found, names, chosen, queries, query), None
+        found = store(found, "probed")
+        least = {r[0]: r[1] for r in found.where(F.col("rank") == k).select(query, "score").collect()}  # a row a query
+        reach = np.array([least.get(q, -2.0) for q in names])
+        more = np.zeros_like(chosen)
+        for at in range(0, len(unit), QUERIES):
+            some = slice(at, at + QUERIES)
+            bound = np.cos(np.maximum(0.0, np.arccos(np.clip(unit[some] @ centroids.T, -1, 1)) - radius - SLACK))
+            more[some] = (bound >= reach[some, None] - 1e-6) & (sizes > 0) & ~chosen[some]
+        rest = self._scored(names, unit, more, query, kinds, k, reach)
+        whole = ranked(found.select(query, self.key, "score").unionByName(rest), query, self.key, F.col("score"), k)
+        return self._told(found, names, chosen, queries, query), self._told(whole, names, chosen | more, queries, query)
+
+    def _told(self, found: DataFrame, names: list, chosen: np.ndarray, queries: DataFrame, query: str) -> DataFrame:
+        """Each query's rows with the lists chosen for it and the rows in them."""
+        sizes = self.meta["rows"].to_numpy()
         told = [(q, int(c.sum()), int(sizes[c].sum())) for q, c in zip(names, chosen)]
         read = self.spark.createDataFrame(told, f"`{query}` {queries.schema[query].dataType.simpleString()}, lists long, rows_read long")
         return found.select(query, self.key, "score", "rank").join(small(read), query)
