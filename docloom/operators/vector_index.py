@@ -108,7 +108,9 @@ class VectorIndex:
         rows = rows.where(F.size("vector") == dim)
         bound = max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * dim)))
         sample = rows.orderBy(F.xxhash64(key), key).limit(bound).select("vector").toArrow()["vector"]
-        held = unit_rows(sample, dim).astype(np.float32)
+        # chunk by chunk: the driver holds the sample once as it came and once as rows
+        held = np.concatenate([np.zeros((0, dim), np.float32), *(unit_rows(c, dim).astype(np.float32) for c in sample.chunks)])
+        del sample
         held = held[~np.isnan(held).any(axis=1)]
         centroids = fit_centroids(held, min(lists, max(1, len(held)))) if len(held) else np.zeros((1, dim), np.float32)
         probes = enough_probes(held, centroids, k, recall) if len(held) else 1
